@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join
+from . import jaccard_join, quality_forest
 from .common import table
 
 
@@ -15,8 +15,14 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+def op9_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics of every document and whether rules and isolation forests keep it."""
+    found = quality_forest.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *(f"score_{g}" for g in quality_forest.GROUPS))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_ngram_jaccard_join,)}
+    return {f.__name__: f for f in (op9_quality_forest, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
