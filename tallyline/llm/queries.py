@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, quality_forest
+from . import cube_mixing, jaccard_join, quality_forest
 from .common import table
 
 
+def op1_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words a mix at target weights takes of each document."""
+    return cube_mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85).select("doc_id", "n_shingles", "component_id")
@@ -22,7 +27,7 @@ def op9_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_quality_forest, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_cube_mixing, op9_quality_forest, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
