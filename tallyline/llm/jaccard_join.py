@@ -3,8 +3,8 @@
 Documents become sets of hashed word shingles; two link when 100 * |x & y| >= percent * |x | y|. The join is exact:
 
 1. Equal sets are one set (their answers are the same), named by a 64-bit fingerprint.
-2. Highly similar sets are found by bucketed minima; each is checked against one representative of its bucket, and those
-   that link with it share its answers from then on: no pair inside such a group is looked at again.
+2. Highly similar sets are found by bucketed minima; each is checked against a few representatives of its bucket, and
+   those that link with one share its answers from then on: no pair inside such a group is looked at again.
 3. An inverted index holds the prefix of each set (frequent shingles last). Its lists are ordered by size and position and
    cut into blocks; a block is skipped when no set in it can be large enough, small enough or early enough, or when all of
    it already has the same answers. Parity bitmaps bound the difference of the pairs that are left.
@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 from .common import _LOWER, components, mix, small_batches, span_hashes, text_chunks, text_only, window_hashes, word_spans, written
 
 BINS, BANDS = 24, 6
+#: Members of a bucket that the others are checked against.
+REPRESENTATIVES = 4
 SKETCH_BITS = 512
 #: Shingles of which a task counts at a time, and how often one must occur among them to be reported as frequent.
-COUNT_SLICE, COUNT_LEAST = 2_000_000, 4
+COUNT_SLICE, COUNT_LEAST = 4_000_000, 2
 #: Frequent shingles that are put last in the prefix order; any order is right, so the bound only limits the broadcast (4 MB).
 HOT_MOST = 1 << 18
 LIST_BLOCK = 2048
@@ -41,7 +43,10 @@ _BOUNDS = np.array([i * (1 << 64) // BINS for i in range(BINS)], np.uint64)
 
 
 def shingle_sets(column: pa.Array, k: int, wanted: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct 64-bit shingle hashes) of each row; ``wanted`` masks rows."""
+    """(row, sorted distinct 64-bit shingle names) of each row; ``wanted`` masks rows.
+
+    A name's first byte falls with the shingle's length in bytes and the rest is a hash, so names ascend from long shingles
+    to short ones: long ones are made of rare words, and prefixes of them seldom meet by chance."""
     for first, data, offsets in text_chunks(column):
         rows = len(offsets) - 1
         if wanted is not None and not wanted[first : first + rows].any():
@@ -49,7 +54,8 @@ def shingle_sets(column: pa.Array, k: int, wanted: np.ndarray | None = None) ->
         data = _LOWER[data]
         starts, ends, at = word_spans(data, offsets)
         words = span_hashes(data, starts, ends)
-        grams = window_hashes(words, k)
+        sizes = np.concatenate([[0], np.cumsum(ends - starts)])
+        grams = _named(window_hashes(words, k), sizes[k:] - sizes[:-k] if len(words) >= k else sizes[:0])
         for i in range(rows):
             if wanted is not None and not wanted[first + i]:
                 continue
@@ -58,11 +64,15 @@ def shingle_sets(column: pa.Array, k: int, wanted: np.ndarray | None = None) ->
                 h = np.sort(grams[a : b - k + 1])
                 yield first + i, h[np.concatenate([[True], h[1:] != h[:-1]])]
             elif b > a:
-                yield first + i, window_hashes(words[a:b], int(b - a))
+                yield first + i, _named(window_hashes(words[a:b], int(b - a)), sizes[b : b + 1] - sizes[a])
             else:
                 yield first + i, np.zeros(0, np.uint64)
 
 
+def _named(hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return (np.uint64(255) - np.minimum(size, 255).astype(np.uint64)) << np.uint64(56) | hashes >> np.uint64(8)
+
+
 def set_name(h: np.ndarray) -> int:
     """The 64-bit fingerprint of a set of hashes (0: empty)."""
     return int(mix(np.array([mix(h ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64) + np.uint64(len(h))], np.uint64)).view(np.int64)[0]) if len(h) else 0
@@ -74,6 +84,7 @@ def parity_sketch(h: np.ndarray) -> bytes:
 
 def band_keys(h: np.ndarray) -> np.ndarray:
     """BANDS keys, each of BINS / BANDS bucket minima."""
+    h = np.sort(mix(h))
     least = h[np.searchsorted(h, _BOUNDS) % len(h)].reshape(BANDS, -1)
     key = np.arange(BANDS, dtype=np.uint64)
     for j in range(least.shape[1]):
@@ -188,11 +199,16 @@ def sets_of(texts: DataFrame, reps: DataFrame, asked: DataFrame, k: int) -> Data
     return found.join(asked.distinct(), "fp", "left_semi").dropDuplicates(["fp"])
 
 
+def _links(both: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of rows with both sets that link."""
+    o = F.size(F.array_intersect("a_items", "b_items")).cast("long")
+    return both.where((100 + percent) * o >= percent * (F.size("a_items") + F.size("b_items"))).select("a", "b")
+
+
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) that link, by their whole sets."""
     side = lambda x: sets.select(F.col("fp").alias(x), F.col("items").alias(f"{x}_items"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("o", F.size(F.array_intersect("a_items", "b_items")).cast("long"))
-    return both.where((100 + percent) * F.col("o") >= percent * (F.size("a_items") + F.size("b_items"))).select("a", "b")
+    return _links(pairs.join(side("a"), "a").join(side("b"), "b"), percent)
 
 
 def list_pairs(fp: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, side: np.ndarray, sketch: np.ndarray, percent: int, block: int = 64) -> tuple[np.ndarray, np.ndarray]:
@@ -310,12 +326,19 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     sets = written(sets, "jaccard-distinct")
     reps = sets.select("fp", "rep")
 
-    # highly similar sets, each against the representative that its buckets give it
+    # highly similar sets: each against the representatives of the largest bucket that it is in
     banded = sets.select("fp", F.explode("bands").alias("band"))
-    least = banded.groupBy("band").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).where("a < top").select("band", "a")
-    near = written(banded.join(least, "band").groupBy("fp").agg(F.min("a").alias("a")).where("a <> fp").select("a", F.col("fp").alias("b")), "jaccard-near")
-    asked = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    same = written(linked(near, sets_of(texts, reps, asked, k), percent), "jaccard-same")
+    picks = [F.min_by("fp", F.xxhash64("fp", F.lit(r))).alias(f"p{r}") for r in range(REPRESENTATIVES)]
+    buckets = banded.groupBy("band").agg(F.count("*").alias("many"), *picks).where("many > 1")
+    buckets = buckets.select("band", "many", F.array_distinct(F.array(*(f"p{r}" for r in range(REPRESENTATIVES)))).alias("reps"))
+    near = banded.join(buckets.select("band", "many"), "band").groupBy("fp").agg(F.max_by("band", F.struct("many", "band")).alias("band"))
+    near = written(near, "jaccard-near")
+    chosen = written(buckets.join(near.select("band").distinct(), "band", "left_semi").select("band", F.explode("reps").alias("rep")), "jaccard-representatives")
+    asked = near.select("fp").unionByName(chosen.select(F.col("rep").alias("fp"))).distinct()
+    found = sets_of(texts, reps, asked, k)
+    member = found.join(near, "fp").select("band", F.col("fp").alias("a"), F.col("items").alias("a_items"))
+    known = found.select(F.col("fp").alias("rep"), F.col("items").alias("b_items")).join(chosen, "rep").select("band", F.col("rep").alias("b"), "b_items")
+    same = written(_links(member.join(known, "band").where("a <> b"), percent), "jaccard-same")
     classes = components(same, "jaccard-classes")
 
     # the index of prefixes, for what those links leave open
