@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cube_mixing, jaccard_join, pii, quality_forest
+from . import cost_packing, cube_mixing, jaccard_join, pii, quality_forest, repair_codec
 from .common import table
 
 
@@ -25,6 +25,16 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens, balanced by attention cost."""
+    return cost_packing.packed(table(spark, sf_dir, "documents"))
+
+
+def op8_repair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids written as Re-Pair shards and read back."""
+    return repair_codec.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule statistics of every document and whether rules and isolation forests keep it."""
     found = quality_forest.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -32,7 +42,7 @@ def op9_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cube_mixing, op2_pii, op9_quality_forest, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_cube_mixing, op2_pii, op3_cost_packing, op8_repair_grammar, op9_quality_forest, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
