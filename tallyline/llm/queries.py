@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cost_packing, cube_mixing, jaccard_join, pii, quality_forest, repair_codec
+from . import byte_cnn, cost_packing, cube_mixing, jaccard_join, pii, quality_forest, repair_codec
 from .common import table
 
 
@@ -30,6 +30,11 @@ def op3_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cost_packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by a byte convolutional network that never saw the held-out ones."""
+    return byte_cnn.predicted(table(spark, sf_dir, "documents"))
+
+
 def op8_repair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids written as Re-Pair shards and read back."""
     return repair_codec.round_trip(table(spark, sf_dir, "documents"))
@@ -42,7 +47,7 @@ def op9_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cube_mixing, op2_pii, op3_cost_packing, op8_repair_grammar, op9_quality_forest, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_cube_mixing, op2_pii, op3_cost_packing, op7_byte_cnn, op8_repair_grammar, op9_quality_forest, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
