@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_cnn, cost_packing, cube_mixing, jaccard_join, pii, quality_forest, repair_codec
+from . import byte_cnn, cost_packing, cube_mixing, jaccard_join, multi_index, pii, quality_forest, repair_codec
 from .common import table
 
 
@@ -30,6 +30,12 @@ def op3_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cost_packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors found of every vector whose id is divisible by 50, among all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return multi_index.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, by a byte convolutional network that never saw the held-out ones."""
     return byte_cnn.predicted(table(spark, sf_dir, "documents"))
@@ -47,7 +53,7 @@ def op9_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cube_mixing, op2_pii, op3_cost_packing, op7_byte_cnn, op8_repair_grammar, op9_quality_forest, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_cube_mixing, op2_pii, op3_cost_packing, op5_multi_index, op7_byte_cnn, op8_repair_grammar, op9_quality_forest, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
