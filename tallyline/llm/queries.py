@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_cnn, cost_packing, cube_mixing, jaccard_join, multi_index, pii, quality_forest, repair_codec
+from . import byte_cnn, cost_packing, cube_mixing, jaccard_join, multi_index, perspectives, pii, quality_forest, repair_codec, warc_revisits
 from .common import table
 
 
@@ -30,12 +31,25 @@ def op3_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cost_packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page asked for again with its URL's first validator: the response each answer belongs to, and the merged headers."""
+    found = warc_revisits.resolved(*warc_revisits.captures(table(spark, sf_dir, "pages")))
+    lines = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))), "|")
+    return found.select("record_id", "url_key", "status", "response_id", F.when(F.col("headers").isNotNull(), lines).alias("headers"))
+
+
 def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest vectors found of every vector whose id is divisible by 50, among all others."""
     vectors = table(spark, sf_dir, "embeddings")
     return multi_index.nearest(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op6_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dialogue from the perspective of each of its participants, a row per turn."""
+    found = perspectives.rotated(table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "perspective", "turn", "role", "name", "start", "mask_start", "mask_end", "end", F.md5("segment").alias("segment_md5"))
+
+
 def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, by a byte convolutional network that never saw the held-out ones."""
     return byte_cnn.predicted(table(spark, sf_dir, "documents"))
@@ -53,8 +67,8 @@ def op9_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cube_mixing, op2_pii, op3_cost_packing, op5_multi_index, op7_byte_cnn, op8_repair_grammar, op9_quality_forest, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_cube_mixing, op2_pii, op3_cost_packing, op4_warc_revisits, op5_multi_index, op6_perspective_rotation, op7_byte_cnn, op8_repair_grammar, op9_quality_forest, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc_revisits": warc_revisits.ORACLE_SQL, "op6_perspective_rotation": perspectives.ORACLE_SQL}
