@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -84,8 +85,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _M3)
 
 
-def text_chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of runs of rows of a string column, of CHUNK_BYTES or a single longer row; null is empty."""
+def text_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of runs of rows of a string column, of ``most`` bytes or a single longer row; null is empty."""
     column = column.fill_null("").cast(pa.large_string())
     n = len(column)
     if not n:
@@ -95,7 +96,7 @@ def text_chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     first = 0
     while first < n:
-        last = max(first + 1, int(np.searchsorted(at, at[first] + CHUNK_BYTES, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(at, at[first] + most, "right")) - 1)
         yield first, raw[at[first] : at[last]], at[first : last + 1] - at[first]
         first = last
 
@@ -130,11 +131,20 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
 # --- tokenising ------------------------------------------------------------------------------------------------
 
 
+_LETTER = np.zeros(256, np.uint8)  # 1: letter, 2: digit, 0: any other
+_LETTER[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3]] = 1
+_LETTER[48:58] = 2
+
+
+_ODD = re.compile(rb"'|<\||[\xc2\xc4-\xff]|\xc3[\x97\xb7]")
+
+
 class WordTokenizer:
     """Ids of whole texts by the tokenizers library, a white-space piece at a time.
 
     The tokenizer's rules never join text across ASCII white space (it drops it), so a text's ids are those of its pieces
-    in order; each piece is encoded by the library once and kept in a table that is emptied at ``most`` entries."""
+    in order. Each piece (known by a 64-bit hash) is encoded by the library once, many in one call, and kept in a table;
+    when the table holds ``most`` pieces, those met only once go."""
 
     def __init__(self, path: str | None = None, most: int = 1_000_000) -> None:
         import public_tokenizers
@@ -142,50 +152,105 @@ class WordTokenizer:
 
         self.inner = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
         self.most = most
-        self._forget()
-
-    def _forget(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.names = np.zeros(0, np.uint64)  # hashes of the pieces, ascending, and the number of each
+        self.number = np.zeros(0, np.int64)
         self.flat = np.zeros(1 << 16, np.uint32)
         self.first = np.zeros(1, np.int64)  # where each piece's ids begin in flat, and the end at last
-
-    def _learn(self, new: list[bytes]) -> None:
-        text = [p.decode() for p in new]
-        # one call for many pieces: white space ends a piece's ids, and offsets tell which piece an id is of
-        places = np.cumsum([0, *(len(p) + 1 for p in text)])
-        got = self.inner.encode(" ".join(text), add_special_tokens=False)
-        flat = np.array(got.ids, np.uint32)
-        of = np.searchsorted(places, np.fromiter((a for a, _ in got.offsets), np.int64, len(flat)), "right") - 1
-        counts = np.bincount(of, minlength=len(text))
-        ends = self.first[-1] + np.cumsum(counts)
-        if ends[-1] > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), int(ends[-1]) - len(self.flat)), np.uint32)])
-        self.flat[self.first[-1] : ends[-1]] = flat
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-        self.first = np.concatenate([self.first, ends])
-
-    def batch(self, texts: list[bytes], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the UTF-8 texts, one after another, each text followed by id ``end`` if there is one; and where each text begins, and the end."""
-        if len(self.index) > self.most:
-            self._forget()
-        pieces = [t.split() for t in texts]
-        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        words = [p for own in pieces for p in own]
-        index = self.index
-        try:
-            found = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            new = list(dict.fromkeys(p for p in words if p not in index))
-            for i in range(0, len(new), 2_000):
-                self._learn(new[i : i + 2_000])
-            found = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-        starts, lengths = self.first[found], self.first[found + 1] - self.first[found]
-        at = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
-        ids = self.flat[np.repeat(starts - at[:-1], lengths) + np.arange(at[-1])]
-        begins = at[np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])]
+        self.met = np.zeros(0, np.int32)
+        words = self.inner.get_vocab()
+        self.ends_word = np.zeros(max(words.values()) + 1, bool)
+        self.ends_word[[i for w, i in words.items() if w.endswith("</w>")]] = True
+
+    def _shrink(self) -> None:
+        keep = self.met > 1
+        keep &= keep.sum() <= self.most // 2
+        number = np.cumsum(keep) - 1
+        lengths = np.diff(self.first)
+        flat = self.flat[: self.first[-1]][np.repeat(keep, lengths)]
+        stays = keep[self.number]
+        self.names, self.number = self.names[stays], number[self.number[stays]]
+        self.flat, self.first, self.met = flat, np.concatenate([[0], np.cumsum(lengths[keep])]), np.ones(int(keep.sum()), np.int32)
+
+    def _counts(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces, one after another, and how many each has."""
+        joined = b" ".join(pieces)
+        text = joined.decode()
+        raw = np.frombuffer(joined, np.uint8)
+        begins = np.cumsum([0, *(len(p) + 1 for p in pieces)])[:-1]
+        wide = np.flatnonzero(raw >= 0x80)
+        heads = wide[raw[wide] >= 0xC0]
+        plain = 39 not in raw and (raw[heads] == 0xC3).all() and not np.isin(raw[heads + 1], (0x97, 0xB7)).any() and b"<|" not in joined
+        if plain:
+            # words by the tokenizer's own pattern: runs of letters, single digits, runs of others; each ends in one </w> id
+            got = self.inner.encode_batch_fast([text], add_special_tokens=False)[0]
+            ids = np.array(got.ids, np.int64)
+            kind, space = _LETTER[raw], raw == 32
+            new = np.ones(len(raw), bool)
+            new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2) | space[:-1]
+            words = np.add.reduceat((new & ~space).astype(np.int64), begins)
+            last = np.flatnonzero(self.ends_word[ids])
+            if len(last) == words.sum():
+                return ids.astype(np.uint32), np.diff(np.concatenate([[0], last[np.cumsum(words) - 1] + 1]))
+        got = self.inner.encode(text, add_special_tokens=False)
+        places = np.cumsum([0, *(len(p.decode()) + 1 for p in pieces)])
+        of = np.searchsorted(places, np.fromiter((a for a, _ in got.offsets), np.int64, len(got.ids)), "right") - 1
+        return np.array(got.ids, np.uint32), np.bincount(of, minlength=len(pieces))
+
+    def _learn(self, pieces: list[bytes]) -> np.ndarray:
+        """The numbers that the pieces get."""
+        # pieces that the quick count can't take are kept apart, so that few calls need offsets
+        odd = [_ODD.search(p) is not None for p in pieces]
+        numbers = np.empty(len(pieces), np.int64)
+        for flag in (False, True):
+            at = [i for i, o in enumerate(odd) if o == flag]
+            for k in range(0, len(at), 2000):
+                part = at[k : k + 2000]
+                ids, counts = self._counts([pieces[i] for i in part])
+                ends = self.first[-1] + np.cumsum(counts)
+                if ends[-1] > len(self.flat):
+                    self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), int(ends[-1]) - len(self.flat)), np.uint32)])
+                self.flat[self.first[-1] : ends[-1]] = ids
+                numbers[part] = np.arange(len(part)) + len(self.first) - 1
+                self.first = np.concatenate([self.first, ends])
+        self.met = np.concatenate([self.met, np.zeros(len(self.first) - 1 - len(self.met), np.int32)])
+        return numbers
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the rows of a chunk, one after another, each row followed by id ``end`` if there is one; and where each row begins, and the end."""
+        if len(self.names) > self.most:
+            self._shrink()
+        starts, ends, at = word_spans(data, offsets)
+        hashes = span_hashes(data, starts, ends)
+        order = np.argsort(hashes)
+        ranked = hashes[order]
+        new = np.ones(len(order), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        one = order[new]  # a place of each distinct piece
+        names = ranked[new]
+        place = np.searchsorted(self.names, names)
+        known = np.append(self.names, 0)[place] == names
+        known &= place < len(self.names)
+        missing = np.flatnonzero(~known)
+        if len(missing):
+            raw = data.tobytes()
+            a, b = starts[one[missing]].tolist(), ends[one[missing]].tolist()
+            numbers = self._learn([raw[x:y] for x, y in zip(a, b, strict=True)])
+            self.names, self.number = (np.insert(x, place[missing], y) for x, y in ((self.names, names[missing]), (self.number, numbers)))
+            place = np.searchsorted(self.names, names)
+        found = self.number[place]
+        self.met[found] += 1
+        piece = np.empty(len(order), np.int64)
+        piece[order] = found[np.cumsum(new) - 1]
+        begin, lengths = self.first[piece], self.first[piece + 1] - self.first[piece]
+        places = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
+        begins = places[at]
+        ids = self.flat[np.repeat(begin - places[:-1], lengths) + np.arange(places[-1])]
         if end is None:
             return ids, begins
-        return np.insert(ids, begins[1:], np.uint32(end)), begins + np.arange(len(begins))
+        closed = np.full(len(ids) + len(offsets) - 1, end, np.uint32)
+        for r, (x, y) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)):
+            closed[x + r : y + r] = ids[x:y]
+        return closed, begins + np.arange(len(begins))
 
 
 _TOKENIZERS: dict[str | None, WordTokenizer] = {}
@@ -198,11 +263,6 @@ def word_tokenizer(path: str | None = None) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
-def text_bytes(column: pa.Array) -> list[bytes]:
-    """The UTF-8 bytes of each row; null is empty."""
-    return [x or b"" for x in column.cast(pa.large_string()).cast(pa.large_binary()).to_pylist()]
-
-
 # --- connected components --------------------------------------------------------------------------------------
 
 

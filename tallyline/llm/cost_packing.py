@@ -21,12 +21,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import small_batches, text_bytes, text_only, word_tokenizer
+from .common import small_batches, text_chunks, text_only, word_tokenizer
 
 CAPACITY = 4096
 GROUP_TOKENS = 1 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-TEXTS = 250
 
 
 def cost(n: float) -> float:
@@ -86,8 +85,8 @@ def _packed(path: str | None, end: int, capacity: int, group: int):  # noqa: ANN
 
         for batch in batches:
             ids_of, column = batch.column("doc_id").to_pylist(), batch.column("text")
-            for at in range(0, batch.num_rows, TEXTS):
-                ids, begins = tokenizer.batch(text_bytes(column.slice(at, TEXTS)), end)
+            for at, data, offsets in text_chunks(column):
+                ids, begins = tokenizer.encode(data, offsets, end)
                 for i, (a, b) in enumerate(zip(begins[:-1], begins[1:], strict=True)):
                     held.append(ids[a:b])
                     names.append(ids_of[at + i])
