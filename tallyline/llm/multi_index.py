@@ -147,7 +147,7 @@ def _rerank(k: int):  # noqa: ANN202
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = 0.42, least: int = 2000, sample: int = 20_000, books: int | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = 0.5, least: int = 2000, sample: int = 20_000, books: int | None = None) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest found of each query row (vec_id, embedding), nearest first."""
     spark = vectors.sparkSession
     sc = spark.sparkContext
