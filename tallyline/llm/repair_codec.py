@@ -26,15 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_bytes, text_only, word_tokenizer, written
+from .common import small_batches, text_chunks, text_only, word_tokenizer, written
 
 MAGIC = b"RPG1"
 FIRST_NONTERMINAL = 1 << 17
 SHARD_IDS = 1 << 18
-ROUNDS, LEAST = 10, 6
+TOKENIZE_BYTES = 1 << 21
+ROUNDS, LEAST = 6, 6
+SLOT_BITS = 15
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Documents of a range partition, and the most partitions (the bound of what is gathered about them).
 PART_ROWS, PARTS_MOST = 3000, 20_000
-TEXTS = 250
 
 
 def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
@@ -46,45 +48,46 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple
         if len(s) < 2 * least:
             break
         key = s[:-1].astype(np.uint64) << np.uint64(32) | s[1:]
-        order = np.argsort(key)
-        ranked = key[order]
+        ranked = np.sort(key)
         edge = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         counts = np.diff(np.append(edge, len(ranked)))
         chosen = np.flatnonzero(counts >= max(least, int(counts.max()) // 64))
         if counts.max() < least or not len(chosen):
             break
-        # ranks: the most frequent pair has the highest, equal counts by the pair itself
-        rank = np.zeros(len(chosen), np.int32)
-        rank[np.lexsort((ranked[edge[chosen]], counts[chosen]))] = np.arange(1, len(chosen) + 1)
-        which = np.zeros(len(key), np.int32)  # chosen pair at each place, by its rank
-        for_run = np.zeros(len(counts), np.int32)
-        for_run[chosen] = rank
-        which[order] = np.repeat(for_run, counts)
-        taken = np.zeros(len(key), bool)
+        # the most frequent pair has the highest rank; equal counts by a hash, so that along a text ranks don't just rise or fall
+        pairs = ranked[edge[chosen]]
+        pairs = pairs[np.lexsort((pairs * _SPREAD, counts[chosen]))]
+        # each place's pair is looked up in a table of slots; a pair that loses its slot to a more frequent one waits for a later round
+        table_pair, table_rank = np.full(1 << SLOT_BITS, ~np.uint64(0)), np.zeros(1 << SLOT_BITS, np.int32)
+        slots = (pairs * _SPREAD) >> np.uint64(64 - SLOT_BITS)
+        table_pair[slots], table_rank[slots] = pairs, np.arange(1, len(pairs) + 1)
+        slots = (key * _SPREAD) >> np.uint64(64 - SLOT_BITS)
+        which = np.where(table_pair[slots] == key, table_rank[slots], 0)
+        left = which
+        taken = []
         for _ in range(2):  # an occurrence goes before its neighbours if its pair is more frequent (or it is the first of equals)
-            left, right = np.zeros_like(which), np.zeros_like(which)
-            left[1:], right[:-1] = which[:-1], which[1:]
-            now = (which > left) & (which >= right) & (which > 0)
-            taken |= now
+            now = left > 0
+            now[1:] &= left[1:] > left[:-1]
+            now[:-1] &= left[:-1] >= left[1:]
             at = np.flatnonzero(now)
-            which[at] = 0
-            which[np.maximum(at - 1, 0)] = 0
-            which[np.minimum(at + 1, len(which) - 1)] = 0
-        at = np.flatnonzero(taken)
-        pairs, index, uses = np.unique(key[at], return_inverse=True, return_counts=True)
-        good = uses >= 3  # a rule costs three numbers and saves one at each use
+            taken.append(at)
+            left = left.copy()
+            for near in (at, np.maximum(at - 1, 0), np.minimum(at + 1, len(left) - 1)):
+                left[near] = 0
+        at = np.sort(np.concatenate(taken))
+        rank = which[at]
+        good = np.bincount(rank, minlength=len(pairs) + 1) >= 3  # a rule costs three numbers and saves one at each use
         number = np.cumsum(good) - 1
-        at, index = at[good[index]], index[good[index]]
+        at = at[good[rank]]
         if not len(at):
             break
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
-        s = s.copy()
-        s[at] = (FIRST_NONTERMINAL + made + number[index]).astype(np.uint32)
+        s[at] = (FIRST_NONTERMINAL + made + number[which[at]]).astype(np.uint32)
         s = s[keep]
-        pairs = pairs[good]
-        rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
-        made += len(pairs)
+        own = pairs[np.flatnonzero(good) - 1]
+        rules.append(np.stack([own >> np.uint64(32), own & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
+        made += len(own)
     return s, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
@@ -148,17 +151,26 @@ class Shard:
         return np.where(side >= 0, self.sizes[np.maximum(side, 0)].astype(np.int64), 1)
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        s = symbols
-        while True:
-            inner = s >= FIRST_NONTERMINAL
-            if not inner.any():
-                return s
-            out = np.repeat(s, np.where(inner, 2, 1))
+        """The ids that the symbols stand for: every rule's expansion is laid out once, and gathered from there."""
+        if not len(self.rules):
+            return symbols
+        flat = np.arange(len(self.rules), dtype=np.uint32) + np.uint32(FIRST_NONTERMINAL)
+        while (inner := flat >= FIRST_NONTERMINAL).any():
+            out = np.repeat(flat, np.where(inner, 2, 1))
             at = np.flatnonzero(inner)
             at = at + np.arange(len(at))
-            pair = self.rules[s[inner] - FIRST_NONTERMINAL]
+            pair = self.rules[flat[inner] - FIRST_NONTERMINAL]
             out[at], out[at + 1] = pair[:, 0], pair[:, 1]
-            s = out
+            flat = out
+        ends = np.cumsum(self.sizes, dtype=np.int64)
+        # plain ids are looked up behind the expansions, where they stand for themselves
+        plain, of = np.unique(symbols, return_inverse=True) if len(symbols) < 64 else (np.arange(FIRST_NONTERMINAL, dtype=np.uint32), symbols)
+        rule = symbols >= FIRST_NONTERMINAL
+        side = symbols[rule].astype(np.int64) - FIRST_NONTERMINAL
+        begin, sizes = len(flat) + of.astype(np.int64), np.ones(len(symbols), np.int64)
+        begin[rule], sizes[rule] = (ends - self.sizes)[side], self.sizes[side]
+        places = np.cumsum(sizes) - sizes
+        return np.concatenate([flat, plain])[np.repeat(begin - places, sizes) + np.arange(int(sizes.sum()))]
 
     def ids(self, start: int = 0, stop: int | None = None) -> np.ndarray:
         """The ids [start, stop) of the shard; only the symbols that cover them are expanded."""
@@ -177,7 +189,7 @@ class Shard:
         return self.ids(at, at + int(self.lengths[i]))
 
 
-_FILE = pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_symbols", pa.int64()), ("n_rules", pa.int64()), ("data", pa.binary())])
+_FILE = pa.schema([("shard", pa.int64()), ("before", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_symbols", pa.int64()), ("n_rules", pa.int64()), ("data", pa.binary())])
 
 
 def _encode(path: str | None, end: int, shard_ids: int):  # noqa: ANN202
@@ -186,16 +198,16 @@ def _encode(path: str | None, end: int, shard_ids: int):  # noqa: ANN202
         names: list[int | None] = []
         held: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
-        total = number = 0
+        total = number = before = 0
 
         def flush() -> pa.RecordBatch:
             shard = Shard.of(names, np.concatenate(lengths), np.concatenate(held))
-            return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((number, len(names), total, len(shard.symbols), len(shard.rules), shard.to_bytes()), _FILE, strict=True)], schema=_FILE)
+            return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((number, before, len(names), total, len(shard.symbols), len(shard.rules), shard.to_bytes()), _FILE, strict=True)], schema=_FILE)
 
         for batch in batches:
             own, column = batch.column("doc_id").to_pylist(), batch.column("text")
-            for at in range(0, batch.num_rows, TEXTS):
-                ids, begins = tokenizer.batch(text_bytes(column.slice(at, TEXTS)), end)
+            for at, data, offsets in text_chunks(column, TOKENIZE_BYTES):
+                ids, begins = tokenizer.encode(data, offsets, end)
                 first = 0
                 while first < len(begins) - 1:
                     # the documents that still go into this shard: at least one, until it has its number of ids
@@ -208,6 +220,7 @@ def _encode(path: str | None, end: int, shard_ids: int):  # noqa: ANN202
                     first = last
                     if total >= shard_ids:
                         yield flush()
+                        before += total
                         names, held, lengths, total, number = [], [], [], 0, number + 1
         if names:
             yield flush()
@@ -216,11 +229,11 @@ def _encode(path: str | None, end: int, shard_ids: int):  # noqa: ANN202
 
 
 def encoded(docs: DataFrame, tokenizer: str | None = None, end: int = 1, shard_ids: int = SHARD_IDS) -> DataFrame:
-    """The file's rows: part, shard (both ascend with doc_id), n_docs, n_ids, n_symbols, n_rules, data (the shard's bytes)."""
+    """The file's rows: part, shard (both ascend with doc_id), before (the part's ids in earlier shards), n_docs, n_ids, n_symbols, n_rules, data (the shard's bytes)."""
     small_batches(docs.sparkSession)
     parts = min(PARTS_MOST, max(1, math.ceil(docs.select("doc_id").count() / PART_ROWS)))
     ordered = text_only(docs).repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    shards = ordered.mapInArrow(_encode(tokenizer, end, shard_ids), "shard long, n_docs long, n_ids long, n_symbols long, n_rules long, data binary")
+    shards = ordered.mapInArrow(_encode(tokenizer, end, shard_ids), "shard long, before long, n_docs long, n_ids long, n_symbols long, n_rules long, data binary")
     return shards.select(F.spark_partition_id().cast("long").alias("part"), "*")
 
 
@@ -241,10 +254,9 @@ def decoded(files: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of every document, from the file's rows alone."""
     small_batches(files.sparkSession)
     sizes = files.groupBy("part").agg(F.sum("n_ids").alias("ids"))  # one row per part, PARTS_MOST at most
-    before = sizes.select("part", F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    own = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    heads = files.select("part", "shard", F.coalesce(F.sum("n_ids").over(own), F.lit(0)).alias("own")).join(before, "part").select("part", "shard", (F.col("base") + F.col("own")).alias("start"))
-    return files.select("part", "shard", "data").join(heads, ["part", "shard"]).select("start", "data").mapInArrow(_decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    bases = sizes.select("part", F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    placed = files.join(F.broadcast(bases), "part").select((F.col("base") + F.col("before")).alias("start"), "data")
+    return placed.mapInArrow(_decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None, end: int = 1) -> DataFrame:
