@@ -211,13 +211,13 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _links(pairs.join(side("a"), "a").join(side("b"), "b"), percent)
 
 
-def list_pairs(fp: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, side: np.ndarray, sketch: np.ndarray, percent: int, block: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (indexes) of one list that may link and whose answers aren't known: other class, size, position and bitmap allow it.
+def list_pairs(fp: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, side: np.ndarray, sketch: np.ndarray, percent: int, block: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (indexes, and the bits they differ in at least) of one list that may link and whose answers aren't known: other class, size, position and bitmap allow it.
 
     ``side``: 2 meets all, 0 and 1 meet each other only (a pair of blocks of a longer list). Blocks are skipped whole."""
     order = np.lexsort((pos, n))
     fp, n, pos, comp, side, sketch = fp[order], n[order], pos[order], comp[order], side[order], sketch[order]
-    left, right = [], []
+    left, right, bits = [], [], []
     edges = np.arange(0, len(n), block)
     least_pos = np.minimum.reduceat(pos, edges)
     rest_most = np.maximum.reduceat(n - pos, edges)
@@ -243,50 +243,74 @@ def list_pairs(fp: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray,
             keep = apart <= n[x] + n[y] - 2 * need
             left.append(order[x[keep]])
             right.append(order[y[keep]])
+            bits.append(apart[keep])
     none = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+    return (np.concatenate(left), np.concatenate(right), np.concatenate(bits)) if left else (none, none, none)
 
 
-def _candidates(percent: int):  # noqa: ANN202
-    """Pairs of sets from the lists of a sorted partition."""
-    shape = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _candidates(percent: int, nearest: bool):  # noqa: ANN202
+    """(token, a, b, more) from the lists of a sorted partition: pairs of sets that may link.
+
+    ``nearest``: of the pairs that one list has between two classes only the one that differs in the fewest bits, and how
+    many more there were; if it links, the others' answers are known."""
+    shape = pa.schema([("token", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("more", pa.int64())])
     keys = ("token", "lo", "hi")
+    ends = ("i", "j", "apart")
 
     def columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         got = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in (*keys, "fp", "n", "pos", "comp", "side")}
         return got | {"sketch": np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(batch.num_rows, -1)}
 
-    def short(x: dict[str, np.ndarray], run: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    def short(x: dict[str, np.ndarray], run: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        """Lists of a few sets, all at once: each row with the s-th after it."""
         out = []
-        for s in range(1, most):
-            i = np.flatnonzero(run[s:] == run[:-s])
+        s = 0
+        while len(at) > (s := s + 1):
+            i = np.flatnonzero(run[at[s:]] == run[at[:-s]])
             if not len(i):
                 break
-            j = i + s
+            i, j = at[i], at[i + s]
             n, m = x["n"][i].astype(np.int64), x["n"][j].astype(np.int64)
             need = least_overlap(n, m, percent)
             keep = (x["comp"][i] != x["comp"][j]) & (np.minimum(n - x["pos"][i], m - x["pos"][j]) >= need) & ((x["side"][i] != x["side"][j]) | (x["side"][i] == 2))
             i, j, room = i[keep], j[keep], (n + m - 2 * need)[keep]
-            keep = np.bitwise_count(x["sketch"][i] ^ x["sketch"][j]).sum(axis=1, dtype=np.int64) <= room
-            out.append((x["fp"][i[keep]], x["fp"][j[keep]]))
+            apart = np.bitwise_count(x["sketch"][i] ^ x["sketch"][j]).sum(axis=1, dtype=np.int64)
+            keep = apart <= room
+            out.append((i[keep], j[keep], apart[keep]))
         return out
 
-    def of(x: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """All pairs of whole lists."""
+    def of(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """The pairs of whole lists."""
         if not len(x["fp"]):
-            return []
+            return
         new = np.concatenate([[True], (x["token"][1:] != x["token"][:-1]) | (x["lo"][1:] != x["lo"][:-1]) | (x["hi"][1:] != x["hi"][:-1])])
         run = np.cumsum(new)
         counts = np.bincount(run)
-        small = counts[run] <= 64
-        out = short({c: v[small] for c, v in x.items()}, run[small], 64)
-        for r in np.flatnonzero(counts > 64):
+        yield from told(x, run, short(x, run, np.flatnonzero(counts[run] <= 64)))
+        for r in np.flatnonzero(counts > 64):  # a long list's pairs are cut down before the next list's are made
             at = np.flatnonzero(run == r)
-            i, j = list_pairs(*(x[c][at] for c in ("fp", "n", "pos", "comp", "side", "sketch")), percent)
-            out.append((x["fp"][at[i]], x["fp"][at[j]]))
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            i, j, apart = list_pairs(*(x[c][at] for c in ("fp", "n", "pos", "comp", "side", "sketch")), percent)
+            yield from told(x, run, [(at[i], at[j], apart)])
+
+    def told(x: dict[str, np.ndarray], run: np.ndarray, found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        p = dict(zip(ends, map(np.concatenate, zip(*found, strict=True)), strict=True)) if found else {}
+        if not p or not len(p["i"]):
+            return
+        a, b = x["fp"][p["i"]], x["fp"][p["j"]]
+        more = np.zeros(len(a), np.int64)
+        if nearest:
+            u, v = x["comp"][p["i"]], x["comp"][p["j"]]
+            u, v = np.minimum(u, v), np.maximum(u, v)
+            order = np.lexsort((b, a, p["apart"], v, u, run[p["i"]]))
+            r, u, v = run[p["i"]][order], u[order], v[order]
+            first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (u[1:] != u[:-1]) | (v[1:] != v[:-1])]))
+            more = np.diff(np.append(first, len(order))) - 1
+            at = order[first]
+            a, b, p = a[at], b[at], {c: y[at] for c, y in p.items()}
+        keep = a != b
+        yield pa.RecordBatch.from_arrays([pa.array(y[keep]) for y in (x["token"][p["i"]], np.minimum(a, b), np.maximum(a, b), more)], schema=shape)
+
+    def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
         for batch in batches:
             if not batch.num_rows:
@@ -296,20 +320,12 @@ def _candidates(percent: int):  # noqa: ANN202
                 x = {c: np.concatenate([held[c], x[c]]) for c in x}
             last = (x["token"] == x["token"][-1]) & (x["lo"] == x["lo"][-1]) & (x["hi"] == x["hi"][-1])
             cut = int(np.argmax(last))  # the last list may go on in the next batch
-            done, held = {c: v[:cut] for c, v in x.items()}, {c: v[cut:] for c, v in x.items()}
-            yield from flush(of(done))
+            yield from of({c: v[:cut] for c, v in x.items()})
+            held = {c: v[cut:] for c, v in x.items()}
         if held is not None:
-            yield from flush(of(held))
+            yield from of(held)
 
-    def flush(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        if found:
-            a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            both = both[both[:, 0] != both[:, 1]]
-            if len(both):
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=shape)
-
-    return run
+    return run_all
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -319,7 +335,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     texts = text_only(docs)
     described = written(texts.mapInArrow(_describe(k), "doc_id long, n long, fp long, bands array<long>, sketch binary, hot array<long>, times array<long>"), "jaccard-sets")
     rows = described.where("fp is not null").select("doc_id", "n", "fp")
-    hot = described.where("hot is not null").select(F.explode(F.arrays_zip("hot", "times")).alias("x")).groupBy(F.col("x.hot").alias("t")).agg(F.sum("x.times").alias("c")).orderBy(F.desc("c"), "t").limit(HOT_MOST).toPandas()
+    hot = described.where("hot is not null").select(F.explode(F.arrays_zip("hot", "times")).alias("x")).groupBy(F.col("x.hot").alias("t")).agg(F.sum("x.times").alias("c")).where("c > 2").orderBy(F.desc("c"), "t").limit(HOT_MOST).toPandas()
     tokens, times = hot["t"].to_numpy(np.int64).view(np.uint64), hot["c"].to_numpy(np.int64)
     order = np.argsort(tokens)
     sets = described.where("fp is not null and n > 0").groupBy("fp").agg(F.min("n").alias("n"), F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
@@ -345,19 +361,40 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     posts = texts.mapInArrow(_postings(k, percent, spark.sparkContext.broadcast((tokens[order], times[order]))), "token long, fp long, n int, pos int")
     by = Window.partitionBy("token")
     met = posts.withColumns({"first": F.min("fp").over(by), "last": F.max("fp").over(by), "many": F.count("*").over(by)}).where("first < last").drop("first", "last")
-    known = sets.select("fp", "sketch").join(classes.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "sketch", F.coalesce("root", "fp").alias("comp"))
-    met = met.join(known, "fp").withColumn("g", F.ceil(F.col("many") / LIST_BLOCK)).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("g")))
-    dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1))).select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "n", "pos", "comp", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "sketch")
-    return _finish(texts, rows, reps, same, dealt, k, percent)
-
-
-def _finish(texts: DataFrame, rows: DataFrame, reps: DataFrame, same: DataFrame, dealt: DataFrame, k: int, percent: int) -> DataFrame:
-    dealt = dealt.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
-    pairs = written(dealt.mapInArrow(_candidates(percent), "a long, b long").distinct(), "jaccard-pairs")
+    dealt = met.join(sets.select("fp", "sketch"), "fp").withColumn("g", F.ceil(F.col("many") / LIST_BLOCK)).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("g")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    dealt = dealt.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "n", "pos", side.alias("side"), "sketch")
+    dealt = written(_with_class(dealt, classes), "jaccard-lists")
     links = same
-    if not pairs.isEmpty():
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        links = links.unionByName(linked(pairs, sets_of(texts, reps, asked, k), percent))
+
+    def checked(lists: DataFrame, nearest: bool) -> tuple[DataFrame, DataFrame]:
+        """The pairs of the lists, and those of them that link."""
+        placed = lists.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
+        pairs = written(placed.mapInArrow(_candidates(percent, nearest), "token long, a long, b long, more long"), "jaccard-pairs")
+        own = pairs.select("a", "b").distinct()
+        asked = own.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        return pairs, written(linked(own, sets_of(texts, reps, asked, k), percent), "jaccard-checked")
+
+    pairs, more = checked(dealt, nearest=True)
+    links = links.unionByName(more)
+    if not pairs.where("more > 0").isEmpty():
+        # lists in which two classes have more pairs, and are still apart: now all of these
+        classes = components(links, "jaccard-classes")
+        left = _with_class(_with_class(pairs.where("more > 0"), classes, "a", "ca"), classes, "b", "cb").where("ca <> cb").select("token").distinct()
+        rest = written(_with_class(dealt.join(left, "token", "left_semi").drop("comp"), classes), "jaccard-rest")
+        if not rest.isEmpty():
+            links = links.unionByName(checked(rest, nearest=False)[1])
+    return _placed(rows, links)
+
+
+def _with_class(df: DataFrame, classes: DataFrame, key: str = "fp", name: str = "comp") -> DataFrame:
+    """``df`` with the class of its set (itself, if it has no links)."""
+    own = classes.select(F.col("node").alias(key), F.col("root").alias("_root"))
+    return df.join(own, key, "left").withColumn(name, F.coalesce("_root", key)).drop("_root")
+
+
+def _placed(rows: DataFrame, links: DataFrame) -> DataFrame:
     repeated = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("doc_id", "a")
     links = links.unionByName(rows.where("n > 0").join(repeated, "doc_id").select("a", F.col("fp").alias("b")).where("a <> b"))
     roots = components(links, "jaccard-links")
