@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import suite_scoring
+from . import suite_comparison, suite_scoring, suite_sequences
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PARTS = (suite_scoring,)
+_PARTS = (suite_scoring, suite_comparison, suite_sequences)
 
 
 def queries() -> dict[str, Query]:
