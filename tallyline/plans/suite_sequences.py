@@ -28,8 +28,8 @@ def lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lists(spark, sf_dir).where(F.size("hypotheses") > 0).select("sample_id", "reference", "raw", F.transform("hypotheses", lambda h: F.struct(h["text"].alias("text"), h["score"].alias("score"), h["turn"].alias("turn"))).alias("hypotheses"))
-    flat = candidates.exploded(rows.select("sample_id", "reference", "raw", F.col("hypotheses")))
+    rows = lists(spark, sf_dir).where(F.size("hypotheses") > 0)
+    flat = candidates.exploded(rows.select("sample_id", "reference", "raw", F.transform("hypotheses", lambda h: F.struct(h["text"].alias("text"), h["score"].alias("score"))).alias("hypotheses")))
     k, r = _key(F.col("text")), _key(F.col("reference"))
     return flat.withColumns({"key": k, "ref": r}).withColumns({"errors": edit.distance(F.col("key"), F.col("ref")), "characters": F.length("ref").cast("long"), "tokens": F.length("key") / 5 + 1})
 
@@ -136,7 +136,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     e = stand_ins.table(spark, sf_dir, "events")
-    return e.select(F.col("user_id").alias("clip_id"), (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("frame_no"), (F.unix_micros("ts") / 1e6).alias("ts"), "value", "event_type")
+    return e.select(F.col("user_id").alias("clip_id"), (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("frame_no"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), "value", "event_type")
 
 
 def ts01(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +173,7 @@ def flt07(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def str03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = stand_ins.table(spark, sf_dir, "events").withColumn("seconds", F.unix_micros("ts") / 1e6)
+    e = stand_ins.table(spark, sf_dir, "events").withColumn("seconds", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     return timeseries.joined_sessions(e, 86_400).select("event_id", F.col("session").cast("long").alias("session"))
 
 
