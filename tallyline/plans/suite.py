@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import suite_comparison, suite_scoring, suite_sequences
+from . import suite_comparison, suite_scoring, suite_sequences, suite_streaming, suite_text
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PARTS = (suite_scoring, suite_comparison, suite_sequences)
+_PARTS = (suite_scoring, suite_comparison, suite_sequences, suite_text, suite_streaming)
 
 
 def queries() -> dict[str, Query]:
