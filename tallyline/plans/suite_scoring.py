@@ -125,7 +125,7 @@ QUERIES = {
     "agg01_pooled_metrics_by_domain": (grouped("domain"), _metrics_sql("domain")),
     "agg07_metrics_by_speaker": (grouped("speaker"), _metrics_sql("speaker")),
     "agg02_sessions_per_speaker": (agg02, WITH + "SELECT count(*) AS speakers, min(n) AS min_sessions FROM (SELECT speaker, count(DISTINCT session) AS n FROM samples GROUP BY speaker)"),
-    "agg04_nearest_rank_p95": (agg04, WITH + ", o AS (SELECT speaker, processing_seconds, row_number() OVER (PARTITION BY speaker ORDER BY processing_seconds) - 1 AS i, count(*) OVER (PARTITION BY speaker) AS n FROM rated WHERE processing_seconds IS NOT NULL) SELECT speaker, round(processing_seconds, 6) AS value FROM o WHERE i = least(n - 1, round_even(0.95 * (n - 1), 0))"),
+    "agg04_nearest_rank_p95": (agg04, WITH + ", o AS (SELECT speaker, processing_seconds, row_number() OVER (PARTITION BY speaker ORDER BY processing_seconds) - 1 AS i, count(*) OVER (PARTITION BY speaker) AS n FROM rated WHERE processing_seconds IS NOT NULL) SELECT speaker, round(processing_seconds, 6) AS value FROM o WHERE i = least(n - 1, CASE WHEN 0.95 * (n - 1) % 1 = 0.5 THEN 2 * round(0.95 * (n - 1) / 2) ELSE round(0.95 * (n - 1)) END)"),
     "agg05_pair_metrics_by_speaker": (agg05, WITH + "SELECT speaker, count(*) AS samples, CAST(sum(characters) AS BIGINT) AS characters, CAST(sum(errors) AS BIGINT) AS errors, round(sum(errors) / nullif(sum(characters), 0), 6) AS cer, count(*) FILTER (exact) AS exact, count(*) FILTER (hyp_key = '') AS empty, count(error) AS failures, round(count(*) FILTER (hyp_key <> '' AND error IS NULL) / count(*), 6) AS coverage FROM rated GROUP BY speaker"),
     "agg10_grouping_sets": (agg10, WITH + ", b AS (SELECT *, CASE WHEN characters <= 20 THEN '1-20' WHEN characters <= 40 THEN '21-40' WHEN characters <= 60 THEN '41-60' ELSE '61+' END AS bucket FROM rated) SELECT speaker, bucket, domain, count(*) AS samples, CAST(sum(errors) AS BIGINT) AS errors, round(sum(errors) / nullif(sum(characters), 0), 6) AS cer FROM b GROUP BY GROUPING SETS ((speaker), (bucket), (domain))"),
     "agg17_fixed_duration_bins": (agg17, WITH + ", b AS (SELECT *, CASE WHEN duration_seconds IS NULL OR duration_seconds <= 0 THEN 'unknown' WHEN duration_seconds <= 2 THEN '(0,2]' WHEN duration_seconds <= 4 THEN '(2,4]' WHEN duration_seconds <= 8 THEN '(4,8]' WHEN duration_seconds <= 16 THEN '(8,16]' ELSE '(16,+inf)' END AS bucket FROM rated) SELECT v.bucket, count(b.sample_id) AS samples, CAST(coalesce(sum(errors), 0) AS BIGINT) AS errors FROM (VALUES ('(0,2]'), ('(2,4]'), ('(4,8]'), ('(8,16]'), ('(16,+inf)'), ('unknown')) v(bucket) LEFT JOIN b ON b.bucket = v.bucket GROUP BY v.bucket"),

@@ -149,7 +149,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arr01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = pixels.stabilised(frames(spark, sf_dir), pixels.Stabilisation())
+    got = pixels.stabilised(frames(spark, sf_dir), pixels.Stabilisation(strength=0.37))
     total = F.aggregate("pixels", F.lit(0), lambda a, p: a + p)
     return got.select("clip_id", "frame_no", total.cast("long").alias("total"), "usable", _cut("gain"), _cut("offset"))
 
@@ -210,7 +210,7 @@ QUERIES["arr01_stabilised_frames"] = (arr01, _GREY + """, p AS (SELECT clip_id,
 q AS (SELECT clip_id, frame_no, quantile_cont(CAST(p AS DOUBLE), 0.5) AS b, quantile_cont(CAST(p AS DOUBLE), 0.9) - quantile_cont(CAST(p AS DOUBLE), 0.1) AS c, avg(CAST(p IN (0, 255) AS INT)) AS x FROM p GROUP BY 1, 2),
 u AS (SELECT *, b BETWEEN 20 AND 235 AND c >= 8 AND x <= 0.2 AS usable FROM q),
 t AS (SELECT clip_id, quantile_cont(b, 0.5) AS tb, quantile_cont(c, 0.5) AS tc FROM u WHERE usable GROUP BY 1),
-g AS (SELECT u.*, tb, CASE WHEN usable THEN 1 + 0.5 * (greatest(1 / 1.5, least(1.5, tc / c)) - 1) ELSE 1.0 END AS gain FROM u LEFT JOIN t USING (clip_id)),
-o AS (SELECT *, CASE WHEN usable THEN 0.5 * greatest(-24.0, least(24.0, tb - gain * b)) ELSE 0.0 END AS "offset" FROM g)
-SELECT o.clip_id, o.frame_no, CAST(sum(CASE WHEN usable THEN greatest(0, least(255, CAST(round_even(p * gain + "offset", 0) AS INT))) ELSE p END) AS BIGINT) AS total, usable, floor(gain * 1e6 + 0.25) / 1e6 AS gain, floor("offset" * 1e6 + 0.25) / 1e6 AS "offset"
+g AS (SELECT u.*, tb, CASE WHEN usable THEN 1 + 0.37 * (greatest(1 / 1.5, least(1.5, tc / c)) - 1) ELSE 1.0 END AS gain FROM u LEFT JOIN t USING (clip_id)),
+o AS (SELECT *, CASE WHEN usable THEN 0.37 * greatest(-24.0, least(24.0, tb - gain * b)) ELSE 0.0 END AS "offset" FROM g)
+SELECT o.clip_id, o.frame_no, CAST(sum(CASE WHEN usable THEN greatest(0, least(255, CAST(CASE WHEN p * gain + "offset" - floor(p * gain + "offset") = 0.5 THEN 2 * round((p * gain + "offset") / 2) ELSE round(p * gain + "offset") END AS INT))) ELSE p END) AS BIGINT) AS total, usable, floor(gain * 1e6 + 0.25) / 1e6 AS gain, floor("offset" * 1e6 + 0.25) / 1e6 AS "offset"
 FROM o JOIN p ON o.clip_id = p.clip_id AND o.frame_no = p.frame_no GROUP BY ALL""")

@@ -60,7 +60,7 @@ def seconds(stamp) -> F.Column:  # noqa: ANN001
 
 def cues(spark: SparkSession, path: str) -> DataFrame:
     """(file, cue, start, end, text) of subtitle files."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r", "").alias("v"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r", "").alias("v"))
     block = raw.select("file", F.posexplode(F.split("v", r"\n[ \t]*\n+")).alias("cue", "b")).withColumn("times", F.regexp_extract("b", r"(\d+:\d+:\d+[,.]\d+ *--> *\d+:\d+:\d+[,.]\d+)", 1)).where("times <> ''")
     ends = F.split("times", " *--> *")
     text = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("b", r"(?s)-->[^\n]*\n(.*)", 1), "<[^>]*>", ""), r"\s+", " "))
