@@ -15,8 +15,8 @@ from tallyline.llm.common import table, written
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is among ``ids``."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """The rows of ``docs`` whose doc_id is among ``ids``; ids grow with the documents, so they are shuffled at any size, never broadcast."""
+    return docs.join(ids.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes."""
-    copies = cube_mixing.mixed(docs).where("copies > 0").select("doc_id", F.col("copies").cast("int").alias("_copies"))
+    copies = cube_mixing.mixed(docs).where("copies > 0").select("doc_id", F.col("copies").cast("int").alias("_copies")).hint("shuffle_hash")
     taken = docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return taken.select(*docs.columns)
 
