@@ -285,7 +285,7 @@ def personal_data(docs: DataFrame, sample: int = 1500, steps: int = 400) -> Data
 
 def masked(docs: DataFrame, found: DataFrame, mark: str = "[{}]") -> DataFrame:
     """``docs`` with every span's characters replaced by its kind's mark; doc_id names the rows."""
-    spans = found.where("spans <> ''").groupBy("doc_id").agg(F.max("spans").alias("pii_spans"))
+    spans = found.where("spans <> ''").groupBy("doc_id").agg(F.max("spans").alias("pii_spans")).hint("shuffle_hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
