@@ -4,20 +4,17 @@ Their output goes to a folder of its own beside the checkpoints (spark.checkpoin
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_folder
 from ..streaming import live
 
 _EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyline-")
-    return f"{root.rstrip('/')}/tallyline/stream-{uuid.uuid4().hex}"
+    return new_folder(spark, "stream")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
