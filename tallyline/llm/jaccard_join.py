@@ -398,7 +398,8 @@ def _placed(rows: DataFrame, links: DataFrame) -> DataFrame:
     repeated = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("doc_id", "a")
     links = links.unionByName(rows.where("n > 0").join(repeated, "doc_id").select("a", F.col("fp").alias("b")).where("a <> b"))
     roots = components(links, "jaccard-links")
-    placed = rows.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("class", F.coalesce("root", "fp"))
-    least = placed.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
+    placed = written(rows.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("class", F.coalesce("root", "fp")), "jaccard-placed")
+    # written, so that the join below is one of two plain shuffles, whose hot classes Spark can split
+    least = written(placed.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least")), "jaccard-least")
     alone = placed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "fp")
     return placed.where("n > 0").join(least, "class").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), "fp").unionByName(alone)
