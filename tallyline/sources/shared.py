@@ -20,12 +20,21 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_ROOTS: dict[tuple[str, str], str] = {}
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder of our own below the shared one; it goes when the driver ends."""
-    path = f"{shared_dir(spark)}/tallyline/{name}-{uuid.uuid4().hex}"
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(there)
-    return path
+    """A path of our own (nothing is there yet) below the shared folder; all of them go when the driver ends."""
+    shared = shared_dir(spark)
+    key = (spark.sparkContext.applicationId, shared)
+    if key not in _ROOTS:
+        root = f"{shared}/tallyline-{uuid.uuid4().hex}"
+        there = spark._jvm.org.apache.hadoop.fs.Path(root)
+        files = there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        files.mkdirs(there)
+        files.deleteOnExit(there)
+        _ROOTS[key] = root
+    return f"{_ROOTS[key]}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
