@@ -48,7 +48,7 @@ def similar(queries: DataFrame, phrases: DataFrame, most: int = 3, least: float
     df = own.groupBy("token").agg(F.count("*").alias("df"))
     idf = own.join(df.select("token", F.log(F.lit(float(max(n, 1))) / F.col("df")).alias("idf")), "token")
     asked = tokens(queries, "q", "text").select("q", "token").distinct()
-    scores = asked.join(idf, "token").groupBy("q", "i").agg(F.sum("idf").alias("score")).where(F.col("score") > least)
+    scores = asked.join(idf, "token").groupBy("q", "i").agg(F.round(F.sum("idf"), 9).alias("score")).where(F.col("score") > least)
     return scores.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.desc("i")))).where(F.col("place") <= most)
 
 

@@ -9,7 +9,7 @@ from ..functions import edit
 from ..operators import evidence, reranking, sampling, scoring, timeseries, validation
 from . import stand_ins
 from .stand_ins import table
-from .suite_comparison import pairs
+from .suite_comparison import _B, pairs
 from .suite_scoring import WITH, _rounded, rated
 from .suite_text import _TURNS, _WORDS, turns
 
@@ -214,7 +214,7 @@ QUERIES = {
     "agg19_audit_counters": (agg19, WITH + "SELECT split, count(*) AS rows, count(*) FILTER (coalesce(trim(reference), '') = '') AS reference_is_blank, count(*) FILTER (speaker = '') AS speaker_is_blank, count(*) FILTER (domain NOT IN ('mouth_roi', 'full_face', 'webcam')) AS domain_is_unknown, count(*) FILTER (split NOT IN ('train', 'dev', 'test')) AS split_is_unknown, count(*) FILTER (NOT duration_seconds > 0) AS duration_is_not_positive, count(*) FILTER (domain = 'full_face' AND duration_seconds > 30) AS full_face_needs_short_clip, count(*) FILTER (NOT regexp_full_match(sha256, '[0-9a-f]{64}')) AS digest_is_not_sha256 FROM samples GROUP BY split"),
     "agg21_suggested_names": (agg21, None),
     "agg31_perplexity": (agg31, "SELECT lang, round(exp(sum(length(text) / 1000.0) / greatest(sum(len(string_split(text, ' '))), 1)), 6) AS perplexity FROM documents GROUP BY lang"),
-    "agg35_pooled_gaps": (agg35, None),
+    "agg35_pooled_gaps": (agg35, WITH + _B + "SELECT split, round(avg(abs(a_errors - b_errors)), 6) AS mean_gap, round(sum(abs(a_errors - b_errors)) / nullif(sum(characters), 0), 6) AS pooled_gap FROM pairs GROUP BY split"),
     "agg37_argmin_configuration": (agg37, "WITH s AS (SELECT l_suppkey, round(avg(l_discount), 4) AS c FROM lineitem GROUP BY 1) SELECT l_suppkey AS config FROM s ORDER BY c, l_suppkey LIMIT 1"),
     "agg39_several_dates": (agg39, WITH + "SELECT speaker, session, count(DISTINCT substr(sha256, 1, 1)) AS dates FROM samples GROUP BY 1, 2 HAVING count(DISTINCT substr(sha256, 1, 1)) > 1"),
     "agg40_token_accuracy": (agg40, "SELECT user_id, count(*) FILTER (event_id % 2 = 1 AND value > 40) AS right, CAST(sum(event_id % 2) AS BIGINT) AS counted, round(count(*) FILTER (event_id % 2 = 1 AND value > 40) / nullif(sum(event_id % 2), 0), 6) AS accuracy FROM events GROUP BY 1"),

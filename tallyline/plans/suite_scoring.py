@@ -130,7 +130,7 @@ QUERIES = {
     "agg10_grouping_sets": (agg10, WITH + ", b AS (SELECT *, CASE WHEN characters <= 20 THEN '1-20' WHEN characters <= 40 THEN '21-40' WHEN characters <= 60 THEN '41-60' ELSE '61+' END AS bucket FROM rated) SELECT speaker, bucket, domain, count(*) AS samples, CAST(sum(errors) AS BIGINT) AS errors, round(sum(errors) / nullif(sum(characters), 0), 6) AS cer FROM b GROUP BY GROUPING SETS ((speaker), (bucket), (domain))"),
     "agg17_fixed_duration_bins": (agg17, WITH + ", b AS (SELECT *, CASE WHEN duration_seconds IS NULL OR duration_seconds <= 0 THEN 'unknown' WHEN duration_seconds <= 2 THEN '(0,2]' WHEN duration_seconds <= 4 THEN '(2,4]' WHEN duration_seconds <= 8 THEN '(4,8]' WHEN duration_seconds <= 16 THEN '(8,16]' ELSE '(16,+inf)' END AS bucket FROM rated) SELECT v.bucket, count(b.sample_id) AS samples, CAST(coalesce(sum(errors), 0) AS BIGINT) AS errors FROM (VALUES ('(0,2]'), ('(2,4]'), ('(4,8]'), ('(8,16]'), ('(16,+inf)'), ('unknown')) v(bucket) LEFT JOIN b ON b.bucket = v.bucket GROUP BY v.bucket"),
     "agg24_word_error_rate": (agg24, None),
-    "flt15_gates": (flt15, None),
+    "flt15_gates": (flt15, WITH + ", m AS (SELECT count(*) AS samples, count(DISTINCT speaker) AS speakers, (SELECT min(n) FROM (SELECT count(DISTINCT session) AS n FROM rated GROUP BY speaker)) AS min_sessions, count(*) FILTER (offered) / count(*) AS coverage, sum(errors) / nullif(sum(characters), 0) AS cer, sum(errors) FILTER (automatic) / nullif(sum(characters) FILTER (automatic), 0) AS automatic_cer, quantile_cont(CAST(processing_seconds AS DOUBLE), 0.95) AS p95 FROM rated) " + " UNION ALL ".join(f"SELECT '{c}' AS criterion, round(CAST({c} AS DOUBLE), 6) AS observed, CAST({v} AS DOUBLE) AS required, coalesce({c} {o} {v}, false) AS passed FROM m" for c, o, v in (("samples", ">=", 50), ("speakers", ">=", 5), ("min_sessions", ">=", 2), ("coverage", ">=", 0.9), ("cer", "<=", 0.15), ("automatic_cer", "<=", 0.05), ("p95", "<=", 5.0)))),
     "val01_sample_rules": (val_rules, WITH + "SELECT sample_id, 'full_face_needs_short_clip' AS rule FROM samples WHERE domain = 'full_face' AND duration_seconds > 30 UNION ALL SELECT sample_id, 'reference_is_blank' FROM samples WHERE coalesce(trim(reference), '') = '' UNION ALL SELECT sample_id, 'speaker_is_blank' FROM samples WHERE coalesce(trim(speaker), '') = '' UNION ALL SELECT sample_id, 'domain_is_unknown' FROM samples WHERE domain IS NULL OR domain NOT IN ('mouth_roi', 'full_face', 'webcam') UNION ALL SELECT sample_id, 'split_is_unknown' FROM samples WHERE split IS NULL OR split NOT IN ('train', 'dev', 'test') UNION ALL SELECT sample_id, 'duration_is_not_positive' FROM samples WHERE duration_seconds IS NULL OR duration_seconds <= 0 UNION ALL SELECT sample_id, 'digest_is_not_sha256' FROM samples WHERE sha256 IS NULL OR NOT regexp_full_match(sha256, '[0-9a-f]{64}')"),
     "set07_duplicate_keys": (set07, WITH + "SELECT sha256, count(*) AS rows FROM samples GROUP BY sha256 HAVING count(*) > 1"),
 }

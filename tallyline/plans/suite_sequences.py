@@ -14,6 +14,7 @@ from .suite_scoring import _rounded, rated
 
 _KEY = "substr(regexp_replace(lower({0}), '[^a-z0-9]', '', 'g'), 1, 80)"
 _RANKED = "WITH c AS (SELECT conv_id AS sample_id, turn, text, " + _KEY.format("text") + " AS key, first_value(" + _KEY.format("text") + ") OVER (PARTITION BY conv_id ORDER BY turn) AS ref FROM conversations), ranked AS (SELECT sample_id, turn AS rank, text, key, ref, levenshtein(key, ref) AS errors, length(ref) AS characters, length(text) / -10.0 AS score, length(key) / 5 + 1 AS tokens FROM c WHERE turn > 0) "
+_W = "regexp_extract_all(replace(lower({0}), '’', ''''), '[\\x{{4e00}}-\\x{{9fff}}]|[a-z0-9]+(?:''[a-z0-9]+)*')"
 _FRAMES = "WITH f AS (SELECT user_id AS clip_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_no, epoch(ts) AS ts, value, event_type FROM events) "
 
 
@@ -201,8 +202,8 @@ QUERIES = {
     "agg12_unknown_characters": (agg12, "WITH" + stand_ins.SAMPLES_SQL + ", c AS (SELECT sample_id, unnest(string_split(lower(reference), '')) AS character FROM samples) SELECT character, count(*) AS occurrences, count(DISTINCT sample_id) AS rows FROM c WHERE character <> '' AND NOT regexp_matches(character, '^[a-z ]$') GROUP BY character"),
     "agg22_unigrams": (agg22, "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(replace(lower(text), '’', ''''), '[\\x{4e00}-\\x{9fff}]|[a-z0-9]+(?:''[a-z0-9]+)*')) AS token FROM documents) SELECT token, count(*) AS n, count(DISTINCT doc_id) AS documents FROM t GROUP BY token"),
     "agg22_bigrams": (agg22b, "WITH w AS (SELECT list_concat(['<s>'], regexp_extract_all(replace(lower(text), '’', ''''), '[\\x{4e00}-\\x{9fff}]|[a-z0-9]+(?:''[a-z0-9]+)*')) AS w FROM conversations), p AS (SELECT unnest(list_zip(w[1:-2], w[2:])) AS p FROM w) SELECT p[1] AS a, p[2] AS b, count(*) AS n FROM p GROUP BY 1, 2"),
-    "sc40_bigram_scores": (sc40, None),
-    "jn18_similar_phrases": (jn18, None),
+    "sc40_bigram_scores": (sc40, "WITH w AS (SELECT conv_id * 1000 + turn AS k, role, list_concat(['<s>'], " + _W.format("text") + ") AS w FROM conversations), z AS (SELECT k, role, unnest(list_zip(w[1:-2], w[2:])) AS p FROM w), p AS (SELECT k, role, p[1] AS a, p[2] AS b FROM z), two AS (SELECT a, b, count(*) AS n FROM p WHERE role = 'user' GROUP BY 1, 2), one AS (SELECT b, sum(n) AS nb FROM two GROUP BY 1), bef AS (SELECT a, sum(n) AS na FROM two GROUP BY 1), tot AS (SELECT sum(nb) AS everything, count(*) AS kinds FROM one) SELECT k, round(avg(ln(0.6 * coalesce(n / na, 0) + 0.4 * (coalesce(nb, 0) + 0.1) / (everything + 0.1 * kinds))), 6) AS score FROM p LEFT JOIN two USING (a, b) LEFT JOIN bef USING (a) LEFT JOIN one USING (b), tot WHERE role = 'assistant' GROUP BY k"),
+    "jn18_similar_phrases": (jn18, "WITH o AS (SELECT DISTINCT item_id AS i, unnest(" + _W.format("text") + ") AS t FROM benchmark), d AS (SELECT t, ln((SELECT count(*) FROM benchmark) / count(*)) AS idf FROM o GROUP BY 1), q AS (SELECT DISTINCT conv_id AS q, unnest(" + _W.format("substr(text, 1, 60)") + ") AS t FROM conversations WHERE turn = 0), s AS (SELECT q, i, round(sum(idf), 9) AS score FROM q JOIN o USING (t) JOIN d USING (t) GROUP BY 1, 2) SELECT q, i, round(score, 6) AS score FROM s WHERE score > 2 QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, i DESC) <= 3"),
     "srt01_own_words_first": (srt01, _RANKED + ", h AS (SELECT *, CAST(contains(' ' || lower(text) || ' ', ' the ') AS INT) + CAST(contains(' ' || lower(text) || ' ', ' and ') AS INT) + CAST(contains(' ' || lower(text) || ' ', ' with ') AS INT) AS hits FROM ranked) SELECT sample_id, rank, hits, row_number() OVER (PARTITION BY sample_id ORDER BY hits DESC, rank) AS new_rank FROM h"),
     "srt02_reranked": (srt02, _RANKED + "SELECT sample_id, rank, row_number() OVER (PARTITION BY sample_id ORDER BY score / tokens - 0.35 * rank DESC, rank) AS new_rank FROM ranked"),
     "agg23_distinctive_words": (agg23, "WITH t AS (SELECT unnest(regexp_extract_all(replace(lower(text), '’', ''''), '[\\x{4e00}-\\x{9fff}]|[a-z0-9]+(?:''[a-z0-9]+)*')) AS token FROM documents), c AS (SELECT token, count(*) AS n FROM t GROUP BY token ORDER BY n DESC, token LIMIT 250) SELECT token, n FROM c WHERE length(token) > 2 AND token NOT IN ('the', 'and', 'der', 'die', 'que', 'les') ORDER BY n DESC, token LIMIT 50"),
@@ -214,5 +215,5 @@ QUERIES = {
     "ts06_frame_rates": (ts06, _FRAMES + "SELECT clip_id, count(*) AS frames, round(CASE WHEN max(ts) > min(ts) THEN (count(*) - 1) / (max(ts) - min(ts)) ELSE 0 END * 1e6, 3) AS fps_e6 FROM f GROUP BY 1"),
     "flt07_clip_problems": (flt07, _FRAMES + "SELECT clip_id, CASE WHEN max(ts) - min(ts) < 0.6 OR count(*) < 12 THEN 'short' WHEN avg(CAST(event_type <> 'error' AS DOUBLE)) < 0.4 THEN 'face' WHEN coalesce(stddev_pop(value) FILTER (value > 0), 0) < 0.012 THEN 'still' ELSE 'ok' END AS problem FROM f GROUP BY 1"),
     "str03_session_gaps": (str03, "WITH e AS (SELECT event_id, user_id, ts, coalesce(epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= 86400, true) AS fresh FROM events) SELECT event_id, CAST(sum(CAST(fresh AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM e"),
-    "win09_sentences": (win09, None),
+    "win09_sentences": (win09, "WITH l AS (SELECT conv_id * 1000 + turn AS file, regexp_split_to_array(regexp_replace(replace(text, chr(10), ' '), '([,.]) ', '\\1' || chr(1), 'g'), chr(1)) AS c FROM conversations), u AS (SELECT file, unnest(c) AS t, unnest(range(len(c))) AS cue FROM l), e AS (SELECT *, CAST(regexp_matches(t, '[.!?][\"'')]*\\s*$') AS INT) AS e FROM u), n AS (SELECT *, coalesce(sum(e) OVER (PARTITION BY file ORDER BY cue ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM e), j AS (SELECT file, CAST(s AS BIGINT) AS sentence, string_agg(t, ' ' ORDER BY cue) AS text, max(cue) - min(cue) + 0.9 AS d FROM n GROUP BY 1, 2) SELECT file, sentence, text, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS words FROM j WHERE d < 12 AND len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) BETWEEN 4 AND 30"),
 }
