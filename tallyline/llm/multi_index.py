@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Entries of a slice of a cell range, and queries of a block, that one task multiplies.
-SLICE_ROWS, QUERY_BLOCK = 8192, 4096
+#: Entries of a slice of a cell range (a 256th of all, within bounds), and queries of a block, that one task multiplies.
+SLICE_LEAST, SLICE_MOST, QUERY_BLOCK = 1024, 1 << 16, 4096
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 15, seed: int = 0) -> np.ndarray:
@@ -172,9 +172,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = 0
     cells = index.groupBy("cell").count().toPandas()  # centroids ** 2 rows at most
     counts = np.zeros(len(pair[0]) * len(pair[1]), np.int64)
     counts[cells["cell"].to_numpy(np.int64)] = cells["count"].to_numpy(np.int64)
-    # neighbouring cells make a group of about SLICE_ROWS entries; a fuller cell is a group of several slices
-    group = (np.cumsum(counts) - counts) // SLICE_ROWS
-    slices = np.maximum(1, -(-np.bincount(group, counts).astype(np.int64) // SLICE_ROWS))
+    # neighbouring cells make a group of about a slice of entries; a fuller cell is a group of several slices
+    slice_rows = int(np.clip(n // 256, SLICE_LEAST, SLICE_MOST))
+    group = (np.cumsum(counts) - counts) // slice_rows
+    slices = np.maximum(1, -(-np.bincount(group, counts).astype(np.int64) // slice_rows))
     wanted = max(least, int(np.ceil(share * n)))
     routed = usable(queries).mapInArrow(_route(pair, sc.broadcast(counts.reshape(len(pair[0]), -1)), wanted, size, sc.broadcast(group)), "grp long, query_id long, v array<double>, cells array<long>")
     groups = spark.createDataFrame(pd.DataFrame({"cell": np.arange(len(group)), "grp": group, "slices": slices[group]}).astype("int64"))
