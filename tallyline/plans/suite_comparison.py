@@ -97,11 +97,11 @@ def set13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def win01(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = stand_ins.table(spark, sf_dir, "documents")
-    return sampling.round_robin(docs, "source", "doc_id", groups=7, n=40, seed=13).select("doc_id", "source", "round", "place")
+    return sampling.round_robin(docs, "source", "doc_id", groups=7, n=40, seed=13).select("doc_id", "source", F.col("round").cast("long").alias("round"), F.col("place").cast("long").alias("place"))
 
 
 def win02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.first_by_hash(stand_ins.table(spark, sf_dir, "documents"), "source", "doc_id", 2).select("doc_id", "source", "place")
+    return sampling.first_by_hash(stand_ins.table(spark, sf_dir, "documents"), "source", "doc_id", 2).select("doc_id", "source", F.col("place").cast("long").alias("place"))
 
 
 def ml07(spark: SparkSession, sf_dir: str) -> DataFrame:
