@@ -32,59 +32,75 @@ MAGIC = b"RPG1"
 FIRST_NONTERMINAL = 1 << 17
 SHARD_IDS = 1 << 18
 TOKENIZE_BYTES = 1 << 21
-ROUNDS, LEAST = 6, 6
+LEAST = 6
 SLOT_BITS = 15
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Documents of a range partition, and the most partitions (the bound of what is gathered about them).
 PART_ROWS, PARTS_MOST = 3000, 20_000
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): rules are (left, right) pairs, nonterminal FIRST_NONTERMINAL + i stands for rule i."""
+def compress(ids: np.ndarray, rounds: int | None = None, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, rules): rules are (left, right) pairs, nonterminal FIRST_NONTERMINAL + i stands for rule i.
+
+    Rounds go on until no pair of the symbols occurs ``least`` times (``rounds`` stops them before, None: never)."""
     s = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
-    made = 0
-    for _ in range(rounds):
-        if len(s) < 2 * least:
-            break
-        key = s[:-1].astype(np.uint64) << np.uint64(32) | s[1:]
+    made = done = 0
+    # places whose pair may be frequent: a pair's count never rises once its symbols are there, so a place that drops out comes back only beside a new symbol
+    live = np.arange(max(0, len(s) - 1))
+    while len(live) and (rounds is None or done < rounds):
+        done += 1
+        key = s[live].astype(np.uint64) << np.uint64(32) | s[live + 1]
         ranked = np.sort(key)
         edge = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         counts = np.diff(np.append(edge, len(ranked)))
-        chosen = np.flatnonzero(counts >= max(least, int(counts.max()) // 64))
-        if counts.max() < least or not len(chosen):
+        if counts.max() < least:
             break
+        slots = (key * _SPREAD) >> np.uint64(64 - SLOT_BITS)
+        table_live = np.zeros(1 << SLOT_BITS, bool)
+        table_live[(ranked[edge[counts >= least]] * _SPREAD) >> np.uint64(64 - SLOT_BITS)] = True
+        still = table_live[slots]
+        live, key, slots = live[still], key[still], slots[still]
+        chosen = np.flatnonzero(counts >= max(least, int(counts.max()) // 64))
         # the most frequent pair has the highest rank; equal counts by a hash, so that along a text ranks don't just rise or fall
         pairs = ranked[edge[chosen]]
         pairs = pairs[np.lexsort((pairs * _SPREAD, counts[chosen]))]
         # each place's pair is looked up in a table of slots; a pair that loses its slot to a more frequent one waits for a later round
         table_pair, table_rank = np.full(1 << SLOT_BITS, ~np.uint64(0)), np.zeros(1 << SLOT_BITS, np.int32)
-        slots = (pairs * _SPREAD) >> np.uint64(64 - SLOT_BITS)
-        table_pair[slots], table_rank[slots] = pairs, np.arange(1, len(pairs) + 1)
-        slots = (key * _SPREAD) >> np.uint64(64 - SLOT_BITS)
-        which = np.where(table_pair[slots] == key, table_rank[slots], 0)
-        left = which
+        own = (pairs * _SPREAD) >> np.uint64(64 - SLOT_BITS)
+        table_pair[own], table_rank[own] = pairs, np.arange(1, len(pairs) + 1)
+        rank = np.where(table_pair[slots] == key, table_rank[slots], 0)
+        # in a run of one id every other place counts, from its beginning
+        run = np.flatnonzero(s[live] == s[live + 1])
+        if len(run):
+            place = np.arange(len(run))
+            begins = np.concatenate([[True], np.diff(live[run]) != 1])
+            rank[run[(place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 1]] = 0
+        which = np.zeros(len(s) + 1, np.int32)  # ranks of the places one to the right, with a 0 at both ends
+        which[live + 1] = rank
+        open_ = live[rank > 0]
         taken = []
-        for _ in range(2):  # an occurrence goes before its neighbours if its pair is more frequent (or it is the first of equals)
-            now = left > 0
-            now[1:] &= left[1:] > left[:-1]
-            now[:-1] &= left[:-1] >= left[1:]
-            at = np.flatnonzero(now)
+        left = which.copy()
+        while len(open_):  # an occurrence goes before its neighbours if its pair is more frequent
+            here = left[open_ + 1]
+            at = open_[(here > left[open_]) & (here > left[open_ + 2])]
             taken.append(at)
-            left = left.copy()
-            for near in (at, np.maximum(at - 1, 0), np.minimum(at + 1, len(left) - 1)):
+            for near in (at, at + 1, at + 2):
                 left[near] = 0
+            open_ = open_[left[open_ + 1] > 0]
         at = np.sort(np.concatenate(taken))
-        rank = which[at]
+        rank = which[at + 1]
         good = np.bincount(rank, minlength=len(pairs) + 1) >= 3  # a rule costs three numbers and saves one at each use
         number = np.cumsum(good) - 1
         at = at[good[rank]]
-        if not len(at):
+        if not len(at):  # only where least is under 5: of that many places the most frequent pair has three that don't overlap
             break
-        keep = np.ones(len(s), bool)
+        keep, near = np.ones(len(s), bool), np.zeros(len(s), bool)
         keep[at + 1] = False
-        s[at] = (FIRST_NONTERMINAL + made + number[which[at]]).astype(np.uint32)
+        near[live] = near[at] = near[np.maximum(at - 1, 0)] = True
+        s[at] = (FIRST_NONTERMINAL + made + number[which[at + 1]]).astype(np.uint32)
         s = s[keep]
+        live = np.flatnonzero(near[keep][:-1])
         own = pairs[np.flatnonzero(good) - 1]
         rules.append(np.stack([own >> np.uint64(32), own & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
         made += len(own)

@@ -203,6 +203,23 @@ def test_repair_round_trip_and_random_access():
         repair_codec.Shard.from_bytes(b"nope")
 
 
+def test_repair_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(5)
+    near = np.minimum(rng.integers(0, 300, (9000, 2)).min(axis=1), 299)
+    inputs = [
+        np.tile(rng.permutation(3000), 8),  # a long repeat: twelve rounds
+        np.full(5000, 7), np.concatenate([np.full(n, 3) for n in range(2, 60)]), np.array([4, 4, 4, 4, 4, 4, 4]),  # runs of one id
+        near, rng.permutation(np.repeat(np.arange(60), 2500)),
+        np.tile(rng.integers(0, 60_000, 80_000), 6)[:400_000],  # more pairs than slots
+    ]
+    for x in (x.astype(np.uint32) for x in inputs):
+        symbols, rules = repair_codec.compress(x)
+        shard = repair_codec.Shard(np.arange(1), np.zeros(1, bool), np.array([len(x)], np.uint32), rules, repair_codec.expansion_lengths(rules).astype(np.uint32), symbols)
+        assert (shard.ids() == x).all()
+        pairs = symbols[:-1].astype(np.int64) << 32 | symbols[1:]
+        assert len(pairs) == 0 or np.unique(pairs, return_counts=True)[1].max() < repair_codec.LEAST
+
+
 def test_token_files(docs, none, tokenizer, monkeypatch):
     monkeypatch.setattr(repair_codec, "PART_ROWS", 4)
     files = repair_codec.encoded(docs, shard_ids=3000)
