@@ -78,7 +78,7 @@ def srt06(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def win14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = stand_ins.table(spark, sf_dir, "documents").select("doc_id", F.slice(text.words(F.col("text")), 1, 60).alias("w"))
+    t = stand_ins.table(spark, sf_dir, "documents").select("doc_id", text.words(F.col("text")).alias("w"))
     return t.select("doc_id", candidates.repetitive(F.col("w")).alias("repetitive"))
 
 
@@ -89,7 +89,7 @@ def sc03(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agg11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rated(spark, sf_dir).withColumn("alignment", edit.alignment(F.substring("ref_key", 1, 120), F.substring("hyp_key", 1, 120)))
+    rows = rated(spark, sf_dir).withColumn("alignment", edit.alignment("ref_key", "hyp_key"))
     return candidates.error_operations(rows)
 
 

@@ -51,7 +51,7 @@ def sc20(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sc21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return turns(spark, sf_dir).select("i", rewrite.basic_cleanup(F.regexp_extract("text", r"^([A-Za-z ,]*)", 1)).alias("text"))
+    return turns(spark, sf_dir).select("i", rewrite.basic_cleanup(F.col("text")).alias("text"))
 
 
 def sc23(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +83,8 @@ def sc32(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sc33(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = turns(spark, sf_dir).withColumn("before", F.substring("text", 1, 40))
-    return t.select("i", rewrite.inserted_span(F.col("before"), F.concat(F.substring("before", 1, 10), F.lit("XYZ"), F.substr("before", F.lit(11)))).alias("span"))
+    after = F.concat(F.substring("text", 1, 10), F.lit("XYZ"), F.substr("text", F.lit(11)))
+    return turns(spark, sf_dir).select("i", rewrite.inserted_span(F.col("text"), after).alias("span"))
 
 
 def sc35(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,3 +31,17 @@ def test_query_matches_sql(spark, data, duck, name):
     order = sorted(range(len(got.columns)), key=lambda i: got.columns[i])
     assert sorted(df.columns) == [got.columns[i] for i in order]
     assert rows == sorted(tuple(str(plain(r[i])) for i in order) for r in got.fetchall())
+
+
+def test_queries_read_whole_texts(spark, tmp_path):
+    """What stands behind the first words or characters counts too."""
+    words = " ".join(f"w{i}" for i in range(60))
+    spark.createDataFrame([(1, words + " over and done" * 200), (2, words)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    same = "abcdefghij" * 30
+    turns = [(1, 0, "user", same + "k"), (1, 1, "assistant", same + "q"), (2, 0, "user", "I have twenty six of them. Is that right")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    run = lambda name: suite.queries()[name](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.repetitive for r in run("win14_repetition")} == {1: True, 2: False}
+    assert [("substitution", "k", "q", 1)] == [(r.op, r.ref, r.hyp, r.n) for r in run("agg11_commonest_edits") if r.op == "substitution"]
+    assert "right" in next(r.text for r in run("sc21_basic_cleanup") if r.i == 2000)
+    assert {r.span for r in run("sc33_inserted_span")} == {"XYZ"}
