@@ -43,22 +43,37 @@ def margins(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("sample_id").agg((first - second).alias("margin"))
 
 
+#: Texts of a list in a block; a task of the pairs has at most this many on each side from one list.
+PAIR_ROWS = 256
+
+
+def _text_pairs(ranked: DataFrame, key: Column) -> DataFrame:
+    """(sample_id, rank, key, rank2, key2): the pairs rank < rank2 of the distinct texts of each list.
+
+    A list is cut into blocks by a hash of the rank, and its pairs are dealt by pairs of blocks: a long list, whose pairs
+    are all wanted, is many tasks of at most about PAIR_ROWS x PAIR_ROWS pairs."""
+    own = distinct_texts(ranked, key).select("sample_id", "rank", "key")
+    blocks = own.groupBy("sample_id").agg(F.ceil(F.count("*") / F.lit(PAIR_ROWS)).cast("long").alias("blocks"))
+    own = own.join(blocks, "sample_id").withColumn("block", F.pmod(F.xxhash64("rank"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    a = own.select("sample_id", "rank", "key", F.col("block").alias("i"), other.alias("j"))
+    b = own.select("sample_id", F.col("rank").alias("rank2"), F.col("key").alias("key2"), other.alias("i"), F.col("block").alias("j"))
+    return a.join(b, ["sample_id", "i", "j"]).where("rank < rank2").select("sample_id", "rank", "key", "rank2", "key2")
+
+
 def diversity(ranked: DataFrame, key: Column) -> DataFrame:
     """(sample_id, pairs, mean_distance): edit distances between the distinct texts of each list, divided by the longer one."""
-    own = distinct_texts(ranked, key).select("sample_id", "rank", "key")
-    b = own.select("sample_id", F.col("rank").alias("rank2"), F.col("key").alias("key2"))
-    pairs = own.join(b, "sample_id").where("rank < rank2")
+    pairs = _text_pairs(ranked, key)
     apart = distance(F.col("key"), F.col("key2"))
     return pairs.groupBy("sample_id").agg(F.count("*").alias("pairs"), F.avg(apart / F.greatest(F.length("key"), F.length("key2"), F.lit(1))).alias("mean_distance"))
 
 
 def medoids(ranked: DataFrame, key: Column) -> DataFrame:
     """The ranks of each list whose mean distance to the others is least (within 1e-12)."""
-    own = distinct_texts(ranked, key).select("sample_id", "rank", "key")
-    b = own.select("sample_id", F.col("rank").alias("rank2"), F.col("key").alias("key2"))
-    means = own.join(b, "sample_id").where("rank <> rank2").groupBy("sample_id", "rank").agg(F.avg(distance(F.col("key"), F.col("key2")).cast("double")).alias("mean"))
-    least = F.min("mean").over(Window.partitionBy("sample_id"))
-    return means.withColumn("least", least).where("mean <= least + 1e-12").select("sample_id", "rank")
+    apart = _text_pairs(ranked, key).select("sample_id", distance(F.col("key"), F.col("key2")).cast("double").alias("d"), F.explode(F.array("rank", "rank2")).alias("rank"))
+    means = apart.groupBy("sample_id", "rank").agg(F.avg("d").alias("mean"))
+    least = means.groupBy("sample_id").agg(F.min("mean").alias("least"))
+    return means.join(least, "sample_id").where("mean <= least + 1e-12").select("sample_id", "rank")
 
 
 def rescored(ranked: DataFrame, score: Column) -> DataFrame:

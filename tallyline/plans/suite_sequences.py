@@ -22,15 +22,11 @@ def _key(c) -> F.Column:  # noqa: ANN001
     return F.substring(text.ascii_key(c), 1, 80)
 
 
-def lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = stand_ins.table(spark, sf_dir, "conversations")
-    first = t.groupBy("conv_id").agg(F.min_by("text", "turn").alias("reference"), F.sort_array(F.collect_list(F.struct("turn", F.col("text").alias("text"), (F.length("text") / -10.0).alias("score")))).alias("all"))
-    return first.select(F.col("conv_id").alias("sample_id"), "reference", F.lit("").alias("raw"), F.slice("all", 2, 1000).alias("hypotheses"))
-
-
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lists(spark, sf_dir).where(F.size("hypotheses") > 0)
-    flat = candidates.exploded(rows.select("sample_id", "reference", "raw", F.transform("hypotheses", lambda h: F.struct(h["text"].alias("text"), h["score"].alias("score"))).alias("hypotheses")))
+    """A row per candidate; each meets its conversation's first turn, so no list is ever one row."""
+    t = stand_ins.table(spark, sf_dir, "conversations")
+    first = t.groupBy("conv_id").agg(F.min_by("text", "turn").alias("reference"))
+    flat = t.where("turn > 0").select("conv_id", F.col("turn").alias("rank"), "text", (F.length("text") / -10.0).alias("score")).join(first, "conv_id").withColumnRenamed("conv_id", "sample_id")
     k, r = _key(F.col("text")), _key(F.col("reference"))
     return flat.withColumns({"key": k, "ref": r}).withColumns({"errors": edit.distance(F.col("key"), F.col("ref")), "characters": F.length("ref").cast("long"), "tokens": F.length("key") / 5 + 1})
 

@@ -45,3 +45,46 @@ def test_queries_read_whole_texts(spark, tmp_path):
     assert [("substitution", "k", "q", 1)] == [(r.op, r.ref, r.hyp, r.n) for r in run("agg11_commonest_edits") if r.op == "substitution"]
     assert "right" in next(r.text for r in run("sc21_basic_cleanup") if r.i == 2000)
     assert {r.span for r in run("sc33_inserted_span")} == {"XYZ"}
+
+
+def test_lists_have_all_candidates(spark, tmp_path):
+    """A conversation of 1,300 turns: candidates past the 1,000th count, and its pairs, over several blocks, are those of brute force."""
+    from pyspark.sql import functions as F
+
+    from tallyline.operators import candidates
+
+    word = lambda i: "".join(chr(97 + (i * 7919 + 13 * j * (i % 11 + 1)) % 26) for j in range(1 + i % 9))
+    turns = [(1, i, "user" if i % 2 == 0 else "assistant", "reference" if i == 1200 else word(i)) for i in range(1300)]
+    turns[0] = (1, 0, "user", "reference")
+    turns += [(2, 0, "user", "one"), (2, 1, "assistant", "two"), (3, 0, "user", "alone")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    run = lambda name: suite.queries()[name](spark, str(tmp_path)).collect()
+    assert len(run("jn15_candidates_by_reference")) == 1300
+    assert {r.sample_id: r["rank"] for r in run("win03_earliest_best_rank")} == {1: 1200, 2: 1}
+
+    rows = [(7, i, word(i % 800)) for i in range(900)] + [(8, 1, "a"), (8, 2, "b"), (9, 1, "a"), (9, 2, "a")]
+    df = spark.createDataFrame(rows, "sample_id long, rank long, key string").withColumn("text", F.col("key"))
+
+    def apart(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    texts = {}
+    for _, i, k in rows[:900]:
+        texts.setdefault(k, i)
+    names = sorted(texts, key=texts.get)
+    assert len(names) > candidates.PAIR_ROWS
+    d = {(a, b): apart(a, b) for n, a in enumerate(names) for b in names[n + 1 :]}
+    got = {r.sample_id: (r.pairs, r.mean_distance) for r in candidates.diversity(df, F.col("key")).collect()}
+    assert got[7] == (len(d), pytest.approx(sum(v / max(len(a), len(b)) for (a, b), v in d.items()) / len(d))) and got[8] == (1, 1.0) and 9 not in got
+    mean = dict.fromkeys(names, 0)
+    for (a, b), v in d.items():
+        mean[a] += v
+        mean[b] += v
+    best = {texts[k] for k, v in mean.items() if v == min(mean.values())}
+    assert {r["rank"] for r in candidates.medoids(df, F.col("key")).collect() if r.sample_id == 7} == best
