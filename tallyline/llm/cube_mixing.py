@@ -5,9 +5,10 @@ Sources ascend by code point, null last, and weigh 5, 2, 1, 5, 2, 1, ...; they s
 of its documents floor(m) whole copies and one more with probability m - floor(m). The flight phase of the cube method moves
 those fractional probabilities inside the null space of the balance constraints (sum of probabilities: documents; sum of
 size * probability: words) until each is 0 or 1, three documents at a time. Sources are cut into blocks by a hash of
-doc_id, so a hot source is many tasks; a block leaves at most two undecided documents, which meet in a next round of far
-fewer blocks, until one is left for each source. Its last LAND_ROWS documents and the undecided ones are the landing problem: all choices
-are tried for the one whose words come nearest to what is missing.
+doc_id, so a hot source is many tasks; a block leaves its LAND_ROWS largest documents and at most two undecided ones, which
+meet in a next round of far fewer blocks, until one is left for the source; a small source lands in the first round, whatever
+the others do. Its LAND_ROWS largest documents and the undecided ones are the landing problem: all choices are tried for the
+one whose words come nearest to what is missing.
 
 Defined cases: null text has size 0; a null source is a source of its own, last; a source of size 0 takes nothing; rows that
 repeat a doc_id are rows of their own; all hashes are of values, so reruns agree; an empty table gives an empty table.
@@ -27,7 +28,7 @@ from .common import written
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Documents of a flight block.
 BLOCK_ROWS = 4096
-#: Documents of a source that the flight leaves to the landing, besides at most two that it can't decide.
+#: Documents of a block (in the end: of a source) that the flight leaves to the landing, besides at most two that it can't decide.
 LAND_ROWS = 10
 
 
@@ -113,15 +114,15 @@ def land(size: np.ndarray, p: np.ndarray) -> np.ndarray:
     return p
 
 
-def _fly(last: bool):  # noqa: ANN202
+def _fly(divisor: int):  # noqa: ANN202
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         # the largest come last: they are the landing problem, whose many different sums leave little error
         rows = rows.drop(columns="block").sort_values(["size", "h", "doc_id"], kind="stable", ignore_index=True)
         size, p = rows["size"].to_numpy(), rows["p"].to_numpy().copy()
         draws = (rows["h"].to_numpy().view(np.uint64) >> np.uint64(11)) / float(1 << 53)
-        fly = max(0, len(rows) - LAND_ROWS) if last else len(rows)
+        fly = max(0, len(rows) - LAND_ROWS)
         p[:fly] = flight(size[:fly], p[:fly], draws[:fly])
-        rows["p"] = land(size, p) if last else p
+        rows["p"] = land(size, p) if rows["n"].iloc[0] <= divisor else p  # the source is one block now
         return rows
 
     return run
@@ -147,7 +148,7 @@ def mixed(docs: DataFrame, most_repeats: float = 3.0) -> DataFrame:
         last = most <= divisor
         # blocks of a source: its documents by a hash, about BLOCK_ROWS undecided ones in each
         block = F.pmod(F.xxhash64("h", F.lit(divisor)), F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") / F.lit(divisor))))
-        flown = undecided.withColumn("block", block).groupBy("key", "block").applyInPandas(_fly(last), shape)
+        flown = undecided.withColumn("block", block).groupBy("key", "block").applyInPandas(_fly(divisor), shape)
         flown = written(flown, "mix-flight")
         if last:
             decided.append(flown)
@@ -155,7 +156,7 @@ def mixed(docs: DataFrame, most_repeats: float = 3.0) -> DataFrame:
         open_ = (F.col("p") > 0) & (F.col("p") < 1)
         decided.append(flown.where(~open_))
         undecided = flown.where(open_)
-        divisor *= BLOCK_ROWS // 2
+        divisor *= max(2, BLOCK_ROWS // (LAND_ROWS + 2))
     out = decided[0]
     for d in decided[1:]:
         out = out.unionByName(d)

@@ -82,6 +82,22 @@ def test_mixing_comes_near_targets_over_several_rounds(spark, data, monkeypatch)
         assert abs(r.c - r.n * r.t / r.s) <= 3
 
 
+def test_mixing_lands_a_small_source_of_long_documents_beside_a_hot_one(spark, monkeypatch):
+    hot = spark.range(5000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(1 + pmod(xxhash64(id), 300) as int))").alias("text"), F.lit("hot").alias("source"))
+    for i in range(3):
+        small = spark.range(60).select((F.col("id") + 10_000 * (i + 1)).alias("doc_id"))
+        small = small.select("doc_id", F.expr("repeat('w ', cast(1 + pmod(xxhash64(doc_id), 20000) as int))").alias("text"), F.lit(f"small{i}").alias("source"))
+        hot = hot.unionByName(small)
+    found = cube_mixing.mixed(hot).collect()
+    taken = {s: sum(r.taken for r in found if r.source == s) for s in ("hot", "small0", "small1", "small2")}
+    target = {r.source: r.target for r in found}
+    assert len(found) == 5180 and abs(taken["hot"] - target["hot"]) <= 0.001 * target["hot"]
+    # the small ones land as they do where no source is cut into blocks
+    monkeypatch.setattr(cube_mixing, "BLOCK_ROWS", 1_000_000)
+    alone = {r.doc_id: r["copies"] for r in cube_mixing.mixed(hot).collect()}
+    assert all(alone[r.doc_id] == r["copies"] for r in found if r.source != "hot")
+
+
 def test_flight_stays_in_the_null_space():
     rng = np.random.default_rng(0)
     size, p = rng.integers(0, 500, 400), np.full(400, 0.37)
