@@ -45,8 +45,8 @@ def str08(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def str09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = events(spark, sf_dir).select("user_id", "ord", F.round("value", 0).alias("seconds"))
-    return live.drained(live.bounded(chunks, 500.0), spark, _folder(spark))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return live.bounded(e.select("user_id", F.col("event_id").alias("ord"), F.round("value", 0).alias("seconds")), 500.0)
 
 
 def str04(spark: SparkSession, sf_dir: str) -> DataFrame:

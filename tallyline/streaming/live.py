@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 TAP, DOUBLE_TAP = 0.25, 0.35
+#: Values of ord in a stretch of sums.
+STRETCH = 4096
 
 
 def step(state: dict, kind: str, now: float) -> tuple[dict, list[str]]:
@@ -95,19 +97,17 @@ def rate_limited(events: DataFrame, least: float) -> DataFrame:
 
 
 def bounded(events: DataFrame, most: float) -> DataFrame:
-    """(user_id, ord, kept): how many of an event's seconds still fit a buffer of ``most`` seconds."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        used = state.get[0] if state.exists else 0.0
-        out = []
-        for _, r in pd.concat(list(batches)).sort_values("ord").iterrows():
-            kept = max(0.0, min(float(r["seconds"]), most - used))
-            used += kept
-            out.append((key[0], int(r["ord"]), kept))
-        state.update((used,))
-        yield pd.DataFrame(out, columns=["user_id", "ord", "kept"])
-
-    return events.groupBy("user_id").applyInPandasWithState(run, "user_id long, ord long, kept double", "used double", "append", GroupStateTimeout.NoTimeout)
+    """(user_id, ord, kept): how many of an event's seconds still fit a buffer of ``most`` seconds, by sums of what came before.
+
+    Sums run within stretches of STRETCH values of ord and over the stretches' totals, so a user's events are many small groups."""
+    rows = events.withColumns({"s": F.greatest(F.col("seconds").cast("double"), F.lit(0.0)), "stretch": F.floor(F.col("ord") / F.lit(STRETCH))})
+    totals = rows.groupBy("user_id", "stretch").agg(F.sum("s").alias("total"))
+    earlier = Window.partitionBy("user_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("user_id", "stretch", F.coalesce(F.sum("total").over(earlier), F.lit(0.0)).alias("base"))
+    inside = Window.partitionBy("user_id", "stretch").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    used = F.col("base") + F.col("before")
+    placed = rows.withColumn("before", F.coalesce(F.sum("s").over(inside), F.lit(0.0))).join(totals, ["user_id", "stretch"])
+    return placed.select("user_id", "ord", F.greatest(F.lit(0.0), F.least(F.col("s"), F.lit(most) - used)).alias("kept"))
 
 
 def tumbling_counts(events: DataFrame, width: str, delay: str) -> DataFrame:

@@ -106,3 +106,17 @@ def test_tails_and_duplicates(spark, tmp_path):
     frames.withColumn("kind", F.lit("x")).union(frames.withColumn("kind", F.lit("x"))).write.parquet(str(tmp_path / "d"))
     stream = spark.readStream.schema("user_id long, at timestamp, kind string").parquet(str(tmp_path / "d"))
     assert live.drained(live.deduplicated(stream, "1 minute"), spark, str(tmp_path / "s2")).count() == 4
+
+
+def test_a_bounded_buffer_needs_no_state(spark):
+    """Sums over stretches are the running ones, also of a user with most events, and no task holds all of a user's rows."""
+    from tallyline.streaming import live
+
+    rows = [(1 if i % 10 else 2 + i % 3, i, float(i % 7 == 0) if i % 10 else float(i % 50)) for i in range(12_000)]
+    got = live.bounded(spark.createDataFrame(rows, "user_id long, ord long, seconds double").repartition(5), 1000.0)
+    assert "Pandas" not in got._jdf.queryExecution().toString()
+    want, used = {}, {}
+    for user, i, s in rows:
+        want[user, i] = max(0.0, min(s, 1000.0 - used.get(user, 0.0)))
+        used[user] = used.get(user, 0.0) + want[user, i]
+    assert {(r.user_id, r.ord): r.kept for r in got.collect()} == want
