@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -35,14 +36,31 @@ def text_only(docs: DataFrame, *also: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *also)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first of name_2, name_3, ... that no column of ``df`` has (whatever its case)."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for i in range(1, len(taken) + 2) if (n := name if i == 1 else f"{name}_{i}").lower() not in taken)
+
+
+def thinned(df: DataFrame, most: int, *keys: str) -> DataFrame:
+    """The rows whose hash of ``keys`` (column ``place``, 0 to 1) is under a threshold that follows from the count: about 1.5 times ``most``, more only where keys repeat."""
+    share = min(1.0, (1.5 * most + 50) / max(1, df.count()))
+    return df.withColumn("place", F.shiftrightunsigned(F.xxhash64(F.lit("sample"), *keys), 11) / float(1 << 53)).where(F.col("place") < share)
+
+
+def hash_sample(df: DataFrame, most: int, *keys: str) -> DataFrame:
+    """At most ``most`` rows: those with the smallest hashes of ``keys``, rows that repeat all of these as one.
+
+    Only rows under the threshold go on, so what tasks send to the driver doesn't grow with their number, and a hot key is one row."""
+    return thinned(df, most, *keys).dropDuplicates(["place"]).orderBy("place").limit(most).drop("place")
+
+
 # --- words on Arrow buffers -------------------------------------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_P = 0x9E3779B97F4A7C15 | 1
-_POWERS: list[np.ndarray] = []
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -53,19 +71,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
-        _POWERS[:] = [np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64).cumprod(dtype=np.uint64)]) for x in (_P, pow(_P, -1, 1 << 64))]
-    return _POWERS[0], _POWERS[1]
-
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans of ``data``; equal bytes have equal hashes wherever they stand."""
-    up, down = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _M3)
+LONG_SPAN = 512
+#: The first j bytes of a little-endian 8-byte block.
+_FIRST_BYTES = np.array([(1 << 8 * j) - 1 for j in range(9)], np.uint64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans of ``data``; equal bytes have equal hashes wherever they stand.
+
+    Spans are mixed 8 bytes at a time, all spans at once and the longer ones on; each step is bijective in the block, so spans
+    of up to 8 bytes that differ never meet, and no sum or power lets patterns of bytes cancel out. Spans of over LONG_SPAN
+    bytes take BLAKE2b, one by one."""
+    length = (ends - starts).astype(np.int64)
+    h = mix(length.astype(np.uint64) * _M3 + np.uint64(seed))
+    blocks = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+    live = np.flatnonzero(length <= LONG_SPAN)
+    if len(live) < len(starts):
+        long = np.flatnonzero(length > LONG_SPAN)
+        key = seed.to_bytes(8, "little")
+        h[long] = [int.from_bytes(hashlib.blake2b(data[a:b], digest_size=8, key=key).digest(), "little") for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    at, left = starts[live], length[live]
+    while len(live):
+        h[live] = mix(h[live] * _M2 ^ blocks[at] & _FIRST_BYTES[np.minimum(left, 8)])
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return h
 
 
 def text_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
