@@ -1,32 +1,39 @@
 """Personal data: fixed patterns, and a character-level BiLSTM-CRF that adds what they miss.
 
-The base spans (email, ip, card, phone) come from linear scans of the whole text. The tagger is trained on labelled spans:
-passages of at most ``sample`` regions of the corpus with their base spans, and as many with written-out variants (spaced
-or dotted numbers, numbers without +, spaced addresses) and look-alikes (dates, versions, prices). Every span that is
-reported must hold a digit or @, so only windows near one are decoded: in any other window all tags are O by that rule.
-Windows overlap by half; a span counts from a window in which it does not touch an inner edge, and of spans that overlap
-across windows the longest, then earliest, stays. Added spans pass a check of their kind and never overlap a base span.
+The base spans (email, ip, card, phone) come from linear scans of the whole text. The tagger reads every character of every
+text: windows overlap, and the best path over all of a text's windows decides (see char_tagger), so spans of any length and
+at any place are found. It adds written-out, spaced or national forms of the four kinds, and keys (``secret``: tokens and
+passwords given beside their name). Added spans never overlap a base span or each other, their path must lose at least
+``margin`` without them, and numbers must be possible (a card's check digit, an ip's parts, a phone's number of digits).
+
+It is trained on labelled spans: passages around base spans and plain ones, at most EACH + 1 of each of at most ``sample``
+documents (the smallest hashes of doc_id), drawn from anywhere in the text; and ``made`` passages with made-up variants and
+look-alikes (dates, versions, prices) set among words of those. Passages with a long run of letters and digits are left out
+of the plain ones, since no label says whether that is a key.
 
 Defined cases: null text is empty and has no spans; rows that repeat a doc_id are read one by one; other columns are
-ignored; without any regions the tagger is trained on the variants alone; an empty table gives an empty table.
+ignored (``masked`` keeps them all, whatever their names); without any passages the tagger is trained on the variants alone;
+an empty table gives an empty table. A task's memory grows with its longest text, by about 100 bytes a character.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .char_tagger import PAD, Tagger, encode
-from .common import small_batches, text_chunks, text_only, written
+from .common import small_batches, text_chunks, text_only, thinned
 
-KINDS = ("email", "ip", "card", "phone")
-WINDOW, STRIDE, MARGIN = 64, 32, 40
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
+#: Characters of a training window, and passages around base spans that a document gives at most.
+WINDOW, EACH = 128, 4
 
 # starts in the middle of a run of digits can only repeat what its first digit failed at
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -83,48 +90,56 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     }
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches of text within MARGIN of a digit or @."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    at = np.flatnonzero((points < 128) & _TRIGGER[np.minimum(points, 127)])
-    if not len(at):
-        return []
-    cut = np.flatnonzero(np.diff(at) > 2 * MARGIN)
-    first, last = at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])]
-    return [(max(0, int(a) - MARGIN), min(len(points), int(b) + MARGIN + 1)) for a, b in zip(first, last, strict=True)]
-
-
 # --- training ---------------------------------------------------------------------------------------------------
 
 
-def _variants(rng: np.random.Generator) -> tuple[str, str | None]:
-    """A made-up passage and its kind, or a look-alike that is none."""
+def _variants(rng: np.random.Generator) -> tuple[str, str, str, str | None]:
+    """(what stands before, a made-up passage, what stands behind, its kind), or a look-alike that is none."""
     num = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     word = lambda a, b: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(a, b)))
     pick = lambda *x: x[rng.integers(len(x))]
+    draw = lambda letters, n: "".join(letters[i] for i in rng.integers(0, len(letters), n))
 
     def card() -> str:
-        d = pick("4", "5", "37", "6011") + num(16)
+        d = pick("4", "5", "37", "6011", num(4)) + num(16)
         d = d[:15]
         d += next(str(c) for c in range(10) if luhn(d + str(c)))
-        sep = pick("", " ", "-", ".", " - ")
+        sep = pick("", " ", "-", ".", " - ", "/")
         return sep.join(d[i : i + 4] for i in range(0, 16, 4))
 
-    kind = rng.integers(0, 10)
+    kind = rng.integers(0, 14)
     if kind < 2:
         domain = pick(".", "-", "").join([word(3, 8), word(2, 6)]) + "." + pick("com", "org", "net", "de", "fr", "example")
-        return word(2, 9) + pick(".", "_", "", "+") + pick(word(2, 8), num(2)) + pick("@", "@", "@", " @ ", "@ ", " @") + domain, "email"
-    if kind < 3:
-        return pick(".", ".", " . ").join(str(x) for x in rng.integers(0, 256, 4)), "ip"
+        return "", word(2, 9) + pick(".", "_", "", "+") + pick(word(2, 8), num(2), word(2, 40)) + pick("@", "@", " @ ", "@ ", " @") + domain, "", "email"
+    if kind < 4:  # spelled out
+        at, dot = pick((" at ", " dot "), (" (at) ", " (dot) "), (" [at] ", " [dot] "), (" at ", "."), (" (at) ", "."), (" [at] ", "."))
+        host = dot.join([word(3, 9), pick("com", "org", "net", "de", "fr", "example")]) if rng.random() < 0.7 else dot.join([word(2, 6), word(3, 9), pick("com", "org", "net")])
+        return "", pick(word(2, 9), word(2, 9) + dot + word(2, 9), word(2, 9) + num(2)) + at + host, "", "email"
     if kind < 5:
-        return card(), "card"
-    if kind < 7:
+        return "", pick(".", " . ", "[.]").join(str(x) for x in rng.integers(0, 256, 4)), "", "ip"
+    if kind < 6:
+        return "", card(), "", "card"
+    if kind < 8:
         a, b, c = num(3), num(3), num(4)
-        return pick(f"+{pick('1', '33', '49', '34')} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{pick('1', '44', '33')} {a} {b} {c}", f"00{pick('33', '49', '34')} {a} {b} {c}", f"{a} {b} {c}"), "phone"
-    return pick(f"{rng.integers(1900, 2030)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}", f"{rng.integers(1, 13)}/{rng.integers(1, 29)}/{rng.integers(1900, 2030)}", num(int(rng.integers(1, 7))), f"{rng.integers(0, 9)}.{rng.integers(0, 30)}.{rng.integers(0, 30)}", f"${num(2)}.{num(2)}", f"{rng.integers(0, 24)}:{num(2)}", f"{num(1)},{num(3)},{num(3)}", f"@{word(3, 9)}", f"{num(3)} {word(2, 7)} {num(2)}", f"{num(2)}-{num(2)}"), None
-
-
-def training_set(texts: list[str], made: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+        return "", pick(f"+{pick('1', '33', '49', '34')} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{pick('1', '44', '33')} {a} {b} {c}", f"00{pick('33', '49', '34')} {a} {b} {c}", f"{a} {b} {c}"), "", "phone"
+    if kind < 10:
+        name = pick("token", "api_key", "apikey", "secret", "password", "passwd", "key", "auth", "access_key", "client_secret", "session", word(3, 9) + "_key")
+        value = pick(draw("0123456789abcdef", pick(32, 40, 40, 64)), draw("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", int(rng.integers(16, 90))), draw("abcdefghijkmnpqrstuvwxyz23456789!#%", int(rng.integers(10, 24))))
+        quote = pick('"', '"', "'", "")
+        return name + pick(" = ", "=", ": ", " : ", ":", " is ") + quote, value, quote, "secret"
+    if kind < 11:  # words that repeat
+        some = " ".join(word(2, 8) + pick("", "", ".", ",") for _ in range(rng.integers(1, 4)))
+        return "", pick(" ", " ", "\n").join([some] * int(rng.integers(3, 40)))[:200], "", None
+    plain = pick(
+        f"{rng.integers(1900, 2030)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}", f"{rng.integers(1, 13)}/{rng.integers(1, 29)}/{rng.integers(1900, 2030)}", num(int(rng.integers(1, 8))),
+        f"{rng.integers(0, 9)}.{rng.integers(0, 30)}", f"v{rng.integers(0, 9)}.{rng.integers(0, 30)}.{rng.integers(0, 30)}", f"${num(2)}.{num(2)}", f"{rng.integers(0, 24)}:{num(2)}", f"{num(1)},{num(3)},{num(3)}", f"@{word(3, 9)}",
+        f"{num(3)} {word(2, 7)} {num(2)}", f"{num(2)}-{num(2)}", f"{word(1, 3)}{num(2)}", f"{num(1)}{word(2, 3)}", f"ISBN 978-{num(1)}-{num(2)}-{num(6)}-{num(1)}", f"look at {word(3, 8)}", f"at {word(3, 8)} dot", f"key {word(3, 8)}", f"token {word(3, 12)}",
+        f"{word(12, 40)}", f'{word(3, 8)} = "{word(3, 9)}"', f"{word(3, 9)}.{word(2, 5)}", f"{num(2)} % {num(2)}", f"({num(3)})", f"#{num(4)}",
+    )
+    return "", plain, "", None
+
+
+def training_set(passages: list[tuple[str, str]], made: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """Windows and tags from corpus passages with their base spans, and from ``made`` variants set among corpus words."""
     rng = np.random.default_rng(seed)
     codes, gold = [], []
@@ -134,175 +149,160 @@ def training_set(texts: list[str], made: int, seed: int = 11) -> tuple[np.ndarra
         for k, a, b in spans:
             y[a] = 1 + 2 * k
             y[a + 1 : b] = 2 + 2 * k
-        for at in range(0, max(1, len(text) - STRIDE), STRIDE):
-            part = c[at : at + WINDOW]
-            codes.append(np.pad(part, (0, WINDOW - len(part)), constant_values=PAD))
-            gold.append(np.pad(y[at : at + WINDOW], (0, WINDOW - len(part))))
-
-    words = [w for t in texts for w in t.split() if not any(c.isdigit() or c == "@" for c in w)][:20_000] or ["the", "and", "of", "to", "in", "est", "und", "que"]
-    for t in texts:
-        add(t, [(k, a, b) for k, kind in enumerate(KINDS) for a, b in base_spans(t)[kind]])
+        # a span that the window's edge cuts goes on as I
+        at = int(rng.integers(0, max(1, len(text) - WINDOW + 1)))
+        c, y = c[at : at + WINDOW], y[at : at + WINDOW]
+        codes.append(np.pad(c, (0, WINDOW - len(c)), constant_values=PAD))
+        gold.append(np.pad(y, (0, WINDOW - len(c))))
+
+    words = [w for t, _ in passages for w in t.split() if not any(c.isdigit() or c == "@" for c in w)][:20_000] or ["the", "and", "of", "to", "in", "est", "und", "que"]
+    some = lambda n: " ".join(words[i] for i in rng.integers(0, len(words), n))
+    for t, spans in passages:
+        add(t, [(KINDS.index(k), int(a), int(b)) for k, a, b in (x.split(":") for x in spans.split(",") if x)])
     for _ in range(made):
-        before, after = (" ".join(words[i] for i in rng.integers(0, len(words), rng.integers(1, 7))) for _ in range(2))
-        middle, kind = _variants(rng)
-        head = (before + " ")[-48:] if rng.random() < 0.9 else ""
-        tail = (rng.choice([" ", ". ", ", ", "\n", " "]) + after) if rng.random() < 0.9 else ""
-        add(head + middle + tail, [(KINDS.index(kind), len(head), len(head) + len(middle))] if kind else [])
-    tags = np.array(gold)
-    # an I that begins a window (its B was cut off) can't be told from noise: such windows keep it as B
-    first = tags[:, 0]
-    tags[:, 0] = np.where((first > 0) & (first % 2 == 0), first - 1, first)
-    return np.array(codes), tags
-
-
-def trained(texts: list[str], steps: int) -> Tagger:
-    codes, gold = training_set(texts, made=4000)
+        before, middle, behind, kind = _variants(rng)
+        head = (some(rng.integers(1, 12)) + rng.choice([" ", " ", " ", "\n", ", "])) if rng.random() < 0.9 else ""
+        head = head[-int(rng.integers(16, 90)) :] + before
+        tail = behind + (rng.choice([" ", " ", ". ", ", ", "\n", "!! ", "*** ", " | ", "### "]) + some(rng.integers(1, 12)) if rng.random() < 0.9 else "")
+        text = head + middle + tail
+        shape = rng.random()
+        if shape < 0.1 and len(text.upper()) == len(text):
+            text = text.upper()
+        add(text, [(KINDS.index(kind), len(head), len(head) + len(middle))] if kind else [])
+    return np.array(codes), np.array(gold)
+
+
+def trained(passages: list[tuple[str, str]], steps: int, made: int = 6000) -> Tagger:
     tagger = Tagger.new(len(KINDS))
-    tagger.fit(codes, gold, steps)
+    tagger.fit(*training_set(passages, made), steps)
     return tagger
 
 
-# --- decoding ---------------------------------------------------------------------------------------------------
+_KEYLIKE = re.compile(r"(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{12,}")
+_PASSAGE = pa.schema([("place", pa.float64()), ("number", pa.int64()), ("passage", pa.string()), ("spans", pa.string())])
 
 
-def _fits(kind: str, s: str) -> bool:
-    """Whether an added span can be of its kind."""
-    d = _digits(s)
-    if kind == "email":
-        return s.count("@") == 1 and bool(re.fullmatch(r"[A-Za-z0-9._%+-]+ ?@ ?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", s))
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Training passages of each text: around some of its base spans, and a plain one, all drawn by a hash of the text."""
+    for batch in batches:
+        out = []
+        for place, text in zip(batch.column("place").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            rng = np.random.default_rng(zlib.crc32(text.encode()))
+            spans = sorted((a, b, k) for k, own in base_spans(text).items() for a, b in own)
+            picks = [spans[i][:2] for i in rng.permutation(len(spans))[:EACH]] + [(at := int(rng.integers(0, len(text) + 1)), at)]
+            for number, (a, b) in enumerate(picks):
+                low, high = max(0, a - int(rng.integers(8, 90))), min(len(text), b + int(rng.integers(8, 90)))
+                touched = [s for s in spans if s[0] < high and s[1] > low]
+                rest = list(text[low:high])
+                for x, y, _ in touched:
+                    rest[max(0, x - low) : max(0, y - low)] = " " * (min(high, y) - max(low, x))
+                whole = all(low <= x and y <= high for x, y, _ in touched) and all(s[1] <= t[0] for s, t in zip(touched[:-1], touched[1:], strict=True))
+                if high > low and whole and not _KEYLIKE.search("".join(rest)):
+                    out.append((place, number, text[low:high], ",".join(f"{k}:{x - low}:{y - low}" for x, y, k in touched)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _PASSAGE, strict=True)], schema=_PASSAGE)
+
+
+def learned(docs: DataFrame, sample: int, steps: int) -> Tagger:
+    """The tagger; at most (EACH + 1) * 1.5 * ``sample`` passages of a document's text reach the driver, and nothing else does."""
+    few = thinned(text_only(docs), sample, "doc_id").select("place", "text").mapInArrow(_passages, "place double, number long, passage string, spans string")
+    got = few.dropDuplicates(["place", "number"]).toPandas().sort_values(["place", "number"])
+    keep = got["place"].isin(got["place"].drop_duplicates()[:sample])
+    return trained(list(zip(got["passage"][keep], got["spans"][keep], strict=True)), steps)
+
+
+# --- reading ----------------------------------------------------------------------------------------------------
+
+
+def _possible(kind: str, s: str, beside: str) -> bool:
+    """Whether the numbers of an added span can be of its kind, and are whole (no digit stands ``beside`` them)."""
+    if kind in ("ip", "card", "phone") and _digits(beside):
+        return False
     if kind == "ip":
-        return bool(re.fullmatch(r"[0-9]{1,3}(?: ?\. ?[0-9]{1,3}){3}", s)) and _ip_ok(s.replace(" ", ""))
+        parts = re.findall(r"[0-9]+", s)
+        return len(parts) == 4 and _ip_ok(".".join(parts))
     if kind == "card":
-        return 13 <= len(d) <= 19 and luhn(d) and bool(re.fullmatch(r"[0-9](?:[ .-]{0,3}[0-9])+", s))
-    return 9 <= len(d) <= 15 and bool(re.fullmatch(r"[+(]?[0-9][ ().0-9-]*[0-9]", s)) and any(c in " ().-" for c in s)
-
-
-def tag_regions(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-    """(kind, start, end) of each region's spans, from overlapping windows."""
-    places, windows = [], []
-    for r, text in enumerate(texts):
-        c = encode(text)
-        for at in range(0, max(1, len(c) - STRIDE), STRIDE):
-            part = c[at : at + WINDOW]
-            windows.append(np.pad(part, (0, WINDOW - len(part)), constant_values=PAD))
-            places.append((r, at, len(part), len(c)))
-    found: list[dict[tuple[int, int, int], None]] = [{} for _ in texts]
-    for first in range(0, len(windows), 2048):
-        tags = tagger.decode(np.array(windows[first : first + 2048]))
-        for i in np.flatnonzero((tags > 0).any(axis=1)):
-            r, at, n, length = places[first + i]
-            own = tags[i, :n]
-            for s in np.flatnonzero(own % 2 == 1):
-                inner = own[s + 1 :] == own[s] + 1
-                e = int(s) + 1 + (len(inner) if inner.all() else int(np.argmin(inner)))
-                if (s > 0 or at == 0) and (e < n or at + n == length):
-                    found[r][(int(own[s] - 1) // 2, at + int(s), at + e)] = None
-    out = []
-    for spans in found:
-        kept: list[tuple[int, int, int]] = []
-        for k, a, b in sorted(spans, key=lambda x: (x[1] - x[2], x[1], x[0])):
-            if all(b <= x or a >= y for _, x, y in kept):
-                kept.append((k, a, b))
-        out.append(sorted(kept, key=lambda x: x[1]))
-    return out
-
-
-def _trim(s: str, a: int) -> tuple[str, int]:
-    left = len(s) - len(s.lstrip(" .,;:\n"))
-    return s.strip(" .,;:\n"), a + left
+        return 13 <= len(d := _digits(s)) <= 19 and luhn(d)
+    return kind != "phone" or 7 <= len(_digits(s)) <= 15
 
 
-def _clear(spans: list[tuple[int, int]], a: int, b: int) -> bool:
-    """Whether [a, b) overlaps none of the sorted spans."""
-    i = np.searchsorted([x for x, _ in spans], b)
-    return all(y <= a for _, y in spans[:i])
+def joined(spans: dict[str, list[tuple[int, int]]]) -> str:
+    return ",".join(f"{k}:{a}:{b}" for k in KINDS if k in spans for a, b in sorted(spans[k]))
 
 
-def joined(spans: dict[str, list[tuple[int, int]]]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k in KINDS for a, b in sorted(spans[k]))
+def added(tagger: Tagger, texts: list[str], base: list[dict[str, list[tuple[int, int]]]], margin: float) -> list[list[tuple[str, int, int]]]:
+    """(kind, start, end) of the spans that the tagger adds to each text's base spans."""
+    out = []
+    for text, own, found in zip(texts, base, tagger.spans([encode(t) for t in texts]), strict=True):
+        taken = np.zeros(len(text) + 1, bool) if found else None
+        for spans in own.values() if found else ():
+            for a, b in spans:
+                taken[a:b] = True
+        kept = []
+        for k, a, b, lost in found:
+            s = text[a:b]
+            a, b = a + len(s) - len(s.lstrip(" .,;:\n\"'")), b - len(s) + len(s.rstrip(" .,;:\n\"'"))
+            if lost >= margin and a < b and not taken[a:b].any() and _possible(KINDS[k], text[a:b], text[max(0, a - 1) : a] + text[b : b + 1]):
+                kept.append((KINDS[k], a, b))
+        out.append(kept)
+    return out
 
 
-_FOUND = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base", pa.string()), ("starts", pa.list_(pa.int64())), ("regions", pa.list_(pa.string()))])
+def _read(tagger: Tagger, column: pa.Array, margin: float) -> Iterator[tuple[int, list[str], list[dict[str, list[tuple[int, int]]]], list[list[tuple[str, int, int]]]]]:
+    """(first row, texts, base spans, added spans) of runs of rows; texts without a digit or @ have no base spans."""
+    for first, data, offsets in text_chunks(column):
+        rows = len(offsets) - 1
+        hits = np.concatenate([[0], np.cumsum(_TRIGGER[data])])[offsets]
+        near = hits[1:] > hits[:-1]
+        texts = column.slice(first, rows).fill_null("").to_pylist()
+        base = [base_spans(t) if n else {k: [] for k in BASE} for t, n in zip(texts, near, strict=True)]
+        yield first, texts, base, added(tagger, texts, base, margin)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Base spans and regions of each text; texts without a digit or @ have neither."""
-    for batch in batches:
-        column = batch.column("text")
-        near = np.zeros(batch.num_rows, bool)
-        for first, data, offsets in text_chunks(column):
-            hits = np.concatenate([[0], np.cumsum(_TRIGGER[data])])[offsets]
-            near[first : first + len(offsets) - 1] = hits[1:] > hits[:-1]
-        counts, base, starts, parts = np.zeros((len(KINDS), batch.num_rows), np.int64), [""] * batch.num_rows, [[]] * batch.num_rows, [[]] * batch.num_rows
-        for i in np.flatnonzero(near):
-            text = column[int(i)].as_py()
-            spans, own = base_spans(text), regions(text)
-            counts[:, i] = [len(spans[k]) for k in KINDS]
-            base[i], starts[i], parts[i] = joined(spans), [a for a, _ in own], [text[a:b] for a, b in own]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, counts), pa.array(base), pa.array(starts, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.string()))], schema=_FOUND)
-
-
-def _add(tagger: Tagger):  # noqa: ANN202
-    shape = pa.schema([*list(_FOUND)[:5], ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64())])
+def personal_data(docs: DataFrame, sample: int = 10_000, steps: int = 350, margin: float = 4.0) -> DataFrame:
+    """doc_id, base counts by kind, base_sha256, spans (base and added, as kind:start:end), n_spans and n_added of every document."""
+    small_batches(docs.sparkSession)
+    tagger = learned(docs, sample, steps)
+    shape = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_spans", pa.int64()), ("n_added", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base, starts, parts = (batch.column(c).to_pylist() for c in ("base", "starts", "regions"))
-            flat = [t for own in parts for t in own]
-            tagged = iter(tag_regions(tagger, flat))
-            spans, added = [], []
-            for own_base, own_starts, own in zip(base, starts, parts, strict=True):
-                found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-                for x in filter(None, own_base.split(",")):
-                    k, a, b = x.split(":")
-                    found[k].append((int(a), int(b)))
-                taken = sorted(s for k in KINDS for s in found[k])
-                n = 0
-                for at, text in zip(own_starts, own, strict=True):
-                    for k, a, b in next(tagged):
-                        s, a = _trim(text[a:b], at + a)
-                        if _fits(KINDS[k], s) and _clear(taken, a, a + len(s)):
-                            found[KINDS[k]].append((a, a + len(s)))
-                            n += 1
-                spans.append(joined(found))
-                added.append(n)
-            digest = [hashlib.sha256(x.encode()).hexdigest() for x in base]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(digest), pa.array(spans, pa.string()), pa.array(added, pa.int64())], schema=shape)
-
-    return run
-
-
-def personal_data(docs: DataFrame, sample: int = 1500, steps: int = 400) -> DataFrame:
-    """doc_id, base counts by kind, base_sha256, spans (base and added, as kind:start:end) and n_added of every document."""
-    small_batches(docs.sparkSession)
-    counts = ", ".join(f"n_{k} long" for k in KINDS)
-    found = written(text_only(docs).mapInArrow(_scan, f"doc_id long, {counts}, base string, starts array<long>, regions array<string>"), "pii-base")
-    few = found.where(F.size("regions") > 0).select("doc_id", F.transform(F.slice("regions", 1, 4), lambda r: F.substring(r, 1, 512)).alias("few"))
-    few = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.explode("few").alias("r")).toPandas()
-    tagger = trained(sorted(few["r"])[:sample], steps)
-    return found.mapInArrow(_add(tagger), f"doc_id long, {counts}, base_sha256 string, spans string, n_added long")
+            names = batch.column("doc_id")
+            for first, _, base, more in _read(tagger, batch.column("text"), margin):
+                counts = [[len(x[k]) for x in base] for k in BASE]
+                digest = [hashlib.sha256(joined(x).encode()).hexdigest() for x in base]
+                both = [x | {k: [*x.get(k, []), *((a, b) for kind, a, b in new if kind == k)] for k in KINDS} if new else x for x, new in zip(base, more, strict=True)]
+                n = [len(x) for x in more]
+                total = [sum(map(len, x.values())) for x in both]
+                yield pa.RecordBatch.from_arrays([names.slice(first, len(base)), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array([joined(x) for x in both], pa.string()), pa.array(total, pa.int64()), pa.array(n, pa.int64())], schema=shape)
 
+    counts = ", ".join(f"n_{k} long" for k in BASE)
+    return text_only(docs).mapInArrow(run, f"doc_id long, {counts}, base_sha256 string, spans string, n_spans long, n_added long")
 
-def masked(docs: DataFrame, found: DataFrame, mark: str = "[{}]") -> DataFrame:
-    """``docs`` with every span's characters replaced by its kind's mark; doc_id names the rows."""
-    spans = found.where("spans <> ''").groupBy("doc_id").agg(F.max("spans").alias("pii_spans")).hint("shuffle_hash")
+
+def masked(docs: DataFrame, mark: str = "[{}]", sample: int = 10_000, steps: int = 350, margin: float = 4.0) -> DataFrame:
+    """``docs``, row by row, with every span's characters replaced by its kind's mark; null text stays null, all other columns stay as they are."""
+    small_batches(docs.sparkSession)
+    tagger = learned(docs, sample, steps)
+    # by number, so that other columns may have any name
+    at = docs.schema.fieldNames().index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, names = batch.column("text").to_pylist(), batch.column("pii_spans").to_pylist()
-            at = batch.schema.get_field_index("text")
-            new = pa.array([redacted(t, s, mark) if s and t else t for t, s in zip(texts, names, strict=True)], batch.schema.field(at).type)
-            yield batch.set_column(at, batch.schema.field(at), new).drop_columns(["pii_spans"])
+            column = batch.column(at)
+            for first, texts, base, more in _read(tagger, column.cast(pa.string()), margin):
+                part = batch.slice(first, len(texts))
+                new = [redacted(t, [(k, *s) for k in BASE for s in x[k]] + own, mark) if own or any(x.values()) else t for t, x, own in zip(texts, base, more, strict=True)]
+                nulls = part.column(at).is_null().to_numpy(zero_copy_only=False)
+                yield part.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type, mask=nulls))
 
-    small_batches(docs.sparkSession)
-    return docs.join(spans, "doc_id", "left").select(*docs.columns, "pii_spans").mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
-def redacted(text: str, spans: str, mark: str) -> str:
+def redacted(text: str, spans: list[tuple[str, int, int]], mark: str) -> str:
     """The text with its spans replaced; overlapping ones as one, by the first's mark."""
-    todo = sorted((int(a), -int(b), k) for k, a, b in (x.split(":") for x in spans.split(",")))
     out, done = [], 0
-    for a, b, k in todo:
+    for a, b, k in sorted((a, -b, k) for k, a, b in spans):
         if a >= done:
             out += [text[done:a], mark.format(k.upper())]
         done = max(done, -b)
