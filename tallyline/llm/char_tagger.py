@@ -60,52 +60,57 @@ class Tagger:
 
     # --- training -----------------------------------------------------------------------------------------------
 
-    def _lstm(self, x: np.ndarray, shut: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """Hidden states (T, B, H) over x (T, B, E), and what the backward pass needs; padding (``shut``) leaves the state at zero."""
-        w, hw = x @ self.p[f"x{d}"] + self.p[f"b{d}"], self.p[f"h{d}"]
-        n = hw.shape[0]
-        w[shut, :n] = _SHUT
-        h = c = np.zeros((x.shape[1], n), np.float32)
-        out, kept = np.empty((*x.shape[:2], n), np.float32), []
-        for t in range(len(x)) if d == "l" else range(len(x) - 1, -1, -1):
-            s = _softsign(w[t] + h @ hw)
-            ifo, u = 0.5 * s[:, : 3 * n] + np.float32(0.5), s[:, 3 * n :]
+    def _lstm(self, x: np.ndarray, shut: np.ndarray) -> tuple[np.ndarray, list]:
+        """Hidden states (2, T, B, H) of both directions over x (T, B, E), each in its own order of time, and what the backward pass needs; padding (``shut``) leaves a state at zero."""
+        n = self.p["hl"].shape[0]
+        w = np.stack([x @ self.p["xl"] + self.p["bl"], (x @ self.p["xr"] + self.p["br"])[::-1]])
+        w[0, shut, :n] = _SHUT
+        w[1, shut[::-1], :n] = _SHUT
+        hw = np.stack([self.p["hl"], self.p["hr"]])
+        h = c = np.zeros((2, x.shape[1], n), x.dtype)
+        out, kept = np.empty((2, *x.shape[:2], n), x.dtype), []
+        for t in range(len(x)):
+            s = _softsign(w[:, t] + h @ hw)
+            ifo, u = 0.5 * s[..., : 3 * n] + np.float32(0.5), s[..., 3 * n :]
             before_h, before_c = h, c
-            c = ifo[:, n : 2 * n] * c + ifo[:, :n] * u
+            c = ifo[..., n : 2 * n] * c + ifo[..., :n] * u
             tc = _softsign(c)
-            h = ifo[:, 2 * n :] * tc
-            out[t] = h
-            kept.append((t, s, ifo, before_c, tc, before_h))
+            h = ifo[..., 2 * n :] * tc
+            out[:, t] = h
+            kept.append((s, ifo, before_c, tc, before_h))
         return out, kept
 
-    def _lstm_back(self, x: np.ndarray, shut: np.ndarray, d: str, kept: list, dout: np.ndarray, grad: dict[str, np.ndarray]) -> np.ndarray:
-        wx, hw = self.p[f"x{d}"], self.p[f"h{d}"]
-        n = hw.shape[0]
-        dg_all = np.zeros((*x.shape[:2], 4 * n), np.float32)
-        dh = dc = np.zeros((x.shape[1], n), np.float32)
-        ghw = np.zeros_like(hw)
-        for t, s, ifo, before_c, tc, before_h in reversed(kept):
-            dh = dh + dout[t]
-            i, f, o = ifo[:, :n], ifo[:, n : 2 * n], ifo[:, 2 * n :]
-            dc = dc + dh * o * (1 - np.abs(tc)) ** 2
+    def _lstm_back(self, x: np.ndarray, shut: np.ndarray, kept: list, dout: np.ndarray, grad: dict[str, np.ndarray]) -> np.ndarray:
+        hw = np.stack([self.p["hl"], self.p["hr"]])
+        n = hw.shape[1]
+        back = hw.transpose(0, 2, 1)
+        dg_all = np.zeros((2, *x.shape[:2], 4 * n), x.dtype)
+        dh = dc = np.zeros((2, x.shape[1], n), x.dtype)
+        states = np.stack([k[4] for k in kept], axis=1)
+        for t in range(len(x) - 1, -1, -1):
+            s, ifo, before_c, tc, _ = kept[t]
+            dh = dh + dout[:, t]
+            dc = dc + dh * ifo[..., 2 * n :] * (1 - np.abs(tc)) ** 2
             slope = (1 - np.abs(s)) ** 2
-            slope[:, : 3 * n] *= 0.5
-            dg = np.concatenate([dc * s[:, 3 * n :], dc * before_c, dh * tc, dc * i], axis=1) * slope
-            dg_all[t] = dg
-            ghw += before_h.T @ dg
-            dh, dc = dg @ hw.T, dc * f
-        dg_all[shut, :n] = 0
-        grad[f"x{d}"] = np.tensordot(x, dg_all, ([0, 1], [0, 1]))
-        grad[f"h{d}"], grad[f"b{d}"] = ghw, dg_all.sum(axis=(0, 1))
-        return dg_all @ wx.T
+            slope[..., : 3 * n] *= 0.5
+            dg = np.concatenate([dc * s[..., 3 * n :], dc * before_c, dh * tc, dc * ifo[..., :n]], axis=2) * slope
+            dg_all[:, t] = dg
+            dh, dc = dg @ back, dc * ifo[..., n : 2 * n]
+        dx = np.zeros_like(x)
+        for i, d in enumerate("lr"):
+            grad[f"h{d}"] = np.tensordot(states[i], dg_all[i], ([0, 1], [0, 1]))
+            own = dg_all[i] if d == "l" else dg_all[i][::-1]
+            own[shut, :n] = 0
+            grad[f"x{d}"], grad[f"b{d}"] = np.tensordot(x, own, ([0, 1], [0, 1])), own.sum(axis=(0, 1))
+            dx += own @ self.p[f"x{d}"].T
+        return dx
 
     def gradients(self, codes: np.ndarray, gold: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood of the tags gold (B, T) and its gradients."""
         x, y, shut = self.p["emb"][codes.T], gold.T, codes.T == PAD
         steps, batch = y.shape
-        left, kept_l = self._lstm(x, shut, "l")
-        right, kept_r = self._lstm(x, shut, "r")
-        both = np.concatenate([left, right], axis=2)
+        states, kept = self._lstm(x, shut)
+        both = np.concatenate([states[0], states[1][::-1]], axis=2)
         e, trans = both @ self.p["out"] + self.p["out_b"], self.p["trans"]
         # forward and backward sums as products with exp(transitions), each row scaled by its largest term
         link = np.exp(trans)
@@ -131,8 +136,8 @@ class Tagger:
         de /= batch
         grad = {"trans": dtrans / batch, "out": np.tensordot(both, de, ([0, 1], [0, 1])), "out_b": de.sum(axis=(0, 1))}
         dboth = de @ self.p["out"].T
-        n = left.shape[2]
-        dx = self._lstm_back(x, shut, "l", kept_l, dboth[:, :, :n], grad) + self._lstm_back(x, shut, "r", kept_r, dboth[:, :, n:], grad)
+        n = states.shape[3]
+        dx = self._lstm_back(x, shut, kept, np.stack([dboth[:, :, :n], dboth[::-1, :, n:]]), grad)
         grad["emb"] = np.zeros_like(self.p["emb"])
         np.add.at(grad["emb"], codes.T.ravel(), dx.reshape(-1, dx.shape[2]))
         return float((total - score).mean()), grad

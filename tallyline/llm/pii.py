@@ -33,7 +33,7 @@ from .common import small_batches, text_chunks, text_only, thinned
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
 #: Characters of a training window, and passages around base spans that a document gives at most.
-WINDOW, EACH = 128, 4
+WINDOW, EACH = 112, 4
 
 # starts in the middle of a run of digits can only repeat what its first digit failed at
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -172,10 +172,18 @@ def training_set(passages: list[tuple[str, str]], made: int, seed: int = 11) ->
     return np.array(codes), np.array(gold)
 
 
-def trained(passages: list[tuple[str, str]], steps: int, made: int = 6000) -> Tagger:
-    tagger = Tagger.new(len(KINDS))
-    tagger.fit(*training_set(passages, made), steps)
-    return tagger
+_TRAINED: dict[tuple[str, int, int], Tagger] = {}
+
+
+def trained(passages: list[tuple[str, str]], steps: int, made: int = 5000) -> Tagger:
+    """The tagger of these passages; the last one trained in this process is kept."""
+    key = (hashlib.sha256(repr(passages).encode()).hexdigest(), steps, made)
+    if key not in _TRAINED:
+        tagger = Tagger.new(len(KINDS))
+        tagger.fit(*training_set(passages, made), steps)
+        _TRAINED.clear()
+        _TRAINED[key] = tagger
+    return _TRAINED[key]
 
 
 _KEYLIKE = re.compile(r"(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{12,}")
