@@ -5,16 +5,17 @@ several widths, each filter's largest answer over the window (with ReLU) feeds a
 probabilities come from the mean of its windows' log-probabilities. Every window of every text is read.
 
 The network learns only from documents that aren't held out (crc32 of the doc_id's text modulo 5 is not 0) and have a
-language: at most ``sample`` of each language, those with the smallest hashes, and WINDOWS_EACH windows of each.
+language: at most ``sample`` of each language, those with the smallest hashes (and at most ``most`` of all languages), and
+WINDOWS_EACH windows drawn from each whole text. Only these windows reach the driver.
 
-Defined cases: null text, and text without a letter, is ``und`` with score 0; rows that repeat a doc_id are read one by one;
+Defined cases: null text, and text without a letter (``str.isalpha`` of no character; digits, fractions and marks are none), is ``und`` with score 0; rows that repeat a doc_id are read one by one;
 no labelled rows make every text ``und``; one language has score 1; other columns are ignored; an empty table gives an
 empty table.
 """
 
 from __future__ import annotations
 
-import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +31,6 @@ WIDTHS = (2, 3, 4)
 FILTERS, SIZE = 16, 8
 WINDOWS_EACH = 4
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
@@ -128,30 +128,43 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def learned(docs: DataFrame, sample: int, steps: int, seed: int = 4) -> tuple[list[str], Network | None]:
-    """The languages and the network; text and language of the chosen documents reach the driver, and nothing else does."""
+_DRAWN = pa.schema([("lang", pa.string()), ("h", pa.float64()), ("windows", pa.binary())])
+
+
+def _draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """WINDOWS_EACH windows of each text, drawn by a hash of the text, as the bytes of 16-bit numbers."""
+    for batch in batches:
+        drawn = []
+        for first, data, offsets in text_chunks(batch.column("text")):
+            windows, row = windows_of(data, offsets)
+            begin = np.searchsorted(row, np.arange(len(offsets)))
+            for i in range(len(offsets) - 1):
+                a, b = int(begin[i]), int(begin[i + 1])
+                take = np.random.default_rng(zlib.crc32(data[offsets[i] : offsets[i + 1]])).permutation(b - a)[:WINDOWS_EACH]
+                drawn.append(windows[a + take].astype("<u2").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(drawn, pa.binary())], schema=_DRAWN)
+
+
+def learned(docs: DataFrame, sample: int, steps: int, most: int = 64_000, seed: int = 4) -> tuple[list[str], Network | None]:
+    """The languages and the network; of the chosen documents the languages and windows reach the driver, and nothing else does."""
     known = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = known.groupBy("lang").count().orderBy("lang").toPandas()
     labels = counts["lang"].tolist()
     if not labels:
         return [], None
-    # about twice as many as asked for have hashes under this share of all; of them the smallest stay
+    sample = max(1, min(sample, most // len(labels)))
+    # about twice as many as asked for have hashes under this share of all; of them the smallest stay, those with one hash as one
     share = F.lit(0.0)
     for lang, n in zip(labels, counts["count"], strict=True):
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, 2.0 * sample / n + 20.0 / n))).otherwise(share)
     few = known.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) / float(1 << 53)).where(F.col("h") < share)
-    few = few.select("lang", "h", F.substring("text", 1, 8000).alias("text")).toPandas().sort_values(["lang", "h", "text"])
-    rng = np.random.default_rng(seed)
+    few = few.select("lang", "h", "text").mapInArrow(_draw, "lang string, h double, windows binary").groupBy("lang", "h").agg(F.min("windows").alias("windows")).toPandas().sort_values(["lang", "h"])
     windows, gold = [], []
     for i, lang in enumerate(labels):
-        for text in few["text"][few["lang"] == lang][:sample]:
-            raw = np.frombuffer(text.encode(), np.uint8)
-            own, _ = windows_of(raw, np.array([0, len(raw)]))
-            if len(own):
-                take = rng.permutation(len(own))[:WINDOWS_EACH]
-                windows.append(own[take])
-                gold += [i] * len(take)
-    if not windows:
+        for raw in few["windows"][few["lang"] == lang][:sample]:
+            windows.append(np.frombuffer(raw, "<u2").reshape(-1, WINDOW + max(WIDTHS) - 1).astype(np.int32))
+            gold += [i] * len(windows[-1])
+    if not gold:
         return labels, None
     network = Network.new(len(labels))
     network.fit(np.concatenate(windows), np.array(gold), steps)
@@ -177,7 +190,7 @@ def _predict(labels: list[str], network: Network | None):  # noqa: ANN202
                     hits = np.concatenate([[0], np.cumsum(_ASCII_LETTER[data])])[offsets]
                     letters[first : first + rows] = hits[1:] > hits[:-1]
                 for i in np.flatnonzero(~letters & (count > 0)):
-                    letters[i] = bool(_LETTER.search(column[int(i)].as_py()))
+                    letters[i] = any(map(str.isalpha, column[int(i)].as_py()))
                 p = np.exp(_log_softmax(total / np.maximum(count, 1)[:, None]))
                 at = p.argmax(axis=1)
                 best, score = np.where(letters, at, -1), np.where(letters, p[np.arange(len(p)), at], 0.0)
