@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACE, small_batches, span_hashes, text_chunks, text_only, window_hashes, word_spans, written
+from .common import _SPACE, hash_sample, small_batches, span_hashes, text_chunks, text_only, window_hashes, word_spans, written
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct", "n_upper", "n_digits", "n_marks", "n_lines")
@@ -171,37 +171,97 @@ def statistics(docs: DataFrame) -> DataFrame:
     return text_only(docs).mapInArrow(run, f"doc_id long, {names}")
 
 
-def judged(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_lost: float = 0.001, least_odds: float = 20.0, least_words: int = 50, most_repeat: int = 50) -> DataFrame:
-    """doc_id, the COUNTS, base_failed, a score_<group> (anomaly, 0 to 1) for each group of rules, and kept."""
-    stats = written(statistics(docs), "quality-stats")
+SCORES = [f"score_{g}" for g in GROUPS]
+
+
+@dataclass
+class Judge:
+    """Fixed limits, and a forest and the score from which it rejects for each group of rules (no forests: the limits alone)."""
+
+    forests: dict[str, Forest]
+    limits: dict[str, float]
+    least_words: int
+    most_repeat: int
+
+    def base_failed(self, x: dict[str, np.ndarray]) -> np.ndarray:
+        return (x["n_words"] < self.least_words) | (100 * x["n_repeat_words"] > self.most_repeat * x["n_words"])
+
+    def scores(self, x: dict[str, np.ndarray]) -> list[np.ndarray]:
+        rows = features(x)
+        return [self.forests[g].score(rows[g]) if g in self.forests else np.zeros(len(x["n_words"])) for g in GROUPS]
+
+    def kept(self, x: dict[str, np.ndarray], scores: list[np.ndarray]) -> np.ndarray:
+        out = ~self.base_failed(x)
+        for g, score in zip(GROUPS, scores, strict=True):
+            out &= score < self.limits.get(g, 2.0)
+        return out
+
+
+def fitted(stats: DataFrame, labels: DataFrame, sample: int = 20_000, most_lost: float = 0.001, least_odds: float = 20.0, least_words: int = 50, most_repeat: int = 50) -> Judge:
+    """The judge that the labelled rows of ``stats`` make: forests from at most ``sample`` of them, limits from all."""
     marked = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     base = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat * F.col("n_words"))
-    known = stats.where(~base).join(marked, "doc_id")
-    fit = known.orderBy(F.xxhash64("doc_id"), "doc_id", *COUNTS).limit(sample).select(*COUNTS).toPandas()
-    forests = {g: Forest.fit(rows) for g, rows in features({c: fit[c].to_numpy() for c in COUNTS}).items()} if len(fit) else {}
-    scores = [f"score_{g}" for g in GROUPS]
+    known = written(stats.where(~base).join(marked, "doc_id"), "quality-labelled")
+    fit = hash_sample(known, sample, "doc_id", *COUNTS).select(*COUNTS).toPandas()
+    judge = Judge({}, {}, least_words, most_repeat)
+    if len(fit):
+        judge.forests = {g: Forest.fit(rows) for g, rows in features({c: fit[c].to_numpy() for c in COUNTS}).items()}
+        scored = known.mapInArrow(_scored(judge, ["quality"]), f"quality long, {', '.join(f'{c} double' for c in SCORES)}")
+        judge.limits = thresholds(scored, most_lost, least_odds)
+    return judge
+
 
+def _counts(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    return {c: batch.column(c).to_numpy(zero_copy_only=False) for c in COUNTS}
+
+
+def _scored(judge: Judge, also: list[str]):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = features({c: batch.column(c).to_numpy(zero_copy_only=False) for c in COUNTS})
-            found = [forests[g].score(rows[g]) if forests else np.zeros(batch.num_rows) for g in GROUPS]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found)], names=[*batch.schema.names, *scores])
-
-    kinds = ", ".join([*(f"{c} long" for c in ("doc_id", *COUNTS)), *(f"{c} double" for c in scores)])
-    scored = written(stats.mapInArrow(run, kinds), "quality-scores")
-    labelled = scored.where(~base).join(marked, "doc_id")
-    limits = {c: threshold(labelled.select("quality", F.col(c).alias("score")), most_lost, least_odds) for c in scores}
-    normal = ~base
-    for c, limit in limits.items():
-        normal = normal & (F.col(c) < F.lit(limit))
-    return scored.withColumn("base_failed", base).withColumn("kept", normal)
-
-
-def threshold(scored: DataFrame, most_lost: float, least_odds: float) -> float:
-    """The lowest score bin from which at most ``most_lost`` of the good rows lie, with ``least_odds`` as many junk rows; 2 if there is none."""
-    bins = scored.groupBy(F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.count_if(F.col("quality") > 0).alias("good"), F.count_if(F.col("quality") <= 0).alias("junk")).toPandas()
-    good, junk = np.zeros(BINS), np.zeros(BINS)
-    good[bins["bin"].to_numpy(np.int64)], junk[bins["bin"].to_numpy(np.int64)] = bins["good"], bins["junk"]
-    above, caught = (np.cumsum(x[::-1])[::-1] for x in (good, junk))
-    allowed = np.flatnonzero((above <= most_lost * good.sum()) & (caught >= least_odds * above) & (caught > 0))
-    return allowed[0] / BINS if len(allowed) else 2.0
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).cast(pa.int64()) for c in also), *map(pa.array, judge.scores(_counts(batch)))], names=[*also, *SCORES])
+
+    return run
+
+
+def judged(docs: DataFrame, labels: DataFrame, **limits: float) -> DataFrame:
+    """doc_id, the COUNTS, base_failed, a score_<group> (anomaly, 0 to 1) for each group of rules, and kept."""
+    stats = written(statistics(docs), "quality-stats")
+    judge = fitted(stats, labels, **limits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _counts(batch)
+            scores = judge.scores(x)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, scores), pa.array(judge.base_failed(x)), pa.array(judge.kept(x, scores))], names=[*batch.schema.names, *SCORES, "base_failed", "kept"])
+
+    kinds = [*(f"{c} long" for c in ("doc_id", *COUNTS)), *(f"{c} double" for c in SCORES), "base_failed boolean", "kept boolean"]
+    return stats.mapInArrow(run, ", ".join(kinds))
+
+
+def kept_rows(docs: DataFrame, labels: DataFrame, **limits: float) -> DataFrame:
+    """The rows of ``docs`` that are kept, each judged by itself, with all their columns, whatever these are called; texts are read a second time instead of being shuffled."""
+    judge = fitted(written(statistics(docs), "quality-stats"), labels, **limits)
+    at = docs.schema.fieldNames().index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = text_counts(batch.column(at).cast(pa.string()))
+            yield batch.filter(pa.array(judge.kept(x, judge.scores(x))))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def thresholds(scored: DataFrame, most_lost: float, least_odds: float) -> dict[str, float]:
+    """For each group the lowest score bin from which at most ``most_lost`` of the good rows lie, with ``least_odds`` as many junk rows; 2 if there is none."""
+    one = F.explode(F.array(*(F.struct(F.lit(g).alias("rules"), F.col(c).alias("score")) for g, c in zip(GROUPS, SCORES, strict=True)))).alias("x")
+    bins = scored.select("quality", one).groupBy("x.rules", F.least(F.floor(F.col("x.score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
+    bins = bins.agg(F.count_if(F.col("quality") > 0).alias("good"), F.count_if(F.col("quality") <= 0).alias("junk")).toPandas()  # BINS rows of each group at most
+    out = {}
+    for g in GROUPS:
+        own = bins[bins["rules"] == g]
+        good, junk = np.zeros(BINS), np.zeros(BINS)
+        good[own["bin"].to_numpy(np.int64)], junk[own["bin"].to_numpy(np.int64)] = own["good"], own["junk"]
+        above, caught = (np.cumsum(x[::-1])[::-1] for x in (good, junk))
+        allowed = np.flatnonzero((above <= most_lost * good.sum()) & (caught >= least_odds * above) & (caught > 0))
+        out[g] = allowed[0] / BINS if len(allowed) else 2.0
+    return out
