@@ -1,8 +1,10 @@
 """N-gram Jaccard join with set-relation skipping.
 
-Documents become sets of hashed word shingles; two link when 100 * |x & y| >= percent * |x | y|. The join is exact:
+Documents become sets of word shingles, each known by a 64-bit name (its length class and a 56-bit hash); two link when
+100 * |x & y| >= percent * |x | y|. But for shingles of one name (odds of about 1e-17 for each two shingles), no link is lost or made up:
 
-1. Equal sets are one set (their answers are the same), named by a 64-bit fingerprint.
+1. Equal sets are one set (their answers are the same), named by a 64-bit fingerprint. A second fingerprint is held against
+   it: if two sets meet in the first alone, all are named anew by another seed.
 2. Highly similar sets are found by bucketed minima; each is checked against a few representatives of its bucket, and
    those that link with one share its answers from then on: no pair inside such a group is looked at again.
 3. An inverted index holds the prefix of each set (frequent shingles last). Its lists are ordered by size and position and
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _LOWER, components, mix, small_batches, span_hashes, text_chunks, text_only, window_hashes, word_spans, written
@@ -36,6 +38,8 @@ SKETCH_BITS = 512
 COUNT_SLICE, COUNT_LEAST = 4_000_000, 2
 #: Frequent shingles that are put last in the prefix order; any order is right, so the bound only limits the broadcast (4 MB).
 HOT_MOST = 1 << 18
+#: Seeds under which sets are named before giving up (each fails with odds of about n * n / 2^65).
+SEEDS = 4
 LIST_BLOCK = 2048
 #: Bits of the table that lets a pass over the text skip documents nobody asked for (2 MB broadcast); a false hit costs time only.
 FILTER_BITS = 1 << 24
@@ -73,9 +77,9 @@ def _named(hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
     return (np.uint64(255) - np.minimum(size, 255).astype(np.uint64)) << np.uint64(56) | hashes >> np.uint64(8)
 
 
-def set_name(h: np.ndarray) -> int:
+def set_name(h: np.ndarray, seed: int = 0) -> int:
     """The 64-bit fingerprint of a set of hashes (0: empty)."""
-    return int(mix(np.array([mix(h ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64) + np.uint64(len(h))], np.uint64)).view(np.int64)[0]) if len(h) else 0
+    return int(mix(np.array([mix(h ^ np.uint64(0xA5A5A5A5 + (seed << 32))).sum(dtype=np.uint64) + np.uint64(len(h))], np.uint64)).view(np.int64)[0]) if len(h) else 0
 
 
 def parity_sketch(h: np.ndarray) -> bytes:
@@ -97,9 +101,9 @@ def least_overlap(x, y, percent: int):  # noqa: ANN001, ANN201 - arrays or numbe
     return -((-percent * (x + y)) // (100 + percent))
 
 
-def _describe(k: int):  # noqa: ANN202
-    """Per row: size, fingerprint, band keys and sketch; and, without a document, the shingles often met in a slice of the task's rows."""
-    shape = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary()), ("hot", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
+def _describe(k: int, seed: int):  # noqa: ANN202
+    """Per row: size, fingerprint, second fingerprint, band keys and sketch; and, without a document, the shingles often met in a slice of the task's rows."""
+    shape = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("check", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary()), ("hot", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
 
     def frequent(held: list[np.ndarray]) -> pa.RecordBatch | None:
         if not held:
@@ -107,16 +111,17 @@ def _describe(k: int):  # noqa: ANN202
         u, c = np.unique(np.concatenate(held), return_counts=True)
         keep = c >= COUNT_LEAST
         none = [None]
-        return pa.RecordBatch.from_arrays([pa.array(none, t.type) for t in list(shape)[:5]] + [pa.array([u[keep].view(np.int64)], shape.field("hot").type), pa.array([c[keep]], shape.field("times").type)], schema=shape) if keep.any() else None
+        return pa.RecordBatch.from_arrays([pa.array(none, t.type) for t in list(shape)[:6]] + [pa.array([u[keep].view(np.int64)], shape.field("hot").type), pa.array([c[keep]], shape.field("times").type)], schema=shape) if keep.any() else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         seen: set[int] = set()
         total = 0
         for batch in batches:
-            n, fp, bands, sketch = [], [], [], []
+            n, fp, check, bands, sketch = [], [], [], [], []
             for _, h in shingle_sets(batch.column("text"), k):
-                name = set_name(h)
+                name = set_name(h, seed)
+                check.append(set_name(h, ~seed & 0x7FFFFFFF))
                 n.append(len(h))
                 fp.append(name)
                 bands.append(band_keys(h) if len(h) else None)
@@ -130,14 +135,14 @@ def _describe(k: int):  # noqa: ANN202
                         yield out
                     held, seen, total = [], set(), 0
             none = pa.nulls(len(n), shape.field("hot").type)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(bands, shape.field("bands").type), pa.array(sketch, pa.binary()), none, none], schema=shape)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(check, pa.int64()), pa.array(bands, shape.field("bands").type), pa.array(sketch, pa.binary()), none, none], schema=shape)
         if (out := frequent(held)) is not None:
             yield out
 
     return run
 
 
-def _postings(k: int, percent: int, hot: tuple[np.ndarray, np.ndarray]):  # noqa: ANN202
+def _postings(k: int, percent: int, seed: int, hot):  # noqa: ANN202
     """(token, fp, n, pos) of each set's prefix; a set that a task meets again is left out."""
     shape = pa.schema([("token", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
@@ -148,7 +153,7 @@ def _postings(k: int, percent: int, hot: tuple[np.ndarray, np.ndarray]):  # noqa
             own: list[np.ndarray] = []
             names, sizes = [], []
             for _, h in shingle_sets(batch.column("text"), k):
-                if not len(h) or (name := set_name(h)) in seen:
+                if not len(h) or (name := set_name(h, seed)) in seen:
                     continue
                 seen.add(name)
                 if len(tokens):
@@ -169,7 +174,7 @@ def _postings(k: int, percent: int, hot: tuple[np.ndarray, np.ndarray]):  # noqa
     return run
 
 
-def _sets(k: int, asked):  # noqa: ANN001, ANN202
+def _sets(k: int, seed: int, asked):  # noqa: ANN001, ANN202
     """(fp, items) of the documents that the filter table lets through."""
     shape = pa.schema([("fp", pa.int64()), ("items", pa.list_(pa.int64()))])
 
@@ -179,7 +184,7 @@ def _sets(k: int, asked):  # noqa: ANN001, ANN202
             at = batch.column("slot").to_numpy(zero_copy_only=False)
             wanted = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
             if wanted.any():
-                got = [(set_name(h), h.view(np.int64)) for _, h in shingle_sets(batch.column("text"), k, wanted)]
+                got = [(set_name(h, seed), h.view(np.int64)) for _, h in shingle_sets(batch.column("text"), k, wanted)]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([h for _, h in got], shape.field("items").type)], schema=shape)
 
     return run
@@ -189,13 +194,13 @@ def _slot(column: str):  # noqa: ANN202
     return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
 
 
-def sets_of(texts: DataFrame, reps: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+def sets_of(texts: DataFrame, reps: DataFrame, asked: DataFrame, k: int, seed: int) -> DataFrame:
     """(fp, items) of each fp in ``asked``; one more pass over the text, which works only on documents that may be asked for."""
     sc = texts.sparkSession.sparkContext
     marks = asked.join(reps, "fp").select(_slot("rep").alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(s & 63))")).alias("m")).toPandas()
     bits = np.zeros(FILTER_BITS >> 6, np.uint64)
     bits[marks["w"].to_numpy(np.int64)] = marks["m"].to_numpy(np.int64).view(np.uint64)
-    found = texts.select("text", _slot("doc_id").alias("slot")).mapInArrow(_sets(k, sc.broadcast(bits)), "fp long, items array<long>")
+    found = texts.select("text", _slot("doc_id").alias("slot")).mapInArrow(_sets(k, seed, sc.broadcast(bits)), "fp long, items array<long>")
     return found.join(asked.distinct(), "fp", "left_semi").dropDuplicates(["fp"])
 
 
@@ -328,18 +333,41 @@ def _candidates(percent: int, nearest: bool):  # noqa: ANN202
     return run_all
 
 
+def _frequent(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(names, ascending, and counts) of the most frequent shingles: all from the least count that leaves at most HOT_MOST.
+
+    That count follows from sums over classes of counts, so only the shingles chosen reach the driver."""
+    counted = described.where("hot is not null").select(F.explode(F.arrays_zip("hot", "times")).alias("x")).groupBy(F.col("x.hot").alias("t")).agg(F.sum("x.times").alias("c")).where("c > 2")
+    counted = written(counted.withColumn("class", F.floor(8 * F.log2("c"))), "jaccard-frequent")
+    classes = counted.groupBy("class").agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("class")).collect()  # a row for each eighth of a power of two
+    total, least = 0, None
+    for row in classes:
+        if (total := total + row["n"]) > HOT_MOST:
+            break
+        least = row["least"]
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    hot = counted.where(F.col("c") >= least).select("t", "c").toPandas()
+    tokens, times = hot["t"].to_numpy(np.int64).view(np.uint64), hot["c"].to_numpy(np.int64)
+    order = np.argsort(tokens)
+    return tokens[order], times[order]
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id of its class), fp (its set's name)."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = text_only(docs)
-    described = written(texts.mapInArrow(_describe(k), "doc_id long, n long, fp long, bands array<long>, sketch binary, hot array<long>, times array<long>"), "jaccard-sets")
+    for seed in range(SEEDS):
+        described = written(texts.mapInArrow(_describe(k, seed), "doc_id long, n long, fp long, check long, bands array<long>, sketch binary, hot array<long>, times array<long>"), "jaccard-sets")
+        sets = described.where("fp is not null and n > 0").groupBy("fp").agg(F.min("n").alias("n"), F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.min("check").alias("check"), F.max("check").alias("other"))
+        sets = written(sets, "jaccard-distinct")
+        if sets.where("check <> other").isEmpty():
+            break
+    else:
+        raise RuntimeError("sets met in their names under every seed")
     rows = described.where("fp is not null").select("doc_id", "n", "fp")
-    hot = described.where("hot is not null").select(F.explode(F.arrays_zip("hot", "times")).alias("x")).groupBy(F.col("x.hot").alias("t")).agg(F.sum("x.times").alias("c")).where("c > 2").orderBy(F.desc("c"), "t").limit(HOT_MOST).toPandas()
-    tokens, times = hot["t"].to_numpy(np.int64).view(np.uint64), hot["c"].to_numpy(np.int64)
-    order = np.argsort(tokens)
-    sets = described.where("fp is not null and n > 0").groupBy("fp").agg(F.min("n").alias("n"), F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    sets = written(sets, "jaccard-distinct")
+    tokens, times = _frequent(described)
     reps = sets.select("fp", "rep")
 
     # highly similar sets: each against the representatives of the largest bucket that it is in
@@ -351,16 +379,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     near = written(near, "jaccard-near")
     chosen = written(buckets.join(near.select("band").distinct(), "band", "left_semi").select("band", F.explode("reps").alias("rep")), "jaccard-representatives")
     asked = near.select("fp").unionByName(chosen.select(F.col("rep").alias("fp"))).distinct()
-    found = sets_of(texts, reps, asked, k)
+    found = sets_of(texts, reps, asked, k, seed)
     member = found.join(near, "fp").select("band", F.col("fp").alias("a"), F.col("items").alias("a_items"))
     known = found.select(F.col("fp").alias("rep"), F.col("items").alias("b_items")).join(chosen, "rep").select("band", F.col("rep").alias("b"), "b_items")
     same = written(_links(member.join(known, "band").where("a <> b"), percent), "jaccard-same")
     classes = components(same, "jaccard-classes")
 
     # the index of prefixes, for what those links leave open
-    posts = texts.mapInArrow(_postings(k, percent, spark.sparkContext.broadcast((tokens[order], times[order]))), "token long, fp long, n int, pos int")
-    by = Window.partitionBy("token")
-    met = posts.withColumns({"first": F.min("fp").over(by), "last": F.max("fp").over(by), "many": F.count("*").over(by)}).where("first < last").drop("first", "last")
+    posts = texts.mapInArrow(_postings(k, percent, seed, spark.sparkContext.broadcast((tokens, times))), "token long, fp long, n int, pos int")
+    # lists are counted by partial sums and dealt out by their counts: no task takes a whole long list
+    posts = written(posts, "jaccard-postings")
+    lists = posts.groupBy("token").agg(F.min("fp").alias("first"), F.max("fp").alias("last"), F.count("*").alias("many")).where("first < last").select("token", "many")
+    met = posts.join(lists, "token")
     dealt = met.join(sets.select("fp", "sketch"), "fp").withColumn("g", F.ceil(F.col("many") / LIST_BLOCK)).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("g")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
@@ -374,7 +404,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         pairs = written(placed.mapInArrow(_candidates(percent, nearest), "token long, a long, b long, more long"), "jaccard-pairs")
         own = pairs.select("a", "b").distinct()
         asked = own.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        return pairs, written(linked(own, sets_of(texts, reps, asked, k), percent), "jaccard-checked")
+        return pairs, written(linked(own, sets_of(texts, reps, asked, k, seed), percent), "jaccard-checked")
 
     pairs, more = checked(dealt, nearest=True)
     links = links.unionByName(more)
