@@ -2,8 +2,12 @@
 
 Unit vectors are cut into two halves, each quantised by its own codebook (k-means in numpy on at most ``sample`` vectors, the
 smallest hashes of vec_id); a cell is a pair of centroids. Every vector is indexed. A query takes cells in the order of
-their summed distances, with a heap over the two sorted lists of centroids, until the cells hold ``share`` of all distinct
-vectors (at least ``least``), and the entries of those cells are reranked by their exact cosine, in double precision.
+their summed distances, with a heap over the two sorted lists of centroids, until the cells hold as many distinct vectors
+as are wanted, and the entries of those cells are reranked by their exact cosine, in double precision.
+
+How many are wanted is measured, unless ``share`` of all is given: the true neighbours of ``probes`` vectors are found among
+all entries, and as many are taken (at least ``least``) as leave a share ``recall`` of these in the cells read. Vectors in
+clusters need few; vectors without structure need a third of all or more.
 
 Equal vectors are one entry with its k + 1 smallest ids: no more can be among a query's k nearest, so a vector that a third
 of the rows hold costs as much as any other. Cells are dealt out in slices of their entries, so a hot cell is many tasks,
@@ -25,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hash_sample, written
 
 #: Entries of a slice of a cell range (a 256th of all, within bounds), and queries of a block, that one task multiplies.
-SLICE_LEAST, SLICE_MOST, QUERY_BLOCK = 1024, 1 << 16, 4096
+SLICE_LEAST, SLICE_MOST, QUERY_BLOCK = 1024, 1 << 16, 1 << 15
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 15, seed: int = 0) -> np.ndarray:
@@ -147,7 +151,50 @@ def _rerank(k: int):  # noqa: ANN202
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = 0.5, least: int = 2000, sample: int = 20_000, books: int | None = None) -> DataFrame:
+def _probe(ids: np.ndarray, x: np.ndarray, k: int, size: int):  # noqa: ANN202
+    """The k nearest entries of each probe among a task's entries."""
+    shape = pa.schema([("probe", pa.int64()), ("score", pa.float64()), ("vec_id", pa.int64()), ("cell", pa.int64())])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0), np.int64)]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = _matrix(batch.column("v"), size)
+            own = batch.column("ids").combine_chunks() if isinstance(batch.column("ids"), pa.ChunkedArray) else batch.column("ids")
+            first = own.flatten().to_numpy()[np.concatenate([[0], np.cumsum(own.value_lengths().to_numpy())[:-1]])]
+            score = np.where(first[None] == ids[:, None], -9.0, unit @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T)
+            wide = lambda y: np.broadcast_to(y, score.shape)  # noqa: B023, E731
+            both = [np.concatenate([a, b], axis=1) for a, b in zip(best, (score, wide(first), wide(batch.column("cell").to_numpy())), strict=True)]
+            top = np.argsort(-both[0], axis=1, kind="stable")[:, :k]
+            best = [np.take_along_axis(y, top, 1) for y in both]
+        n = best[0].shape[1]
+        if n:
+            keep = best[0].ravel() > -8
+            yield pa.RecordBatch.from_arrays([pa.array(y.ravel()[keep]) for y in (np.repeat(np.arange(len(ids)), n), *best)], schema=shape)
+
+    return run
+
+
+def entries_wanted(index: DataFrame, probes: DataFrame, books: tuple[np.ndarray, np.ndarray], counts: np.ndarray, k: int, recall: float) -> int:
+    """How many entries the cells read must hold at least, so that ``recall`` of the probes' true neighbours (v, i) are among them."""
+    few = probes.toPandas()
+    x, ids = np.stack(few["v"].to_numpy()), few["i"].to_numpy(np.int64)
+    size = x.shape[1]
+    near = index.mapInArrow(_probe(ids, x, k, size), "probe long, score double, vec_id long, cell long")
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k).select("probe", "cell").toPandas()
+    unit, h = x / np.linalg.norm(x, axis=1, keepdims=True), size // 2
+    before = []
+    for p, cells in near.groupby("probe")["cell"]:
+        order = np.argsort((distances(unit[p : p + 1, :h], books[0])[0][:, None] + distances(unit[p : p + 1, h:], books[1])[0][None]).ravel(), kind="stable")
+        held = np.empty(len(order), np.int64)
+        held[order] = np.cumsum(counts[order]) - counts[order]
+        before += held[cells.to_numpy()].tolist()
+    return int(np.quantile(before, recall, method="higher")) + 1 if before else 1
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float | None = None, recall: float = 0.96, least: int = 2000, sample: int = 20_000, probes: int = 256, books: int | None = None) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest found of each query row (vec_id, embedding), nearest first."""
     spark = vectors.sparkSession
     sc = spark.sparkContext
@@ -162,8 +209,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = 0
     distinct = usable(vectors).mapInArrow(_valid(size, k + 1), "v array<double>, ids array<long>")
     distinct = written(distinct.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids")), "ann-distinct")
     n = distinct.count()
-    few = distinct.select("v", F.element_at("ids", 1).alias("i")).orderBy(F.xxhash64("i"), "i").limit(sample).toPandas()
-    x = np.stack(few["v"].to_numpy())
+    named = distinct.select("v", F.element_at("ids", 1).alias("i"))
+    x = np.stack(hash_sample(named, sample, "i").toPandas()["v"].to_numpy())
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     h = size // 2
     centroids = books or int(np.clip(2 ** round(np.log2(max(n, 1)) / 2 - 1), 4, 256))
@@ -176,7 +223,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = 0
     slice_rows = int(np.clip(n // 256, SLICE_LEAST, SLICE_MOST))
     group = (np.cumsum(counts) - counts) // slice_rows
     slices = np.maximum(1, -(-np.bincount(group, counts).astype(np.int64) // slice_rows))
-    wanted = max(least, int(np.ceil(share * n)))
+    wanted = max(least, int(np.ceil(share * n)) if share is not None else entries_wanted(index, hash_sample(named, probes, "i"), pair, counts, k, recall))
     routed = usable(queries).mapInArrow(_route(pair, sc.broadcast(counts.reshape(len(pair[0]), -1)), wanted, size, sc.broadcast(group)), "grp long, query_id long, v array<double>, cells array<long>")
     groups = spark.createDataFrame(pd.DataFrame({"cell": np.arange(len(group)), "grp": group, "slices": slices[group]}).astype("int64"))
     entries = index.join(F.broadcast(groups), "cell").withColumn("slice", F.pmod(F.xxhash64("ids"), F.col("slices"))).drop("slices")
