@@ -5,25 +5,37 @@ named users; system turns stay as they are. A rendering is a row per turn (its s
 ends, and the part of it that counts in the loss), so a conversation of any length is never one row or one task: places come
 from sums within stretches of BUCKET_TURNS turns, and of whole stretches before them.
 
-Defined cases: null text is empty; a null speaker is the participant ``unknown``; a null turn comes first; equal turns go by
-speaker, then text; a null conversation id is one conversation; a conversation of system turns alone has no rendering; other
-columns are ignored; an empty table gives an empty table.
+Names stand for speakers one to one: in them %, |, <, >, and line ends are written as %25, %7C, %3C, %3E, %0A and %0D, and a
+null speaker is ``%null``, which no other can be. Only a speaker called exactly ``system`` is the system.
+
+Defined cases: null text is empty; null turns come first, in NULL_STRETCHES stretches by a hash of speaker and text, in these
+by speaker, then text; equal turns go by speaker, then text; a null conversation id is one conversation; a conversation of
+system turns alone has no rendering; other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_TURNS = 1024
+NULL_STRETCHES = 64
 END = "<|end|>\n"
+#: How characters that headers use are written in names; the first goes first.
+ESCAPES = (("%", "%25"), ("|", "%7C"), ("<", "%3C"), (">", "%3E"), ("\n", "%0A"), ("\r", "%0D"))
+
+
+def shown_name(speaker: Column) -> Column:
+    name = speaker.cast("string")
+    for plain, written in ESCAPES:
+        name = F.replace(name, F.lit(plain), F.lit(written))
+    return F.coalesce(name, F.lit("%null"))
 
 
 def rotated(turns: DataFrame, speaker: str = "role", system: str = "system") -> DataFrame:
     """conv_id, perspective, turn, role, name, segment, start, mask_start, mask_end, end (code points of the rendering)."""
-    name = F.regexp_replace(F.coalesce(F.col(speaker).cast("string"), F.lit("unknown")), "[^A-Za-z0-9_-]", "_")
-    bucket = F.coalesce(F.floor(F.col("turn") / BUCKET_TURNS), F.lit(-(1 << 60)))
-    own = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), name.alias("name"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("bucket", bucket)
+    bucket = F.coalesce(F.floor(F.col("turn") / BUCKET_TURNS), F.lit(-(1 << 60)) + F.pmod(F.xxhash64("name", "text"), F.lit(NULL_STRETCHES)))
+    own = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), shown_name(F.col(speaker)).alias("name"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("bucket", bucket)
     people = own.where(F.col("name") != system).select(F.col("conv_id").alias("conv"), F.col("name").alias("perspective")).distinct()
     seen = own.join(people, F.col("conv_id").eqNullSafe(F.col("conv"))).drop("conv")
     role = F.when(F.col("name") == system, F.lit("system")).when(F.col("name") == F.col("perspective"), F.lit("assistant")).otherwise(F.lit("user"))
@@ -41,9 +53,17 @@ def rotated(turns: DataFrame, speaker: str = "role", system: str = "system") ->
     return placed.select("conv_id", "perspective", "turn", "role", "name", "segment", start.alias("start"), mask_start.alias("mask_start"), F.when(F.col("role") == "assistant", end).otherwise(mask_start).alias("mask_end"), end.alias("end"))
 
 
+def several_parties(conversations: DataFrame) -> DataFrame:
+    """The table of conversations as dialogues of up to four people (``speaker``): users and assistants take turns in pairs, system turns stay."""
+    second = F.pmod(F.floor(F.col("turn") / 2), F.lit(2)) + 1
+    return conversations.withColumn("speaker", F.when(F.col("role") == "system", F.col("role")).otherwise(F.concat("role", F.lit("|"), second)))
+
+
 ORACLE_SQL = """
-WITH own AS (
-  SELECT conv_id, turn, regexp_replace(coalesce(role, 'unknown'), '[^A-Za-z0-9_-]', '_', 'g') AS name, coalesce(text, '') AS text FROM conversations
+WITH named AS (
+  SELECT conv_id, turn, CASE WHEN role = 'system' THEN role ELSE role || '|' || (floor(turn / 2.0)::BIGINT % 2 + 1) END AS speaker, coalesce(text, '') AS text FROM conversations
+), own AS (
+  SELECT conv_id, turn, coalesce(replace(replace(replace(replace(replace(replace(speaker, '%', '%25'), '|', '%7C'), '<', '%3C'), '>', '%3E'), chr(10), '%0A'), chr(13), '%0D'), '%null') AS name, text FROM named
 ), people AS (
   SELECT DISTINCT conv_id, name AS perspective FROM own WHERE name <> 'system'
 ), seen AS (

@@ -32,7 +32,7 @@ def op3_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page asked for again with its URL's first validator: the response each answer belongs to, and the merged headers."""
+    """The front pages asked for with every page, some answered as not modified: the response each such answer belongs to, and the merged headers."""
     found = warc_revisits.resolved(*warc_revisits.captures(table(spark, sf_dir, "pages")))
     lines = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))), "|")
     return found.select("record_id", "url_key", "status", "response_id", F.when(F.col("headers").isNotNull(), lines).alias("headers"))
@@ -45,8 +45,8 @@ def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every dialogue from the perspective of each of its participants, a row per turn."""
-    found = perspectives.rotated(table(spark, sf_dir, "conversations"))
+    """Every dialogue, of up to four people and the system, from the perspective of each of its participants, a row per turn."""
+    found = perspectives.rotated(perspectives.several_parties(table(spark, sf_dir, "conversations")), "speaker")
     return found.select("conv_id", "perspective", "turn", "role", "name", "start", "mask_start", "mask_end", "end", F.md5("segment").alias("segment_md5"))
 
 

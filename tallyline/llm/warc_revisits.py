@@ -9,7 +9,8 @@ A URL's events are cut into stretches of time (quantiles of all events), each so
 the last response of the stretches before it, of which a URL has at most STRETCHES. So a hot URL is many tasks.
 
 Defined cases: a null or blank URL, or a null time, never matches (``no_response``); of responses at the same time the larger
-record id counts as later; a revisit doesn't see a response of its own time; null headers are empty; rows that repeat a
+record id counts as later; a revisit doesn't see a response of its own time; null headers are empty; of header names that differ in case alone the last
+by code point stays, with the largest value; rows that repeat a
 record id are resolved one by one; other columns are ignored; empty tables give an empty table.
 """
 
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STRETCHES = 64
+#: Ids after which the front pages of captures() have a new version.
+VERSION = 1000
 #: The header fields that a not-modified answer may update.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 _DROPPED = "^(utm_[a-z]+|ref|fbclid|gclid)(=|$)"
@@ -36,6 +39,13 @@ def canonical_url(url: Column) -> Column:
     return F.when(whole != "", whole)
 
 
+def lower_names(headers: Column) -> Column:
+    """The headers with names in lower case; of those that differ in case alone the last one by name, then value."""
+    one = F.array_sort(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["key"].alias("own"), e["value"].alias("value"))))
+    lasts = F.filter(one, lambda e, i: (i + 1 == F.size(one)) | (F.get(one, i + 1)["key"] != e["key"]))
+    return F.map_from_entries(F.transform(lasts, lambda e: F.struct(e["key"], e["value"])))
+
+
 def _etag(c: str) -> Column:
     return F.regexp_replace(F.col(c), "^W/", "")
 
@@ -67,39 +77,40 @@ def resolved(responses: DataFrame, revisits: DataFrame) -> DataFrame:
     tag, modified = F.regexp_replace("response.tag", "^W/", ""), F.col("response.modified")
     agrees = F.when(F.col("etag").isNotNull() & tag.isNotNull(), _etag("etag") == tag).when(F.col("last_modified").isNotNull() & modified.isNotNull(), F.col("last_modified") == modified).otherwise(F.lit(True))
     status = F.when(F.col("response").isNull(), "no_response").when(agrees, "resolved").otherwise("validator_mismatch")
-    lower = lambda m: F.map_from_entries(F.transform(F.map_entries(m), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
-    update = F.map_filter(lower(F.col("headers")), lambda k, _: k.isin(*PERMITTED))
-    kept = F.map_filter(lower(F.col("response.stored")), lambda k, _: ~F.array_contains(F.map_keys(update), k))
+    update = F.map_filter(lower_names(F.col("headers")), lambda k, _: k.isin(*PERMITTED))
+    kept = F.map_filter(lower_names(F.col("response.stored")), lambda k, _: ~F.array_contains(F.map_keys(update), k))
     return both.withColumn("status", status).select("record_id", "url_key", "status", F.col("response.id").alias("response_id"), F.when(F.col("status") == "resolved", F.map_concat(kept, update)).alias("headers"))
 
 
 def captures(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(responses, revisits) for a table of pages: each page is a full response at time 2 * page_id, and is asked for again at once with the validator of its URL's first capture."""
-    key = canonical_url(F.col("url"))
-    page = pages.select(F.col("page_id").cast("long").alias("record_id"), "url", key.alias("k"), F.md5(F.coalesce("html", F.lit(""))).alias("digest"), F.length(F.coalesce("html", F.lit(""))).alias("n"))
-    tag = lambda c: F.concat(F.lit('"'), F.substring(c, 1, 16), F.lit('"'))
-    date = lambda t: F.concat(F.lit("t"), t.cast("string"))
-    responses = page.select("record_id", "url", (F.col("record_id") * 2).alias("ts"), tag("digest").alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.create_map(F.lit("Content-Length"), F.col("n").cast("string"), F.lit("Content-Type"), F.lit("text/html"), F.lit("Date"), date(F.col("record_id") * 2), F.lit("ETag"), tag("digest")).alias("headers"))
-    first = page.where("k is not null").groupBy("k").agg(F.min_by("digest", "record_id").alias("first"))
-    again = page.join(first, "k", "left").select("record_id", "url", (F.col("record_id") * 2 + 1).alias("ts"), tag(F.coalesce("first", "digest")).alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.create_map(F.lit("Content-Length"), F.lit("0"), F.lit("Date"), date(F.col("record_id") * 2 + 1), F.lit("Server"), F.lit("s")).alias("headers"))
-    return responses, again
+    """(responses, revisits) for a table of pages: with each page the front page of its host was asked for, at time page_id.
+
+    A hash of page_id says whether that was a full response or a not-modified answer, and whether it came with an entity tag.
+    A front page has a new version every VERSION ids, and another last-modified date every 2 * VERSION."""
+    dice = F.md5(F.col("page_id").cast("string"))
+    tag = F.concat(F.lit('"'), F.substring(F.md5(F.concat_ws(" ", canonical_url(F.col("front")), F.floor(F.col("ts") / VERSION).cast("string"))), 1, 16), F.lit('"'))
+    page = pages.withColumns({"record_id": F.col("page_id").cast("long"), "ts": F.col("page_id").cast("long"), "front": F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)})
+    page = page.withColumns({"etag": F.when(F.substring(dice, 2, 1) < "c", tag), "last_modified": F.concat(F.lit("v"), F.floor(F.col("ts") / (2 * VERSION)).cast("string")), "revisit": F.substring(dice, 1, 1) < "6"})
+    common = ("record_id", F.col("front").alias("url"), "ts", "etag", "last_modified")
+    date = F.concat(F.lit("t"), F.col("ts").cast("string"))
+    full = F.map_concat(F.create_map(F.lit("Content-Length"), F.length("html").cast("string"), F.lit("Content-Type"), F.lit("text/html"), F.lit("Date"), date), F.when(F.col("etag").isNotNull(), F.create_map(F.lit("ETag"), F.col("etag"))).otherwise(F.from_json(F.lit("{}"), "map<string,string>")))
+    brief = F.create_map(F.lit("Content-Length"), F.lit("0"), F.lit("Date"), date, F.lit("Server"), F.lit("s"))
+    return page.where(~F.col("revisit")).select(*common, full.alias("headers")), page.where("revisit").select(*common, brief.alias("headers"))
 
 
 ORACLE_SQL = r"""
-WITH bare AS (
-  SELECT page_id, md5(coalesce(html, '')) AS digest, length(coalesce(html, '')) AS n,
-    regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS b FROM pages
-), parts AS (
-  SELECT *, regexp_extract(b, '^([^/?]*)', 1) AS host, substr(b, length(regexp_extract(b, '^([^/?]*)', 1)) + 1) AS rest FROM bare
-), lists AS (
-  SELECT *, list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))) AS q FROM parts
-), keyed AS (
-  SELECT page_id, digest, n, regexp_replace(regexp_replace(lower(host), '^www[0-9]*\.', ''), ':(80|443)$', '') || regexp_replace(regexp_extract(rest, '^([^?]*)', 1), '/+$', '')
-    || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url_key FROM lists
-), firsts AS (
-  SELECT *, first_value(digest) OVER (PARTITION BY url_key ORDER BY page_id) AS first FROM keyed
+WITH asked AS (
+  SELECT page_id, length(html) AS n, md5(page_id::VARCHAR) AS dice,
+    regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www[0-9]*\.', ''), ':(80|443)$', '') AS host FROM pages
+), events AS (
+  SELECT page_id, n, nullif(host, '') AS url_key, substr(dice, 1, 1) < '6' AS revisit, 'v' || (page_id // 2000) AS modified,
+    CASE WHEN substr(dice, 2, 1) < 'c' THEN '"' || substr(md5(concat_ws(' ', nullif(host, ''), page_id // 1000)), 1, 16) || '"' END AS etag FROM asked
+), found AS (
+  SELECT v.page_id AS record_id, v.url_key, r.page_id AS response_id, r.n, r.etag AS old_tag,
+    CASE WHEN v.etag IS NOT NULL AND r.etag IS NOT NULL THEN v.etag = r.etag ELSE v.modified = r.modified END AS agrees
+  FROM (SELECT * FROM events WHERE revisit) v ASOF LEFT JOIN (SELECT * FROM events WHERE NOT revisit) r ON v.url_key = r.url_key AND v.page_id > r.page_id
 )
-SELECT page_id AS record_id, url_key, CASE WHEN substr(first, 1, 16) = substr(digest, 1, 16) THEN 'resolved' ELSE 'validator_mismatch' END AS status, page_id AS response_id,
-  CASE WHEN substr(first, 1, 16) = substr(digest, 1, 16) THEN 'content-length:' || n || '|content-type:text/html|date:t' || (2 * page_id + 1) || '|etag:"' || substr(digest, 1, 16) || '"' END AS headers
-FROM firsts
+SELECT record_id, url_key, CASE WHEN response_id IS NULL THEN 'no_response' WHEN agrees THEN 'resolved' ELSE 'validator_mismatch' END AS status, response_id,
+  CASE WHEN response_id IS NOT NULL AND agrees THEN 'content-length:' || n || '|content-type:text/html|date:t' || record_id || CASE WHEN old_tag IS NULL THEN '' ELSE '|etag:' || old_tag END END AS headers
+FROM found
 """
