@@ -7,8 +7,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tallyline.llm.char_tagger import PAD, Tagger, encode, tag_spans
 from tallyline.llm import byte_cnn, cost_packing, cube_mixing, jaccard_join, pii, quality_forest, repair_codec
-from tallyline.llm.common import components, text_chunks, word_tokenizer
+from tallyline.llm.common import components, text_chunks, word_tokenizer, hash_sample, thinned
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -136,32 +137,149 @@ def test_personal_data(docs, none):
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     for r in found:
         own = _naive(texts[r.doc_id])
-        assert [r[f"n_{k}"] for k in pii.KINDS] == [len(own[k]) for k in pii.KINDS]
+        assert [r[f"n_{k}"] for k in pii.BASE] == [len(own[k]) for k in pii.BASE]
         base = pii.joined(own)
         assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
-        assert set(filter(None, base.split(","))) <= set(r.spans.split(","))
+        spans = [x for x in r.spans.split(",") if x]
+        assert set(filter(None, base.split(","))) <= set(spans) and r.n_spans == len(spans) == r.n_added + len([x for x in base.split(",") if x])
     assert pii.personal_data(none, steps=2).count() == 0
 
 
-def test_tagger_finds_written_out_variants():
-    tagger = pii.trained([], 400)
+@pytest.fixture(scope="module")
+def tagger():
+    return pii.trained([], 350)
+
+
+def test_tagger_finds_written_out_variants(tagger):
     rng = np.random.default_rng(77)
     texts, gold = [], []
-    for _ in range(300):
-        middle, kind = pii._variants(rng)
-        texts.append("and then the " + middle + " of what was")
-        gold.append((pii.KINDS.index(kind), 13, 13 + len(middle)) if kind else None)
-    got = pii.tag_regions(tagger, texts)
+    for _ in range(400):
+        before, middle, behind, kind = pii._variants(rng)
+        texts.append("and then the " + before + middle + behind + " of what was")
+        at = 13 + len(before)
+        gold.append((kind, at, at + len(middle)) if kind else None)
+    got = pii.added(tagger, texts, [{} for _ in texts], 4.0)
     hit = sum(g in s for s, g in zip(got, gold, strict=True) if g)
     false = sum(bool(s) for s, g in zip(got, gold, strict=True) if not g)
-    assert hit >= 0.85 * sum(g is not None for g in gold) and false <= 0.1 * sum(g is None for g in gold)
+    assert hit >= 0.8 * sum(g is not None for g in gold) and false <= 0.1 * sum(g is None for g in gold)
 
 
-def test_masking(docs, spark):
-    found = spark.createDataFrame([(10, "email:9:26,phone:30:47")], "doc_id long, spans string")
-    out = by_id(pii.masked(docs.where("doc_id < 40 or doc_id is null"), found))
-    assert out[10].text == "mail me: [EMAIL] or [PHONE] now" and out[0].text is None and out[10].fp == 1
-    assert pii.redacted("abcdef", "email:1:4,phone:2:5", "[{}]") == "a[EMAIL]f"
+def test_best_paths_are_those_of_an_exhaustive_decode(tagger):
+    """Of every text, by the CRF's recursion over all of its characters, with every tag at every place."""
+    rng = np.random.default_rng(3)
+    words = "the and of to in at dot key token 4111 1111 10.0.0.1 jo@a.example.org x9f86d081884c7d 555-1234 +1 (613)".split()
+    texts = [" ".join(rng.choice(words, n)) for n in (0, 1, 2, 9, 40, 200, 700)] + ["9f86d081" * 200, "jo.doe@" + "a" * 1500 + ".org"]
+    trans = tagger.transitions()
+    for text, got in zip(texts, tagger.spans([encode(t) for t in texts]), strict=True):
+        if not text:
+            assert got == []
+            continue
+        e = tagger.whole_emissions([encode(text)], np.zeros(1, np.int64), len(text) + 1)[:, : len(text)].T.astype(float)
+        best, back = np.where(np.arange(tagger.tags) % 2 * 2 + (np.arange(tagger.tags) == 0) > 0, e[0], -1e9), []
+        for t in range(1, len(text)):
+            s = best[:, None] + trans
+            back.append(s.argmax(axis=0))
+            best = s.max(axis=0) + e[t]
+        tags = [int(best.argmax())]
+        for b in reversed(back):
+            tags.append(int(b[tags[-1]]))
+        assert [x[:3] for x in got] == tag_spans(np.array(tags[::-1]))
+
+
+def test_windows_are_stitched(tagger):
+    """Emissions don't depend on which texts are read together, and spans may cross windows."""
+    filler = "and so it went on for a while with nothing of note "
+    long = "jo." + "x" * 900 + "@fields.example.org"
+    texts = [filler * 12 + 'password: "9f86d081884c7d659a2feaa0c55ad015"' + filler * 30, filler, filler * 8 + long + " " + filler]
+    alone = [tagger.spans([encode(t)])[0] for t in texts]
+    assert [[x[:3] for x in own] for own in alone] == [[x[:3] for x in own] for own in tagger.spans([encode(t) for t in texts])]
+    assert any(filler * 12 + 'password: "' == texts[0][:a] for _, a, _, _ in alone[0]) and not alone[1]
+    # two windows and their contexts are read as one long window is
+    text = encode(filler * 20)
+    whole = tagger.emissions(text[:, None].astype(np.int64))[:, :, 0]
+    assert np.abs(tagger.whole_emissions([text], np.zeros(1, np.int64), len(text) + 1)[:, : len(text)].T - whole).max() < 0.5
+
+
+def test_gradients_are_those_of_differences():
+    tagger = Tagger.new(2, size=5, hidden=4)
+    tagger.p = {k: v.astype(np.float64) for k, v in tagger.p.items()}
+    rng = np.random.default_rng(0)
+    codes, gold = rng.integers(97, 123, (3, 9)), rng.integers(0, 5, (3, 9))
+    codes[0, -2:] = PAD
+    _, grad = tagger.gradients(codes, gold)
+    for k, p in tagger.p.items():
+        i = (int(codes[1, 4]), 2) if k == "emb" else tuple(rng.integers(0, n) for n in p.shape)
+        own, ends = p[i], []
+        for step in (1e-4, -1e-4):
+            p[i] = own + step
+            ends.append(tagger.gradients(codes, gold)[0])
+        p[i] = own
+        assert (ends[0] - ends[1]) / 2e-4 == pytest.approx(float(grad[k][i]), abs=2e-4)
+
+
+def test_planted_variants_in_whole_documents(spark):
+    """Precision and recall in documents of which each holds one spelled-out address, one key or nothing."""
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null and length(text) between 300 and 4000").orderBy("doc_id").limit(300)
+    rng = np.random.default_rng(8)
+    rows, planted = [], {}
+    for r in real.collect():
+        cut = r.text.find(" ", len(r.text) // 2)
+        if r.doc_id % 3 and cut > 0:
+            word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+            new = f"{word(5)} dot {word(6)} at {word(7)} dot org" if r.doc_id % 3 == 1 else "".join(rng.choice(list("0123456789abcdef"), 40))
+            lead = " " if r.doc_id % 3 == 1 else ' token = "'
+            rows.append((r.doc_id, r.text[:cut] + lead + new + (" " if lead == " " else '" ') + r.text[cut:]))
+            planted[r.doc_id] = (cut + len(lead), cut + len(lead) + len(new))
+        else:
+            rows.append((r.doc_id, r.text))
+    found = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    right = wrong = 0
+    for i, r in found.items():
+        base = set(filter(None, pii.joined(_naive(texts[i])).split(",")))
+        for x in set(filter(None, r.spans.split(","))) - base:
+            a, b = map(int, x.split(":")[1:])
+            true = (a, b) == planted.get(i) or re.fullmatch("[0-9a-fA-F]{40}", texts[i][a:b])
+            right, wrong = right + bool(true and (a, b) == planted.get(i)), wrong + (not true)
+    assert right >= 0.9 * len(planted) and wrong <= 0.05 * right
+
+
+def test_masking(docs):
+    out = by_id(pii.masked(docs.where("doc_id < 40 or doc_id is null"), steps=5))
+    assert out[10].text.startswith("mail me: [EMAIL] or [PHONE] now") and out[0].text is None and out[10].fp == 1
+    assert pii.redacted("abcdef", [("email", 1, 4), ("phone", 2, 5)], "[{}]") == "a[EMAIL]f"
+
+
+# --- hashes and samples -------------------------------------------------------------------------------------------
+
+
+def _complement_pair(n):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - x for x in bits]
+    return "".join("ab"[x] for x in bits[:n]), "".join("ba"[x] for x in bits[:n])
+
+
+@pytest.mark.parametrize("n", [64, 256, 1024])
+def test_words_whose_bytes_cancel_out_stay_apart(spark, n, tokenizer):
+    a, b = _complement_pair(n)
+    rows = [(1, f"{a} and so {a} it is"), (2, f"{b} and so {b} it is"), (3, f"{a} {b}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = {r.doc_id: r.ids_crc32 for r in repair_codec.round_trip(docs).collect()}
+    want = {i: zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()) for i, t in rows}
+    assert found == want
+    assert {r.doc_id: r.doc_tokens for r in cost_packing.packed(docs).collect()} == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows}
+    assert all(r.component_id == r.doc_id for r in jaccard_join.jaccard_components(docs, k=2, percent=50).collect())
+    counts = quality_forest.text_counts(pa.array([f"{a} x y\n{b} x y\n{a} x y"]))
+    assert counts["n_distinct"].tolist() == [4] and counts["n_dup_lines"].tolist() == [1]
+
+
+def test_samples_send_no_more_from_more_partitions(spark):
+    df = spark.range(50_000).withColumn("hot", F.col("id") % 2)
+    sizes = [len(thinned(df.repartition(n), 500, "id").collect()) for n in (4, 400)]
+    assert sizes[0] == sizes[1] <= 1000
+    assert hash_sample(df.repartition(40), 500, "id").count() == 500 and hash_sample(df, 500, "hot").count() <= 2
+    assert {r.id for r in hash_sample(df.repartition(4), 50, "id").collect()} == {r.id for r in hash_sample(df.repartition(40), 50, "id").collect()}
 
 
 # --- op3 and op8 ----------------------------------------------------------------------------------------------------
@@ -365,3 +483,25 @@ def test_list_pairs_skip_nothing_that_may_link():
             o = len(np.intersect1d(sets[a], sets[b]))
             if 100 * o >= 80 * (len(sets[a]) + len(sets[b]) - o):
                 assert (a, b) in got
+
+
+def test_texts_without_letters_have_no_language(spark):
+    rows = [(i, "the cat sat on the mat and so on " * 5, "en") for i in range(20)] + [(100, "\u00bd \u00bd \u00b2 12", "en"), (101, "3 + 4 = 7 !", "en"), (102, "\u4f60\u597d", "en"), (103, "\u02b0", None)]
+    got = {r.doc_id: r for r in byte_cnn.predicted(spark.createDataFrame(rows, "doc_id long, text string, lang string"), steps=5).collect()}
+    assert [(got[i].lang_pred, got[i].score) for i in (100, 101)] == [("und", 0.0)] * 2 and {got[i].lang_pred for i in (102, 103)} == {"en"}
+
+
+def test_sets_that_share_a_name_are_named_anew(spark, monkeypatch):
+    plain = jaccard_join.set_name
+    monkeypatch.setattr(jaccard_join, "set_name", lambda h, seed=0: 5 if seed == 0 and len(h) else plain(h, seed))
+    docs = spark.createDataFrame([(i, f"w{i} a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(8)] + [(20, "w1 a1 b1 c1 d1 e1 f1")], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs).collect()}
+    assert got == {i: i for i in range(8)} | {20: 1}
+
+
+def test_frequent_shingles_are_chosen_by_count(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT_MOST", 3)
+    rows = [(None, [1, 2, 3, 4], [9, 9, 5, 1]), (None, [1, 5], [50, 3])]
+    described = spark.createDataFrame(rows, "doc_id long, hot array<long>, times array<long>")
+    tokens, times = jaccard_join._frequent(described)
+    assert dict(zip(tokens.tolist(), times.tolist(), strict=True)) == {1: 59, 2: 9, 3: 5}

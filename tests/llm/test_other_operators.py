@@ -47,6 +47,13 @@ def test_revisits(spark, monkeypatch):
     assert {r.status for r in warc_revisits.resolved(a.where("false"), b).collect()} == {"no_response"}
 
 
+def test_header_names_that_differ_in_case(spark):
+    a = spark.createDataFrame([_capture(1, "http://a.org", 1, None, None, {"ETag": "x", "etag": "y", "Vary": "v", "VARY": "w"})], CAPTURE)
+    b = spark.createDataFrame([_capture(2, "http://a.org", 2, None, None, {"Date": "1", "date": "2", "Server": "s"}), _capture(3, None, 2)], CAPTURE)
+    got = {r.record_id: (r.status, r.headers) for r in warc_revisits.resolved(a, b).collect()}
+    assert got == {2: ("resolved", {"etag": "y", "vary": "v", "date": "2"}), 3: ("no_response", None)}
+
+
 # --- op5 ------------------------------------------------------------------------------------------------------------
 
 
@@ -97,6 +104,28 @@ def test_recall_on_the_supplied_vectors(spark):
     assert hits >= 0.9 * 5 * (ids % 50 == 0).sum()
 
 
+def test_wanted_entries_follow_the_data(spark):
+    """Vectors in clusters need a small part of the index, and have nearly all of their neighbours there."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(200, 16)) * 4
+    x = centres[rng.integers(0, 200, 6000)] + rng.normal(size=(6000, 16)) * 0.3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    seen = []
+    plain = multi_index.entries_wanted
+    try:
+        multi_index.entries_wanted = lambda *a: seen.append(plain(*a)) or seen[-1]
+        found = multi_index.nearest(df, df.where("vec_id % 50 = 0"), least=1).collect()
+    finally:
+        multi_index.entries_wanted = plain
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 6000, 50):
+        s = unit @ unit[q]
+        s[q] = -9
+        hits += len(set(np.argsort(-s)[:5].tolist()) & {r.vec_id for r in found if r.query_id == q})
+    assert seen[0] < 1500 and hits >= 0.9 * 5 * 120
+
+
 def test_traversal_takes_cells_in_order():
     rng = np.random.default_rng(7)
     left, right, counts = rng.random(9), rng.random(9), rng.integers(0, 4, (9, 9))
@@ -112,17 +141,20 @@ def test_traversal_takes_cells_in_order():
 def test_perspectives(spark, monkeypatch):
     monkeypatch.setattr(perspectives, "BUCKET_TURNS", 3)
     rows = [(1, t, ["ann", "bob", "cy d"][t % 3], f"text {t}") for t in range(11)] + [(2, 0, "system", "be kind"), (2, 1, "user", None), (2, 2, None, ""), (2, None, "user", "first"), (2, 1, "user", "tie"), (2, 1, "user", "tie"), (3, 0, "system", "alone"), (None, 0, "user", "x")]
+    odd = ["\u5f20\u4e09", "\u674e\u56db", "Jos\u00e9", "Jos_", "a|b", "a%7Cb", None, "%null", "sys tem"]
+    rows += [(4, t, x, "odd") for t, x in enumerate(odd)]
     df = spark.createDataFrame([(*r, 1, "z") for r in rows], "conv_id long, turn long, role string, text string, start int, perspective string")
     got = {}
     for r in perspectives.rotated(df).collect():
         got.setdefault((r.conv_id, r.perspective), []).append(r)
-    assert set(got) == {(1, "ann"), (1, "bob"), (1, "cy_d"), (2, "user"), (2, "unknown"), (None, "user")}
+    shown = lambda name: "%null" if name is None else name.replace("%", "%25").replace("|", "%7C")
+    assert set(got) == {(1, "ann"), (1, "bob"), (1, "cy d"), (2, "user"), (2, "%null"), (None, "user"), *((4, shown(x)) for x in odd)}
     for (conv, who), own in got.items():
         own.sort(key=lambda r: r.start)
-        turns = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, (r[2] or "unknown").replace(" ", "_"), r[3] or ""))
+        turns = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, shown(r[2]), r[3] or ""))
         at = 0
         for (_, t, name, text), r in zip(turns, own, strict=True):
-            name = (name or "unknown").replace(" ", "_")
+            name = shown(name)
             role = "system" if name == "system" else "assistant" if name == who else "user"
             head = f"<|user name={name}|>\n" if role == "user" else f"<|{role}|>\n"
             segment = head + (text or "") + "<|end|>\n"
