@@ -1,8 +1,9 @@
 """The corpus pipeline: quality rules, near duplicates, personal data, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the next one's docs;
-all but the last return the columns of documents. Rows without a doc_id can't be judged and go with the first stage; an
-empty table stays empty; extra columns are carried along.
+all but the last return the columns of documents. Stages decide about rows: a null or repeated doc_id changes nothing, rows
+that repeat an id are judged, masked and mixed one by one, and of rows that are copies of each other one stays. An empty
+table stays empty; extra columns are carried along, whatever they are called.
 """
 
 from __future__ import annotations
@@ -11,40 +12,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.llm import cost_packing, cube_mixing, jaccard_join, pii, quality_forest
-from tallyline.llm.common import table, written
+from tallyline.llm.common import free_name, table, written
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is among ``ids``; ids grow with the documents, so they are shuffled at any size, never broadcast."""
-    return docs.join(ids.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+def _keyed(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs``, written with a number of its own for each row, and that column's name (none that docs has)."""
+    key = free_name(docs, "row_key")
+    return written(docs.withColumn(key, F.monotonically_increasing_id()), name), key
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that rules and isolation forests keep."""
-    return _only(docs, quality_forest.judged(docs, table(spark, sf_dir, "labels")).where("kept"))
+    """The rows that rules and isolation forests keep."""
+    return quality_forest.kept_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest doc_id) of each class of 5-word shingle sets with a Jaccard similarity of 0.8 or more."""
-    classes = written(jaccard_join.jaccard_components(docs, k=5, percent=80).select("doc_id", "component_id"), "pipeline-classes")
-    kept = _only(docs, classes.where("doc_id = component_id"))
-    repeated = classes.groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    """One row (the smallest doc_id, null last) of each class of 5-word shingle sets with a Jaccard similarity of 0.8 or more."""
+    keyed, key = _keyed(docs, "pipeline-keyed")
+    classes = jaccard_join.jaccard_components(keyed.select(F.col(key).alias("doc_id"), "text"), k=5, percent=80).select(F.col("doc_id").alias("k"), "component_id")
+    names = keyed.select(F.col(key).alias("k"), F.col("doc_id").cast("long").alias("id"))
+    # keys grow with the documents: all joins are shuffled, none broadcast
+    first = classes.join(names.hint("shuffle_hash"), "k").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("first"))
+    kept = written(first.select(F.col("first.k").alias(key)), "pipeline-kept")
+    return keyed.join(kept.hint("shuffle_hash"), key, "left_semi").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind."""
-    masked = pii.masked(docs, pii.personal_data(docs).select("doc_id", "spans"))
+    """All rows, with personal data replaced by its kind."""
+    found = pii.masked(docs)
     if "n_chars" not in docs.columns:
-        return masked
-    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        return found
+    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mix takes."""
-    copies = cube_mixing.mixed(docs).where("copies > 0").select("doc_id", F.col("copies").cast("int").alias("_copies")).hint("shuffle_hash")
-    taken = docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return taken.select(*docs.columns)
+    """As many copies of each row as the mix takes."""
+    keyed, key = _keyed(docs, "pipeline-keyed")
+    copies, number = free_name(keyed, "copies"), free_name(keyed, "copy_number")
+    taken = cube_mixing.mixed(keyed.select("doc_id", "text", "source", F.col(key).alias("k")), also="k").where("copies > 0")
+    both = keyed.join(taken.select(F.col("k").alias(key), F.col("copies").cast("int").alias(copies)).hint("shuffle_hash"), key)
+    return both.withColumn(number, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
