@@ -7,6 +7,7 @@ Documents become sets of word shingles, each known by a 64-bit name (its length
    it: if two sets meet in the first alone, all are named anew by another seed.
 2. Highly similar sets are found by bucketed minima; each is checked against a few representatives of its bucket, and
    those that link with one share its answers from then on: no pair inside such a group is looked at again.
+   In an index list of over HUB_LEAST sets the same is done with HUBS of them, before any other pair of the list is looked at.
 3. An inverted index holds the prefix of each set (frequent shingles last). Its lists are ordered by size and position and
    cut into blocks; a block is skipped when no set in it can be large enough, small enough or early enough, or when all of
    it already has the same answers. Parity bitmaps bound the difference of the pairs that are left.
@@ -41,6 +42,8 @@ HOT_MOST = 1 << 18
 #: Seeds under which sets are named before giving up (each fails with odds of about n * n / 2^65).
 SEEDS = 4
 LIST_BLOCK = 2048
+#: Sets of a list of over HUB_LEAST (or of a pair of blocks of it) that all others are checked against first.
+HUBS, HUB_LEAST = 4, 16
 #: Bits of the table that lets a pass over the text skip documents nobody asked for (2 MB broadcast); a false hit costs time only.
 FILTER_BITS = 1 << 24
 _BOUNDS = np.array([i * (1 << 64) // BINS for i in range(BINS)], np.uint64)
@@ -253,10 +256,10 @@ def list_pairs(fp: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray,
     return (np.concatenate(left), np.concatenate(right), np.concatenate(bits)) if left else (none, none, none)
 
 
-def _candidates(percent: int, nearest: bool):  # noqa: ANN202
+def _candidates(percent: int, nearest: bool, hubs: bool):  # noqa: ANN202
     """(token, a, b, more) from the lists of a sorted partition: pairs of sets that may link.
 
-    ``nearest``: of the pairs that one list has between two classes only the one that differs in the fewest bits, and how
+    ``hubs``: only pairs with one of HUBS sets of the list. ``nearest``: of the pairs that one list has between two classes only the one that differs in the fewest bits, and how
     many more there were; if it links, the others' answers are known."""
     shape = pa.schema([("token", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("more", pa.int64())])
     keys = ("token", "lo", "hi")
@@ -284,6 +287,17 @@ def _candidates(percent: int, nearest: bool):  # noqa: ANN202
             out.append((i[keep], j[keep], apart[keep]))
         return out
 
+    def with_hubs(x: dict[str, np.ndarray], at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The pairs of a list's hubs with all others that may link."""
+        hub = at[np.argsort(mix(x["fp"][at].view(np.uint64)), kind="stable")[:HUBS]]
+        i, j = np.repeat(hub, len(at)), np.tile(at, len(hub))
+        n, m = x["n"][i].astype(np.int64), x["n"][j].astype(np.int64)
+        need = least_overlap(n, m, percent)
+        keep = (x["comp"][i] != x["comp"][j]) & (np.minimum(n - x["pos"][i], m - x["pos"][j]) >= need) & ((x["side"][i] != x["side"][j]) | (x["side"][i] == 2))
+        i, j, room = i[keep], j[keep], (n + m - 2 * need)[keep]
+        apart = np.bitwise_count(x["sketch"][i] ^ x["sketch"][j]).sum(axis=1, dtype=np.int64)
+        return i[apart <= room], j[apart <= room], apart[apart <= room]
+
     def of(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         """The pairs of whole lists."""
         if not len(x["fp"]):
@@ -291,6 +305,11 @@ def _candidates(percent: int, nearest: bool):  # noqa: ANN202
         new = np.concatenate([[True], (x["token"][1:] != x["token"][:-1]) | (x["lo"][1:] != x["lo"][:-1]) | (x["hi"][1:] != x["hi"][:-1])])
         run = np.cumsum(new)
         counts = np.bincount(run)
+        if hubs:
+            first = np.flatnonzero(new)
+            for a, b in zip(first.tolist(), np.append(first[1:], len(run)).tolist(), strict=True):
+                yield from told(x, run, [with_hubs(x, np.arange(a, b))])
+            return
         yield from told(x, run, short(x, run, np.flatnonzero(counts[run] <= 64)))
         for r in np.flatnonzero(counts > 64):  # a long list's pairs are cut down before the next list's are made
             at = np.flatnonzero(run == r)
@@ -394,18 +413,24 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     dealt = met.join(sets.select("fp", "sketch"), "fp").withColumn("g", F.ceil(F.col("many") / LIST_BLOCK)).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("g")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    dealt = dealt.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "n", "pos", side.alias("side"), "sketch")
+    dealt = dealt.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "n", "pos", side.alias("side"), "sketch", "many")
     dealt = written(_with_class(dealt, classes), "jaccard-lists")
     links = same
 
-    def checked(lists: DataFrame, nearest: bool) -> tuple[DataFrame, DataFrame]:
+    def checked(lists: DataFrame, nearest: bool, hubs: bool = False) -> tuple[DataFrame, DataFrame]:
         """The pairs of the lists, and those of them that link."""
         placed = lists.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
-        pairs = written(placed.mapInArrow(_candidates(percent, nearest), "token long, a long, b long, more long"), "jaccard-pairs")
+        pairs = written(placed.mapInArrow(_candidates(percent, nearest, hubs), "token long, a long, b long, more long"), "jaccard-pairs")
         own = pairs.select("a", "b").distinct()
         asked = own.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
         return pairs, written(linked(own, sets_of(texts, reps, asked, k, seed), percent), "jaccard-checked")
 
+    long = dealt.where(F.col("many") > HUB_LEAST)
+    if not long.isEmpty():
+        # most sets of a long list are like one of a few: they share a class before pairs of classes are made
+        links = links.unionByName(checked(long, nearest=True, hubs=True)[1])
+        classes = components(links, "jaccard-classes")
+        dealt = written(_with_class(dealt.drop("comp"), classes), "jaccard-lists")
     pairs, more = checked(dealt, nearest=True)
     links = links.unionByName(more)
     if not pairs.where("more > 0").isEmpty():
