@@ -11,12 +11,12 @@ from . import stand_ins
 from .suite_scoring import WITH, _rounded, rated
 
 #: The second result: what the first recognised, cut to its first 200 characters, and nothing rejected.
-_B = ", b_rows AS (SELECT sample_id, speaker, split, domain, ref_key, characters, substr(hyp_key, 1, 200) AS hyp_key FROM rated), b AS (SELECT *, CASE WHEN hyp_key <> '' THEN levenshtein(hyp_key, ref_key) ELSE characters END AS errors, hyp_key <> '' AND hyp_key = ref_key AS exact FROM b_rows), pairs AS (SELECT a.sample_id, a.characters, a.speaker, a.session, a.domain, a.split, a.errors AS a_errors, a.exact AS a_exact, b.errors AS b_errors, b.exact AS b_exact FROM rated a JOIN b USING (sample_id)) "
+_B = ", b_rows AS (SELECT sample_id, speaker, split, domain, ref_key, characters, hyp_key AS hyp_key FROM rated), b AS (SELECT *, CASE WHEN hyp_key <> '' THEN levenshtein(hyp_key, ref_key) ELSE characters END AS errors, hyp_key <> '' AND hyp_key = ref_key AS exact FROM b_rows), pairs AS (SELECT a.sample_id, a.characters, a.speaker, a.session, a.domain, a.split, a.errors AS a_errors, a.exact AS a_exact, b.errors AS b_errors, b.exact AS b_exact FROM rated a JOIN b USING (sample_id)) "
 _DELTA = "count(*) AS samples, CAST(sum(characters) AS BIGINT) AS characters, CAST(sum(a_errors) AS BIGINT) AS a_errors, CAST(sum(b_errors) AS BIGINT) AS b_errors, count(*) FILTER (a_exact) AS a_exact, count(*) FILTER (b_exact) AS b_exact, round(sum(a_errors) / nullif(sum(characters), 0), 6) AS a_cer, round(sum(b_errors) / nullif(sum(characters), 0), 6) AS b_cer, round(100 * (sum(b_errors) - sum(a_errors)) / nullif(sum(characters), 0), 6) AS delta_pp"
 
 
 def second(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rated(spark, sf_dir).withColumns({"raw": F.substring("hyp_key", 1, 200), "action": F.lit("review"), "error": F.lit(None).cast("string")})
+    rows = rated(spark, sf_dir).withColumns({"raw": F.col("hyp_key"), "action": F.lit("review"), "error": F.lit(None).cast("string")})
     return scoring.scored(rows, text.ascii_key)
 
 
@@ -56,12 +56,12 @@ def agg14(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def set01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = {"speaker": F.col("speaker"), "hash": F.col("sha256"), "reference": F.substring(text.ascii_key(F.col("reference")), 1, 5)}
+    keys = {"speaker": F.col("speaker"), "hash": F.col("sha256"), "reference": text.ascii_key(F.col("reference"))}
     return auditing.split_overlaps(stand_ins.samples(spark, sf_dir), keys, [("train", "dev"), ("train", "test"), ("dev", "test")])
 
 
 def jn07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = stand_ins.samples(spark, sf_dir).withColumn("start", F.substring(text.ascii_key(F.col("reference")), 1, 6))
+    s = stand_ins.samples(spark, sf_dir).withColumn("start", text.ascii_key(F.col("reference")))
     return auditing.exposed(s.where("split = 'test'"), s.where("split <> 'test'"), ["session", "sha256", "start"])
 
 
@@ -119,7 +119,7 @@ def snk06(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flt11(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = stand_ins.samples(spark, sf_dir)
-    return sampling.pending(s, s.where("split = 'train'"), lambda c: F.substring(text.ascii_key(c), 1, 5)).select("sample_id")
+    return sampling.pending(s, s.where("split = 'train'"), lambda c: text.ascii_key(c)).select("sample_id")
 
 
 def srt12(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,8 +149,8 @@ QUERIES = {
     "agg08_cluster_bootstrap": (agg08, None),
     "agg13_cohorts": (agg13, WITH + _B + f", long AS (SELECT *, unnest([{{'dimension': 'domain', 'value': domain}}, {{'dimension': 'split', 'value': split}}, {{'dimension': 'session', 'value': session}}]) AS v FROM pairs) SELECT v.dimension AS dimension, v.value AS value, {_DELTA} FROM long GROUP BY 1, 2 UNION ALL SELECT 'domain', 'phone', 0, 0, 0, 0, 0, 0, NULL, NULL, NULL"),
     "agg14_named_cohorts": (agg14, WITH + _B + f", long AS (SELECT *, 'webcam_test' AS cohort FROM pairs WHERE domain = 'webcam' AND split = 'test' UNION ALL SELECT *, 'long' FROM pairs WHERE characters > 150 UNION ALL SELECT *, 'not_train' FROM pairs WHERE split <> 'train') SELECT cohort, {_DELTA} FROM long GROUP BY cohort"),
-    "set01_split_overlaps": (set01, WITH + ", long AS (SELECT split, 'speaker' AS key, speaker AS value FROM samples UNION SELECT split, 'hash', sha256 FROM samples UNION SELECT split, 'reference', substr(regexp_replace(lower(reference), '[^a-z0-9]', '', 'g'), 1, 5) FROM samples) SELECT a.key, a.split AS first, b.split AS second, a.value FROM long a JOIN long b ON a.key = b.key AND a.value = b.value WHERE a.value <> '' AND (a.split, b.split) IN (('train', 'dev'), ('train', 'test'), ('dev', 'test'))"),
-    "jn07_development_exposure": (jn07, WITH + ", k AS (SELECT *, substr(regexp_replace(lower(reference), '[^a-z0-9]', '', 'g'), 1, 6) AS start FROM samples), d AS (SELECT * FROM k WHERE split <> 'test') SELECT sample_id FROM k WHERE split = 'test' AND (session IN (SELECT session FROM d) OR sha256 IN (SELECT sha256 FROM d) OR start IN (SELECT start FROM d))"),
+    "set01_split_overlaps": (set01, WITH + ", long AS (SELECT split, 'speaker' AS key, speaker AS value FROM samples UNION SELECT split, 'hash', sha256 FROM samples UNION SELECT split, 'reference', regexp_replace(lower(reference), '[^a-z0-9]', '', 'g') FROM samples) SELECT a.key, a.split AS first, b.split AS second, a.value FROM long a JOIN long b ON a.key = b.key AND a.value = b.value WHERE a.value <> '' AND (a.split, b.split) IN (('train', 'dev'), ('train', 'test'), ('dev', 'test'))"),
+    "jn07_development_exposure": (jn07, WITH + ", k AS (SELECT *, regexp_replace(lower(reference), '[^a-z0-9]', '', 'g') AS start FROM samples), d AS (SELECT * FROM k WHERE split <> 'test') SELECT sample_id FROM k WHERE split = 'test' AND (session IN (SELECT session FROM d) OR sha256 IN (SELECT sha256 FROM d) OR start IN (SELECT start FROM d))"),
     "jn08_composite_semi_join": (jn08, WITH + "SELECT sample_id FROM samples WHERE split = 'test' AND (speaker, session) IN (SELECT (speaker, session) FROM samples WHERE split = 'train')"),
     "jn09_interval_overlap": (jn09, "WITH i AS (SELECT l_orderkey AS k, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS s, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) + l_linenumber * 9 AS e, l_orderkey * 10 + l_linenumber AS i FROM lineitem) SELECT a.i AS first, b.i AS second FROM i a JOIN i b ON a.k = b.k AND a.i < b.i AND greatest(a.s, b.s) < least(a.e, b.e)"),
     "jn10_contradictions": (jn10, WITH + "SELECT speaker, count(DISTINCT session) AS values FROM samples GROUP BY speaker HAVING count(DISTINCT session) > 1"),
@@ -162,7 +162,7 @@ QUERIES = {
     "ml07_held_out_split": (ml07, "SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY sha256('1:' || doc_id), doc_id) <= 60 THEN 'test' ELSE 'train' END AS part FROM documents"),
     "agg20_first_wins_distinct": (agg20, "WITH t AS (SELECT conv_id * 1000 + turn AS i, regexp_extract(text, '^([A-Za-z]+ [A-Za-z]+)', 1) AS p FROM conversations) SELECT i, p FROM t WHERE p <> '' QUALIFY row_number() OVER (PARTITION BY lower(p) ORDER BY i) = 1"),
     "snk06_keep_latest": (snk06, "SELECT lpad(CAST(page_id AS VARCHAR), 8, '0') AS name FROM pages ORDER BY name DESC LIMIT 100"),
-    "flt11_pending_prompts": (flt11, WITH + ", k AS (SELECT *, substr(regexp_replace(lower(reference), '[^a-z0-9]', '', 'g'), 1, 5) AS s5 FROM samples) SELECT sample_id FROM k WHERE s5 NOT IN (SELECT s5 FROM k WHERE split = 'train')"),
+    "flt11_pending_prompts": (flt11, WITH + ", k AS (SELECT *, regexp_replace(lower(reference), '[^a-z0-9]', '', 'g') AS s5 FROM samples) SELECT sample_id FROM k WHERE s5 NOT IN (SELECT s5 FROM k WHERE split = 'train')"),
     "srt12_gated_selection": (srt12, "WITH l AS (SELECT 'c' || (l_suppkey % 8) AS config, l_suppkey % 8 AS ord, l_linestatus AS condition, count(*) FILTER (l_discount > 0.05) AS errors, count(*) FILTER (l_tax = 0) AS exact FROM lineitem GROUP BY ALL), r AS (SELECT config, ord, condition, CASE WHEN ord = 0 THEN errors + 1000 ELSE errors END AS errors, CASE WHEN ord = 0 THEN 0 ELSE exact END AS exact FROM l), b AS (SELECT condition, errors AS be, exact AS bx FROM r WHERE config = 'c0'), s AS (SELECT config, ord, sum(errors) AS errors, bool_and(errors <= be AND exact >= bx) AND sum(errors) < sum(be) AND config <> 'c0' AS ok FROM r JOIN b USING (condition) GROUP BY config, ord) SELECT coalesce((SELECT config FROM s WHERE ok ORDER BY errors, ord LIMIT 1), 'c0') AS config, (SELECT count(*) FROM s WHERE ok) AS eligible"),
     "win11_strictly_best_so_far": (win11, "WITH e AS (SELECT user_id AS run, event_id AS epoch, round(value, 4) AS cer, min(round(value, 4)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM events) SELECT run, epoch, cer FROM e WHERE b IS NULL OR cer < b"),
     "win12_budget_ledger": (win12, "WITH e AS (SELECT user_id AS run, event_id AS step, CAST(round(value, 2) AS DECIMAL(18,2)) AS seconds FROM events), s AS (SELECT run, step, sum(seconds) OVER (PARTITION BY run ORDER BY step) AS elapsed FROM e) SELECT run, step, CAST(elapsed AS DOUBLE) AS elapsed, elapsed <= 500 AS within FROM s"),

@@ -57,7 +57,7 @@ def agg03(spark: S, sf: str) -> D:
 
 
 def agg09(spark: S, sf: str) -> D:
-    rows = rated(spark, sf).withColumn("alignment", edit.alignment(F.substring("ref_key", 1, 150), F.substring("hyp_key", 1, 150)))
+    rows = rated(spark, sf).withColumn("alignment", edit.alignment("ref_key", "hyp_key"))
     return _rounded(evidence.sdi_metrics(rows, "domain").select("domain", "samples", (F.col("substitutions") + F.col("deletions") + F.col("insertions")).alias("errors"), "length_ratio", "mean_reference"))
 
 
@@ -105,7 +105,7 @@ def agg41(spark: S, sf: str) -> D:
 
 def flt10(spark: S, sf: str) -> D:
     t = turns(spark, sf)
-    c = evidence.choices(F.substring("text", 1, 9), F.substring("text", 1, 4), F.array(F.substring("text", 1, 9), F.substring("text", 2, 5), F.substring("text", 3, 5)))
+    c = evidence.choices(F.col("text"), F.replace("text", F.lit(" "), F.lit("_")), F.array("text", F.concat("text", F.lit(".")), F.replace("text", F.lit("e"), F.lit("a"))))
     return t.select("i", F.array_join(c, "|").alias("choices"))
 
 
@@ -139,10 +139,10 @@ def flt18(spark: S, sf: str) -> D:
 
 
 def flt21(spark: S, sf: str) -> D:
-    t = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 12).alias("head"))
+    t = table(spark, sf, "documents").select("doc_id", "lang", "text")
     drawn = t.orderBy(F.sha2(F.concat(F.lit("9:"), F.col("doc_id").cast("string")), 256)).limit(80)
-    saved = t.where("doc_id < 300").select("head")
-    return drawn.join(saved.distinct(), "head", "left_anti").orderBy(F.sha2(F.concat(F.lit("9:"), F.col("doc_id").cast("string")), 256)).limit(40).select("doc_id")
+    saved = t.where("lang = 'fr'").select("text")
+    return drawn.join(saved.distinct(), "text", "left_anti").orderBy(F.sha2(F.concat(F.lit("9:"), F.col("doc_id").cast("string")), 256)).limit(40).select("doc_id")
 
 
 def set03(spark: S, sf: str) -> D:
@@ -164,7 +164,7 @@ def set09(spark: S, sf: str) -> D:
 def set10(spark: S, sf: str) -> D:
     from ..functions import text
 
-    return turns(spark, sf).select("i", F.array_join(F.slice(F.array_distinct(text.words(F.col("text"))), 1, 12), " ").alias("words"))
+    return turns(spark, sf).select("i", F.array_join(F.array_distinct(text.words(F.col("text"))), " ").alias("words"))
 
 
 def srt10(spark: S, sf: str) -> D:
@@ -208,7 +208,7 @@ QUERIES = {
     "jn21_vocabulary_coverage": (jn21, f"WITH a AS (SELECT DISTINCT unnest({_WORDS}) AS t FROM conversations WHERE role = 'assistant'), u AS (SELECT DISTINCT unnest({_WORDS}) AS t FROM conversations WHERE role = 'user') SELECT count(*) AS tokens, count(u.t) AS known, round(count(u.t) / count(*), 6) AS coverage FROM a LEFT JOIN u ON a.t = u.t"),
     "jn22_preparation_charge": (jn22, WITH + "SELECT domain, round(quantile_cont(CAST(processing_seconds + CASE WHEN domain = 'webcam' THEN duration_seconds / 10 ELSE 0 END AS DOUBLE), 0.95), 6) AS p95 FROM rated GROUP BY domain"),
     "agg03_percentiles": (agg03, "SELECT l_returnflag, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.95), 6) AS p95, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.5), 6) AS p50 FROM lineitem GROUP BY 1"),
-    "agg09_edit_metrics": (agg09, WITH + "SELECT domain, count(*) AS samples, CAST(sum(levenshtein(substr(ref_key, 1, 150), substr(hyp_key, 1, 150))) AS BIGINT) AS errors, round(sum(length(substr(hyp_key, 1, 150))) / nullif(sum(length(substr(ref_key, 1, 150))), 0), 6) AS length_ratio, round(sum(length(substr(ref_key, 1, 150))) / count(*), 6) AS mean_reference FROM rated GROUP BY domain"),
+    "agg09_edit_metrics": (agg09, WITH + "SELECT domain, count(*) AS samples, CAST(sum(levenshtein(ref_key, hyp_key)) AS BIGINT) AS errors, round(sum(length(hyp_key)) / nullif(sum(length(ref_key)), 0), 6) AS length_ratio, round(sum(length(ref_key)) / count(*), 6) AS mean_reference FROM rated GROUP BY domain"),
     "agg15_entity_cohorts": (agg15, WITH + ", k AS (SELECT *, 'number' AS kind FROM rated WHERE contains(ref_key, 'the') UNION ALL SELECT *, 'person_name' FROM rated WHERE contains(ref_key, 'and') UNION ALL SELECT *, 'none' FROM rated WHERE NOT contains(ref_key, 'the') AND NOT contains(ref_key, 'and')) SELECT kind, count(*) AS samples, CAST(sum(errors) AS BIGINT) AS errors, round(sum(errors) / nullif(sum(characters), 0), 6) AS cer FROM k GROUP BY kind"),
     "agg18_forced_ends": (agg18, "WITH f AS (SELECT CASE WHEN event_type <> 'view' THEN value > 50 END AS f FROM events) SELECT count(*) FILTER (f) AS marked, count(f) AS reported, count(*) FILTER (f IS NULL) AS unreported FROM f"),
     "agg19_audit_counters": (agg19, WITH + "SELECT split, count(*) AS rows, count(*) FILTER (coalesce(trim(reference), '') = '') AS reference_is_blank, count(*) FILTER (speaker = '') AS speaker_is_blank, count(*) FILTER (domain NOT IN ('mouth_roi', 'full_face', 'webcam')) AS domain_is_unknown, count(*) FILTER (split NOT IN ('train', 'dev', 'test')) AS split_is_unknown, count(*) FILTER (NOT duration_seconds > 0) AS duration_is_not_positive, count(*) FILTER (domain = 'full_face' AND duration_seconds > 30) AS full_face_needs_short_clip, count(*) FILTER (NOT regexp_full_match(sha256, '[0-9a-f]{64}')) AS digest_is_not_sha256 FROM samples GROUP BY split"),
@@ -221,17 +221,17 @@ QUERIES = {
     "agg41_byte_budget": (agg41, "WITH p AS (SELECT regexp_extract(url, '://([^/]*)', 1) AS source, page_id AS ord, length(html) AS bytes FROM pages), t AS (SELECT *, CAST(sum(bytes) OVER (PARTITION BY source ORDER BY ord) AS BIGINT) AS total FROM p) SELECT *, total <= 60000 AS within FROM t"),
     "flt08_spoken_rejections": (flt08, f"SELECT event_id, CASE WHEN lp < -0.85 THEN 'logprob' WHEN ns > 0.4 THEN 'no_speech' WHEN co > 2.4 THEN 'compression' ELSE 'repetition' END AS reason FROM {_SEG}"),
     "flt09_heard_scores": (flt09, f"SELECT event_id, round(CASE WHEN ns <= 0.6 THEN lp * 3 ELSE 0 END, 6) AS score FROM {_SEG}"),
-    "flt10_delivery_choices": (flt10, _TURNS + ", c AS (SELECT i, [substr(text, 1, 9), substr(text, 1, 4), substr(text, 1, 9), substr(text, 2, 5), substr(text, 3, 5)] AS c FROM t), u AS (SELECT i, unnest(c) AS x, unnest(range(5)) AS p FROM c), d AS (SELECT i, x, min(p) AS p FROM u GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY p) AS r FROM d) SELECT i, string_agg(x, '|' ORDER BY p) AS choices FROM r WHERE r <= 3 GROUP BY i"),
+    "flt10_delivery_choices": (flt10, _TURNS + ", c AS (SELECT i, [text, replace(text, ' ', '_'), text, text || '.', replace(text, 'e', 'a')] AS c FROM t), u AS (SELECT i, unnest(c) AS x, unnest(range(5)) AS p FROM c), d AS (SELECT i, x, min(p) AS p FROM u GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY p) AS r FROM d) SELECT i, string_agg(x, '|' ORDER BY p) AS choices FROM r WHERE r <= 3 GROUP BY i"),
     "flt13_ineligible_rows": (flt13, WITH + ", c AS (SELECT sample_id, unnest(regexp_extract_all(lower(reference), '[a-zéèê]')) AS c FROM samples) SELECT sample_id, string_agg(DISTINCT c, '' ORDER BY c) AS unsupported FROM c WHERE c IN ('é', 'è', 'ê') GROUP BY 1"),
     "flt17_policies": (flt17, "WITH p AS (SELECT event_id, user_id, coalesce(CASE WHEN event_id % 5 = 0 THEN 'auto' END, CASE WHEN event_id % 3 = 0 THEN 'review' END, CASE WHEN event_id % 7 = 0 THEN 'auto' END, 'off') AS p FROM events) SELECT event_id, CASE WHEN user_id % 2 = 0 AND p = 'auto' THEN 'review' ELSE p END AS policy FROM p"),
     "flt18_search_routes": (flt18, "SELECT event_id, CASE WHEN floor(value) = 0 THEN 'skipped' WHEN floor(value) > 100 THEN 'sequential: workspace' WHEN coalesce(CASE WHEN event_type <> 'view' THEN value < 20 END, true) THEN 'sequential: near tie' ELSE 'batched' END AS route FROM events"),
     "flt20_known_words": (flt20, f"WITH o AS (SELECT unnest({_WORDS}) AS t FROM conversations), n AS (SELECT t, count(*) AS n FROM o GROUP BY 1), b AS (SELECT DISTINCT unnest({_WORDS}) AS token FROM benchmark) SELECT token, coalesce(n, 0) >= 2 AS known, coalesce(n, 0) >= 3 AS common FROM b LEFT JOIN n ON t = token"),
-    "flt21_next_batch": (flt21, "WITH d AS (SELECT doc_id, substr(text, 1, 12) AS h, sha256('9:' || doc_id) AS o FROM documents), n AS (SELECT * FROM d ORDER BY o LIMIT 80) SELECT doc_id FROM n WHERE h NOT IN (SELECT h FROM d WHERE doc_id < 300) ORDER BY o LIMIT 40"),
+    "flt21_next_batch": (flt21, "WITH d AS (SELECT doc_id, lang, text, sha256('9:' || doc_id) AS o FROM documents), n AS (SELECT * FROM d ORDER BY o LIMIT 80) SELECT doc_id FROM n WHERE NOT EXISTS (SELECT 1 FROM d WHERE lang = 'fr' AND d.text = n.text) ORDER BY o LIMIT 40"),
     "prj01_label_digests": (prj01, WITH + "SELECT sample_id, sha256(reference) AS reference_sha256 FROM samples"),
     "set03_tagged_union": (set03, WITH + "SELECT sample_id, 'sample' AS role FROM samples UNION ALL SELECT sample_id, 'prediction' FROM predictions"),
     "set08_duplicate_clips": (set08, "SELECT l_partkey, l_quantity, l_linenumber, count(*) AS rows FROM lineitem GROUP BY 1, 2, 3 HAVING count(*) > 1"),
     "set09_block_list": (set09, "SELECT page_id FROM pages WHERE md5(html) IN (SELECT md5(html) FROM pages WHERE page_id < 20) OR contains(url, 'utm_source')"),
-    "set10_ordered_distinct": (set10, _TURNS + f", w AS (SELECT i, unnest({_WORDS}) AS w, unnest(range(len({_WORDS}))) AS p FROM t), d AS (SELECT i, w, min(p) AS p FROM w GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY p) AS r FROM d) SELECT t.i, coalesce(string_agg(w, ' ' ORDER BY p), '') AS words FROM t LEFT JOIN r ON t.i = r.i AND r <= 12 GROUP BY 1"),
+    "set10_ordered_distinct": (set10, _TURNS + f", w AS (SELECT i, unnest({_WORDS}) AS w, unnest(range(len({_WORDS}))) AS p FROM t), d AS (SELECT i, w, min(p) AS p FROM w GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY p) AS r FROM d) SELECT t.i, coalesce(string_agg(w, ' ' ORDER BY p), '') AS words FROM t LEFT JOIN r ON t.i = r.i GROUP BY 1"),
     "srt10_newest_of_each": (srt10, "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events QUALIFY place <= 3"),
     "val21_asset_states": (val21, "SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'missing' WHEN 1 THEN 'invalid_size' WHEN 2 THEN 'invalid_hash' ELSE 'ready' END AS state FROM pages"),
     "win02_first_by_hash": (win02b, "SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY sha256(CAST(c_custkey AS VARCHAR)), c_custkey) AS place FROM customer QUALIFY place <= 3"),

@@ -108,18 +108,16 @@ def set07(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sc02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Character errors of every document against the next one of its source: a heavy use of the built-in distance."""
-    from pyspark.sql import Window
-
-    docs = stand_ins.table(spark, sf_dir, "documents").select("doc_id", "source", F.substring(text.ascii_key(F.col("text")), 1, 120).alias("k"))
-    after = F.lead("k").over(Window.partitionBy("source").orderBy("doc_id"))
-    return docs.withColumn("next", after).where("next is not null").select("doc_id", edit.distance(F.col("k"), F.col("next")).alias("errors"), F.length("next").cast("long").alias("characters"))
+    """Character errors of every turn against the next one of its conversation, on whole texts: a heavy use of the built-in distance."""
+    turns = stand_ins.table(spark, sf_dir, "conversations").select("conv_id", "turn", text.ascii_key(F.col("text")).alias("k"))
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("k").alias("next"))
+    return turns.join(after, ["conv_id", "turn"]).select("conv_id", "turn", edit.distance(F.col("k"), F.col("next")).alias("errors"), F.length("next").cast("long").alias("characters"))
 
 
 QUERIES = {
     "jn01_samples_left_join_predictions": (jn01, WITH + "SELECT sample_id, speaker, raw, action, error FROM rated"),
     "jn02_unexpected_predictions": (jn02, WITH + "SELECT DISTINCT sample_id FROM predictions p WHERE NOT EXISTS (SELECT 1 FROM samples s WHERE s.sample_id = p.sample_id)"),
-    "sc02_character_errors": (sc02, "WITH k AS (SELECT doc_id, source, substr(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 1, 120) AS k FROM documents), n AS (SELECT doc_id, k, lead(k) OVER (PARTITION BY source ORDER BY doc_id) AS next FROM k) SELECT doc_id, levenshtein(k, next) AS errors, length(next) AS characters FROM n WHERE next IS NOT NULL"),
+    "sc02_character_errors": (sc02, "WITH k AS (SELECT conv_id, turn, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS k FROM conversations) SELECT a.conv_id, a.turn, levenshtein(a.k, b.k) AS errors, length(b.k) AS characters FROM k a JOIN k b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"),
     "sc07_row_scores": (sc07, WITH + "SELECT sample_id, characters, errors, round(cer, 6) AS cer, offered, exact, automatic, round(rtf, 6) AS rtf FROM rated"),
     "agg01_pooled_metrics": (agg01, _metrics_sql("")),
     "agg01_pooled_metrics_by_domain": (grouped("domain"), _metrics_sql("domain")),

@@ -12,14 +12,14 @@ from ..operators import candidates, reranking, timeseries
 from . import stand_ins
 from .suite_scoring import _rounded, rated
 
-_KEY = "substr(regexp_replace(lower({0}), '[^a-z0-9]', '', 'g'), 1, 80)"
+_KEY = "regexp_replace(lower({0}), '[^a-z0-9]', '', 'g')"
 _RANKED = "WITH c AS (SELECT conv_id AS sample_id, turn, text, " + _KEY.format("text") + " AS key, first_value(" + _KEY.format("text") + ") OVER (PARTITION BY conv_id ORDER BY turn) AS ref FROM conversations), ranked AS (SELECT sample_id, turn AS rank, text, key, ref, levenshtein(key, ref) AS errors, length(ref) AS characters, length(text) / -10.0 AS score, length(key) / 5 + 1 AS tokens FROM c WHERE turn > 0) "
 _W = "regexp_extract_all(replace(lower({0}), '’', ''''), '[\\x{{4e00}}-\\x{{9fff}}]|[a-z0-9]+(?:''[a-z0-9]+)*')"
 _FRAMES = "WITH f AS (SELECT user_id AS clip_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_no, epoch(ts) AS ts, value, event_type FROM events) "
 
 
 def _key(c) -> F.Column:  # noqa: ANN001
-    return F.substring(text.ascii_key(c), 1, 80)
+    return text.ascii_key(c)
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def win03(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def win04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates.distinct_texts(ranked(spark, sf_dir), F.substring("key", 1, 2), 3).select("sample_id", "key", F.col("rank").cast("long").alias("rank"), F.col("place").cast("long").alias("place"))
+    return candidates.distinct_texts(ranked(spark, sf_dir), F.col("key"), 3).select("sample_id", "key", F.col("rank").cast("long").alias("rank"), F.col("place").cast("long").alias("place"))
 
 
 def flt06(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,11 +52,11 @@ def flt06(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jn16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(candidates.diversity(ranked(spark, sf_dir), F.substring("key", 1, 40)))
+    return _rounded(candidates.diversity(ranked(spark, sf_dir), F.col("key")))
 
 
 def agg36(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates.medoids(ranked(spark, sf_dir), F.substring("key", 1, 40)).select("sample_id", F.col("rank").cast("long").alias("rank"))
+    return candidates.medoids(ranked(spark, sf_dir), F.col("key")).select("sample_id", F.col("rank").cast("long").alias("rank"))
 
 
 def srt04(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,7 @@ def win14(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sc03(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignments of all samples; their edits must sum to the distance."""
-    rows = rated(spark, sf_dir).withColumns({"r": F.substring("ref_key", 1, 200), "h": F.substring("hyp_key", 1, 200)}).withColumn("alignment", edit.alignment("r", "h"))
+    rows = rated(spark, sf_dir).withColumn("alignment", edit.alignment("ref_key", "hyp_key"))
     return rows.select("sample_id", (F.col("alignment.substitutions") + F.col("alignment.deletions") + F.col("alignment.insertions")).alias("errors"), (F.col("alignment.matches") + F.col("alignment.substitutions") + F.col("alignment.deletions")).alias("characters"))
 
 
@@ -110,7 +110,7 @@ def sc40(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jn18(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = stand_ins.table(spark, sf_dir, "conversations")
-    q = t.where("turn = 0").select(F.col("conv_id").alias("q"), F.substring("text", 1, 60).alias("text"))
+    q = t.where("turn = 0").select(F.col("conv_id").alias("q"), "text")
     p = stand_ins.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("i"), "text")
     return _rounded(reranking.similar(q, p).select("q", "i", "score"))
 
@@ -185,21 +185,21 @@ QUERIES = {
     "jn15_candidates_by_reference": (jn15, _RANKED + "SELECT sample_id, rank, errors, characters FROM ranked"),
     "agg16_oracle_at_k": (agg16, _RANKED + ", b AS (SELECT *, min(errors) OVER (PARTITION BY sample_id ORDER BY rank) AS best, max(rank) OVER (PARTITION BY sample_id) AS top FROM ranked) SELECT k, count(*) AS samples, CAST(sum(best) AS BIGINT) AS errors, CAST(sum(characters) AS BIGINT) AS characters, round(sum(best) / nullif(sum(characters), 0), 6) AS cer FROM b, (VALUES (1), (3), (5), (10)) v(k) WHERE rank = least(k, top) GROUP BY k"),
     "win03_earliest_best_rank": (win03, _RANKED + "SELECT sample_id, rank, errors FROM ranked QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY errors, rank) = 1"),
-    "win04_distinct_choices": (win04, _RANKED + ", d AS (SELECT sample_id, substr(key, 1, 2) AS key, min(rank) AS rank FROM ranked WHERE substr(key, 1, 2) <> '' GROUP BY 1, 2) SELECT sample_id, key, rank, row_number() OVER (PARTITION BY sample_id ORDER BY rank) AS place FROM d QUALIFY place <= 3"),
+    "win04_distinct_choices": (win04, _RANKED + ", d AS (SELECT sample_id, key AS key, min(rank) AS rank FROM ranked WHERE key <> '' GROUP BY 1, 2) SELECT sample_id, key, rank, row_number() OVER (PARTITION BY sample_id ORDER BY rank) AS place FROM d QUALIFY place <= 3"),
     "flt06_margins": (flt06, _RANKED + "SELECT sample_id, round(max(score / greatest(tokens, 1)) FILTER (rank = 1) - max(score / greatest(tokens, 1)) FILTER (rank = 2), 6) AS margin FROM ranked GROUP BY sample_id"),
-    "jn16_candidate_diversity": (jn16, _RANKED + ", d AS (SELECT sample_id, substr(key, 1, 40) AS key, min(rank) AS rank FROM ranked WHERE key <> '' GROUP BY 1, 2) SELECT a.sample_id, count(*) AS pairs, round(avg(levenshtein(a.key, b.key) / greatest(length(a.key), length(b.key), 1)), 6) AS mean_distance FROM d a JOIN d b ON a.sample_id = b.sample_id AND a.rank < b.rank GROUP BY 1"),
-    "agg36_medoids": (agg36, _RANKED + ", d AS (SELECT sample_id, substr(key, 1, 40) AS key, min(rank) AS rank FROM ranked WHERE key <> '' GROUP BY 1, 2), m AS (SELECT a.sample_id, a.rank, avg(levenshtein(a.key, b.key)) AS mean FROM d a JOIN d b ON a.sample_id = b.sample_id AND a.rank <> b.rank GROUP BY 1, 2) SELECT sample_id, rank FROM m QUALIFY mean <= min(mean) OVER (PARTITION BY sample_id) + 1e-12"),
+    "jn16_candidate_diversity": (jn16, _RANKED + ", d AS (SELECT sample_id, key AS key, min(rank) AS rank FROM ranked WHERE key <> '' GROUP BY 1, 2) SELECT a.sample_id, count(*) AS pairs, round(avg(levenshtein(a.key, b.key) / greatest(length(a.key), length(b.key), 1)), 6) AS mean_distance FROM d a JOIN d b ON a.sample_id = b.sample_id AND a.rank < b.rank GROUP BY 1"),
+    "agg36_medoids": (agg36, _RANKED + ", d AS (SELECT sample_id, key AS key, min(rank) AS rank FROM ranked WHERE key <> '' GROUP BY 1, 2), m AS (SELECT a.sample_id, a.rank, avg(levenshtein(a.key, b.key)) AS mean FROM d a JOIN d b ON a.sample_id = b.sample_id AND a.rank <> b.rank GROUP BY 1, 2) SELECT sample_id, rank FROM m QUALIFY mean <= min(mean) OVER (PARTITION BY sample_id) + 1e-12"),
     "srt04_rescored_first": (srt04, _RANKED + "SELECT sample_id, rank FROM ranked QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY score + 0.5 * tokens + 0.1 * length(key) DESC, rank) = 1"),
     "srt05_reverse_rescoring": (srt05, _RANKED + ", r AS (SELECT *, CASE WHEN sample_id % 5 = 0 THEN score ELSE score + 0.9 * 0.3 * (length(text) / 7.0 - tokens) END AS s FROM ranked) SELECT sample_id, rank, round(s, 6) AS new_score, row_number() OVER (PARTITION BY sample_id ORDER BY s DESC, rank) AS new_rank FROM r"),
     "srt06_near_ties": (srt06, _RANKED + ", g AS (SELECT sample_id, score - lead(score) OVER (PARTITION BY sample_id ORDER BY score DESC, rank) AS gap FROM ranked) SELECT sample_id, coalesce(min(gap) < 1.5, false) AS fallback FROM g GROUP BY sample_id"),
     "win14_repetition": (win14, None),
-    "sc03_alignments": (sc03, "WITH" + stand_ins.SAMPLES_SQL + "SELECT sample_id, levenshtein(substr(ref_key, 1, 200), substr(hyp_key, 1, 200)) AS errors, length(substr(ref_key, 1, 200)) AS characters FROM rated"),
+    "sc03_alignments": (sc03, "WITH" + stand_ins.SAMPLES_SQL + "SELECT sample_id, levenshtein(ref_key, hyp_key) AS errors, length(ref_key) AS characters FROM rated"),
     "agg11_commonest_edits": (agg11, None),
     "agg12_unknown_characters": (agg12, "WITH" + stand_ins.SAMPLES_SQL + ", c AS (SELECT sample_id, unnest(string_split(lower(reference), '')) AS character FROM samples) SELECT character, count(*) AS occurrences, count(DISTINCT sample_id) AS rows FROM c WHERE character <> '' AND NOT regexp_matches(character, '^[a-z ]$') GROUP BY character"),
     "agg22_unigrams": (agg22, "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(replace(lower(text), '’', ''''), '[\\x{4e00}-\\x{9fff}]|[a-z0-9]+(?:''[a-z0-9]+)*')) AS token FROM documents) SELECT token, count(*) AS n, count(DISTINCT doc_id) AS documents FROM t GROUP BY token"),
     "agg22_bigrams": (agg22b, "WITH w AS (SELECT list_concat(['<s>'], regexp_extract_all(replace(lower(text), '’', ''''), '[\\x{4e00}-\\x{9fff}]|[a-z0-9]+(?:''[a-z0-9]+)*')) AS w FROM conversations), p AS (SELECT unnest(list_zip(w[1:-2], w[2:])) AS p FROM w) SELECT p[1] AS a, p[2] AS b, count(*) AS n FROM p GROUP BY 1, 2"),
     "sc40_bigram_scores": (sc40, "WITH w AS (SELECT conv_id * 1000 + turn AS k, role, list_concat(['<s>'], " + _W.format("text") + ") AS w FROM conversations), z AS (SELECT k, role, unnest(list_zip(w[1:-2], w[2:])) AS p FROM w), p AS (SELECT k, role, p[1] AS a, p[2] AS b FROM z), two AS (SELECT a, b, count(*) AS n FROM p WHERE role = 'user' GROUP BY 1, 2), one AS (SELECT b, sum(n) AS nb FROM two GROUP BY 1), bef AS (SELECT a, sum(n) AS na FROM two GROUP BY 1), tot AS (SELECT sum(nb) AS everything, count(*) AS kinds FROM one) SELECT k, round(avg(ln(0.6 * coalesce(n / na, 0) + 0.4 * (coalesce(nb, 0) + 0.1) / (everything + 0.1 * kinds))), 6) AS score FROM p LEFT JOIN two USING (a, b) LEFT JOIN bef USING (a) LEFT JOIN one USING (b), tot WHERE role = 'assistant' GROUP BY k"),
-    "jn18_similar_phrases": (jn18, "WITH o AS (SELECT DISTINCT item_id AS i, unnest(" + _W.format("text") + ") AS t FROM benchmark), d AS (SELECT t, ln((SELECT count(*) FROM benchmark) / count(*)) AS idf FROM o GROUP BY 1), q AS (SELECT DISTINCT conv_id AS q, unnest(" + _W.format("substr(text, 1, 60)") + ") AS t FROM conversations WHERE turn = 0), s AS (SELECT q, i, round(sum(idf), 9) AS score FROM q JOIN o USING (t) JOIN d USING (t) GROUP BY 1, 2) SELECT q, i, round(score, 6) AS score FROM s WHERE score > 2 QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, i DESC) <= 3"),
+    "jn18_similar_phrases": (jn18, "WITH o AS (SELECT DISTINCT item_id AS i, unnest(" + _W.format("text") + ") AS t FROM benchmark), d AS (SELECT t, ln((SELECT count(*) FROM benchmark) / count(*)) AS idf FROM o GROUP BY 1), q AS (SELECT DISTINCT conv_id AS q, unnest(" + _W.format("text") + ") AS t FROM conversations WHERE turn = 0), s AS (SELECT q, i, round(sum(idf), 9) AS score FROM q JOIN o USING (t) JOIN d USING (t) GROUP BY 1, 2) SELECT q, i, round(score, 6) AS score FROM s WHERE score > 2 QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, i DESC) <= 3"),
     "srt01_own_words_first": (srt01, _RANKED + ", h AS (SELECT *, CAST(contains(' ' || lower(text) || ' ', ' the ') AS INT) + CAST(contains(' ' || lower(text) || ' ', ' and ') AS INT) + CAST(contains(' ' || lower(text) || ' ', ' with ') AS INT) AS hits FROM ranked) SELECT sample_id, rank, CAST(hits AS BIGINT) AS hits, row_number() OVER (PARTITION BY sample_id ORDER BY hits DESC, rank) AS new_rank FROM h"),
     "srt02_reranked": (srt02, _RANKED + "SELECT sample_id, rank, row_number() OVER (PARTITION BY sample_id ORDER BY score / tokens - 0.35 * rank DESC, rank) AS new_rank FROM ranked"),
     "agg23_distinctive_words": (agg23, "WITH t AS (SELECT unnest(regexp_extract_all(replace(lower(text), '’', ''''), '[\\x{4e00}-\\x{9fff}]|[a-z0-9]+(?:''[a-z0-9]+)*')) AS token FROM documents), c AS (SELECT token, count(*) AS n FROM t GROUP BY token ORDER BY n DESC, token LIMIT 250) SELECT token, n FROM c WHERE length(token) > 2 AND token NOT IN ('the', 'and', 'der', 'die', 'que', 'les') ORDER BY n DESC, token LIMIT 50"),
