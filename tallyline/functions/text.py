@@ -26,14 +26,51 @@ def characters(text: pd.Series) -> pd.Series:
     return text.map(_characters)
 
 
+#: Delimiters that are no target units.
+DELIMITERS = "，。！？；、：“”‘’（）【】《》,.!?;:\"'()[]"
+
+
+@F.pandas_udf(T.StringType())
+def compatible(text: pd.Series) -> pd.Series:
+    """NFKC, which Spark has no function for."""
+    return text.map(lambda x: unicodedata.normalize("NFKC", x or ""))
+
+
+def target_units(text: Column) -> Column:
+    """The characters that a recogniser must produce: of the text in NFKC all but white space and delimiters."""
+    kept = F.translate(F.regexp_replace(compatible(text), r"\s", ""), DELIMITERS, "")
+    return F.filter(F.split(kept, ""), lambda c: c != "")
+
+
 def compact(text: Column) -> Column:
     """Without white space and punctuation."""
     return F.regexp_replace(text, r"[\s\p{P}]", "")
 
 
+def _folding() -> tuple[str, str]:
+    """Characters whose NFKC and casefold is another single ASCII letter, digit or Han character, and what that is."""
+    pairs = {}
+    for point in range(0x80, 0x30000):
+        c = chr(point)
+        folded = unicodedata.normalize("NFKC", c).casefold()
+        if len(folded) == 1 and folded != c and (folded.isascii() and folded.isalnum() or "\u4e00" <= folded <= "\u9fff"):
+            pairs[c] = folded
+    return "".join(pairs), "".join(pairs.values())
+
+
+#: Several letters in one character.
+_LIGATURES = {c: f for c in map(chr, [0xDF, 0x1E9E, *range(0xFB00, 0xFB07), 0x132, 0x133, 0x1C4, 0x1C6, 0x1C7, 0x1C9, 0x1CA, 0x1CC]) if (f := unicodedata.normalize("NFKC", c).casefold()).isascii()}
+_FOLD_FROM, _FOLD_TO = _folding()
+
+
 def words(text: Column) -> Column:
-    """Lower-case Latin words (with inner apostrophes and digits) and single Han characters."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "’", "'")
+    """Latin words (with inner apostrophes and digits) and single Han characters of the folded text.
+
+    Folding is NFKC and casefold for all characters that become one Latin letter, digit or Han character, and for ligatures; built-in functions only."""
+    plain = F.translate(F.coalesce(text, F.lit("")), _FOLD_FROM, _FOLD_TO)
+    for c, folded in _LIGATURES.items():
+        plain = F.replace(plain, F.lit(c), F.lit(folded))
+    plain = F.regexp_replace(F.lower(plain), "’", "'")
     return F.regexp_extract_all(plain, F.lit(r"([\x{4e00}-\x{9fff}]|[a-z0-9]+(?:'[a-z0-9]+)*)"), F.lit(1))
 
 

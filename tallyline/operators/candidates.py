@@ -95,13 +95,13 @@ def near_ties(ranked: DataFrame, least: float = 1e-3) -> DataFrame:
 
 
 def repetitive(tokens: Column) -> Column:
-    """At most 2 distinct tokens of 6 or more, or a phrase of 3 to 12 tokens said over and over, covering most of 12 or more."""
+    """At most 2 distinct tokens of 6 or more, or a phrase of 3 to 12 tokens said three times or more in a row, whole copies covering 0.6 of 12 or more."""
     n = F.size(tokens)
     few = (n >= 6) & (F.size(F.array_distinct(tokens)) <= 2)
     widths = F.sequence(F.lit(3), F.least(F.lit(12), F.floor(n / 3).cast("int")))
-    # same(i) is whether token i repeats the one w before; a run of r such tokens is a phrase said over r + w tokens
+    # same(i) is whether token i repeats the one w before; a run of r such tokens is a phrase said r / w + 1 times in whole
     run = lambda w: F.aggregate(F.sequence(w, n - 1), F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")), lambda a, i: F.struct(F.when(F.get(tokens, i) == F.get(tokens, i - w), a["now"] + 1).otherwise(0).alias("now"), F.greatest(a["best"], F.when(F.get(tokens, i) == F.get(tokens, i - w), a["now"] + 1).otherwise(0)).alias("best")))["best"]
-    long = (n >= 12) & F.exists(widths, lambda w: (run(w) + w >= F.greatest((3 * w).cast("double"), 0.6 * n)) & (run(w) > 0))
+    long = (n >= 12) & F.exists(widths, lambda w: (F.floor(run(w) / w) + 1) * w >= F.greatest((3 * w).cast("double"), 0.6 * n))
     return F.coalesce(few | F.when(n >= 12, long).otherwise(False), F.lit(False))
 
 

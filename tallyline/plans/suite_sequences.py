@@ -14,7 +14,7 @@ from .suite_scoring import _rounded, rated
 
 _KEY = "regexp_replace(lower({0}), '[^a-z0-9]', '', 'g')"
 _RANKED = "WITH c AS (SELECT conv_id AS sample_id, turn, text, " + _KEY.format("text") + " AS key, first_value(" + _KEY.format("text") + ") OVER (PARTITION BY conv_id ORDER BY turn) AS ref FROM conversations), ranked AS (SELECT sample_id, turn AS rank, text, key, ref, levenshtein(key, ref) AS errors, length(ref) AS characters, length(text) / -10.0 AS score, length(key) / 5 + 1 AS tokens FROM c WHERE turn > 0) "
-_W = "regexp_extract_all(replace(lower({0}), '’', ''''), '[\\x{{4e00}}-\\x{{9fff}}]|[a-z0-9]+(?:''[a-z0-9]+)*')"
+_W = "regexp_extract_all(replace(replace(lower({0}), 'ß', 'ss'), '’', ''''), '[\\x{{4e00}}-\\x{{9fff}}]|[a-z0-9]+(?:''[a-z0-9]+)*')"
 _FRAMES = "WITH f AS (SELECT user_id AS clip_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_no, epoch(ts) AS ts, value, event_type FROM events) "
 
 
@@ -196,13 +196,13 @@ QUERIES = {
     "sc03_alignments": (sc03, "WITH" + stand_ins.SAMPLES_SQL + "SELECT sample_id, levenshtein(ref_key, hyp_key) AS errors, length(ref_key) AS characters FROM rated"),
     "agg11_commonest_edits": (agg11, None),
     "agg12_unknown_characters": (agg12, "WITH" + stand_ins.SAMPLES_SQL + ", c AS (SELECT sample_id, unnest(string_split(lower(reference), '')) AS character FROM samples) SELECT character, count(*) AS occurrences, count(DISTINCT sample_id) AS rows FROM c WHERE character <> '' AND NOT regexp_matches(character, '^[a-z ]$') GROUP BY character"),
-    "agg22_unigrams": (agg22, "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(replace(lower(text), '’', ''''), '[\\x{4e00}-\\x{9fff}]|[a-z0-9]+(?:''[a-z0-9]+)*')) AS token FROM documents) SELECT token, count(*) AS n, count(DISTINCT doc_id) AS documents FROM t GROUP BY token"),
-    "agg22_bigrams": (agg22b, "WITH w AS (SELECT list_concat(['<s>'], regexp_extract_all(replace(lower(text), '’', ''''), '[\\x{4e00}-\\x{9fff}]|[a-z0-9]+(?:''[a-z0-9]+)*')) AS w FROM conversations), p AS (SELECT unnest(list_zip(w[1:-2], w[2:])) AS p FROM w) SELECT p[1] AS a, p[2] AS b, count(*) AS n FROM p GROUP BY 1, 2"),
+    "agg22_unigrams": (agg22, "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(replace(replace(lower(text), 'ß', 'ss'), '’', ''''), '[\\x{4e00}-\\x{9fff}]|[a-z0-9]+(?:''[a-z0-9]+)*')) AS token FROM documents) SELECT token, count(*) AS n, count(DISTINCT doc_id) AS documents FROM t GROUP BY token"),
+    "agg22_bigrams": (agg22b, "WITH w AS (SELECT list_concat(['<s>'], regexp_extract_all(replace(replace(lower(text), 'ß', 'ss'), '’', ''''), '[\\x{4e00}-\\x{9fff}]|[a-z0-9]+(?:''[a-z0-9]+)*')) AS w FROM conversations), p AS (SELECT unnest(list_zip(w[1:-2], w[2:])) AS p FROM w) SELECT p[1] AS a, p[2] AS b, count(*) AS n FROM p GROUP BY 1, 2"),
     "sc40_bigram_scores": (sc40, "WITH w AS (SELECT conv_id * 1000 + turn AS k, role, list_concat(['<s>'], " + _W.format("text") + ") AS w FROM conversations), z AS (SELECT k, role, unnest(list_zip(w[1:-2], w[2:])) AS p FROM w), p AS (SELECT k, role, p[1] AS a, p[2] AS b FROM z), two AS (SELECT a, b, count(*) AS n FROM p WHERE role = 'user' GROUP BY 1, 2), one AS (SELECT b, sum(n) AS nb FROM two GROUP BY 1), bef AS (SELECT a, sum(n) AS na FROM two GROUP BY 1), tot AS (SELECT sum(nb) AS everything, count(*) AS kinds FROM one) SELECT k, round(avg(ln(0.6 * coalesce(n / na, 0) + 0.4 * (coalesce(nb, 0) + 0.1) / (everything + 0.1 * kinds))), 6) AS score FROM p LEFT JOIN two USING (a, b) LEFT JOIN bef USING (a) LEFT JOIN one USING (b), tot WHERE role = 'assistant' GROUP BY k"),
     "jn18_similar_phrases": (jn18, "WITH o AS (SELECT DISTINCT item_id AS i, unnest(" + _W.format("text") + ") AS t FROM benchmark), d AS (SELECT t, ln((SELECT count(*) FROM benchmark) / count(*)) AS idf FROM o GROUP BY 1), q AS (SELECT DISTINCT conv_id AS q, unnest(" + _W.format("text") + ") AS t FROM conversations WHERE turn = 0), s AS (SELECT q, i, round(sum(idf), 9) AS score FROM q JOIN o USING (t) JOIN d USING (t) GROUP BY 1, 2) SELECT q, i, round(score, 6) AS score FROM s WHERE score > 2 QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, i DESC) <= 3"),
     "srt01_own_words_first": (srt01, _RANKED + ", h AS (SELECT *, CAST(contains(' ' || lower(text) || ' ', ' the ') AS INT) + CAST(contains(' ' || lower(text) || ' ', ' and ') AS INT) + CAST(contains(' ' || lower(text) || ' ', ' with ') AS INT) AS hits FROM ranked) SELECT sample_id, rank, CAST(hits AS BIGINT) AS hits, row_number() OVER (PARTITION BY sample_id ORDER BY hits DESC, rank) AS new_rank FROM h"),
     "srt02_reranked": (srt02, _RANKED + "SELECT sample_id, rank, row_number() OVER (PARTITION BY sample_id ORDER BY score / tokens - 0.35 * rank DESC, rank) AS new_rank FROM ranked"),
-    "agg23_distinctive_words": (agg23, "WITH t AS (SELECT unnest(regexp_extract_all(replace(lower(text), '’', ''''), '[\\x{4e00}-\\x{9fff}]|[a-z0-9]+(?:''[a-z0-9]+)*')) AS token FROM documents), c AS (SELECT token, count(*) AS n FROM t GROUP BY token ORDER BY n DESC, token LIMIT 250) SELECT token, n FROM c WHERE length(token) > 2 AND token NOT IN ('the', 'and', 'der', 'die', 'que', 'les') ORDER BY n DESC, token LIMIT 50"),
+    "agg23_distinctive_words": (agg23, "WITH t AS (SELECT unnest(regexp_extract_all(replace(replace(lower(text), 'ß', 'ss'), '’', ''''), '[\\x{4e00}-\\x{9fff}]|[a-z0-9]+(?:''[a-z0-9]+)*')) AS token FROM documents), c AS (SELECT token, count(*) AS n FROM t GROUP BY token ORDER BY n DESC, token LIMIT 250) SELECT token, n FROM c WHERE length(token) > 2 AND token NOT IN ('the', 'and', 'der', 'die', 'que', 'les') ORDER BY n DESC, token LIMIT 50"),
     "ts01_nearest_resample": (ts01, _FRAMES + ", g AS (SELECT clip_id, min(ts) AS t0, max(ts) AS t1, bool_and(ok) AS valid FROM (SELECT *, coalesce(lag(ts) OVER (PARTITION BY clip_id ORDER BY frame_no) < ts, true) AS ok FROM f) GROUP BY 1), i AS (SELECT clip_id, unnest(generate_series(0, CAST(floor((t1 - t0) / 172800 + 1e-6) AS BIGINT))) AS k, t0 FROM g WHERE valid) SELECT i.clip_id, i.k, arg_min(frame_no, (abs(ts - (t0 + k * 172800)), ts)) AS frame_no FROM i JOIN f USING (clip_id) GROUP BY 1, 2 UNION ALL SELECT clip_id, frame_no, frame_no FROM f JOIN g USING (clip_id) WHERE NOT valid"),
     "win07_gap_filling": (win07, _FRAMES + ", v AS (SELECT *, CASE WHEN event_type <> 'view' THEN value END AS v FROM f), n AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN frame_no END IGNORE NULLS) OVER w AS ln, last_value(v IGNORE NULLS) OVER w AS lv, first_value(CASE WHEN v IS NOT NULL THEN frame_no END IGNORE NULLS) OVER x AS rn, first_value(v IGNORE NULLS) OVER x AS rv FROM v WINDOW w AS (PARTITION BY clip_id ORDER BY frame_no ROWS UNBOUNDED PRECEDING), x AS (PARTITION BY clip_id ORDER BY frame_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT clip_id, frame_no, round(coalesce(v, CASE WHEN ln IS NOT NULL AND rn IS NOT NULL THEN lv + (rv - lv) * (frame_no - ln) / (rn - ln) END, lv, rv), 6) AS filled FROM n"),
     "win06_shrinking_average": (win06, _FRAMES + ", n AS (SELECT *, count(*) OVER (PARTITION BY clip_id) AS n FROM f), m AS (SELECT *, least(6, frame_no, n - 1 - frame_no) AS m FROM n) SELECT a.clip_id, a.frame_no, round(avg(b.value), 6) AS smooth FROM m a JOIN f b ON a.clip_id = b.clip_id AND b.frame_no BETWEEN a.frame_no - a.m AND a.frame_no + a.m GROUP BY 1, 2"),

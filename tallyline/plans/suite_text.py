@@ -172,7 +172,7 @@ def agg28(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.brightness_trend(frames(spark, sf_dir)).select("clip_id", "frame_no", _cut("mean"), _cut("so_far"))
 
 
-_WORDS = "regexp_extract_all(replace(lower(text), '’', ''''), '[\\x{4e00}-\\x{9fff}]|[a-z0-9]+(?:''[a-z0-9]+)*')"
+_WORDS = "regexp_extract_all(replace(replace(lower(text), 'ß', 'ss'), '’', ''''), '[\\x{4e00}-\\x{9fff}]|[a-z0-9]+(?:''[a-z0-9]+)*')"
 _TURNS = "WITH t AS (SELECT conv_id * 1000 + turn AS i, text, role FROM conversations) "
 _GREY = "WITH f AS (SELECT label AS clip_id, vec_id AS frame_no, list_transform(embedding, lambda v: greatest(0, least(255, CAST(floor(CAST(v AS DOUBLE) * 400 + 128) AS INT)))) AS pixels FROM embeddings) "
 QUERIES = {

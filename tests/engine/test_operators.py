@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -105,12 +106,30 @@ def test_candidate_lists(spark):
     assert rows(candidates.distinct_texts(flat, F.col("text"), 2), "sample_id", "key", "place") == [(1, "raw", 1), (2, "a", 2), (2, "b", 1)]
 
 
-@pytest.mark.parametrize(("tokens", "want"), [("a a a a a a", True), ("a b a b a b", True), ("a b c d e f", False), ("x y z " * 5, True), ("p q r s t u v w x y z a b", False), ("a b c d a b c d a b c d", True)])
+@pytest.mark.parametrize(("tokens", "want"), [("a a a a a a", True), ("a b a b a b", True), ("a b c d e f", False), ("x y z " * 5, True), ("p q r s t u v w x y z a b", False), ("a b c d a b c d a b c d", True), ("a b c a b c a b c a b p q r s t u", False)])
 def test_repetition(spark, tokens, want):
     df = spark.createDataFrame([(tokens.split(),)], "t array<string>")
     assert df.select(candidates.repetitive(F.col("t")).alias("r")).first().r is want
 
 
+def test_repetition_by_brute_force(spark):
+    rng = random.Random(4)
+    lists = []
+    for _ in range(300):
+        phrase = [rng.choice("abcdefgh") for _ in range(rng.randrange(1, 14))]
+        said = (phrase * 9)[: rng.randrange(0, 40)]
+        lists.append([rng.choice("xyz") for _ in range(rng.randrange(6))] + said + [rng.choice("pqrstu") for _ in range(rng.randrange(14))])
+
+    def brute(t):
+        copies = lambda w, s: next(i for i in range(1, len(t) + 2) if t[s + i * w : s + (i + 1) * w] != t[s : s + w])
+        loops = [(copies(w, s), w) for w in range(3, 13) for s in range(len(t) - 3 * w + 1)]
+        return len(t) >= 6 and len(set(t)) <= 2 or len(t) >= 12 and any(c >= 3 and c * w >= 0.6 * len(t) for c, w in loops)
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lists)], "i long, t array<string>")
+    got = {r.i: r.r for r in df.select("i", candidates.repetitive(F.col("t")).alias("r")).collect()}
+    assert [got[i] for i in range(len(lists))] == [brute(t) for t in lists] and 20 < sum(got.values()) < 280
+
+
 def test_routing(spark):
     c = F.lit
     none = c(None).cast("string")
