@@ -103,7 +103,7 @@ QUERIES = {
     "sc43_workspace_gate": (sc43, "SELECT p_partkey, CAST(6 * 2 * 40 * 5000 * 4 AS BIGINT) * p_size AS bytes, CAST(6 * 2 * 40 * 5000 * 4 AS BIGINT) * p_size <= 200000000 AS fits FROM part"),
     "ml04_length_bonus": (ml04, _RANKED + " SELECT sample_id, rank, round(length(text) / -10.0 + 0.5 * len(regexp_extract_all(replace(replace(lower(text), 'ß', 'ss'), '’', ''''), '[\\x{4e00}-\\x{9fff}]|[a-z0-9]+(?:''[a-z0-9]+)*')), 6) AS score FROM ranked"),
     "agg29_capture_measures": (agg29, "SELECT user_id, round(median(value), 6) AS mouth_width, round(avg((event_type = 'view')::INT), 6) AS face_ratio FROM events GROUP BY user_id"),
-    "ts04_capped_frames": (ts04, "SELECT event_id FROM (SELECT event_id, epoch(ts) AS at, min(epoch(ts)) OVER (PARTITION BY user_id) AS first FROM events) WHERE at <= first + 20 * 86400.0"),
+    "ts04_capped_frames": (ts04, "SELECT event_id FROM (SELECT event_id, epoch(ts) AS t_s, min(epoch(ts)) OVER (PARTITION BY user_id) AS t_first FROM events) WHERE t_s <= t_first + 20 * 86400.0"),
     "ts05_speech_spans": (ts05, "WITH s AS (SELECT user_id, CAST(floor(value) AS BIGINT) * 100 - 500 AS a, CAST(floor(value) AS BIGINT) * 100 - 500 + event_id % 3 * 400 AS b FROM events), c AS (SELECT user_id, greatest(0, a) AS a, least(5000, b) AS b FROM s) SELECT user_id, round(sum(b - a) / 16000.0, 6) AS seconds, min(a) AS first, max(b) AS last FROM c WHERE a < b GROUP BY user_id"),
     "agg38_nbest_oracle": (agg38, _RANKED + ", b AS (SELECT sample_id, min(errors) AS best FROM ranked WHERE rank % 2 = 0 GROUP BY 1), s AS (SELECT conv_id AS sample_id, length(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS characters FROM conversations WHERE turn = 0) SELECT 'c' || (s.sample_id % 3) AS config, round(sum(coalesce(best, characters)) / sum(characters), 6) AS cer FROM s LEFT JOIN b ON s.sample_id = b.sample_id GROUP BY 1"),
     "set12_already_in_manifest": (set12, "SELECT doc_id FROM documents d WHERE lang = 'en' AND (EXISTS (SELECT 1 FROM documents e WHERE e.lang <> 'en' AND e.text = d.text) OR EXISTS (SELECT 1 FROM benchmark b WHERE b.text = d.text))"),
