@@ -271,7 +271,7 @@ def _read(tagger: Tagger, column: pa.Array, margin: float) -> Iterator[tuple[int
         yield first, texts, base, added(tagger, texts, base, margin)
 
 
-def personal_data(docs: DataFrame, sample: int = 10_000, steps: int = 350, margin: float = 4.0) -> DataFrame:
+def personal_data(docs: DataFrame, sample: int = 10_000, steps: int = 350, margin: float = 1.0) -> DataFrame:
     """doc_id, base counts by kind, base_sha256, spans (base and added, as kind:start:end), n_spans and n_added of every document."""
     small_batches(docs.sparkSession)
     tagger = learned(docs, sample, steps)
@@ -292,7 +292,7 @@ def personal_data(docs: DataFrame, sample: int = 10_000, steps: int = 350, margi
     return text_only(docs).mapInArrow(run, f"doc_id long, {counts}, base_sha256 string, spans string, n_spans long, n_added long")
 
 
-def masked(docs: DataFrame, mark: str = "[{}]", sample: int = 10_000, steps: int = 350, margin: float = 4.0) -> DataFrame:
+def masked(docs: DataFrame, mark: str = "[{}]", sample: int = 10_000, steps: int = 350, margin: float = 1.0) -> DataFrame:
     """``docs``, row by row, with every span's characters replaced by its kind's mark; null text stays null, all other columns stay as they are."""
     small_batches(docs.sparkSession)
     tagger = learned(docs, sample, steps)
