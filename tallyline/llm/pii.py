@@ -128,8 +128,6 @@ def _variants(rng: np.random.Generator) -> tuple[str, str, str, str | None]:
         quote = pick('"', '"', "'", "")
         return name + pick(" = ", "=", ": ", " : ", ":", " is ") + quote, value, quote, "secret"
     if kind < 11:  # words that repeat
-        if rng.random() < 0.4:  # or short names with numbers in them
-            return "", " ".join(word(1, 3) + num(int(rng.integers(1, 3))) + word(0, 3) + pick("", num(1)) for _ in range(rng.integers(2, 30)))[:200], "", None
         some = " ".join(word(2, 8) + pick("", "", ".", ",") for _ in range(rng.integers(1, 4)))
         return "", pick(" ", " ", "\n").join([some] * int(rng.integers(3, 40)))[:200], "", None
     plain = pick(
