@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_cnn, cost_packing, cube_mixing, jaccard_join, multi_index, perspectives, pii, quality_forest, repair_codec, warc_revisits
+from . import byte_cnn, cost_packing, cube_mixing, fill_in_middle, jaccard_join, multi_index, perspectives, pii, quality_forest, repair_codec, warc_revisits
 from .common import table
 
 
@@ -66,9 +66,14 @@ def op9_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *(f"score_{g}" for g in quality_forest.GROUPS))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut at two places between lines, in prefix- or suffix-first order, and digests of output and rebuilt text."""
+    return fill_in_middle.digests(fill_in_middle.transformed(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cube_mixing, op2_pii, op3_cost_packing, op4_warc_revisits, op5_multi_index, op6_perspective_rotation, op7_byte_cnn, op8_repair_grammar, op9_quality_forest, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_cube_mixing, op2_pii, op3_cost_packing, op4_warc_revisits, op5_multi_index, op6_perspective_rotation, op7_byte_cnn, op8_repair_grammar, op9_quality_forest, op10_ngram_jaccard_join, op12_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_revisits": warc_revisits.ORACLE_SQL, "op6_perspective_rotation": perspectives.ORACLE_SQL}
+    return {"op4_warc_revisits": warc_revisits.ORACLE_SQL, "op6_perspective_rotation": perspectives.ORACLE_SQL, "op12_fill_in_middle": fill_in_middle.ORACLE_SQL}
