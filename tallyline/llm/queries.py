@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_cnn, cost_packing, cube_mixing, fill_in_middle, jaccard_join, multi_index, perspectives, pii, quality_forest, repair_codec, warc_revisits
+from . import byte_cnn, cost_packing, cube_mixing, fill_in_middle, jaccard_join, multi_index, norm_sorted, perspectives, pii, quality_forest, repair_codec, warc_revisits
 from .common import table
 
 
@@ -71,9 +71,15 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(fill_in_middle.transformed(table(spark, sf_dir, "documents")))
 
 
+def op13_norm_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 largest inner products of every vector whose id is divisible by 100 with all others, exactly."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return norm_sorted.largest_products(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cube_mixing, op2_pii, op3_cost_packing, op4_warc_revisits, op5_multi_index, op6_perspective_rotation, op7_byte_cnn, op8_repair_grammar, op9_quality_forest, op10_ngram_jaccard_join, op12_fill_in_middle)}
+    return {f.__name__: f for f in (op1_cube_mixing, op2_pii, op3_cost_packing, op4_warc_revisits, op5_multi_index, op6_perspective_rotation, op7_byte_cnn, op8_repair_grammar, op9_quality_forest, op10_ngram_jaccard_join, op12_fill_in_middle, op13_norm_sorted)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_revisits": warc_revisits.ORACLE_SQL, "op6_perspective_rotation": perspectives.ORACLE_SQL, "op12_fill_in_middle": fill_in_middle.ORACLE_SQL}
+    return {"op4_warc_revisits": warc_revisits.ORACLE_SQL, "op6_perspective_rotation": perspectives.ORACLE_SQL, "op12_fill_in_middle": fill_in_middle.ORACLE_SQL, "op13_norm_sorted": norm_sorted.ORACLE_SQL}
