@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_cnn, cost_packing, cube_mixing, fill_in_middle, jaccard_join, multi_index, norm_sorted, perspectives, pii, quality_forest, repair_codec, warc_revisits
+from . import byte_cnn, cost_packing, cube_mixing, fill_in_middle, jaccard_join, merkle_manifest, multi_index, norm_sorted, perspectives, pii, quality_forest, repair_codec, warc_revisits
 from .common import table
 
 
@@ -66,6 +66,14 @@ def op9_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *(f"score_{g}" for g in quality_forest.GROUPS))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A proof for every document, folded from the document or, for half of them, from one without its line ends."""
+    tampered = F.when(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 2 == 0, merkle_manifest.document_leaf(F.translate("text", "\n", "")))
+    found = merkle_manifest.manifest(table(spark, sf_dir, "documents"), {"tampered": tampered})
+    found = found.withColumn("folded_root", merkle_manifest.folded(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle_manifest.proof_hash(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents cut at two places between lines, in prefix- or suffix-first order, and digests of output and rebuilt text."""
     return fill_in_middle.digests(fill_in_middle.transformed(table(spark, sf_dir, "documents")))
@@ -78,8 +86,8 @@ def op13_norm_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cube_mixing, op2_pii, op3_cost_packing, op4_warc_revisits, op5_multi_index, op6_perspective_rotation, op7_byte_cnn, op8_repair_grammar, op9_quality_forest, op10_ngram_jaccard_join, op12_fill_in_middle, op13_norm_sorted)}
+    return {f.__name__: f for f in (op1_cube_mixing, op2_pii, op3_cost_packing, op4_warc_revisits, op5_multi_index, op6_perspective_rotation, op7_byte_cnn, op8_repair_grammar, op9_quality_forest, op10_ngram_jaccard_join, op11_merkle_manifest, op12_fill_in_middle, op13_norm_sorted)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_revisits": warc_revisits.ORACLE_SQL, "op6_perspective_rotation": perspectives.ORACLE_SQL, "op12_fill_in_middle": fill_in_middle.ORACLE_SQL, "op13_norm_sorted": norm_sorted.ORACLE_SQL}
+    return {"op4_warc_revisits": warc_revisits.ORACLE_SQL, "op6_perspective_rotation": perspectives.ORACLE_SQL, "op11_merkle_manifest": merkle_manifest.ORACLE_SQL, "op12_fill_in_middle": fill_in_middle.ORACLE_SQL, "op13_norm_sorted": norm_sorted.ORACLE_SQL}
