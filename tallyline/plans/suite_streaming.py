@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import new_folder
-from ..streaming import live
+from ..streaming import live, stateful
 
 _EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -23,11 +23,23 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("event_id", "user_id", at.alias("at"), (F.unix_micros(at) / 1e6).alias("ts"), F.col("event_type").alias("kind"), "value", F.col("event_id").alias("ord"))
 
 
+def in_order(rows: DataFrame, at: str = "at") -> DataFrame:
+    """``rows`` as a stream of bounded micro-batches, earlier ones first."""
+    spark = rows.sparkSession
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(stateful.time_split(rows, at, _folder(spark)))
+
+
+def table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.schema(_EVENTS).parquet(f"{sf_dir}/events.parquet")
+    at = F.col("ts").cast("timestamp")
+    return e.select("event_id", "user_id", at.alias("at"), (F.unix_micros(at) / 1e6).alias("ts"), F.col("event_type").alias("kind"), "value", F.col("event_id").alias("ord"))
+
+
 def str01(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event types as keys, an hour as 1/100 of a second, so that holds, taps and double taps all occur."""
     kind = F.element_at(F.array(*map(F.lit, ("down", "up", "other", "esc"))), (F.pmod(F.length("kind"), F.lit(3)) + F.when(F.col("value") > 150, 2).otherwise(1)).cast("int"))
-    keys = events(spark, sf_dir).select("user_id", (F.col("ts") / 360_000).alias("ts"), kind.alias("kind"), "ord")
-    return live.drained(live.dictation_actions(keys), spark, _folder(spark))
+    keys = table(spark, sf_dir).select("user_id", (F.col("ts") / 360_000).alias("ts"), kind.alias("kind"), "ord")
+    return live.drained(live.dictation_actions(in_order(keys, "ts")), spark, _folder(spark))
 
 
 def str02(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +53,7 @@ def str03(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def str08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return live.drained(live.rate_limited(events(spark, sf_dir).select("user_id", "ts", "ord"), 3 * 86_400.0), spark, _folder(spark)).select("user_id", "ord")
+    return live.drained(live.rate_limited(in_order(table(spark, sf_dir).select("user_id", "ts", "ord"), "ts"), 3 * 86_400.0), spark, _folder(spark)).select("user_id", "ord")
 
 
 def str09(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +77,40 @@ def str12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.array_join(F.collect_list(F.col("event_id").cast("string")).over(w), " ").alias("context"))
 
 
+def str10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 15th result is the user's own text, every 5th final, others are drafts; 25 ids make a dictation."""
+    kind = F.when(F.col("event_id") % 15 == 1, "edit").when(F.col("event_id") % 5 == 0, "final").otherwise("draft")
+    rows = table(spark, sf_dir).select("at", F.floor(F.col("event_id") / 25).alias("token"), kind.alias("kind"), F.col("event_id").alias("version"), F.concat(F.lit("t"), "event_id").alias("text"))
+    return stateful.upserted(in_order(rows), _folder(spark))
+
+
+def str11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases open watches, other events say what a user's field holds; an hour stands for a second."""
+    rows = table(spark, sf_dir).select("user_id", "at", "ord", (F.col("kind") == "purchase").alias("opens"), F.concat(F.lit("e"), "event_id").alias("text"))
+    return live.drained(stateful.delayed_checks(in_order(rows), "user_id", (4 * 3600.0, 12 * 3600.0, 30 * 3600.0), "1 hour"), spark, _folder(spark))
+
+
+def str13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even events as frames, odd ones as blocks of audio of the same user, on one clock: two hours of latency, six hours of reach."""
+    rows = table(spark, sf_dir).select("user_id", "at", "ord")
+    frames, audio = (in_order(rows.where(F.col("ord") % 2 == side)) for side in (0, 1))
+    return live.drained(stateful.nearest_match(frames, audio, "user_id", 7200.0, 21600.0, "1 hour"), spark, _folder(spark))
+
+
+def taps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as presses, releases and what spoils them, an hour as 1/100 of a second."""
+    e = table(spark, sf_dir)
+    kinds = F.array(*map(F.lit, ("press", "release", "press", "release", "press", "release", "key_down", "key_up", "button_down", "button_up", "scroll", "modifier")))
+    i = F.col("event_id")
+    return e.select(
+        "user_id", F.timestamp_micros(F.floor(F.unix_micros("at") / 360_000)).alias("at"), "ord", (F.floor(F.unix_micros("at") / (8 * 86_400_000_000)) - (i % 29 == 0).cast("long")).alias("generation"),
+        F.element_at(kinds, (F.pmod(i * 37 + F.col("user_id"), F.lit(12)) + 1).cast("int")).alias("kind"), (F.lit(52) + i % 3).cast("int").alias("code"), (i % 17 == 0).alias("modified"), (i % 5 == 0).alias("again"))
+
+
+def str15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live.drained(stateful.clean_taps(in_order(taps(spark, sf_dir)), "user_id", "1 millisecond"), spark, _folder(spark))
+
+
 QUERIES = {
     "str01_push_to_talk": (str01, None),
     "str02_tumbling_windows": (str02, "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type AS kind, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2"),
@@ -73,4 +119,8 @@ QUERIES = {
     "str08_rate_limit": (str08, None),
     "str09_bounded_buffer": (str09, "WITH e AS (SELECT user_id, event_id AS ord, round(value, 0) AS s, sum(round(value, 0)) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS t FROM events) SELECT user_id, ord, CAST(greatest(0, least(s, 500 - (t - s))) AS DOUBLE) AS kept FROM e"),
     "str12_context": (str12, "SELECT event_id, coalesce(string_agg(CAST(event_id AS VARCHAR), ' ') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS context FROM events"),
+    "str10_draft_then_final": (str10, "WITH r AS (SELECT event_id // 25 AS token, CAST(CASE WHEN event_id % 15 = 1 THEN 2 WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS INTEGER) AS rank, event_id AS version, 't' || event_id AS text FROM events) SELECT token, max(rank) AS rank, arg_max(version, (rank, version)) AS version, arg_max(text, (rank, version)) AS text FROM r GROUP BY token"),
+    "str11_delayed_checks": (str11, "WITH c AS (SELECT user_id, ts, event_id, v.n AS number, epoch_us(ts) + v.h * 3600000000 AS due_us FROM events, (VALUES (1, 4), (2, 12), (3, 30)) v(n, h) WHERE event_type = 'purchase') SELECT user_id, event_id AS ord, number, due_us, (SELECT arg_max('e' || f.event_id, (f.ts, f.event_id)) FROM events f WHERE f.user_id = c.user_id AND f.event_type <> 'purchase' AND epoch_us(f.ts) <= due_us AND (f.ts, f.event_id) > (c.ts, c.event_id)) AS seen FROM c WHERE due_us <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 3600000000 FROM events)"),
+    "str13_nearest_audio": (str13, "WITH l AS (SELECT user_id, event_id AS ord, epoch_us(ts) - 7200000000 AS t FROM events WHERE event_id % 2 = 0), p AS (SELECT l.user_id, l.ord, r.event_id, epoch_us(r.ts) - t AS apart, r.ts FROM l JOIN events r ON r.user_id = l.user_id AND r.event_id % 2 = 1 AND abs(epoch_us(r.ts) - t) <= 21600000000), b AS (SELECT user_id, ord, arg_min(event_id, (abs(apart), ts, event_id)) AS match, arg_min(apart, (abs(apart), ts, event_id)) AS apart_us FROM p GROUP BY 1, 2) SELECT l.user_id, l.ord, b.match, b.apart_us FROM l LEFT JOIN b USING (user_id, ord) WHERE t + 21600000000 <= (SELECT least(epoch_us(max(ts) FILTER (event_id % 2 = 0)), epoch_us(max(ts) FILTER (event_id % 2 = 1))) // 1000 * 1000 - 3600000000 FROM events)"),
+    "str15_clean_taps": (str15, None),
 }

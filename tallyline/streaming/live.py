@@ -14,45 +14,43 @@ TAP, DOUBLE_TAP = 0.25, 0.35
 STRETCH = 4096
 
 
+#: Push to talk by state and input. idle; held (recording while the key is down); spent (the key still down, nothing recorded); free
+#: (recording hands-free) and ending (its last press); late and late_ending: hands-free after a recording that was cancelled.
+#: Inputs: down, up, other, esc; an up after less than TAP is a tap, or a second one within DOUBLE_TAP of the last. What isn't here changes nothing.
+TRANSITIONS = {
+    ("idle", "down"): ("held", "start"),
+    ("held", "up"): ("idle", "stop"),
+    ("held", "tap"): ("idle", "cancel_silent"),
+    ("held", "second"): ("free", "start_hands_free"),
+    ("held", "other"): ("idle", "cancel"),
+    ("held", "esc"): ("spent", "cancel"),
+    ("spent", "up"): ("idle", None),
+    ("spent", "tap"): ("idle", "cancel_silent"),
+    ("spent", "second"): ("late", "start_hands_free"),
+    ("spent", "other"): ("idle", None),
+    ("spent", "esc"): ("idle", None),
+    ("free", "down"): ("ending", None),
+    ("free", "esc"): ("idle", "cancel"),
+    ("ending", "up"): ("idle", "stop"),
+    ("ending", "esc"): ("spent", "cancel"),
+    ("late", "down"): ("late_ending", None),
+    ("late_ending", "up"): ("idle", "stop"),
+}
+_START = {"mode": "idle", "since": 0.0, "tapped": float("-inf")}
+
+
 def step(state: dict, kind: str, now: float) -> tuple[dict, list[str]]:
     """One key event: the next state and the actions start, start_hands_free, stop, cancel, cancel_silent.
 
     A hold records while the key is down. A tap (under TAP) is dropped, but a second one within DOUBLE_TAP goes on
     hands-free until the next press ends. Another key during a hold, or Escape at any time, cancels."""
-    down, since, tapped, free, active = (state[k] for k in ("down", "since", "tapped", "free", "active"))
-    acts: list[str] = []
-    if kind == "down" and not down:
-        down, since = True, now
-        if not free and not active:
-            active = True
-            acts.append("start")
-    elif kind == "up" and down:
-        down = False
-        if free:
-            free = active = False
-            acts.append("stop")
-        elif now - since < TAP:
-            if now - tapped < DOUBLE_TAP:
-                free, tapped = True, float("-inf")
-                acts.append("start_hands_free")
-            else:
-                tapped, active = now, False
-                acts.append("cancel_silent")
-        elif active:
-            active = False
-            acts.append("stop")
-    elif kind == "esc" and active:
-        active = free = False
-        acts.append("cancel")
-    elif kind in ("other", "esc") and down and not free:
-        down = False
-        if active:
-            active = False
-            acts.append("cancel")
-    return {"down": down, "since": since, "tapped": tapped, "free": free, "active": active}, acts
-
-
-_START = {"down": False, "since": 0.0, "tapped": float("-inf"), "free": False, "active": False}
+    mode, since, tapped = state["mode"], state["since"], state["tapped"]
+    if kind == "up" and mode in ("held", "spent") and now - since < TAP:
+        kind = "second" if now - tapped < DOUBLE_TAP else "tap"
+    to, action = TRANSITIONS.get((mode, kind), (mode, None))
+    since = now if kind == "down" and to != mode else since
+    tapped = {"tap": now, "second": float("-inf")}.get(kind, tapped)
+    return {"mode": to, "since": since, "tapped": tapped}, [action] if action else []
 
 
 def dictation_actions(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
@@ -76,13 +74,19 @@ def dictation_actions(events: DataFrame, idle_ms: int | None = None) -> DataFram
             state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["user_id", "ts", "action"])
 
-    return events.groupBy("user_id").applyInPandasWithState(run, "user_id long, ts double, action string", "down boolean, since double, tapped double, free boolean, active boolean", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
+    return events.groupBy("user_id").applyInPandasWithState(run, "user_id long, ts double, action string", "mode string, since double, tapped double", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
-def rate_limited(events: DataFrame, least: float) -> DataFrame:
-    """(user_id, ts, ord): events at least ``least`` seconds after the last one that was let through."""
+def rate_limited(events: DataFrame, least: float, idle_ms: int | None = None) -> DataFrame:
+    """(user_id, ts, ord): events at least ``least`` seconds after the last one that was let through.
+
+    Events of a micro-batch are put in order; in a stream that goes on, a user's state is dropped after ``idle_ms`` of processing time
+    without an event (let it be longer than ``least``)."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else float("-inf")
         rows = pd.concat(list(batches)).sort_values(["ts", "ord"])
         out = []
@@ -91,9 +95,11 @@ def rate_limited(events: DataFrame, least: float) -> DataFrame:
                 last = float(ts)
                 out.append((key[0], last, int(i)))
         state.update((last,))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["user_id", "ts", "ord"])
 
-    return events.groupBy("user_id").applyInPandasWithState(run, "user_id long, ts double, ord long", "last double", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("user_id").applyInPandasWithState(run, "user_id long, ts double, ord long", "last double", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def bounded(events: DataFrame, most: float) -> DataFrame:
@@ -116,7 +122,7 @@ def tumbling_counts(events: DataFrame, width: str, delay: str) -> DataFrame:
 
 
 def sessions(events: DataFrame, gap: str, delay: str) -> DataFrame:
-    """Sessions of each user: an event just ``gap`` after the last begins a new one, so the window is a microsecond shorter."""
+    """Sessions of each user: an event less than ``gap`` after the last goes on with it."""
     return events.withWatermark("at", delay).groupBy(F.session_window("at", gap).alias("w"), "user_id").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
 
 
