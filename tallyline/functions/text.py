@@ -36,15 +36,26 @@ def compatible(text: pd.Series) -> pd.Series:
     return text.map(lambda x: unicodedata.normalize("NFKC", x or ""))
 
 
+#: Han characters as a part of a character class: for Python and for Spark's (Java's) expressions. SPACE is white space beyond ASCII, too.
+HAN = "\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0002fa1f"
+JAVA_HAN = r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{20000}-\x{2fa1f}"
+SPACE = r"\s\x1c-\x1f"
+
+
 def target_units(text: Column) -> Column:
     """The characters that a recogniser must produce: of the text in NFKC all but white space and delimiters."""
-    kept = F.translate(F.regexp_replace(compatible(text), r"\s", ""), DELIMITERS, "")
+    kept = F.translate(F.regexp_replace(compatible(text), f"(?U)[{SPACE}]", ""), DELIMITERS, "")
     return F.filter(F.split(kept, ""), lambda c: c != "")
 
 
 def compact(text: Column) -> Column:
-    """Without white space and punctuation."""
-    return F.regexp_replace(text, r"[\s\p{P}]", "")
+    """The text in NFKC without white space and punctuation."""
+    return bare(compatible(text))
+
+
+def bare(text: Column) -> Column:
+    """A text that is in NFKC already without white space and punctuation."""
+    return F.regexp_replace(text, rf"(?U)[{SPACE}\p{{P}}]", "")
 
 
 def _folding() -> tuple[str, str]:
@@ -58,24 +69,43 @@ def _folding() -> tuple[str, str]:
     return "".join(pairs), "".join(pairs.values())
 
 
-#: Several letters in one character.
-_LIGATURES = {c: f for c in map(chr, [0xDF, 0x1E9E, *range(0xFB00, 0xFB07), 0x132, 0x133, 0x1C4, 0x1C6, 0x1C7, 0x1C9, 0x1CA, 0x1CC]) if (f := unicodedata.normalize("NFKC", c).casefold()).isascii()}
+def _several() -> dict[str, str]:
+    """Characters whose NFKC and casefold is several, with a Latin letter, digit, apostrophe or Han character among them: ligatures, units, numbers in circles."""
+    both = ((chr(p), unicodedata.normalize("NFKC", chr(p)).casefold()) for p in range(0x80, 0x30000))
+    return {c: f for c, f in both if len(f) > 1 and any(x.isascii() and (x.isalnum() or x == "'") or "\u3400" <= x <= "\u9fff" for x in f)}
+
+
+def _ranges(characters: list[str]) -> str:
+    """A character class's inside."""
+    out: list[list[int]] = []
+    for p in sorted(map(ord, characters)):
+        if out and out[-1][1] == p - 1:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out)
+
+
+_SEVERAL = _several()
+_SEVERAL_CLASS = _ranges(list(_SEVERAL))
 _FOLD_FROM, _FOLD_TO = _folding()
 
 
 def words(text: Column) -> Column:
     """Latin words (with inner apostrophes and digits) and single Han characters of the folded text.
 
-    Folding is NFKC and casefold for all characters that become one Latin letter, digit or Han character, and for ligatures; built-in functions only."""
+    Folding is NFKC and casefold of each character that becomes Latin letters, digits or Han characters; built-in functions only. Texts with
+    a character that becomes several are put together again from a table, others just translated."""
     plain = F.translate(F.coalesce(text, F.lit("")), _FOLD_FROM, _FOLD_TO)
-    for c, folded in _LIGATURES.items():
-        plain = F.replace(plain, F.lit(c), F.lit(folded))
+    table = F.map_from_arrays(F.split(F.lit("\x00".join(_SEVERAL)), "\x00"), F.split(F.lit("\x00".join(_SEVERAL.values())), "\x00"))
+    spread = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    plain = F.when(plain.rlike(f"[{_SEVERAL_CLASS}]"), spread).otherwise(plain)
     plain = F.regexp_replace(F.lower(plain), "’", "'")
-    return F.regexp_extract_all(plain, F.lit(r"([\x{4e00}-\x{9fff}]|[a-z0-9]+(?:'[a-z0-9]+)*)"), F.lit(1))
+    return F.regexp_extract_all(plain, F.lit(rf"([{JAVA_HAN}]|[a-z0-9]+(?:'[a-z]+)?)"), F.lit(1))
 
 
 def has_han(text: Column) -> Column:
-    return text.rlike(r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]")
+    return text.rlike(f"[{JAVA_HAN}]")
 
 
 def length_bucket(n: Column) -> Column:
@@ -120,4 +150,4 @@ def looks_spoken(text: Column) -> Column:
     """Natural language: 2 to 400 words, over 85 % letters or spaces, and neither JSON nor a path nor an address."""
     n = F.size(F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != ""))
     letters = F.length(F.regexp_replace(text, r"[^\p{L}\s]", "")) / F.greatest(F.length(text), F.lit(1))
-    return F.coalesce(n.between(2, 400) & (letters > 0.85) & ~text.rlike(r"^\s*[\[{/]|://"), F.lit(False))
+    return F.coalesce(n.between(2, 400) & (letters > 0.85) & ~text.rlike(r"^\s*(?:[\[{/]|http)"), F.lit(False))

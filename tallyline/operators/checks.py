@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import SPACE, compact
+
 SAMPLE_RATE = 16_000
 
 
@@ -73,13 +75,17 @@ def already_there(new: DataFrame, manifest: DataFrame, content: str) -> DataFram
 
 
 def disagreement(ranked: DataFrame, text: Column, least: float = 0.38) -> DataFrame:
-    """(sample_id, disagree): whether one of the next two distinct texts differs from the first in over ``least`` of the longer one's characters."""
-    rows = ranked.select("sample_id", "rank", text.alias("t")).where("t <> ''").groupBy("sample_id", "t").agg(F.min("rank").alias("rank"))
+    """(sample_id, disagree): whether one of the next two distinct texts differs from the first in over ``least`` of the longer one's characters.
+
+    Texts are compared compact; null and blank ones don't count, one of punctuation alone does (as nothing). A sample of fewer than two texts doesn't disagree."""
+    kept = ranked.where(~F.coalesce(text.rlike(rf"(?U)^[{SPACE}]*$"), F.lit(True)))
+    rows = kept.select("sample_id", "rank", compact(text).alias("t")).groupBy("sample_id", "t").agg(F.min("rank").alias("rank"))
     by = Window.partitionBy("sample_id").orderBy("rank")
     rows = rows.withColumn("place", F.row_number().over(by)).where("place <= 3")  # three rows of a list at most
     top = rows.where("place = 1").select("sample_id", F.col("t").alias("top"))
     far = F.levenshtein("t", "top") / F.greatest(F.length("t"), F.length("top"), F.lit(1)) > least
-    return rows.join(top, "sample_id").groupBy("sample_id").agg(F.bool_or((F.col("place") > 1) & far).alias("disagree"))
+    found = rows.join(top, "sample_id").groupBy("sample_id").agg(F.bool_or((F.col("place") > 1) & far).alias("disagree"))
+    return ranked.select("sample_id").distinct().join(found, "sample_id", "left").withColumn("disagree", F.coalesce("disagree", F.lit(False)))
 
 
 def unsupported_units(units: DataFrame, vocabulary: DataFrame) -> DataFrame:

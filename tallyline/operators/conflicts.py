@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import characters
+
 
 def issues(rows: DataFrame, key: str, checks: dict[str, Column]) -> DataFrame:
     """(key, issue): a row for each check that holds; a check that is null doesn't hold."""
@@ -18,12 +23,19 @@ def repeated(rows: DataFrame, columns: list[str], flag: str) -> DataFrame:
     return rows.join(twice, columns, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
+#: Names of the development part.
+DEVELOPMENT = ("dev", "val", "validation")
+
+
 def protocol_issues(rows: DataFrame) -> DataFrame:
-    """Configurations (id, split, weight, beam, nbest) of a decoder comparison: development rows only, ids and weights unique,
-    weights finite and in (0, 1], beam >= nbest >= 1."""
+    """Configurations (id, split, label_verified, label_source, weight, beam, nbest, reverse_weight) of a decoder comparison: development
+    rows only, whose labels are verified and have a source; ids and weights unique, weights finite and in (0, 1], beam >= nbest >= 1, the
+    reverse weight finite and in [0, 1]. A null breaks its rule."""
     both = repeated(repeated(rows, ["id"], "same_id"), ["weight"], "same_weight")
     return issues(both, "id", {
-        "split": ~F.coalesce(F.col("split") == "dev", F.lit(False)),
+        "split": ~F.coalesce(F.col("split").isin(*DEVELOPMENT), F.lit(False)),
+        "label": ~F.coalesce(F.col("label_verified") & (F.col("label_source") != ""), F.lit(False)),
+        "reverse weight": ~F.coalesce(F.col("reverse_weight").between(0, 1), F.lit(False)),
         "repeated id": F.col("same_id"),
         "repeated weight": F.col("same_weight"),
         "weight": ~F.coalesce((F.col("weight") > 0) & (F.col("weight") <= 1), F.lit(False)),
@@ -77,7 +89,9 @@ def parity_failures(rows: DataFrame, flags: list[str], single: str, batched: str
 
 def sibling_conflicts(new: DataFrame, siblings: DataFrame) -> DataFrame:
     """New manifest rows (id, speaker, session, date, reference, split) that contradict the siblings: the speaker or reference is
-    in another split, or the speaker's session has another date. Siblings count as distinct values; two of each decide."""
+    in another split, or the speaker's session has another date. Siblings count as distinct values; two of each decide. References are
+    compared by their ``characters``, a null one as an empty one; a null speaker or session is nobody's."""
+    new, siblings = (df.withColumn("reference", characters(F.col("reference").cast("string"))) for df in (new, siblings))
 
     def other(columns: list[str], value: str, flag: str) -> DataFrame:
         span = siblings.where(F.col(value).isNotNull()).groupBy(*columns).agg(F.min(value).alias("low"), F.max(value).alias("high"))
@@ -90,13 +104,16 @@ def sibling_conflicts(new: DataFrame, siblings: DataFrame) -> DataFrame:
 
 def paired_pixels(left: DataFrame, right: DataFrame) -> DataFrame:
     """(id, status) of two runs' evidence (id, original, shape, seed, preset, output, failed): originals must be equal, outputs
-    only under one preset; a failed row is no contradiction."""
+    only under one preset (other presets: preprocessing); a failed row is no contradiction. Evidence that is null is unknown."""
     a, b = (df.select("id", F.struct("original", "shape", "seed").alias(f"{s}_in"), *[F.col(c).alias(f"{s}_{c}") for c in ("preset", "output", "failed")]) for df, s in ((left, "a"), (right, "b")))
+    known = reduce(and_, (F.col(f"{s}_{c}").isNotNull() for s in "ab" for c in ("preset", "output", "failed", "in.original", "in.shape", "in.seed")))
     status = (
         F.when(F.col("a_in").isNull() | F.col("b_in").isNull(), "missing")
         .when(F.col("a_failed") | F.col("b_failed"), "failed")
+        .when(~known, "unknown")
         .when(F.col("a_in") != F.col("b_in"), "original")
         .when((F.col("a_preset") == F.col("b_preset")) & (F.col("a_output") != F.col("b_output")), "output")
+        .when(F.col("a_preset") != F.col("b_preset"), "preprocessing")
         .otherwise("same")
     )
     return a.join(b, "id", "full").select("id", status.alias("status"))

@@ -72,11 +72,19 @@ def distinctive(df: DataFrame, key: str, text: str, n: int, stop: list[str]) ->
     return top.where((F.length("token") > 2) & ~F.col("token").isin(*stop)).orderBy(F.desc("n"), "token").limit(n).select("token", "n")
 
 
-def suggested_names(df: DataFrame, text: str, known: list[str], most: int = 200) -> DataFrame:
-    """Words capitalised in mid-sentence at least 3 times, more often than in lower case, and not listed yet."""
-    found = F.regexp_extract_all(F.col(text), F.lit(r"(?<=[a-z,;] )([A-Za-z][a-z]+)"), F.lit(1))
-    counts = df.select(F.explode(found).alias("w")).groupBy(F.lower("w").alias("k")).agg(F.count_if(F.col("w") != F.lower("w")).alias("caps"), F.count_if(F.col("w") == F.lower("w")).alias("plain"))
-    return counts.where((F.col("caps") >= 3) & (F.col("caps") > F.col("plain")) & ~F.col("k").isin(*known)).orderBy(F.desc("caps"), "k").limit(most)
+def suggested_names(df: DataFrame, key: str, text: str, known: list[str], most: int = 200) -> DataFrame:
+    """(word, caps, plain): of the ``most`` words that are most often capitalised behind a text's first word, those with 3 such places or more, more
+    than in lower case, and not ``known`` (in lower case).
+
+    Spellings count by themselves; words in capitals and forms of I don't. Equal counts go by the first place, by ``key``, then in the text."""
+    found = df.select(F.col(key).alias("row"), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(r"([A-Za-z][A-Za-z0-9'\-]+)"), F.lit(1))).alias("at", "w"))
+    small = F.lower("w")
+    capital = F.col("w").rlike("^[A-Z]") & (F.col("at") > 0) & (F.col("w") != F.upper("w")) & ~small.isin("i", "i'm", "i'll", "i've", "i'd")
+    counts = found.groupBy("w").agg(F.count_if(capital).alias("caps"), F.count_if(F.col("w") == small).alias("plain"), F.min(F.when(capital, F.struct("row", "at"))).alias("first"))
+    top = counts.where("caps > 0").orderBy(F.desc("caps"), "first").limit(most).where("caps >= 3")
+    lower = counts.where("plain > 0").select(F.col("w").alias("k"), F.col("plain").alias("n"))
+    both = top.select(F.col("w").alias("word"), "caps", F.lower("w").alias("k")).join(lower, "k", "left").withColumn("plain", F.coalesce("n", F.lit(0)))
+    return both.where((F.col("plain") < F.col("caps")) & ~F.col("k").isin(*known)).select("word", "caps", "plain")
 
 
 def mapped_vocabulary(tokens_: DataFrame, vocabulary: DataFrame) -> DataFrame:

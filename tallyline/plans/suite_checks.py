@@ -82,7 +82,7 @@ def set12(spark: S, sf: str) -> D:
 
 
 def sc15(spark: S, sf: str) -> D:
-    return checks.disagreement(ranked(spark, sf), text.compact(F.col("text")))
+    return checks.disagreement(ranked(spark, sf), F.col("text"))
 
 
 def sc10(spark: S, sf: str) -> D:
@@ -107,6 +107,6 @@ QUERIES = {
     "ts05_speech_spans": (ts05, "WITH s AS (SELECT user_id, CAST(floor(value) AS BIGINT) * 100 - 500 AS a, CAST(floor(value) AS BIGINT) * 100 - 500 + event_id % 3 * 400 AS b FROM events), c AS (SELECT user_id, greatest(0, a) AS a, least(5000, b) AS b FROM s) SELECT user_id, round(sum(b - a) / 16000.0, 6) AS seconds, min(a) AS first, max(b) AS last FROM c WHERE a < b GROUP BY user_id"),
     "agg38_nbest_oracle": (agg38, _RANKED + ", b AS (SELECT sample_id, min(errors) AS best FROM ranked WHERE rank % 2 = 0 GROUP BY 1), s AS (SELECT conv_id AS sample_id, length(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS characters FROM conversations WHERE turn = 0) SELECT 'c' || (s.sample_id % 3) AS config, round(sum(coalesce(best, characters)) / sum(characters), 6) AS cer FROM s LEFT JOIN b ON s.sample_id = b.sample_id GROUP BY 1"),
     "set12_already_in_manifest": (set12, "SELECT doc_id FROM documents d WHERE lang = 'en' AND (EXISTS (SELECT 1 FROM documents e WHERE e.lang <> 'en' AND e.text = d.text) OR EXISTS (SELECT 1 FROM benchmark b WHERE b.text = d.text))"),
-    "sc15_candidates_disagree": (sc15, _RANKED + r", t AS (SELECT sample_id, rank, regexp_replace(text, '[\s\p{P}]', '', 'g') AS t FROM ranked), d AS (SELECT sample_id, t, min(rank) AS rank FROM t WHERE t <> '' GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY rank) AS place, first_value(t) OVER (PARTITION BY sample_id ORDER BY rank) AS top FROM d) SELECT sample_id, bool_or(place > 1 AND levenshtein(t, top) / greatest(length(t), length(top), 1) > 0.38) AS disagree FROM p WHERE place <= 3 GROUP BY 1"),
+    "sc15_candidates_disagree": (sc15, _RANKED + r", t AS (SELECT sample_id, rank, regexp_replace(text, '[\s\p{P}]', '', 'g') AS t FROM ranked WHERE NOT regexp_full_match(text, '\s*')), d AS (SELECT sample_id, t, min(rank) AS rank FROM t GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY rank) AS place, first_value(t) OVER (PARTITION BY sample_id ORDER BY rank) AS top FROM d) SELECT r.sample_id, coalesce(bool_or(place > 1 AND levenshtein(t, top) / greatest(length(t), length(top), 1) > 0.38), false) AS disagree FROM (SELECT DISTINCT sample_id FROM ranked) r LEFT JOIN p ON p.sample_id = r.sample_id AND place <= 3 GROUP BY 1"),
     "sc10_unsupported_units": (sc10, "WITH u AS (SELECT doc_id AS id, " + _UNITS.replace("nfkc", "text") + " AS u FROM documents), k AS (SELECT DISTINCT unnest(" + _UNITS.replace("nfkc", "text") + ") AS unit FROM benchmark), o AS (SELECT DISTINCT id, unnest(u) AS unit FROM u UNION SELECT id, NULL FROM u WHERE u IS NULL OR len(u) = 0) SELECT id, unit FROM o WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.unit = o.unit)"),
 }

@@ -75,7 +75,7 @@ def agg19(spark: S, sf: str) -> D:
 
 
 def agg21(spark: S, sf: str) -> D:
-    return reranking.suggested_names(table(spark, sf, "documents"), "text", ["the"]).select("k", "caps", "plain")
+    return reranking.suggested_names(table(spark, sf, "documents"), "doc_id", "text", ["the"])
 
 
 def agg31(spark: S, sf: str) -> D:
@@ -212,7 +212,7 @@ QUERIES = {
     "agg15_entity_cohorts": (agg15, WITH + ", k AS (SELECT *, 'number' AS kind FROM rated WHERE contains(ref_key, 'the') UNION ALL SELECT *, 'person_name' FROM rated WHERE contains(ref_key, 'and') UNION ALL SELECT *, 'none' FROM rated WHERE NOT contains(ref_key, 'the') AND NOT contains(ref_key, 'and')) SELECT kind, count(*) AS samples, CAST(sum(errors) AS BIGINT) AS errors, round(sum(errors) / nullif(sum(characters), 0), 6) AS cer FROM k GROUP BY kind"),
     "agg18_forced_ends": (agg18, "WITH f AS (SELECT CASE WHEN event_type <> 'view' THEN value > 50 END AS f FROM events) SELECT count(*) FILTER (f) AS marked, count(f) AS reported, count(*) FILTER (f IS NULL) AS unreported FROM f"),
     "agg19_audit_counters": (agg19, WITH + "SELECT split, count(*) AS rows, count(*) FILTER (coalesce(trim(reference), '') = '') AS reference_is_blank, count(*) FILTER (speaker = '') AS speaker_is_blank, count(*) FILTER (domain NOT IN ('mouth_roi', 'full_face', 'webcam')) AS domain_is_unknown, count(*) FILTER (split NOT IN ('train', 'dev', 'test')) AS split_is_unknown, count(*) FILTER (NOT duration_seconds > 0) AS duration_is_not_positive, count(*) FILTER (domain = 'full_face' AND duration_seconds > 30) AS full_face_needs_short_clip, count(*) FILTER (NOT regexp_full_match(sha256, '[0-9a-f]{64}')) AS digest_is_not_sha256 FROM samples GROUP BY split"),
-    "agg21_suggested_names": (agg21, None),
+    "agg21_suggested_names": (agg21, r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9''\-]+')) AS w, generate_subscripts(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9''\-]+'), 1) AS p FROM documents), f AS (SELECT *, w[1] <> lower(w[1]) AND p > 1 AND w <> upper(w) AND lower(w) NOT IN ('i', 'i''m', 'i''ll', 'i''ve', 'i''d') AS cap FROM w), c AS (SELECT w, count(*) FILTER (cap) AS caps, count(*) FILTER (w = lower(w)) AS plain, min((doc_id, p)) FILTER (cap) AS first FROM f GROUP BY w), t AS (SELECT * FROM c WHERE caps > 0 ORDER BY caps DESC, first LIMIT 200) SELECT t.w AS word, t.caps, coalesce(l.plain, 0) AS plain FROM t LEFT JOIN c l ON l.w = lower(t.w) WHERE t.caps >= 3 AND coalesce(l.plain, 0) < t.caps AND lower(t.w) <> 'the'"""),
     "agg31_perplexity": (agg31, "SELECT lang, round(exp(sum(length(text) / 1000.0) / greatest(sum(len(string_split(text, ' '))), 1)), 6) AS perplexity FROM documents GROUP BY lang"),
     "agg35_pooled_gaps": (agg35, WITH + _B + "SELECT split, round(avg(abs(a_errors - b_errors)), 6) AS mean_gap, round(sum(abs(a_errors - b_errors)) / nullif(sum(characters), 0), 6) AS pooled_gap FROM pairs GROUP BY split"),
     "agg37_argmin_configuration": (agg37, "WITH s AS (SELECT l_suppkey, round(avg(l_discount), 4) AS c FROM lineitem GROUP BY 1) SELECT l_suppkey AS config FROM s ORDER BY c, l_suppkey LIMIT 1"),

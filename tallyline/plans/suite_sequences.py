@@ -86,7 +86,7 @@ def sc03(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def agg11(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rated(spark, sf_dir).withColumn("alignment", edit.alignment("ref_key", "hyp_key"))
-    return candidates.error_operations(rows)
+    return candidates.error_operations(rows, "sample_id")
 
 
 def agg12(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ def sc11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sc14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stand_ins.table(spark, sf_dir, "documents").select("doc_id", F.length(F.regexp_replace("text", r"[\s.,!?;:]", "")).cast("long").alias("n"))
+    return stand_ins.table(spark, sf_dir, "documents").select("doc_id", F.length(text.compact(F.col("text"))).cast("long").alias("n"))
 
 
 def sc17(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +109,7 @@ def flt12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.text_columns(stand_ins.table(spark, sf_dir, "conversations")).select("column", "values")
+    return readers.text_columns(stand_ins.table(spark, sf_dir, "conversations").withColumns({"rare": F.when(F.col("turn") >= 4, F.col("text")), "path": F.concat(F.lit("/data/"), "text")})).select("column", "values", "filled", F.round("share", 6).alias("share"))
 
 
 def val_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +172,7 @@ def agg28(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.brightness_trend(frames(spark, sf_dir)).select("clip_id", "frame_no", _cut("mean"), _cut("so_far"))
 
 
-_WORDS = "regexp_extract_all(replace(replace(lower(text), 'ß', 'ss'), '’', ''''), '[\\x{4e00}-\\x{9fff}]|[a-z0-9]+(?:''[a-z0-9]+)*')"
+_WORDS = "regexp_extract_all(replace(replace(lower(text), 'ß', 'ss'), '’', ''''), '[\\x{4e00}-\\x{9fff}]|[a-z0-9]+(?:''[a-z]+)?')"
 _TURNS = "WITH t AS (SELECT conv_id * 1000 + turn AS i, text, role FROM conversations) "
 _GREY = "WITH f AS (SELECT label AS clip_id, vec_id AS frame_no, list_transform(embedding, lambda v: greatest(0, least(255, CAST(floor(CAST(v AS DOUBLE) * 400 + 128) AS INT)))) AS pixels FROM embeddings) "
 QUERIES = {
@@ -180,7 +180,7 @@ QUERIES = {
     "sc04_words": (sc04, _TURNS + f"SELECT i, array_to_string({_WORDS}, ' ') AS words FROM t"),
     "sc08_contains_terms": (sc08, _TURNS + "SELECT i, regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])the($|[^A-Za-z0-9_])') AS the, regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])ing($|[^A-Za-z0-9_])') AS ing, false AS han FROM t"),
     "sc11_length_buckets": (sc11, _TURNS + "SELECT CASE WHEN length(text) <= 20 THEN '1-20' WHEN length(text) <= 40 THEN '21-40' WHEN length(text) <= 60 THEN '41-60' ELSE '61+' END AS bucket, count(*) AS count FROM t GROUP BY 1"),
-    "sc14_compact_length": (sc14, "SELECT doc_id, length(regexp_replace(text, '[\\s.,!?;:]', '', 'g')) AS n FROM documents"),
+    "sc14_compact_length": (sc14, "SELECT doc_id, length(regexp_replace(text, '[\\s\\p{P}]', '', 'g')) AS n FROM documents"),
     "sc17_decoded_text": (sc17, _TURNS + "SELECT i, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS decoded FROM t"),
     "sc18_marker_counts": (sc18, _TURNS + "SELECT i, len(regexp_extract_all(text, 'the')) AS n FROM t"),
     "sc20_numbers_to_digits": (sc20, None),
@@ -196,7 +196,7 @@ QUERIES = {
     "sc38_strict_replies": (sc38, "SELECT event_id, list_sort(json_keys(props)) = ['k'] AND json_type(props, '$.k') IS NOT NULL AS fine, props ->> '$.k' AS k FROM events"),
     "sc44_sample_seeds": (sc44, "SELECT doc_id, CAST((CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 9, 8) AS BIGINT) + 77) % 4294967296 AS BIGINT) AS seed, true AS fine FROM documents"),
     "flt12_practice_sentences": (flt12, "WITH s AS (SELECT DISTINCT trim(unnest(regexp_split_to_array(text, '[.!?\\n]+'))) AS s FROM conversations) SELECT s FROM s WHERE NOT regexp_matches(s, '[0-9@/]') AND len(regexp_split_to_array(s, '\\s+')) BETWEEN 5 AND 12 ORDER BY sha256('5:' || s) LIMIT 100"),
-    "src05_text_columns": (src05, None),
+    "src05_text_columns": (src05, r"""WITH l AS (SELECT unnest([{'c': 'text', 'v': text}, {'c': 'role', 'v': role}, {'c': 'rare', 'v': CASE WHEN turn >= 4 THEN text END}, {'c': 'path', 'v': '/data/' || text}]) AS x FROM conversations), f AS (SELECT x.c AS "column", x.v AS v FROM l WHERE x.v IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY md5(v), v) AS place, count(*) OVER (PARTITION BY "column") AS filled FROM f), j AS (SELECT "column", filled, len(list_filter(regexp_split_to_array(v, '\s+'), lambda w: w <> '')) BETWEEN 2 AND 400 AND length(regexp_replace(v, '[^\p{L}\s]', '', 'g')) / greatest(length(v), 1) > 0.85 AND NOT regexp_matches(v, '^\s*([{\[/]|http)') AS good FROM r WHERE place <= 300) SELECT "column", count(*) AS "values", any_value(filled) AS filled, round(avg(CAST(good AS INT)), 6) AS share FROM j GROUP BY 1 HAVING count(*) >= 5 AND avg(CAST(good AS INT)) > 0.6"""),
     "val20_iso_dates": (val_days, "SELECT o_orderkey, 'date_is_not_iso' AS rule FROM orders WHERE o_orderkey % 3 = 0 AND (month(CAST(o_orderdate AS DATE)) < 10 OR day(CAST(o_orderdate AS DATE)) < 10)"),
     "val05_recorded_counts": (val05, "SELECT k, 'lines' AS \"column\" FROM (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 7 + 1 END AS r FROM orders) JOIN (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1) USING (k) WHERE r IS NOT NULL AND r <> n"),
     "val04_interval_rules": (val04, "WITH t AS (SELECT l_orderkey * 10 + l_linenumber AS i, l_quantity - 3 AS s, CASE WHEN l_linenumber <> 2 THEN l_linenumber * 8.0 END AS e FROM lineitem) SELECT i, 'start_is_negative' AS rule FROM t WHERE NOT s >= 0 UNION ALL SELECT i, 'end_is_not_behind_start' FROM t WHERE e IS NOT NULL AND NOT e > s"),

@@ -8,7 +8,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import looks_spoken
@@ -90,10 +90,19 @@ def zip_members(spark: SparkSession, path: str, names: list[str], most: int) ->
 
 
 def text_columns(df: DataFrame, sample: int = 300, least_values: int = 5, least_share: float = 0.6) -> DataFrame:
-    """(column, share, values): string columns of an unknown table that look like spoken text, best first, judged by a few values each."""
-    strings = [c for c, t in df.dtypes if t == "string"]
-    long = df.limit(sample).select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in strings))).alias("x")).select("x.*").where("value is not null")
-    return long.groupBy("column").agg(F.avg(looks_spoken(F.col("value")).cast("double")).alias("share"), F.count("*").alias("values")).where((F.col("values") >= least_values) & (F.col("share") > least_share)).orderBy(F.desc("share"), "column")
+    """(column, share, values, filled): string columns of an unknown table that look like spoken text, best first.
+
+    Each column is judged by ``sample`` of its own values that aren't null, those with the smallest MD5, so the order of rows doesn't matter and a column that is
+    null in most rows is judged like any other. filled counts its values. Columns named for formatted text come before others, these before raw
+    recognitions; then the larger share, then the fuller column. A table without string columns has no rows."""
+    strings = [c for c, t in df.dtypes if t == "string"] or [F.lit(None).cast("string")]
+    names = [c if isinstance(c, str) else "" for c in strings]
+    pairs = F.array(*(F.struct(F.lit(n).alias("column"), (F.col(f"`{c}`") if isinstance(c, str) else c).alias("value")) for n, c in zip(names, strings, strict=True)))
+    long = df.select(F.explode(pairs).alias("x")).select("x.*").where("value is not null")
+    ranked = long.withColumn("place", F.row_number().over(Window.partitionBy("column").orderBy(F.md5("value"), "value"))).where(F.col("place") <= sample)
+    judged = ranked.groupBy("column").agg(F.avg(looks_spoken(F.col("value")).cast("double")).alias("share"), F.count("*").alias("values")).where((F.col("values") >= least_values) & (F.col("share") > least_share))
+    rank = F.when(F.col("column").rlike("(?i)format|final|edit|clean"), 0).when(F.col("column").rlike("(?i)asr|raw|transcri"), 2).otherwise(1)
+    return judged.join(long.groupBy("column").agg(F.count("*").alias("filled")), "column").orderBy(rank, F.desc("share"), F.desc("filled"), "column")
 
 
 def asset_plan(assets: DataFrame, mode: str) -> DataFrame:
