@@ -310,29 +310,37 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(unicodedata.normalize("NFKC", text).casefold().replace("’", "'"))
 
 
-def _prefix_distances(a: list[str], b: list[str]) -> np.ndarray:
-    """Edit distances of a and every beginning of b."""
-    steps = np.arange(len(b) + 1)
-    row = steps
-    for x in a:
-        new = row + 1
-        new[1:] = np.minimum(new[1:], row[:-1] + np.array([x != y for y in b], np.int64))
-        row = np.minimum.accumulate(new - steps) + steps
+def _window_distances(a: list[str], b: list[str], most: int) -> np.ndarray:
+    """Edit distances of a and the windows of b, those over ``most`` as more: a row for each start, columns for lengths from len(a) - most to len(a) + most.
+
+    Only a band of the table can hold what is wanted; all starts go on together."""
+    number = {w: i for i, w in enumerate(dict.fromkeys([*a, *b]))}
+    starts, width, far = min(len(b), STARTS), 2 * most + 1, 1 << 20
+    y = np.array([-1] * most + [number[w] for w in b] + [-1] * (len(a) + most), np.int32)
+    steps = np.arange(width, dtype=np.int32)
+    row = np.broadcast_to(np.where(steps < most, far, steps - most).astype(np.int32), (starts, width))
+    for i, w in enumerate(a):
+        here = np.lib.stride_tricks.sliding_window_view(y[i : i + starts + width - 1], width)
+        new = row + (here != number[w])
+        np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
+        # insertions run to the right: a running minimum of (value - place) gives them all at once
+        row = np.minimum.accumulate(new - steps, axis=1) + steps
     return row
 
 
 def _han_correction(a: list[str], b: list[str]) -> str | None:
-    """The window of b nearest to a: by edits, then difference in length, then place, then text. None if it is a itself, or nothing is near."""
+    """The window of b nearest to a: by edits, then difference in length, then place. None if it is a itself, or nothing is near.
+
+    Bands grow until one holds a window: what is found within a band's width is nearer than all outside it."""
     n, most = len(a), max(2, int(len(a) * 0.4))
-    least = max(1, n - LONGER)
-    best = None
-    for start in range(min(len(b), STARTS)):
-        apart = _prefix_distances(a, b[start : start + n + LONGER])
-        for length in range(least, len(apart)):
-            found = (int(apart[length]), abs(length - n), start)
-            if found[0] <= most and (best is None or found < best[0]):
-                best = found, b[start : start + length]
-    return "".join(best[1]) if best and best[0][0] else None
+    band = LONGER
+    while True:
+        apart = _window_distances(a, b, band)
+        near = [(int(apart[start, length - n + band]), abs(length - n), start, length) for start in range(len(apart)) for length in range(max(1, n - LONGER), min(len(b) - start, n + LONGER) + 1)]
+        best = min((x for x in near if x[0] <= min(band, most)), default=None)
+        if best or band >= most:
+            return "".join(b[best[2] : best[2] + best[3]]) if best and best[0] else None
+        band *= 4
 
 
 def _word_correction(a: list[str], span: str) -> str | None:
