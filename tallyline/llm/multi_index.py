@@ -6,7 +6,7 @@ their summed distances, with a heap over the two sorted lists of centroids, unti
 as are wanted, and the entries of those cells are reranked by their exact cosine, in double precision.
 
 How many are wanted is measured, unless ``share`` of all is given: the true neighbours of ``probes`` vectors are found among
-all entries, and as many are taken (at least ``least``) as leave a share ``recall`` of these in the cells read. Vectors in
+all entries, and as many are taken as leave a share ``recall`` of these in the cells read. Vectors in
 clusters need few; vectors without structure need a third of all or more.
 
 Equal vectors are one entry with its k + 1 smallest ids: no more can be among a query's k nearest, so a vector that a third
@@ -194,7 +194,7 @@ def entries_wanted(index: DataFrame, probes: DataFrame, books: tuple[np.ndarray,
     return int(np.quantile(before, recall, method="higher")) + 1 if before else 1
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float | None = None, recall: float = 0.96, least: int = 2000, sample: int = 20_000, probes: int = 256, books: int | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float | None = None, recall: float = 0.96, least: int = 1, sample: int = 20_000, probes: int = 256, books: int | None = None) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest found of each query row (vec_id, embedding), nearest first."""
     spark = vectors.sparkSession
     sc = spark.sparkContext
@@ -223,7 +223,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float | N
     slice_rows = int(np.clip(n // 256, SLICE_LEAST, SLICE_MOST))
     group = (np.cumsum(counts) - counts) // slice_rows
     slices = np.maximum(1, -(-np.bincount(group, counts).astype(np.int64) // slice_rows))
-    wanted = max(least, int(np.ceil(share * n)) if share is not None else entries_wanted(index, hash_sample(named, probes, "i"), pair, counts, k, recall))
+    wanted = max(least, k + 1, int(np.ceil(share * n)) if share is not None else entries_wanted(index, hash_sample(named, probes, "i"), pair, counts, k, recall))
     routed = usable(queries).mapInArrow(_route(pair, sc.broadcast(counts.reshape(len(pair[0]), -1)), wanted, size, sc.broadcast(group)), "grp long, query_id long, v array<double>, cells array<long>")
     groups = spark.createDataFrame(pd.DataFrame({"cell": np.arange(len(group)), "grp": group, "slices": slices[group]}).astype("int64"))
     entries = index.join(F.broadcast(groups), "cell").withColumn("slice", F.pmod(F.xxhash64("ids"), F.col("slices"))).drop("slices")

@@ -93,10 +93,13 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 # --- training ---------------------------------------------------------------------------------------------------
 
 
-def _variants(rng: np.random.Generator) -> tuple[str, str, str, str | None]:
+def _variants(rng: np.random.Generator, words: list[str] | None = None) -> tuple[str, str, str, str | None]:
     """(what stands before, a made-up passage, what stands behind, its kind), or a look-alike that is none."""
     num = lambda n: "".join(map(str, rng.integers(0, 10, n)))
-    word = lambda a, b: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(a, b)))
+    made = lambda a, b: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(a, b)))
+    fitting = [w for w in (words[i] for i in rng.integers(0, len(words), 24)) if w.isalpha()] if words else []
+    # names are made of letters, or words that the corpus has
+    word = lambda a, b: next((w.lower() for w in fitting[:: rng.choice([-1, 1])] if a <= len(w) < b), None) or made(a, b) if fitting and rng.random() < 0.5 else made(a, b)
     pick = lambda *x: x[rng.integers(len(x))]
     draw = lambda letters, n: "".join(letters[i] for i in rng.integers(0, len(letters), n))
 
@@ -160,7 +163,7 @@ def training_set(passages: list[tuple[str, str]], made: int, seed: int = 11) ->
     for t, spans in passages:
         add(t, [(KINDS.index(k), int(a), int(b)) for k, a, b in (x.split(":") for x in spans.split(",") if x)])
     for _ in range(made):
-        before, middle, behind, kind = _variants(rng)
+        before, middle, behind, kind = _variants(rng, words)
         head = (some(rng.integers(1, 12)) + rng.choice([" ", " ", " ", "\n", ", "])) if rng.random() < 0.9 else ""
         head = head[-int(rng.integers(16, 90)) :] + before
         tail = behind + (rng.choice([" ", " ", ". ", ", ", "\n", "!! ", "*** ", " | ", "### "]) + some(rng.integers(1, 12)) if rng.random() < 0.9 else "")
@@ -197,7 +200,9 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for place, text in zip(batch.column("place").to_pylist(), batch.column("text").to_pylist(), strict=True):
             rng = np.random.default_rng(zlib.crc32(text.encode()))
             spans = sorted((a, b, k) for k, own in base_spans(text).items() for a, b in own)
-            picks = [spans[i][:2] for i in rng.permutation(len(spans))[:EACH]] + [(at := int(rng.integers(0, len(text) + 1)), at)]
+            # a span longer than a window teaches nothing, and would go to the driver whole
+            short = [s for s in spans if s[1] - s[0] <= WINDOW]
+            picks = [short[i][:2] for i in rng.permutation(len(short))[:EACH]] + [(at := int(rng.integers(0, len(text) + 1)), at)]
             for number, (a, b) in enumerate(picks):
                 low, high = max(0, a - int(rng.integers(8, 90))), min(len(text), b + int(rng.integers(8, 90)))
                 touched = [s for s in spans if s[0] < high and s[1] > low]
@@ -222,10 +227,18 @@ def learned(docs: DataFrame, sample: int, steps: int) -> Tagger:
 # --- reading ----------------------------------------------------------------------------------------------------
 
 
+#: Characters of the longest valid address (a fixed value of mail transport).
+MOST_ADDRESS = 254
+
+
 def _possible(kind: str, s: str, beside: str) -> bool:
-    """Whether the numbers of an added span can be of its kind, and are whole (no digit stands ``beside`` them); a key holds no white space."""
+    """Whether the numbers of an added span can be of its kind, and are whole (no digit stands ``beside`` them); an address isn't longer than any can be and has all its parts, a key holds no white space."""
     if kind == "secret":
         return not any(map(str.isspace, s))
+    if kind == "email":
+        # a name, a host and its domain, and where there is no @ a word for it
+        parts = re.findall(r"[^\W_]+", s.lower())
+        return len(s) <= MOST_ADDRESS and len(parts) >= (3 if "@" in s else 4) and len(set(parts)) >= 3
     if kind in ("ip", "card", "phone") and _digits(beside):
         return False
     if kind == "ip":

@@ -32,7 +32,7 @@ def op3_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The front pages asked for with every page, some answered as not modified: the response each such answer belongs to, and the merged headers."""
+    """What was asked for with every page (a folder of its host, with parameters), some answered as not modified: the response each such answer belongs to, and the merged headers."""
     found = warc_revisits.resolved(*warc_revisits.captures(table(spark, sf_dir, "pages")))
     lines = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))), "|")
     return found.select("record_id", "url_key", "status", "response_id", F.when(F.col("headers").isNotNull(), lines).alias("headers"))

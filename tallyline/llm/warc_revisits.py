@@ -6,7 +6,7 @@ last-modified date, if both have one; without any common validator nothing is co
 response's headers, over which those go that a 304 may update (PERMITTED).
 
 A URL's events are cut into stretches of time (quantiles of all events), each sorted on its own; what a stretch inherits is
-the last response of the stretches before it, of which a URL has at most STRETCHES. So a hot URL is many tasks.
+the last response of the stretches before it, of which a URL has at most MOST_STRETCHES. So a hot URL is many tasks, whose number grows with the events.
 
 Defined cases: a null or blank URL, or a null time, never matches (``no_response``); of responses at the same time the larger
 record id counts as later; a revisit doesn't see a response of its own time; null headers are empty; of header names that differ in case alone the last
@@ -19,9 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STRETCHES = 64
-#: Ids after which the front pages of captures() have a new version.
-VERSION = 1000
+#: Stretches of time: one for each STRETCH_ROWS events, within these bounds.
+STRETCHES, MOST_STRETCHES, STRETCH_ROWS = 64, 1024, 50_000
+#: Versions that a page of captures() has over the whole table.
+VERSIONS = 8
 #: The header fields that a not-modified answer may update.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 _DROPPED = "^(utm_[a-z]+|ref|fbclid|gclid)(=|$)"
@@ -59,16 +60,14 @@ def resolved(responses: DataFrame, revisits: DataFrame) -> DataFrame:
         F.coalesce(F.col("headers"), F.from_json(F.lit("{}"), "map<string,string>")).alias("headers"))
     events = common(responses, 1).where("url_key is not null and ts is not null").unionByName(common(revisits, 0))
     live = F.col("url_key").isNotNull() & F.col("ts").isNotNull()
-    marks = events.where(live).agg(F.percentile_approx("ts", [i / STRETCHES for i in range(1, STRETCHES)], 1000)).first()[0] or []
-    stretch = F.lit(0)
-    for m in sorted(set(marks)):
-        stretch = stretch + (F.col("ts") > m).cast("int")
-    events = events.withColumn("stretch", stretch)
+    many = int(min(MOST_STRETCHES, max(STRETCHES, events.where(live).count() // STRETCH_ROWS)))
+    marks = sorted(set(events.where(live).agg(F.percentile_approx("ts", [i / many for i in range(1, many)], 20 * many)).first()[0] or []))
+    events = events.withColumn("stretch", F.size(F.filter(F.lit(marks) if marks else F.array().cast("array<long>"), lambda m: m < F.col("ts"))))
     response = F.when(F.col("kind") == 1, F.struct(F.col("record_id").alias("id"), F.col("etag").alias("tag"), F.col("last_modified").alias("modified"), F.col("headers").alias("stored")))
     order = Window.partitionBy("url_key", "stretch").orderBy("ts", "kind", "record_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = events.where(live).withColumn("found", F.last(response, ignorenulls=True).over(order))
     last = events.where(live & (F.col("kind") == 1)).groupBy("url_key", "stretch").agg(F.max_by(response, F.struct("ts", "record_id")).alias("end"))
-    # what each stretch of a URL with events inherits: at most STRETCHES rows a URL
+    # what each stretch of a URL with events inherits: at most MOST_STRETCHES rows a URL
     spans = events.where(live).select("url_key", "stretch").distinct().join(last, ["url_key", "stretch"], "left")
     carry = spans.select("url_key", "stretch", F.last("end", ignorenulls=True).over(Window.partitionBy("url_key").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
     found = inside.where("kind = 0").join(carry, ["url_key", "stretch"], "left").withColumn("response", F.coalesce("found", "carried")).drop("found", "carried")
@@ -83,15 +82,18 @@ def resolved(responses: DataFrame, revisits: DataFrame) -> DataFrame:
 
 
 def captures(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(responses, revisits) for a table of pages: with each page the front page of its host was asked for, at time page_id.
+    """(responses, revisits) for a table of pages: with each page the first folder of its path was asked for, with the page's parameters and fragment, at time page_id.
 
-    A hash of page_id says whether that was a full response or a not-modified answer, and whether it came with an entity tag.
-    A front page has a new version every VERSION ids, and another last-modified date every 2 * VERSION."""
+    A hash of page_id says whether that was a full response or a not-modified answer, and whether it came with an entity tag. What was asked for has VERSIONS
+    versions over the rows of the table, and another last-modified date with every second one."""
+    rows = max(1, pages.count())
     dice = F.md5(F.col("page_id").cast("string"))
-    tag = F.concat(F.lit('"'), F.substring(F.md5(F.concat_ws(" ", canonical_url(F.col("front")), F.floor(F.col("ts") / VERSION).cast("string"))), 1, 16), F.lit('"'))
-    page = pages.withColumns({"record_id": F.col("page_id").cast("long"), "ts": F.col("page_id").cast("long"), "front": F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)})
-    page = page.withColumns({"etag": F.when(F.substring(dice, 2, 1) < "c", tag), "last_modified": F.concat(F.lit("v"), F.floor(F.col("ts") / (2 * VERSION)).cast("string")), "revisit": F.substring(dice, 1, 1) < "6"})
-    common = ("record_id", F.col("front").alias("url"), "ts", "etag", "last_modified")
+    front = F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/?[^/?#]*", 0)
+    page = pages.select("url", "html", F.col("page_id").cast("long").alias("record_id"), F.col("page_id").cast("long").alias("ts"), F.concat(front, F.regexp_extract("url", "[?#].*$", 0)).alias("asked"), dice.alias("dice"))
+    version = F.floor(F.col("ts") * VERSIONS / F.lit(rows))
+    tag = F.concat(F.lit('"'), F.substring(F.md5(F.concat_ws(" ", canonical_url(F.col("asked")), version.cast("string"))), 1, 16), F.lit('"'))
+    page = page.withColumns({"etag": F.when(F.substring("dice", 2, 1) < "c", tag), "last_modified": F.concat(F.lit("v"), F.floor(version / 2).cast("string")), "revisit": F.substring("dice", 1, 1) < "6"})
+    common = ("record_id", F.col("asked").alias("url"), "ts", "etag", "last_modified")
     date = F.concat(F.lit("t"), F.col("ts").cast("string"))
     full = F.map_concat(F.create_map(F.lit("Content-Length"), F.length("html").cast("string"), F.lit("Content-Type"), F.lit("text/html"), F.lit("Date"), date), F.when(F.col("etag").isNotNull(), F.create_map(F.lit("ETag"), F.col("etag"))).otherwise(F.from_json(F.lit("{}"), "map<string,string>")))
     brief = F.create_map(F.lit("Content-Length"), F.lit("0"), F.lit("Date"), date, F.lit("Server"), F.lit("s"))
@@ -99,12 +101,16 @@ def captures(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 ORACLE_SQL = r"""
-WITH asked AS (
-  SELECT page_id, length(html) AS n, md5(page_id::VARCHAR) AS dice,
-    regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www[0-9]*\.', ''), ':(80|443)$', '') AS host FROM pages
+WITH parts AS (
+  SELECT page_id, length(html) AS n, md5(page_id::VARCHAR) AS dice, page_id * 8 // (SELECT count(*) FROM pages) AS version,
+    regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www[0-9]*\.', ''), ':(80|443)$', '') AS host,
+    regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/?[^/?#]*)', 1), '/+$', '') AS folder,
+    list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))) AS args FROM pages
+), asked AS (
+  SELECT page_id, n, dice, version, nullif(host || folder || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END, '') AS url_key FROM parts
 ), events AS (
-  SELECT page_id, n, nullif(host, '') AS url_key, substr(dice, 1, 1) < '6' AS revisit, 'v' || (page_id // 2000) AS modified,
-    CASE WHEN substr(dice, 2, 1) < 'c' THEN '"' || substr(md5(concat_ws(' ', nullif(host, ''), page_id // 1000)), 1, 16) || '"' END AS etag FROM asked
+  SELECT page_id, n, url_key, substr(dice, 1, 1) < '6' AS revisit, 'v' || (version // 2) AS modified,
+    CASE WHEN substr(dice, 2, 1) < 'c' THEN '"' || substr(md5(concat_ws(' ', url_key, version)), 1, 16) || '"' END AS etag FROM asked
 ), found AS (
   SELECT v.page_id AS record_id, v.url_key, r.page_id AS response_id, r.n, r.etag AS old_tag,
     CASE WHEN v.etag IS NOT NULL AND r.etag IS NOT NULL THEN v.etag = r.etag ELSE v.modified = r.modified END AS agrees

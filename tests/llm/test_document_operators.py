@@ -505,3 +505,16 @@ def test_frequent_shingles_are_chosen_by_count(spark, monkeypatch):
     described = spark.createDataFrame(rows, "doc_id long, hot array<long>, times array<long>")
     tokens, times = jaccard_join._frequent(described)
     assert dict(zip(tokens.tolist(), times.tolist(), strict=True)) == {1: 59, 2: 9, 3: 5}
+
+
+def test_added_addresses_have_their_parts():
+    """No stretch of repeated words, no single word and nothing longer than an address can be is taken for one, whatever the tagger says."""
+    fits = {"jane dot doe at site dot org": True, "bob (at) mail (dot) com": True, "bob at bob.com": True, "a.b @ c.org": True, "x@y.z": True, "der der der der der der": False, "Ating. Ating. Ating. Ating.": False, "ertionthed": False, "at noon": False, "a at b." + "c" * 250: False}
+    assert {s: pii._possible("email", s, "") for s in fits} == fits
+
+
+def test_long_base_spans_are_no_passages(spark):
+    """An address of 100,000 characters is found, but not sent to the driver as a passage."""
+    long = "a" * 100_000 + "@b.org"
+    got = spark.createDataFrame([(0.1, long), (0.2, "mail x.y@z.org now")], "place double, text string").mapInArrow(pii._passages, "place double, number long, passage string, spans string").collect()
+    assert pii.base_spans(long)["email"] == [(0, len(long))] and max(len(r.passage) for r in got) < 1000 and any(r.spans for r in got)
