@@ -40,14 +40,14 @@ def bigram_scores(candidates: DataFrame, key: str, text: str, corpus: DataFrame,
 
 
 def similar(queries: DataFrame, phrases: DataFrame, most: int = 3, least: float = 2.0) -> DataFrame:
-    """(q, i, score): phrases that share rare words with a query, by the sum of ln(n / df); ties go to the later phrase.
+    """(q, i, score): phrases that share words with a query, by the sum of ln(n / df); ties go to the later phrase.
 
-    Words that more than half of the phrases have weigh under ln 2; they still count, but only on phrases that share
-    another word with the query, so the join runs over the rarer words first."""
+    Words that all phrases have weigh nothing and aren't joined on. Others are, also common ones: three of weight under ln 2 may pass
+    ``least`` together, so the join's work grows with how often a word that queries share occurs; scores are summed before the shuffle by pair."""
     n = phrases.count()
     own = tokens(phrases, "i", "text").select("i", "token").distinct()
     df = own.groupBy("token").agg(F.count("*").alias("df"))
-    idf = own.join(df.select("token", F.log(F.lit(float(max(n, 1))) / F.col("df")).alias("idf")), "token")
+    idf = own.join(df.where(F.col("df") < n).select("token", F.log(F.lit(float(max(n, 1))) / F.col("df")).alias("idf")), "token")
     asked = tokens(queries, "q", "text").select("q", "token").distinct()
     scores = asked.join(idf, "token").groupBy("q", "i").agg(F.round(F.sum("idf"), 9).alias("score")).where(F.col("score") > least)
     return scores.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.desc("i")))).where(F.col("place") <= most)

@@ -25,10 +25,10 @@ def first_by_hash(df: DataFrame, group: str, item: str, n: int) -> DataFrame:
 
 
 def held_out(df: DataFrame, item: str, n: int, seed: int = 1) -> DataFrame:
-    """The n items with the smallest seeded hashes are the test split."""
+    """The n items with the smallest seeded hashes are the test split, each with all of its rows; a null item is in training."""
     tag = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(item).cast("string")), 256)
-    test = df.select(item).withColumn("_h", tag).orderBy("_h", item).limit(n).select(item, F.lit("test").alias("part"))
-    return df.join(F.broadcast(test), item, "left").withColumn("part", F.coalesce("part", F.lit("train")))
+    test = df.where(F.col(item).isNotNull()).select(item).distinct().withColumn("_h", tag).orderBy("_h", item).limit(n).select(item, F.lit("test").alias("part"))
+    return df.join(test, item, "left").withColumn("part", F.coalesce("part", F.lit("train")))
 
 
 def latest(df: DataFrame, name: str, keep: int) -> DataFrame:

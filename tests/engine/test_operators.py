@@ -215,3 +215,12 @@ def test_validation(spark):
     assert rows(got, "id", "rule") == [(1, "blank"), (2, "start_is_negative"), (3, "end_is_not_behind_start"), (4, "blank"), (4, "start_is_negative")]
     with pytest.raises(ValueError, match="blank"):
         validation.raise_if_any(got)
+
+
+def test_held_out_items_keep_all_rows(spark):
+    from tallyline.operators import sampling
+
+    df = spark.createDataFrame([("a",), ("a",), ("a",), ("b",), ("c",), (None,)], "item string")
+    got = sampling.held_out(df, "item", 2).collect()
+    test = {r.item for r in got if r.part == "test"}
+    assert len(got) == 6 and len(test) == 2 and None not in test and not test & {r.item for r in got if r.part == "train"}
