@@ -95,3 +95,18 @@ def placed_chunks(chunks: DataFrame, targets: DataFrame, frame: float, least: fl
     out = grid.join(spread, ["clip_id", "k"], "left")
     share = F.count("value").over(Window.partitionBy("clip_id")) / F.col("n")
     return out.withColumn("_s", share).select("clip_id", "k", F.when(F.col("_s") > least, F.col("value")).alias("value"))
+
+
+def layer_normed(wave: Column, frames: Column, per_frame: int = 640, eps: float = 1e-5) -> Column:
+    """A wave cut or filled with zeros to ``per_frame`` samples a frame, less its mean, over the root of its variance (of all samples) and ``eps``.
+
+    Silence stays zeros; no frames, or a null wave, give an empty array, a null sample counts as 0."""
+    want = F.greatest(F.coalesce(frames, F.lit(0)) * per_frame, F.lit(0)).cast("int")
+    some = F.transform(F.slice(F.coalesce(wave, F.array().cast("array<double>")), F.lit(1), want), lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
+    whole = F.when(wave.isNull(), some).otherwise(F.concat(some, F.array_repeat(F.lit(0.0), want - F.size(some))))
+    # a lambda's argument is computed once, an expression inside a lambda for each element
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+    centred = lambda a: once(mean(a), lambda m: F.transform(a, lambda x: x - m))
+    scaled = lambda a: once(F.sqrt(mean(F.transform(a, lambda x: x * x)) + eps), lambda s: F.transform(a, lambda x: x / s))
+    return once(whole, lambda a: F.when(F.size(a) > 0, once(centred(a), scaled)).otherwise(a))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import suite_arrays, suite_checks, suite_comparison, suite_conflicts, suite_evidence, suite_scoring, suite_sequences, suite_streaming, suite_text, suite_wording
+from . import suite_arrays, suite_checks, suite_comparison, suite_conflicts, suite_evidence, suite_records, suite_scoring, suite_sequences, suite_streaming, suite_text, suite_wording
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PARTS = (suite_scoring, suite_comparison, suite_sequences, suite_text, suite_streaming, suite_evidence, suite_checks, suite_conflicts, suite_wording, suite_arrays)
+_PARTS = (suite_scoring, suite_comparison, suite_sequences, suite_text, suite_streaming, suite_evidence, suite_checks, suite_conflicts, suite_wording, suite_arrays, suite_records)
 
 
 def queries() -> dict[str, Query]:

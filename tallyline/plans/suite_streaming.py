@@ -111,6 +111,25 @@ def str15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.drained(stateful.clean_taps(in_order(taps(spark, sf_dir)), "user_id", "1 millisecond"), spark, _folder(spark))
 
 
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as reads of a user's camera: one in three gives no frame, purchases are recorded; a day stands for a second."""
+    i = F.col("event_id")
+    return table(spark, sf_dir).select("user_id", "at", "ord", (i % 3 != 0).alias("valid"), (F.col("kind") == "purchase").alias("recording"))
+
+
+def str07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = live.drained(stateful.camera_reads(in_order(reads(spark, sf_dir)), "user_id", 86_400.0, 86_400.0, "1 hour"), spark, _folder(spark))
+    return got.where("what = 'failed'").drop("what")
+
+
+def str14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = live.drained(stateful.camera_reads(in_order(reads(spark, sf_dir)), "user_id", 1e6 * 86_400.0, 86_400.0, "1 hour"), spark, _folder(spark))
+    return got.where("what = 'tracked'").drop("what")
+
+
+_PASSED = "us <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 3600000000 FROM events)"
+_READS = "SELECT user_id, event_id AS ord, epoch_us(ts) AS us, event_id % 3 <> 0 AS valid, event_type = 'purchase' AS recording FROM events"
+
 QUERIES = {
     "str01_push_to_talk": (str01, None),
     "str02_tumbling_windows": (str02, "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type AS kind, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2"),
@@ -123,4 +142,6 @@ QUERIES = {
     "str11_delayed_checks": (str11, "WITH c AS (SELECT user_id, ts, event_id, v.n AS number, epoch_us(ts) + v.h * 3600000000 AS due_us FROM events, (VALUES (1, 4), (2, 12), (3, 30)) v(n, h) WHERE event_type = 'purchase') SELECT user_id, event_id AS ord, number, due_us, (SELECT arg_max('e' || f.event_id, (f.ts, f.event_id)) FROM events f WHERE f.user_id = c.user_id AND f.event_type <> 'purchase' AND epoch_us(f.ts) <= due_us AND (f.ts, f.event_id) > (c.ts, c.event_id)) AS seen FROM c WHERE due_us <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 3600000000 FROM events)"),
     "str13_nearest_audio": (str13, "WITH l AS (SELECT user_id, event_id AS ord, epoch_us(ts) - 7200000000 AS t FROM events WHERE event_id % 2 = 0), p AS (SELECT l.user_id, l.ord, r.event_id, epoch_us(r.ts) - t AS apart, r.ts FROM l JOIN events r ON r.user_id = l.user_id AND r.event_id % 2 = 1 AND abs(epoch_us(r.ts) - t) <= 21600000000), b AS (SELECT user_id, ord, arg_min(event_id, (abs(apart), ts, event_id)) AS match, arg_min(apart, (abs(apart), ts, event_id)) AS apart_us FROM p GROUP BY 1, 2) SELECT l.user_id, l.ord, b.match, b.apart_us FROM l LEFT JOIN b USING (user_id, ord) WHERE t + 21600000000 <= (SELECT least(epoch_us(max(ts) FILTER (event_id % 2 = 0)), epoch_us(max(ts) FILTER (event_id % 2 = 1))) // 1000 * 1000 - 3600000000 FROM events)"),
     "str15_clean_taps": (str15, None),
+    "str07_read_failures": (str07, "WITH e AS (" + _READS + "), p AS (SELECT *, coalesce(max(CASE WHEN valid THEN us END) OVER w, first_value(us) OVER w) AS good FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, ord ROWS UNBOUNDED PRECEDING)), f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, ord) AS n FROM p WHERE NOT valid AND us - good >= 86400000000) SELECT user_id, us, ord FROM f WHERE n = 1 AND " + _PASSED),
+    "str14_preview_tracking": (str14, "WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, ord) AS n FROM (" + _READS + ") WHERE valid), r AS (SELECT *, us AS last_one, true AS tracked FROM e WHERE n = 1 UNION ALL SELECT e.*, CASE WHEN e.recording OR e.us - r.last_one >= 86400000000 THEN e.us ELSE r.last_one END, e.recording OR e.us - r.last_one >= 86400000000 FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1) SELECT user_id, us, ord FROM r WHERE tracked AND " + _PASSED),
 }

@@ -263,6 +263,43 @@ def clean_taps(rows: DataFrame, key: str, delay: str = "1 second") -> DataFrame:
     return _run(_timed(rows, key, delay), key, _Taps(key), "us long, ord long, action string")
 
 
+# --- reads of a camera --------------------------------------------------------------------------------------------
+
+
+class _Reads(InOrder):
+    columns = "us long, ord long, valid boolean, recording boolean"
+    memory = "valid long, tracked long, ended boolean"
+    output = ("us", "ord", "what")
+
+    def __init__(self, key: str, limit: int, interval: int) -> None:
+        self.key, self.limit, self.interval = key, limit, interval
+
+    def released(self, key, rows: list[tuple], now: int) -> list[tuple]:  # noqa: ANN001
+        good, tracked, ended = self.own.get() if self.own.exists() else (None, None, False)
+        out = []
+        for us, i, valid, recording in rows if not ended else ():
+            good = us if good is None or valid else good
+            if not valid and us - good >= self.limit:
+                ended = True
+                out.append((us, i, "failed"))
+                break
+            if valid and (recording or tracked is None or us - tracked >= self.interval):
+                tracked = us
+                out.append((us, i, "tracked"))
+        if rows:
+            self.own.update((good, tracked, ended))
+        return out
+
+
+def camera_reads(rows: DataFrame, key: str, limit: float = 3.0, interval: float = 1 / 12, delay: str = "1 second") -> DataFrame:
+    """(key, us, ord, what) of a camera's reads (key, at, ord, valid, recording): which frames are tracked, and when it failed.
+
+    While recording every valid frame is tracked; in a preview one ``interval`` seconds or more after the last tracked one, and the first. A read that gives no frame
+    ``limit`` seconds or more after the last valid one (or the first read) fails, and ends the key: no later row counts. A null valid is no frame, a null recording a preview.
+    A read that never returns isn't a row, so it fails nothing."""
+    return _run(_timed(rows, key, delay), key, _Reads(key, round(limit * SECOND), round(interval * SECOND)), "us long, ord long, what string")
+
+
 # --- drafts and finals --------------------------------------------------------------------------------------------
 
 #: What a later row of another kind can't replace: the user's own text stands over finals, finals over drafts.
