@@ -92,3 +92,20 @@ def test_spans_lines_and_replies(spark):
 @pytest.mark.parametrize(("raw", "want"), [("▁the▁cat<eos>", "the cat"), ("a<space>b   c", "a b c")])
 def test_decoded(spark, raw, want):
     assert apply(spark, [raw], text.decoded) == [want]
+
+
+def test_inserted_spans_of_long_texts(spark):
+    """Linear in the text's length: against a plain loop, and on texts for which all places by all places would never end."""
+    from pyspark.sql import functions as F
+
+    from tallyline.functions import rewrite
+
+    def plain(a, b):
+        n = min(len(a), len(b))
+        head = next((i for i in range(n) if a[i] != b[i]), n)
+        tail = next((i for i in range(n - head) if a[-1 - i] != b[-1 - i]), n - head)
+        return b[head : len(b) - tail]
+
+    rows = [("", ""), ("", "a"), ("a", ""), ("aa", "aaa"), ("abab", "ab"), ("abc", "axc"), ("a我b", "a我𠀀b"), ("same", "same"), (None, "a"), ("xay", "xbby"), ("ab" * 30_000, "ab" * 20_000 + "XYZ" + "ab" * 10_000)]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", rewrite.inserted_span(F.col("a"), F.col("b")).alias("s")).collect()
+    assert [(r.a, r.b, r.s) for r in got] == [(a, b, plain(a or "", b)) for a, b in rows]
