@@ -23,10 +23,12 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("event_id", "user_id", at.alias("at"), (F.unix_micros(at) / 1e6).alias("ts"), F.col("event_type").alias("kind"), "value", F.col("event_id").alias("ord"))
 
 
-def in_order(rows: DataFrame, at: str = "at") -> DataFrame:
-    """``rows`` as a stream of bounded micro-batches, earlier ones first."""
+def in_order(rows: DataFrame, at: str = "at", key: str = "user_id") -> DataFrame:
+    """``rows`` as a stream of a few micro-batches, earlier ones first; of each key they have a bounded number of rows."""
     spark = rows.sparkSession
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(stateful.time_split(rows, at, _folder(spark)))
+    path = stateful.time_split(rows, at, _folder(spark))
+    files = stateful.files_a_trigger(spark.read.schema(rows.schema).parquet(path), key)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +83,7 @@ def str10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every 15th result is the user's own text, every 5th final, others are drafts; 25 ids make a dictation."""
     kind = F.when(F.col("event_id") % 15 == 1, "edit").when(F.col("event_id") % 5 == 0, "final").otherwise("draft")
     rows = table(spark, sf_dir).select("at", F.floor(F.col("event_id") / 25).alias("token"), kind.alias("kind"), F.col("event_id").alias("version"), F.concat(F.lit("t"), "event_id").alias("text"))
-    return stateful.upserted(in_order(rows), _folder(spark))
+    return stateful.upserted(in_order(rows, key="token"), _folder(spark))
 
 
 def str11(spark: SparkSession, sf_dir: str) -> DataFrame:

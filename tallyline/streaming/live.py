@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -53,28 +53,57 @@ def step(state: dict, kind: str, now: float) -> tuple[dict, list[str]]:
     return {"mode": to, "since": since, "tapped": tapped}, [action] if action else []
 
 
-def dictation_actions(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
-    """(user_id, ts, action) of a stream of (user_id, ts, kind, ord): a state machine for each user; ts in seconds.
+#: Users are dealt to this many groups: a group costs its worker some milliseconds in each micro-batch, however few its rows are.
+GROUPS = 1024
 
-    Events of a micro-batch are put in order; state outlives the batch and, in a stream that goes on, is dropped after
-    ``idle_ms`` of processing time without an event (a stream that is only drained has no timers: they would keep it up)."""
+
+def _by_user(events: DataFrame, columns: list[str], start: tuple, take: Callable[[tuple, tuple], tuple[tuple, list]], memory: dict[str, str], output: str, idle_ms: int | None) -> DataFrame:
+    """What ``take`` makes of each user's rows (``columns``: first two in order, from its values and a row new values and what it gives, without the user).
+
+    The state of a group is a list for each value, a place for each of its users. In a stream that goes on a user's place is dropped after
+    ``idle_ms`` of processing time without an event, and a group's whole state when none of its users has one."""
+    names = [c.strip().split(" ")[0] for c in output.split(",")]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        own = dict(zip(_START, state.get, strict=True)) if state.exists else dict(_START)
-        rows = pd.concat(list(batches)).sort_values(["ts", "ord"])
+        now = state.getCurrentProcessingTimeMs()
+        own = {u: (seen, tuple(v)) for u, seen, *v in zip(*state.get, strict=True)} if state.exists else {}
+        if idle_ms:
+            own = {u: s for u, s in own.items() if now - s[0] < idle_ms}
+        # pandas makes floats of integers among which are nulls
+        users = lambda b: b["user_id"].astype("Int64").astype(object).where(b["user_id"].notna(), None)
+        rows = sorted((r for b in batches for r in zip(*(b[c].tolist() for c in columns), users(b).tolist(), strict=True)), key=lambda r: r[:2])
         out = []
-        for ts, kind in zip(rows["ts"], rows["kind"], strict=True):
-            own, acts = step(own, kind, float(ts))
-            out += [(key[0], float(ts), a) for a in acts]
-        state.update(tuple(own.values()))
+        for *row, u in rows:
+            values, gives = take(own[u][1] if u in own else start, tuple(row))
+            own[u] = (now, values)
+            out += [(u, *g) for g in gives]
+        state.update(tuple(map(list, zip(*((u, seen, *v) for u, (seen, v) in own.items()), strict=True))))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["user_id", "ts", "action"])
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    kept = ", ".join(f"{c} array<{t}>" for c, t in {"users": "long", "seen": "long", **memory}.items())
+    grouped = events.withColumn("_group", F.pmod(F.xxhash64("user_id"), F.lit(GROUPS))).groupBy("_group")
+    return grouped.applyInPandasWithState(run, output, kept, "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
-    return events.groupBy("user_id").applyInPandasWithState(run, "user_id long, ts double, action string", "mode string, since double, tapped double", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
+
+def dictation_actions(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """(user_id, ts, action) of a stream of (user_id, ts, kind, ord): a state machine for each user; ts in seconds.
+
+    Events of a micro-batch are put in order; state outlives the batch and, in a stream that goes on, is dropped after
+    ``idle_ms`` of processing time without an event (a stream that is only drained has no timers: they would keep it up)."""
+
+    def take(own: tuple, row: tuple) -> tuple[tuple, list]:
+        ts, _, kind = row
+        state, acts = step(dict(zip(_START, own, strict=True)), kind, ts)
+        return tuple(state.values()), [(ts, a) for a in acts]
+
+    memory = {"mode": "string", "since": "double", "tapped": "double"}
+    return _by_user(events, ["ts", "ord", "kind"], tuple(_START.values()), take, memory, "user_id long, ts double, action string", idle_ms)
 
 
 def rate_limited(events: DataFrame, least: float, idle_ms: int | None = None) -> DataFrame:
@@ -83,23 +112,10 @@ def rate_limited(events: DataFrame, least: float, idle_ms: int | None = None) ->
     Events of a micro-batch are put in order; in a stream that goes on, a user's state is dropped after ``idle_ms`` of processing time
     without an event (let it be longer than ``least``)."""
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else float("-inf")
-        rows = pd.concat(list(batches)).sort_values(["ts", "ord"])
-        out = []
-        for ts, i in zip(rows["ts"], rows["ord"], strict=True):
-            if ts - last >= least:
-                last = float(ts)
-                out.append((key[0], last, int(i)))
-        state.update((last,))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["user_id", "ts", "ord"])
+    def take(own: tuple, row: tuple) -> tuple[tuple, list]:
+        return ((row[0],), [row]) if row[0] - own[0] >= least else (own, [])
 
-    return events.groupBy("user_id").applyInPandasWithState(run, "user_id long, ts double, ord long", "last double", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
+    return _by_user(events, ["ts", "ord"], (float("-inf"),), take, {"last": "double"}, "user_id long, ts double, ord long", idle_ms)
 
 
 def bounded(events: DataFrame, most: float) -> DataFrame:

@@ -332,9 +332,12 @@ def upserted(rows: DataFrame, folder: str) -> DataFrame:
 
 # --- streams of files in the order of time ------------------------------------------------------------------------
 
+#: Rows of a file; rows of one key in a micro-batch, which a worker may have to hold at once; micro-batches, if that bound asks for no more.
+FILE_ROWS, KEY_ROWS, BATCHES = 500_000, 500_000, 4
 
-def time_split(df: DataFrame, at: str | Column, folder: str, rows: int = 50_000, least: int = 4) -> str:
-    """``df`` written as files of about ``rows`` rows, each later than the one before; a stream of one file a trigger then takes bounded batches in order.
+
+def time_split(df: DataFrame, at: str | Column, folder: str, rows: int = FILE_ROWS, least: int = BATCHES) -> str:
+    """``df`` written as files of about ``rows`` rows, each later than the one before; a stream of some files a trigger then takes bounded batches in order.
 
     The file source takes older files first, so the files' times are set by their place."""
     spark = df.sparkSession
@@ -347,3 +350,13 @@ def time_split(df: DataFrame, at: str | Column, folder: str, rows: int = 50_000,
     for i, p in enumerate(paths):
         files.setTimes(p, first + 1000 * i, -1)
     return folder
+
+
+def files_a_trigger(written: DataFrame, key: str, most: int = KEY_ROWS, least: int = BATCHES) -> int:
+    """How many files of ``time_split`` make a micro-batch: ``least`` batches of them all, or more, so that no batch has over ``most`` rows of a key.
+
+    Each key of a micro-batch costs a few calls of its state, so batches must not become many as the input grows. A file has at most n rows of any
+    key, so most / n files have at most ``most`` (a single file may, if it alone has more)."""
+    own = written.groupBy(F.input_file_name().alias("file"), key).agg(F.count("*").alias("n"))
+    files, n = own.agg(F.count_distinct("file"), F.max("n")).first()
+    return max(1, min(-(-files // least), most // max(1, n or 0)))

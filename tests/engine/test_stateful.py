@@ -148,3 +148,33 @@ def test_rates_and_dictations_in_any_batches(spark, tmp_path, parts):
             let.append(i)
     assert [(r.ts, r.action) for r in got] == want
     assert [r.ord for r in live.drained(live.rate_limited(stream(df, tmp_path / "in2", parts), 0.5), spark, str(tmp_path / "b")).orderBy("ord").collect()] == let
+
+
+def test_batches_stay_few_as_rows_grow_and_hold_few_rows_of_a_key(spark, tmp_path):
+    rows = [(i % 50, START + i, i) for i in range(6000)] + [(99, START + 4 * i, i) for i in range(900)]
+    df = frame(spark, rows, "ord long")
+    count = lambda d, n, **most: stateful.files_a_trigger(spark.read.schema(d.schema).parquet(stateful.time_split(d, "at", str(tmp_path / f"f{n}"), rows=300)), "user_id", **most)
+    assert count(df.where("user_id < 50"), 1) == 5  # 20 files, 4 batches
+    assert count(df, 2, most=200) in (2, 3)
+    assert count(df, 3, most=1) == 1
+
+
+def test_many_users_share_groups_of_state(spark, tmp_path, monkeypatch):
+    """Users of one group, and rows without a user, don't disturb each other, and a worker is called for groups, not for users."""
+    rng = np.random.default_rng(6)
+    rows = [(int(rng.integers(40)) if i % 9 else None, float(rng.integers(3000)) / 10, str(rng.choice(["down", "up", "down", "up", "other", "esc"])), i) for i in range(1500)]
+    df = spark.createDataFrame(rows, "user_id long, ts double, kind string, ord long").withColumn("at", F.col("ts"))
+    monkeypatch.setattr(live, "GROUPS", 3)
+    want, let = [], []
+    for user in {r[0] for r in rows}:
+        state, last = dict(live._START), float("-inf")
+        for _, t, kind, i in sorted((r for r in rows if r[0] == user), key=lambda r: (r[1], r[3])):
+            state, acts = live.step(state, kind, t)
+            want += [(user, t, a) for a in acts]
+            if t - last >= 0.5:
+                last = t
+                let.append((user, t, i))
+    got = live.drained(live.dictation_actions(stream(df, tmp_path / "in", 5)), spark, str(tmp_path / "a"))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    got = live.drained(live.rate_limited(stream(df, tmp_path / "in2", 5), 0.5), spark, str(tmp_path / "b"))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, let))
