@@ -109,3 +109,16 @@ def test_inserted_spans_of_long_texts(spark):
     rows = [("", ""), ("", "a"), ("a", ""), ("aa", "aaa"), ("abab", "ab"), ("abc", "axc"), ("a我b", "a我𠀀b"), ("same", "same"), (None, "a"), ("xay", "xbby"), ("ab" * 30_000, "ab" * 20_000 + "XYZ" + "ab" * 10_000)]
     got = spark.createDataFrame(rows, "a string, b string").select("a", "b", rewrite.inserted_span(F.col("a"), F.col("b")).alias("s")).collect()
     assert [(r.a, r.b, r.s) for r in got] == [(a, b, plain(a or "", b)) for a, b in rows]
+
+
+def test_few_rows_at_a_time_are_python_values():
+    """A batch of any size is taken in pieces, so a worker never holds the edits or tokens of all its rows."""
+    import pyarrow as pa
+
+    from tallyline.functions import edit
+
+    held = []
+    a = pa.array(["ab"] * 1000)
+    got = [held.append(len(p)) or p for p in edit.in_pieces(iter([(a, pa.array(["ax", None] * 500))]), lambda r, h: edit._aligned(r or "", h or ""), edit._ALIGNMENT)]
+    assert max(held) == edit.PIECE and sum(held) == 1000
+    assert pa.concat_arrays(got).field("substitutions").to_pylist() == [1, 0] * 500
