@@ -88,3 +88,14 @@ def test_lists_have_all_candidates(spark, tmp_path):
         mean[b] += v
     best = {texts[k] for k, v in mean.items() if v == min(mean.values())}
     assert {r["rank"] for r in candidates.medoids(df, F.col("key")).collect() if r.sample_id == 7} == best
+
+
+def test_rescored_ties_are_those_of_sql(spark, tmp_path):
+    """A tenth of a length is k / 10 as decimals have it, not k * 0.1: scores that are equal there stay equal, and go by rank."""
+    rows = [(1, 0, "user", "reference")] + [(1, t, "assistant", "".join(chr(97 + i % 26) for i in range(n)) + " " * b) for t, (n, b) in enumerate(((n, b) for n in (3, 6, 7, 8, 11, 12, 13, 14) for b in range(24)), 1)]
+    rows = [r for r in rows] + [(c, t, role, text) for c in range(2, 60) for _, t, role, text in rows if t == 0 or (t * 7 + c) % 5 == 0]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    got = {(r.sample_id, r["rank"]) for r in suite.queries()["srt04_rescored_first"](spark, str(tmp_path)).collect()}
+    assert got == set(con.sql(suite.oracle_sql()["srt04_rescored_first"]).fetchall())
