@@ -1,4 +1,4 @@
-"""Stateful operators on event time: rows in order whatever the micro-batches, timers, maps of what is held, two-sided buffers.
+"""Stateful operators on event time: rows in order whatever the micro-batches, timers, lists of what is held, two-sided buffers.
 
 All keep a row until the watermark has passed it, so no earlier row can come, and then take rows by (time, ord). So the answer to
 one micro-batch is that to twenty, and a restart goes on from the checkpoint. What the watermark hasn't passed stays in state. Rows whose
@@ -6,16 +6,21 @@ time or key is null take no part; rows later than ``delay`` are dropped by the w
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SECOND = 1_000_000
+#: Keys are dealt to this many groups: a group costs its worker some milliseconds in each micro-batch, however few its rows are.
+GROUPS = 1024
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}
 
 
 def _timed(rows: DataFrame, key: str, delay: str) -> DataFrame:
@@ -23,60 +28,97 @@ def _timed(rows: DataFrame, key: str, delay: str) -> DataFrame:
     return rows.where(F.col("at").isNotNull() & F.col(key).isNotNull()).withWatermark("at", delay).withColumn("us", F.unix_micros("at"))
 
 
-def _run(rows: DataFrame, key: str, processor: StatefulProcessor, shape: str) -> DataFrame:
+def _run(rows: DataFrame, operator: InOrder, shape: str) -> DataFrame:
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    return rows.groupBy(key).transformWithStateInPandas(processor, f"{key} {rows.schema[key].dataType.simpleString()}, {shape}", "append", "eventTime")
+    kept = ", ".join(f"{name} binary" for name in ("waiting", *operator.memory))
+    rows = rows.select(operator.key, "at", *operator.names)
+    grouped = rows.withColumn("_group", F.pmod(F.xxhash64(operator.key), F.lit(GROUPS))).groupBy("_group")
+    output = f"{operator.key} {rows.schema[operator.key].dataType.simpleString()}, {shape}"
+    return grouped.applyInPandasWithState(operator.take, output, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-class InOrder(StatefulProcessor):
-    """Hands a key's rows on in order, once the watermark has passed them.
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
-    Rows wait in list state under a timer at the earliest of them; ``released`` gets those that are due and yields what they make."""
 
-    #: Columns that rows keep in state after us, with their types; the second orders rows of equal time.
+class InOrder:
+    """Hands each key's rows on in order, once the watermark has passed them.
+
+    Rows of a group of keys wait in its state under a timer at the earliest of them; ``released`` gets a key's rows that are due and returns what
+    they make. State is a table for the waiting rows and for each kind of memory, as Arrow streams: a worker is called for groups, not for keys."""
+
+    #: Columns that rows keep in state, with their types; they are due at the first, the second orders rows of equal time.
     columns: str = "us long, ord long"
-    #: What a key remembers besides waiting rows.
-    memory: str = "none long"
+    #: What a key remembers besides waiting rows: lists of rows by name, and the columns of each.
+    memory: dict[str, str] = {}
     #: Columns of the output after the key.
     output: tuple[str, ...] = ()
 
-    def init(self, handle) -> None:  # noqa: ANN001
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", self.columns)
-        self.own = handle.getValueState("own", self.memory)
-        self.types = [c.split() for c in self.columns.split(", ")]
-        self.names = [n for n, _ in self.types]
-
-    def wake(self, us: int | None) -> None:
-        if us is not None:
-            self.handle.registerTimer(-(-us // 1000))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        for batch in rows:
-            # pandas makes floats of integers among which are nulls
-            whole = batch[self.names].astype({n: "Int64" for n, t in self.types if t in ("long", "int")}).astype(object)
-            new = whole.where(whole.notna(), None).values.tolist()
-            self.waiting.appendList([tuple(r) for r in new])
-            self.wake(min(r[0] for r in new))
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[:2])
-        due = [r for r in rows if r[0] <= now]
-        rest = rows[len(due) :]
-        if due:
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        out = self.released(key, due, now)
-        self.wake(min([*(r[0] for r in rest[:1]), *self.later()], default=None))
+    def __init__(self, key: str) -> None:
+        self.key = key
+
+    @property
+    def names(self) -> list[str]:
+        return [c.split()[0] for c in self.columns.split(", ")]
+
+    def shape(self, columns: str, key: pa.DataType) -> pa.Schema:
+        return pa.schema([("_key", key), *((n, _ARROW[t]) for n, t in (c.split() for c in columns.split(", ")))])
+
+    def take(self, group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs() * 1000
+        waiting, own = [], {}
+        if state.exists:
+            first, *kept = (pa.ipc.open_stream(pa.py_buffer(bytes(b))).read_all() for b in state.get)
+            waiting.append(first)
+            for name, table in zip(self.memory, kept, strict=True):
+                for k, *row in zip(*(c.to_pylist() for c in table.columns), strict=True):
+                    own.setdefault(k, {m: [] for m in self.memory})[name].append(tuple(row))
+        for batch in batches:
+            if len(batch):
+                new = batch[[self.key, *self.names]].rename(columns={self.key: "_key"})
+                key = waiting[0].schema.field("_key").type if waiting else pa.array(new["_key"]).type
+                # pandas makes floats of integers among which are nulls
+                waiting.append(pa.Table.from_pandas(new, schema=self.shape(self.columns, key), preserve_index=False))
+        if not waiting:
+            return
+        rows = pa.concat_tables(waiting).combine_chunks()
+        rows = rows.take(np.lexsort((rows["ord"].to_numpy(), rows["us"].to_numpy())))
+        n = int(np.searchsorted(rows["us"].to_numpy(), now, "right"))
+        due: dict = {}
+        for k, *row in zip(*(c.to_pylist() for c in rows.slice(0, n).columns), strict=True):
+            due.setdefault(k, []).append(tuple(row))
+        for k, o in own.items():
+            if k not in due and any(t <= now for t in self.later(o)):
+                due[k] = []
+        out = []
+        for k, own_rows in due.items():
+            mine = own.setdefault(k, {m: [] for m in self.memory})
+            out += [(k, *r) for r in self.released(mine, own_rows, now)]
+            if not any(mine.values()):
+                del own[k]
+        rest = rows.slice(n)
+        if len(rest) or own:
+            key = rows.schema.field("_key").type
+            tables = [pa.table(list(map(pa.array, zip(*held), schema.types)), schema=schema) if (held := [(k, *r) for k, o in own.items() for r in o[name]]) else schema.empty_table() for name, schema in ((m, self.shape(c, key)) for m, c in self.memory.items())]
+            state.update((_packed(rest), *map(_packed, tables)))
+            wake = min([*rest["us"].to_pylist()[:1], *(t for o in own.values() for t in self.later(o))], default=None)
+            if wake is not None:
+                # a group is called when the watermark is later than its timer
+                state.setTimeoutTimestamp(max(-(-wake // 1000) - 1, now // 1000, 1))
+        elif state.exists:
+            state.remove()
         if out:
-            yield pd.DataFrame([(*key, *r) for r in out], columns=["key", *self.output]).rename(columns={"key": self.key})
+            yield pd.DataFrame(out, columns=[self.key, *self.output], dtype=object)
 
-    def later(self) -> list[int]:
-        """Further times at which to be called."""
+    def later(self, own: dict[str, list[tuple]]) -> list[int]:
+        """Further times at which a key is to be called."""
         return []
 
-    def released(self, key, rows: list[tuple], now: int) -> list[tuple]:  # noqa: ANN001
+    def released(self, own: dict[str, list[tuple]], rows: list[tuple], now: int) -> list[tuple]:
+        """What a key's rows make, without the key; ``own`` is its memory, changed in place."""
         raise NotImplementedError
 
 
@@ -85,41 +127,34 @@ class InOrder(StatefulProcessor):
 
 class _Checks(InOrder):
     columns = "us long, ord long, opens boolean, text string"
-    memory = "us long, ord long, text string"
+    memory = {"last": "us long, ord long, text string", "pending": "ord long, number int, due long, opened long"}
     output = ("ord", "number", "due_us", "seen")
 
     def __init__(self, key: str, delays: tuple[float, ...]) -> None:
-        self.key, self.delays = key, delays
-
-    def init(self, handle) -> None:  # noqa: ANN001
-        super().init(handle)
-        self.pending = handle.getMapState("pending", "ord long, number int", "due long, opened long")
+        super().__init__(key)
+        self.delays = delays
 
-    def later(self) -> list[int]:
-        return [due for due, _ in self.pending.values()]
+    def later(self, own: dict[str, list[tuple]]) -> list[int]:
+        return [due for _, _, due, _ in own["pending"]]
 
-    def released(self, key, rows: list[tuple], now: int) -> list[tuple]:  # noqa: ANN001
+    def released(self, own: dict[str, list[tuple]], rows: list[tuple], now: int) -> list[tuple]:
         # checks that rows open may themselves be due by now: what was seen is looked up by time, not by order of arrival
-        seen = [tuple(self.own.get())] if self.own.exists() else []
+        seen, pending = own["last"], {(i, n): (due, opened) for i, n, due, opened in own["pending"]}
         for us, i, opens, text in rows:
             if opens:
                 for n, d in enumerate(self.delays, 1):
-                    self.pending.updateValue((i, n), (us + round(d * SECOND), us))
+                    pending[i, n] = (us + round(d * SECOND), us)
             else:
                 seen.append((us, i, text))
         times = [us for us, *_ in seen]
-        out, left = [], False
-        for (i, n), (due, opened) in list(self.pending.iterator()):
+        out, left = [], []
+        for (i, n), (due, opened) in pending.items():
             if due > now:
-                left = True
+                left.append((i, n, due, opened))
                 continue
-            at = int(np.searchsorted(times, due, "right"))
+            at = bisect_right(times, due)
             out.append((i, n, due, seen[at - 1][2] if at and seen[at - 1][:2] > (opened, i) else None))
-            self.pending.removeKey((i, n))
-        if not left:
-            self.own.clear()
-        elif seen:
-            self.own.update(seen[-1])
+        own["last"], own["pending"] = seen[-1:] if left else [], left
         return out
 
 
@@ -129,73 +164,53 @@ def delayed_checks(rows: DataFrame, key: str, delays: tuple[float, ...] = (4.0,
     ``rows`` are (key, at, ord, opens, text): a row opens a watch, or says what the field holds from then on. Each check happens once, when
     the watermark has passed it; seen is the text of the last field row after the opening and at or before the check (null: none). A key
     without a watch has no state. Rows that repeat an ord of a key open one watch."""
-    return _run(_timed(rows, key, delay), key, _Checks(key, delays), "ord long, number int, due_us long, seen string")
+    return _run(_timed(rows, key, delay), _Checks(key, delays), "ord long, number int, due_us long, seen string")
 
 
 # --- nearest match of two streams ---------------------------------------------------------------------------------
 
 
 class _Nearest(InOrder):
+    #: A left row is due when no right row near enough can come any more, a right row at its own time.
     columns = "us long, ord long, left boolean, target long"
-    memory = "none long"
+    memory = {"right": "us long, ord long"}
     output = ("ord", "match", "apart_us")
 
     def __init__(self, key: str, within: int, shift: int) -> None:
-        self.key, self.within, self.shift = key, within, shift
-
-    def init(self, handle) -> None:  # noqa: ANN001
-        super().init(handle)
-        self.right = handle.getListState("right", "us long, ord long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        def split() -> Iterator[pd.DataFrame]:
-            for batch in rows:
-                right = batch[~batch["left"]]
-                if len(right):
-                    self.right.appendList([tuple(r) for r in right[["us", "ord"]].astype(object).values.tolist()])
-                    # a row of the right side is of no use to lefts whose times are so far behind it
-                    self.wake(int(right["us"].min()) + self.shift + self.within)
-                left = batch[batch["left"]]
-                if len(left):
-                    # a left row can be decided when no right row near enough can come any more
-                    yield left.assign(us=left["target"] + self.within)
-
-        yield from super().handleInputRows(key, split(), timerValues)
-
-    def released(self, key, rows: list[tuple], now: int) -> list[tuple]:  # noqa: ANN001
-        right = sorted(tuple(r) for r in self.right.get())
-        times = np.array([us for us, _ in right], np.int64)
-        out = []
-        for _, i, _, target in rows:
-            at = int(np.searchsorted(times, target, "right"))
+        super().__init__(key)
+        self.within, self.span = within, within + max(shift, within)
+
+    def later(self, own: dict[str, list[tuple]]) -> list[int]:
+        return [own["right"][0][0] + self.span + 1000] if own["right"] else []
+
+    def released(self, own: dict[str, list[tuple]], rows: list[tuple], now: int) -> list[tuple]:
+        right = own["right"] + [(us, i) for us, i, left, _ in rows if not left]
+        times, out = [us for us, _ in right], []
+        for _, i, left, target in rows:
+            if not left:
+                continue
+            at = bisect_right(times, target)
             # of rows at one time the first, before or after the target
-            near = [int(np.searchsorted(times, times[at - 1], "left"))] if at else []
+            near = [bisect_left(times, times[at - 1])] if at else []
             near += [at] if at < len(times) else []
-            best = min(near, key=lambda k: (abs(int(times[k]) - target), k), default=None)
-            apart = None if best is None else int(times[best]) - target
+            best = min(near, key=lambda k: (abs(times[k] - target), k), default=None)
+            apart = None if best is None else times[best] - target
             out.append((i, right[best][1], apart) if apart is not None and abs(apart) <= self.within else (i, None, None))
-        # lefts to come are later than the watermark; those that wait were just not due
-        oldest = min([now - self.shift, *(r[3] for r in self.waiting.get())])
-        keep = right[int(np.searchsorted(times, oldest - self.within, "left")) :]
-        if len(keep) < len(right):
-            self.right.put(keep) if keep else self.right.clear()
-        self.next_drop = keep[0][0] + self.shift + self.within if keep else None
+        # targets of left rows that wait are later than the watermark less the reach, of those to come than the watermark less the shift
+        own["right"] = right[bisect_left(times, now - self.span) :]
         return out
 
-    def later(self) -> list[int]:
-        return [] if self.next_drop is None else [self.next_drop + 1000]
-
 
 def nearest_match(left: DataFrame, right: DataFrame, key: str, shift: float = 0.06, within: float = 0.5, delay: str = "1 second") -> DataFrame:
     """(key, ord, match, apart_us): for each row of ``left`` the row of ``right`` nearest to its time less ``shift`` seconds.
 
     Both are streams of (key, at, ord) on one clock; a frame is read ``shift`` after it was exposed. A row further than ``within`` seconds is no
-    match (null). Ties go to the earlier row, then the smaller ord. Both sides wait in list state: a left row until the watermark has passed
+    match (null). Ties go to the earlier row, then the smaller ord. Both sides wait in state: a left row until the watermark has passed
     all that might be nearer, a right one until no left row can want it."""
     micros, reach = round(shift * SECOND), round(within * SECOND)
     # each side has a watermark of its own: the slower one counts
-    one = lambda df, side: _timed(df.select(key, "at", F.col("ord").cast("long").alias("ord")), key, delay).withColumns({"left": F.lit(side), "target": F.col("us") - F.lit(micros)})
-    return _run(one(left, True).unionByName(one(right, False)), key, _Nearest(key, reach, micros), "ord long, match long, apart_us long")
+    one = lambda df, side: _timed(df.select(key, "at", F.col("ord").cast("long").alias("ord")), key, delay).withColumns({"left": F.lit(side), "target": F.col("us") - F.lit(micros)}).withColumn("us", F.when(F.col("left"), F.col("target") + F.lit(reach)).otherwise(F.col("us")))
+    return _run(one(left, True).unionByName(one(right, False)), _Nearest(key, reach, micros), "ord long, match long, apart_us long")
 
 
 # --- clean taps ---------------------------------------------------------------------------------------------------
@@ -209,27 +224,20 @@ HOLDS = {"key_down": ("key", True), "key_up": ("key", False), "button_down": ("b
 
 class _Taps(InOrder):
     columns = "us long, ord long, generation long, kind string, code int, modified boolean, again boolean"
-    memory = "generation long, since long, clean boolean"
+    memory = {"press": "generation long, since long, clean boolean", "held": "device string, code int"}
     output = ("us", "ord", "action")
 
-    def __init__(self, key: str) -> None:
-        self.key = key
-
-    def init(self, handle) -> None:  # noqa: ANN001
-        super().init(handle)
-        self.held = handle.getMapState("held", "device string, code int", "generation long")
-
-    def released(self, key, rows: list[tuple], now: int) -> list[tuple]:  # noqa: ANN001
-        current, since, clean = self.own.get() if self.own.exists() else (None, None, False)
-        out = []
+    def released(self, own: dict[str, list[tuple]], rows: list[tuple], now: int) -> list[tuple]:
+        current, since, clean = own["press"][0] if own["press"] else (None, None, False)
+        held, out = set(own["held"]), []
         for us, i, generation, kind, code, modified, again in rows:
             if generation is None or (current is not None and generation < current):
                 continue
             if generation != current:
                 current, since = generation, None
-                self.held.clear()
+                held.clear()
             if kind == "press" and since is None:
-                since, clean = us, not modified and next(iter(self.held.keys()), None) is None
+                since, clean = us, not modified and not held
             elif kind == "release" and since is not None:
                 if clean and not modified and LEAST_TAP * SECOND <= us - since <= MOST_TAP * SECOND:
                     out.append((us, i, "toggle"))
@@ -237,15 +245,14 @@ class _Taps(InOrder):
             clean = clean and kind not in SPOILS and not modified
             if kind in HOLDS:
                 device, begins = HOLDS[kind]
-                fresh = not self.held.containsKey((device, code))
+                fresh = (device, code) not in held
                 if kind == "key_down" and code == ESCAPE and fresh and not again:
                     out.append((us, i, "cancel"))
                 if begins:
-                    self.held.updateValue((device, code), (generation,))
+                    held.add((device, code))
                 elif not fresh:
-                    self.held.removeKey((device, code))
-        if rows:
-            self.own.update((current, since, bool(clean)))
+                    held.remove((device, code))
+        own["press"], own["held"] = [(current, since, bool(clean))], list(held)
         return out
 
 
@@ -260,7 +267,7 @@ def clean_taps(rows: DataFrame, key: str, delay: str = "1 second") -> DataFrame:
     0.5 s toggles unless something was held when it began, or anything else was pressed, scrolled or modified before it ended. A press while
     pressed, a release while not, and ups of what isn't held change nothing. Escape cancels when it goes down afresh. A new generation (the
     listener began again) forgets all that is held; rows of an older generation, or of none, are dropped."""
-    return _run(_timed(rows, key, delay), key, _Taps(key), "us long, ord long, action string")
+    return _run(_timed(rows, key, delay), _Taps(key), "us long, ord long, action string")
 
 
 # --- reads of a camera --------------------------------------------------------------------------------------------
@@ -268,14 +275,15 @@ def clean_taps(rows: DataFrame, key: str, delay: str = "1 second") -> DataFrame:
 
 class _Reads(InOrder):
     columns = "us long, ord long, valid boolean, recording boolean"
-    memory = "valid long, tracked long, ended boolean"
+    memory = {"reads": "valid long, tracked long, ended boolean"}
     output = ("us", "ord", "what")
 
     def __init__(self, key: str, limit: int, interval: int) -> None:
-        self.key, self.limit, self.interval = key, limit, interval
+        super().__init__(key)
+        self.limit, self.interval = limit, interval
 
-    def released(self, key, rows: list[tuple], now: int) -> list[tuple]:  # noqa: ANN001
-        good, tracked, ended = self.own.get() if self.own.exists() else (None, None, False)
+    def released(self, own: dict[str, list[tuple]], rows: list[tuple], now: int) -> list[tuple]:
+        good, tracked, ended = own["reads"][0] if own["reads"] else (None, None, False)
         out = []
         for us, i, valid, recording in rows if not ended else ():
             good = us if good is None or valid else good
@@ -286,8 +294,7 @@ class _Reads(InOrder):
             if valid and (recording or tracked is None or us - tracked >= self.interval):
                 tracked = us
                 out.append((us, i, "tracked"))
-        if rows:
-            self.own.update((good, tracked, ended))
+        own["reads"] = [(good, tracked, ended)]
         return out
 
 
@@ -297,7 +304,7 @@ def camera_reads(rows: DataFrame, key: str, limit: float = 3.0, interval: float
     While recording every valid frame is tracked; in a preview one ``interval`` seconds or more after the last tracked one, and the first. A read that gives no frame
     ``limit`` seconds or more after the last valid one (or the first read) fails, and ends the key: no later row counts. A null valid is no frame, a null recording a preview.
     A read that never returns isn't a row, so it fails nothing."""
-    return _run(_timed(rows, key, delay), key, _Reads(key, round(limit * SECOND), round(interval * SECOND)), "us long, ord long, what string")
+    return _run(_timed(rows, key, delay), _Reads(key, round(limit * SECOND), round(interval * SECOND)), "us long, ord long, what string")
 
 
 # --- drafts and finals --------------------------------------------------------------------------------------------

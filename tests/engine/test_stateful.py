@@ -178,3 +178,29 @@ def test_many_users_share_groups_of_state(spark, tmp_path, monkeypatch):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
     got = live.drained(live.rate_limited(stream(df, tmp_path / "in2", 5), 0.5), spark, str(tmp_path / "b"))
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, let))
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_many_keys_share_groups_of_timed_state(spark, tmp_path, monkeypatch, parts):
+    """Keys of one group, here texts, wait, remember and expire each by itself, and state has a row for groups, not for keys."""
+    monkeypatch.setattr(stateful, "GROUPS", 3)
+    rng = np.random.default_rng(8)
+    rows = [(f"u{rng.integers(60)}" if i % 9 else None, START + 1000 * int(rng.integers(200_000)), i, bool(rng.random() < 0.6)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "user_id string, us long, ord long, valid boolean").withColumns({"at": F.timestamp_micros("us"), "recording": F.lit(False)}).drop("us")
+    own = stateful.camera_reads(stream(df, tmp_path / "in", parts), "user_id", 3.0, 2.0)
+    query = own.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 3
+    want, end = [], passed(rows, 1_000_000)
+    for user in {r[0] for r in rows if r[0]}:
+        good = tracked = None
+        for _, us, i, valid in sorted((r for r in rows if r[0] == user and r[1] <= end), key=lambda r: r[1:3]):
+            good = us if good is None or valid else good
+            if not valid and us - good >= 3_000_000:
+                want.append((user, us, i, "failed"))
+                break
+            if valid and (tracked is None or us - tracked >= 2_000_000):
+                tracked = us
+                want.append((user, us, i, "tracked"))
+    assert {"failed", "tracked"} == {w[3] for w in want}
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(want)
