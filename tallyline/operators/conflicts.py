@@ -13,8 +13,12 @@ from ..functions.text import characters
 
 def issues(rows: DataFrame, key: str, checks: dict[str, Column]) -> DataFrame:
     """(key, issue): a row for each check that holds; a check that is null doesn't hold."""
-    found = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks.items()]))
-    return rows.select(key, F.explode(found).alias("issue"))
+    return rows.select(key, F.explode(held(checks)).alias("issue"))
+
+
+def held(checks: dict[str, Column]) -> Column:
+    """The names of the checks that hold."""
+    return F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks.items()]))
 
 
 def repeated(rows: DataFrame, columns: list[str], flag: str) -> DataFrame:

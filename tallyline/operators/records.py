@@ -4,10 +4,12 @@ Documents are read as variants, so a type counts as written: "true" is no boolea
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .conflicts import issues, repeated, visual_seed
+from .conflicts import held, issues, repeated, visual_seed
 
 # Fixed values of the documents' formats.
 CAPTURE_TYPES = ("real_webcam", "pre_cropped", "public_talk", "unknown")
@@ -19,14 +21,14 @@ BINDING_DEFAULTS = {"pre_beam_ratio": "1.5", "reverse_scoring": "sequential", "r
 
 
 class Document:
-    """Typed access to the fields of a JSON text; what isn't JSON has no fields."""
+    """Typed access to the fields of a parsed JSON text; what isn't JSON (null) has no fields."""
 
-    def __init__(self, json: Column) -> None:
-        self.json, self.variant = json, F.try_parse_json(json)
+    def __init__(self, variant: Column, kinds: dict[str, Column]) -> None:
+        self.variant, self.kinds = variant, kinds
 
     def kind(self, path: str = "") -> Column:
         """The type of a field as written; VOID for null, null where there is none."""
-        return F.schema_of_variant(F.try_variant_get(self.variant, f"${path}", "variant"))
+        return self.kinds.setdefault(path, F.schema_of_variant(F.try_variant_get(self.variant, f"${path}", "variant")))
 
     def text(self, path: str) -> Column:
         return F.when(self.kind(path) == "STRING", F.try_variant_get(self.variant, f"${path}", "string"))
@@ -54,6 +56,27 @@ class Document:
         return holds(self.text(path).rlike("^[0-9a-f]{64}$"))
 
 
+def read(json: Column, use: Callable[[Document], Column]) -> Column:
+    """What ``use`` makes of a JSON text, which is made and parsed once for all fields, and of whose fields each type is looked up once.
+
+    A lambda's argument is computed once, an expression for each of its uses; which types are needed is found by a first call of ``use``."""
+    once = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
+    needed: dict[str, Column] = {}
+    use(Document(F.lit(None), needed))
+    names = {path: f"k{i}" for i, path in enumerate(needed)}
+
+    def typed(v: Column) -> Column:
+        plain = Document(v, {})
+        return F.struct(v.alias("v"), *(plain.kind(path).alias(name) for path, name in names.items()))
+
+    return once(once(F.try_parse_json(json), typed), lambda s: use(Document(s["v"], {path: s[name] for path, name in names.items()})))
+
+
+def _listed(rows: DataFrame, key: str, json: Column, checks: Callable[[Document], dict[str, Column]]) -> DataFrame:
+    """(key, issue): a row for each check of the document that holds."""
+    return rows.select(key, F.explode(read(json, lambda d: held(checks(d)))).alias("issue"))
+
+
 def holds(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
@@ -68,24 +91,21 @@ def sidecar_issues(records: DataFrame, manifest: DataFrame) -> DataFrame:
     A record is an object of known fields only, about a known id; provenance and, if given, scene are not blank, metadata_verified is a boolean, capture_type and
     content_style are known values. A real webcam's row is of the domain webcam, a cropped one's of mouth_roi. Rows of the manifest are counted by id first."""
     rows = records.join(manifest.groupBy("id").agg(F.coalesce(F.min("domain"), F.lit("unknown")).alias("_domain")), "id", "left")
-    d = Document(F.col("record"))
     foreign = F.size(F.array_except(F.json_object_keys("record"), F.array(*map(F.lit, SIDECAR_FIELDS)))) > 0
-    of = lambda field, known: d.has(f".{field}") & ~holds(d.text(f".{field}").isin(*known))
-    capture = d.text(".capture_type")
-    is_object = d.is_object()
-    return issues(rows, "id", {
-        "record": ~is_object, "unknown id": F.col("_domain").isNull(), "field": is_object & foreign, "provenance": is_object & ~d.filled(".provenance"), "verified": is_object & ~holds(d.kind(".metadata_verified") == "BOOLEAN"),
-        "scene": d.has(".scene") & ~d.filled(".scene"), "capture_type": of("capture_type", CAPTURE_TYPES), "content_style": of("content_style", CONTENT_STYLES),
-        "webcam": (capture == "real_webcam") & (F.col("_domain") != "webcam"), "cropped": (capture == "pre_cropped") & (F.col("_domain") != "mouth_roi")})
 
+    def checks(d: Document) -> dict[str, Column]:
+        of = lambda field, known: d.has(f".{field}") & ~holds(d.text(f".{field}").isin(*known))
+        capture = d.text(".capture_type")
+        is_object = d.is_object()
+        return {
+            "record": ~is_object, "unknown id": F.col("_domain").isNull(), "field": is_object & foreign, "provenance": is_object & ~d.filled(".provenance"), "verified": is_object & ~holds(d.kind(".metadata_verified") == "BOOLEAN"),
+            "scene": d.has(".scene") & ~d.filled(".scene"), "capture_type": of("capture_type", CAPTURE_TYPES), "content_style": of("content_style", CONTENT_STYLES),
+            "webcam": (capture == "real_webcam") & (F.col("_domain") != "webcam"), "cropped": (capture == "pre_cropped") & (F.col("_domain") != "mouth_roi")}
 
-def provenance_issues(reports: DataFrame, language: str) -> DataFrame:
-    """(id, issue): what keeps a report's model (id, model) from being compared. Nothing that is missing counts as equal to something missing.
+    return _listed(rows, "id", F.col("record"), checks)
 
-    Wanted are name and devices, the language, a weight digest (each given one sound), digests of configuration and vocabulary; adapter, null or bound to the same
-    checkpoint; beam >= pool >= nbest >= 1 (pool: nbest by default) and a shortlist ratio of 1 to 4; weights in [0, 1], a number as length bonus, the two
-    switches; if given, decoder weights that are named numbers, a known way of reverse scoring and a tolerance that isn't negative."""
-    d = Document(F.col("model"))
+
+def _provenance(d: Document, language: str) -> dict[str, Column]:
     model = d.is_object()
     weight = lambda f: d.has(f) & (d.kind(f) != "VOID")
     sound = lambda f: ~weight(f) | d.digest(f)
@@ -102,7 +122,16 @@ def provenance_issues(reports: DataFrame, language: str) -> DataFrame:
         "search": ~holds((beam >= pool) & (pool >= nbest) & (nbest >= 1)), "ratio": ~holds((shortlist >= 1) & (shortlist <= 4)), **{f: ~holds(d.number(f".{f}").between(0, 1)) for f in ("ctc_weight", "reverse_weight")},
         "length_bonus": d.number(".length_bonus").isNull(), **{f: ~holds(d.kind(f".{f}") == "BOOLEAN") for f in ("external_lm", "personal")}, "decoder_weights": d.has(".decoder_weights") & ~weights,
         "reverse_scoring": d.has(".reverse_scoring") & ~holds(d.text(".reverse_scoring").isin("sequential", "batched")), "tolerance": d.has(".reverse_tie_tolerance") & ~holds(d.number(".reverse_tie_tolerance") >= 0)}
-    return issues(reports, "id", {"model": ~model} | {k: model & v for k, v in checks.items()})
+    return {"model": ~model} | {k: model & v for k, v in checks.items()}
+
+
+def provenance_issues(reports: DataFrame, language: str) -> DataFrame:
+    """(id, issue): what keeps a report's model (id, model) from being compared. Nothing that is missing counts as equal to something missing.
+
+    Wanted are name and devices, the language, a weight digest (each given one sound), digests of configuration and vocabulary; adapter, null or bound to the same
+    checkpoint; beam >= pool >= nbest >= 1 (pool: nbest by default) and a shortlist ratio of 1 to 4; weights in [0, 1], a number as length bonus, the two
+    switches; if given, decoder weights that are named numbers, a known way of reverse scoring and a tolerance that isn't negative."""
+    return _listed(reports, "id", F.col("model"), lambda d: _provenance(d, language))
 
 
 def model_binding(model: Column) -> Column:
@@ -110,8 +139,15 @@ def model_binding(model: Column) -> Column:
 
     Numbers count by value, whichever way they are written; in objects inside (adapter, decoder_weights) as they are written, fields in any order. Older documents
     lack the pool (nbest), the shortlist ratio, the way of reverse scoring and its tolerance: the defaults stand for fields that are missing, not for nulls."""
-    d = Document(model)
+    return read(model, _binding)
+
 
+def comparable_binding(model: Column, language: str) -> Column:
+    """The binding of a model that nothing keeps from being compared; null for others."""
+    return read(model, lambda d: F.when(F.size(held(_provenance(d, language))) == 0, _binding(d)))
+
+
+def _binding(d: Document) -> Column:
     def value(field: str) -> Column:
         path = f".{field}"
         return F.when(numeric(d.kind(path)), d.number(path).cast("string")).when(d.kind(path) == "STRING", d.text(path)).otherwise(F.to_json(F.try_variant_get(d.variant, f"${path}", "variant")))
@@ -125,15 +161,18 @@ def model_binding(model: Column) -> Column:
 def selection_issues(documents: DataFrame) -> DataFrame:
     """(id, issue) of documents (id, document) that freeze a choice of preprocessing: of schema 1, made on the development part alone, test explicitly unused, a known preset,
     and digests of the reports it was made from: provenance.dev_report_sha256 or, if there are none in it, input_sha256."""
-    d = Document(F.col("document"))
-    own, older = d.fields(".provenance.dev_report_sha256"), d.fields(".input_sha256")
-    sound = lambda m: holds((F.size(m) > 0) & F.forall(F.map_values(m), lambda v: holds((F.schema_of_variant(v) == "STRING") & F.try_variant_get(v, "$", "string").rlike("^[0-9a-f]{64}$"))))
-    given = d.has(".provenance.dev_report_sha256") & (d.kind(".provenance.dev_report_sha256") != "VOID") & ~holds(F.size(own) == 0)
-    parent = d.has(".provenance") & ~d.is_object(".provenance")
-    unused = F.try_variant_get(d.variant, "$.test_used_for_selection", "boolean")
-    return issues(documents, "id", {
-        "schema": ~holds(d.whole(".schema_version") == 1), "partition": ~holds(d.text(".selection_partition") == "dev"), "test used": ~holds((d.kind(".test_used_for_selection") == "BOOLEAN") & ~unused),
-        "preset": ~holds(d.text(".selected_preprocessing").isin(*PRESETS)), "reports": parent | ~F.when(given, sound(own)).otherwise(sound(older))})
+
+    def checks(d: Document) -> dict[str, Column]:
+        own, older = d.fields(".provenance.dev_report_sha256"), d.fields(".input_sha256")
+        sound = lambda m: holds((F.size(m) > 0) & F.forall(F.map_values(m), lambda v: holds((F.schema_of_variant(v) == "STRING") & F.try_variant_get(v, "$", "string").rlike("^[0-9a-f]{64}$"))))
+        given = d.has(".provenance.dev_report_sha256") & (d.kind(".provenance.dev_report_sha256") != "VOID") & ~holds(F.size(own) == 0)
+        parent = d.has(".provenance") & ~d.is_object(".provenance")
+        unused = F.try_variant_get(d.variant, "$.test_used_for_selection", "boolean")
+        return {
+            "schema": ~holds(d.whole(".schema_version") == 1), "partition": ~holds(d.text(".selection_partition") == "dev"), "test used": ~holds((d.kind(".test_used_for_selection") == "BOOLEAN") & ~unused),
+            "preset": ~holds(d.text(".selected_preprocessing").isin(*PRESETS)), "reports": parent | ~F.when(given, sound(own)).otherwise(sound(older))}
+
+    return _listed(documents, "id", F.col("document"), checks)
 
 
 def picture_issues(left: DataFrame, right: DataFrame, seeds: tuple[int, int], configurations: tuple[str, str]) -> DataFrame:

@@ -185,3 +185,15 @@ def test_camera_reads(spark, tmp_path, parts):
                 tracked = us
                 want.append((user, us, i, "tracked"))
     assert {w for *_, w in want} == {"failed", "tracked"} and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_documents_are_read_once_and_in_many_tasks(spark, data):
+    """A document is made and parsed once for all its fields, and a small file of rows isn't one task; a filter doesn't go in front of the dealing."""
+    from tallyline.plans import suite
+
+    for name in ("val10_model_provenance", "sc46_model_bindings"):
+        df = suite.queries()[name](spark, data)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.lower().count("parsejson") == 1
+        assert plan.lower().index("parsejson") < plan.index("RepartitionByExpression")
+    assert suite.queries()["val10_model_provenance"](spark, data).rdd.getNumPartitions() == 4
