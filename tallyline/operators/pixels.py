@@ -24,8 +24,21 @@ def quantile(values: Column, q: float) -> Column:
     s = F.array_sort(values)
     at = F.lit(q) * (F.size(values) - 1)
     low = F.floor(at).cast("int")
-    a, b = F.get(s, low), F.get(s, F.least(low + 1, F.size(values) - 1))
-    return a + (b - a) * (at - low)
+    a, b = F.get(s, low).cast("double"), F.get(s, F.least(low + 1, F.size(values) - 1)).cast("double")
+    return _weighted(a, b, at - low)
+
+
+def _weighted(a: Column, b: Column, part: Column) -> Column:
+    """a * (1 - part) + round(b * part), rounded once, as SQL's quantiles have it (a fused multiply and add): cuts of what is made of it tell the last place.
+
+    The first product is split into two that are exact (a has 26 bits at most), and what the sum's rounding drops is added again."""
+    x, c = 1 - part, b * part
+    big = x * 134217729.0
+    high = big - (big - x)
+    first, rest = a * high, a * (x - high)
+    total = first + c
+    back = total - first
+    return total + ((first - (total - back)) + (c - back) + rest)
 
 
 def saturated(values: Column) -> Column:

@@ -152,3 +152,17 @@ def test_archive_members(spark):
     wanted = spark.createDataFrame([(1, ["a/b/x.mp4"]), (2, ["c/y.mp4", "zz"]), (3, ["y.mp4"]), (4, ["no.mp4", None, ""]), (5, None), (6, ["top/a/b/x.mp4"]), (7, ["z"]), (8, ["w"]), (9, ["y.mp4", "z"])], "id int, paths array<string>")
     got = {r.id: (r.status, r.member, r.n) for r in decoding.archive_members(members, wanted).collect()}
     assert got == {1: ("several", None, 2), 2: ("one", "c/y.mp4", 1), 3: ("one", "c/y.mp4", 1), 4: ("missing", None, 0), 5: ("missing", None, 0), 6: ("one", "top/a/b/x.mp4", 1), 7: ("one", "z", 1), 8: ("one", "q//w", 1), 9: ("several", None, 2)}
+
+
+def test_quantiles_are_those_of_sql_to_the_last_place(spark):
+    import duckdb
+
+    rng = np.random.default_rng(11)
+    rows = [(i, sorted(int(x) for x in rng.integers(0, 256, 64))) for i in range(600)] + [(600, [49] * 6 + [49, 50] + [60] * 56), (601, [7])]
+    df = spark.createDataFrame(rows, "i int, v array<int>")
+    got = {r.i: tuple(r)[1:] for r in df.select("i", *(pixels.quantile(F.col("v"), q).alias(f"q{n}") for n, q in enumerate((0.1, 0.5, 0.9)))).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i INTEGER, v INTEGER[])")
+    con.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    want = con.execute("SELECT i, " + ", ".join(f"quantile_cont(CAST(p AS DOUBLE), {q})" for q in (0.1, 0.5, 0.9)) + " FROM (SELECT i, unnest(v) AS p FROM t) GROUP BY 1").fetchall()
+    assert got == {r[0]: r[1:] for r in want}
