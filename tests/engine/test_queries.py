@@ -99,3 +99,14 @@ def test_rescored_ties_are_those_of_sql(spark, tmp_path):
     con.sql(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
     got = {(r.sample_id, r["rank"]) for r in suite.queries()["srt04_rescored_first"](spark, str(tmp_path)).collect()}
     assert got == set(con.sql(suite.oracle_sql()["srt04_rescored_first"]).fetchall())
+
+
+def test_percentiles_count_equal_values_before_they_meet(spark, tmp_path):
+    """Repeated, null and single prices, against SQL; the values that meet in a flag's task are counted before."""
+    rows = [("A", float(i % 7)) for i in range(500)] + [("B", None), ("B", 2.5), ("C", None), (None, 1.0), (None, 4.0)]
+    spark.createDataFrame(rows, "l_returnflag string, l_extendedprice double").repartition(5).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    df = suite.queries()["agg03_percentiles"](spark, str(tmp_path))
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, con.sql(suite.oracle_sql()["agg03_percentiles"]).fetchall()))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
