@@ -122,3 +122,30 @@ def test_few_rows_at_a_time_are_python_values():
     got = [held.append(len(p)) or p for p in edit.in_pieces(iter([(a, pa.array(["ax", None] * 500))]), lambda r, h: edit._aligned(r or "", h or ""), edit._ALIGNMENT)]
     assert max(held) == edit.PIECE and sum(held) == 1000
     assert pa.concat_arrays(got).field("substitutions").to_pylist() == [1, 0] * 500
+
+
+def test_words_of_long_texts(spark):
+    """Characters that become several cost as others do: a long text with ß and ligatures takes about as long as one without, and has the words of a plain loop."""
+    import re
+    import time
+    import unicodedata
+
+    from tallyline.functions import text
+
+    def plain(t):
+        folded = "".join(f if re.search("[a-z0-9']", f := unicodedata.normalize("NFKC", c).casefold()) else c for c in t).lower().replace("’", "'")
+        return re.findall(r"[一-鿿]|[a-z0-9]+(?:'[a-z]+)?", folded)
+
+    rows = ["Straße ß’s ﬁn's ﬁﬂ №5 ㎏ ² ẞA", "Ｗｉｄｅ don’t 我x ½ é", "", "ß", "ﬃ\nﬁ"]
+    got = spark.createDataFrame([(t,) for t in rows], "t string").select(text.words(F.col("t")).alias("w")).collect()
+    assert [r.w for r in got] == [plain(t) for t in rows]
+
+    def seconds(t):
+        df = spark.createDataFrame([(t,)], "t string").select(F.size(text.words(F.col("t"))).alias("n"))
+        df.collect()
+        begin = time.monotonic()
+        assert df.first().n == len(plain(t))
+        return time.monotonic() - begin
+
+    base = "strasse und wege " * 120_000
+    assert max(seconds("ß" + base), seconds(base + "ﬁ")) < 5 * seconds(base) + 2
