@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.edit import distance
+from ..functions.edit import PIECE, distance
 from .scoring import ratio
 
 
@@ -94,15 +100,43 @@ def near_ties(ranked: DataFrame, least: float = 1e-3) -> DataFrame:
     return ranked.withColumn("_gap", gap).groupBy("sample_id").agg(F.coalesce(F.min("_gap") < least, F.lit(False)).alias("fallback"))
 
 
-def repetitive(tokens: Column) -> Column:
+def _repetitive(tokens: pa.Array) -> np.ndarray:
+    """``repetitive`` of a few rows at once, with tokens as numbers in one array.
+
+    Copies that cover 0.6 of a row cover its middle: there, each token equals the one ``w`` before or after, for one ``w``. Only rows where that holds are read again."""
+    n = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy()
+    out, flat = np.zeros(len(n), bool), pc.list_flatten(tokens)
+    ids = pc.dictionary_encode(flat, null_encoding="encode").indices.to_numpy()
+    if not len(ids):
+        return out
+    known, own = flat.is_valid().to_numpy(zero_copy_only=False), np.flatnonzero(n)
+    size = n[own]
+    starts = np.cumsum(size) - size
+    # all that isn't the row's first token is one other token
+    apart = ids != np.repeat(ids[starts], size)
+    other = np.maximum.reduceat(np.where(apart, ids, -1), starts)
+    found = (size >= 6) & ~np.logical_or.reduceat(apart & (ids != np.repeat(other, size)), starts)
+    for w in range(3, 13):
+        rows = np.flatnonzero(~found & (size >= 12) & (3 * w <= size))
+        for at in (-1, 0, 1):
+            p = starts[rows] + size[rows] // 2 + at * (size[rows] // 12)
+            rows = rows[(ids[p] == ids[p - w]) | (ids[p] == ids[p + w])]
+        for r in rows:
+            t, k = ids[starts[r] : starts[r] + size[r]], known[starts[r] : starts[r] + size[r]]
+            # whether a token repeats the one w before; a run of m such tokens is a phrase said m / w + 1 times in whole
+            breaks = np.flatnonzero(~((t[w:] == t[:-w]) & k[w:]))
+            run = np.diff(np.concatenate([[-1], breaks, [size[r] - w]])).max() - 1
+            found[r] = (run // w + 1) * w >= max(3 * w, 0.6 * size[r])
+    out[own] = found
+    return out
+
+
+@F.arrow_udf(T.BooleanType())
+def repetitive(tokens: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """At most 2 distinct tokens of 6 or more, or a phrase of 3 to 12 tokens said three times or more in a row, whole copies covering 0.6 of 12 or more."""
-    n = F.size(tokens)
-    few = (n >= 6) & (F.size(F.array_distinct(tokens)) <= 2)
-    widths = F.sequence(F.lit(3), F.least(F.lit(12), F.floor(n / 3).cast("int")))
-    # same(i) is whether token i repeats the one w before; a run of r such tokens is a phrase said r / w + 1 times in whole
-    run = lambda w: F.aggregate(F.sequence(w, n - 1), F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")), lambda a, i: F.struct(F.when(F.get(tokens, i) == F.get(tokens, i - w), a["now"] + 1).otherwise(0).alias("now"), F.greatest(a["best"], F.when(F.get(tokens, i) == F.get(tokens, i - w), a["now"] + 1).otherwise(0)).alias("best")))["best"]
-    long = (n >= 12) & F.exists(widths, lambda w: (F.floor(run(w) / w) + 1) * w >= F.greatest((3 * w).cast("double"), 0.6 * n))
-    return F.coalesce(few | F.when(n >= 12, long).otherwise(False), F.lit(False))
+    for batch in tokens:
+        for at in range(0, len(batch), PIECE):
+            yield pa.array(_repetitive(batch.slice(at, PIECE)))
 
 
 def quality_problem(df: DataFrame) -> Column:

@@ -224,3 +224,27 @@ def test_held_out_items_keep_all_rows(spark):
     got = sampling.held_out(df, "item", 2).collect()
     test = {r.item for r in got if r.part == "test"}
     assert len(got) == 6 and len(test) == 2 and None not in test and not test & {r.item for r in got if r.part == "train"}
+
+
+def test_repetition_of_long_texts(spark):
+    """A few comparisons of whole rows: 400,000 tokens, repeated or not, null tokens (which repeat nothing), rows without tokens, and every length around the middle."""
+    import time
+
+    rng = random.Random(8)
+    long = [str(rng.randrange(3000)) for _ in range(400_000)]
+    lists = [long, long[:7] * 50_000, long[:1000] + ["a", "b", "c", "d"] * 100_000, [None] * 6, [None, "a"] * 4, ["a", None, "b"] * 6, [], None]
+    want = [False, True, True, True, True, False, False, False]
+    edge = [["q%d" % i for i in range(a)] + (list("abcdefghijkl")[:w] * 40)[:m] + ["z%d" % i for i in range(n - a - m)] for n in range(12, 64) for w in (3, 5, 12) for m in (3 * w, -(-3 * n // 5), n) if m <= n for a in {0, (n - m) // 2, n - m}]
+    want += [any(c * w >= max(3 * w, 0.6 * len(t)) for w in range(3, 13) for c in [max(r // w + 1 for r in _runs(t, w))]) for t in edge]
+    df = spark.createDataFrame(list(enumerate(lists + edge)), "i long, t array<string>")
+    begin = time.monotonic()
+    got = {r.i: r.r for r in df.select("i", candidates.repetitive(F.col("t")).alias("r")).collect()}
+    assert [got[i] for i in range(len(want))] == want and time.monotonic() - begin < 15
+
+
+def _runs(tokens, w):
+    """Lengths of the runs of tokens that repeat the one w before."""
+    runs = [0]
+    for i in range(w, len(tokens)):
+        runs.append(runs[-1] + 1 if tokens[i] == tokens[i - w] else 0)
+    return runs
