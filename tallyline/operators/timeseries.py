@@ -86,15 +86,16 @@ def sentences(cues: DataFrame) -> DataFrame:
 def placed_chunks(chunks: DataFrame, targets: DataFrame, frame: float, least: float = 0.5) -> DataFrame:
     """(clip_id, k, value): the latest chunk that covers each frame of a target; null unless over ``least`` of the frames are covered.
 
-    A chunk covers [t0, t0 + seconds); it goes to the frames that it covers, so nothing is compared all with all."""
-    c = chunks.join(targets, "clip_id")
+    A chunk covers [t0, t0 + seconds); it goes to the frames that it covers, so nothing is compared all with all. Rows are dealt by clip before they
+    become frames, and stay there: frames are never shuffled. A clip has one target; the first of its rows brings the frames without a chunk, too."""
+    clip = Window.partitionBy("clip_id")
+    c = targets.repartition("clip_id").join(chunks, "clip_id", "left").withColumn("_first", F.row_number().over(clip.orderBy("chunk")) == 1)
     first = F.greatest(F.ceil((F.col("t0") - F.col("start")) / frame), F.lit(0))
     last = F.least(F.ceil((F.col("t0") + F.col("seconds") - F.col("start")) / frame) - 1, F.col("n") - 1)
-    spread = c.withColumn("k", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")))).groupBy("clip_id", "k").agg(F.max_by("value", "chunk").alias("value"))
-    grid = targets.select("clip_id", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n").cast("bigint") - 1)).alias("k"))
-    out = grid.join(spread, ["clip_id", "k"], "left")
-    share = F.count("value").over(Window.partitionBy("clip_id")) / F.col("n")
-    return out.withColumn("_s", share).select("clip_id", "k", F.when(F.col("_s") > least, F.col("value")).alias("value"))
+    low, high = F.when(F.col("_first"), F.lit(0).cast("bigint")).otherwise(first), F.when(F.col("_first"), F.col("n").cast("bigint") - 1).otherwise(last)
+    spread = c.withColumns({"first": first, "last": last, "k": F.explode(F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>")))})
+    out = spread.groupBy("clip_id", "n", "k").agg(F.max_by("value", F.when(F.col("k").between(F.col("first"), F.col("last")), F.col("chunk"))).alias("value"))
+    return out.withColumn("_s", F.count("value").over(clip) / F.col("n")).select("clip_id", "k", F.when(F.col("_s") > least, F.col("value")).alias("value"))
 
 
 def layer_normed(wave: Column, frames: Column, per_frame: int = 640, eps: float = 1e-5) -> Column:

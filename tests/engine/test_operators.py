@@ -248,3 +248,14 @@ def _runs(tokens, w):
     for i in range(w, len(tokens)):
         runs.append(runs[-1] + 1 if tokens[i] == tokens[i - w] else 0)
     return runs
+
+
+def test_frames_of_chunks_are_not_shuffled(spark):
+    """Rows meet by clip before they become frames; clips without chunks, chunks without a clip, empty and outside ones, and equal frames of several chunks."""
+    chunks = spark.createDataFrame([(0, 2, 0.4, 0.3, 2.0), (0, 1, -1.0, 1.5, 1.0), (0, 3, 5.0, 1.0, 3.0), (0, 4, 0.2, 0.0, 4.0), (9, 1, 0.0, 1.0, 9.0)], "clip_id long, chunk long, t0 double, seconds double, value double")
+    targets = spark.createDataFrame([(0, 0.0, 10), (1, 0.0, 3)], "clip_id long, start double, n int")
+    df = timeseries.placed_chunks(chunks, targets, 0.1)
+    got = {(r.clip_id, r.k): r.value for r in df.collect()}
+    assert got == {(0, k): (1.0 if k < 4 else 2.0 if k < 7 else None) for k in range(10)} | {(1, k): None for k in range(3)}
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.index("Generate") < plan.index("Exchange")
