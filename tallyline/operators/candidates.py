@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.edit import PIECE, distance
+from ..functions.edit import PIECE, long_distance
 from .scoring import ratio
 
 
@@ -70,13 +70,13 @@ def _text_pairs(ranked: DataFrame, key: Column) -> DataFrame:
 def diversity(ranked: DataFrame, key: Column) -> DataFrame:
     """(sample_id, pairs, mean_distance): edit distances between the distinct texts of each list, divided by the longer one."""
     pairs = _text_pairs(ranked, key)
-    apart = distance(F.col("key"), F.col("key2"))
+    apart = long_distance("key", "key2")
     return pairs.groupBy("sample_id").agg(F.count("*").alias("pairs"), F.avg(apart / F.greatest(F.length("key"), F.length("key2"), F.lit(1))).alias("mean_distance"))
 
 
 def medoids(ranked: DataFrame, key: Column) -> DataFrame:
     """The ranks of each list whose mean distance to the others is least (within 1e-12)."""
-    apart = _text_pairs(ranked, key).select("sample_id", distance(F.col("key"), F.col("key2")).cast("double").alias("d"), F.explode(F.array("rank", "rank2")).alias("rank"))
+    apart = _text_pairs(ranked, key).select("sample_id", long_distance("key", "key2").cast("double").alias("d"), F.explode(F.array("rank", "rank2")).alias("rank"))
     means = apart.groupBy("sample_id", "rank").agg(F.avg("d").alias("mean"))
     least = means.groupBy("sample_id").agg(F.min("mean").alias("least"))
     return means.join(least, "sample_id").where("mean <= least + 1e-12").select("sample_id", "rank")

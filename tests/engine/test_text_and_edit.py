@@ -149,3 +149,18 @@ def test_words_of_long_texts(spark):
 
     base = "strasse und wege " * 120_000
     assert max(seconds("ß" + base), seconds(base + "ﬁ")) < 5 * seconds(base) + 2
+
+
+def test_distances_of_long_texts(spark):
+    """By bit vectors: those of the built-in function, null for null; texts of 20,000 characters in far less than a step for each of 400,000,000 pairs."""
+    import random
+    import time
+
+    rng = random.Random(5)
+    pairs = [("".join(rng.choice("abcé我𠀀") for _ in range(rng.randrange(150))), "".join(rng.choice("abcé我𠀀") for _ in range(rng.randrange(150)))) for _ in range(400)]
+    pairs += [("", ""), ("", "a"), ("ab", ""), ("same", "same"), (None, "a"), ("a", None)]
+    got = spark.createDataFrame(pairs, "a string, b string").select(edit.long_distance("a", "b").alias("x"), edit.distance(F.col("a"), F.col("b")).alias("y")).collect()
+    assert all(r.x == r.y for r in got) and got[-1].x is None
+    long = "".join(rng.choice("abcdefgh") for _ in range(20_000))
+    begin = time.monotonic()
+    assert edit._characters_apart(long, "x" + long[:10_000] + "yz" + long[10_001:]) == 3 and time.monotonic() - begin < 2
