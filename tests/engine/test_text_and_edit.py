@@ -1,10 +1,12 @@
 import itertools
+import random
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyline.functions import edit, rewrite, text
+from tallyline.plans import suite_text
 
 
 def apply(spark, values, f, kind="string"):
@@ -55,6 +57,42 @@ def test_numbers_and_cleanup(spark):
     assert got == ["What did I say?", "I think I'm right.", "Done!", "", "今天天气很好。", "今天？"]
 
 
+def test_numbers_are_those_of_a_plain_reading(spark):
+    """Word by word, by another way than the expression's; any white space stands between words."""
+    units, teens, tens = rewrite.UNITS[1:], rewrite.TEENS, rewrite.TENS
+    value = {w: i for i, w in enumerate(rewrite.UNITS + teens)} | {w: 10 * i for i, w in enumerate(tens, 2)}
+
+    def two(w, i):
+        """The value of a number of 10 to 99 at a place, and the place behind it."""
+        if i < len(w) and w[i] in tens:
+            return (value[w[i]] + value[w[i + 1]], i + 2) if i + 1 < len(w) and w[i + 1] in units else (value[w[i]], i + 1)
+        return (value[w[i]], i + 1) if i < len(w) and w[i] in teens else None
+
+    def read(t):
+        w, out, i = (t or "").split(), [], 0
+        while i < len(w):
+            year = two(w, i + 1) if w[i] in teens or w[i] == "twenty" and not (i + 1 < len(w) and w[i + 1] in units) else None
+            n, i = (100 * value[w[i]] + year[0], year[1]) if year else two(w, i) or (w[i], i + 1)
+            out.append(str(n))
+        return " ".join(out)
+
+    rng = random.Random(3)
+    pool = [*units, *teens, *tens, *["twenty"] * 8, "zero", "x", "twentyish", "sixth", "ten,", "今天", "$1", "\\\\"]
+    texts = ["".join(rng.choice(pool) + rng.choice([" ", "  ", "\n", "\t", "\u3000", "\x1c", "\x85"]) for _ in range(rng.randrange(12))) for _ in range(600)]
+    texts += [None, "", " ", "\n", "ten", " ten\n", "twenty sixth", "nineteen twenty six"]
+    assert apply(spark, texts, rewrite.numbers_to_digits) == [read(t) for t in texts]
+
+
+def python_steps(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+
+
+def test_guards_take_one_step_in_python_and_numbers_none(spark, data):
+    """Each step is a worker of its own for each core of an executor."""
+    assert python_steps(suite_text.sc23(spark, data)) == 1
+    assert [python_steps(q(spark, data)) for q in (suite_text.sc20, suite_text.sc21)] == [0, 0]
+
+
 def test_guard(spark):
     cases = [
         ("i have twenty six dollars", "I have 26 dollars", ["i have twenty six dollars"], []), ("i have 26 dollars", "I have 27 dollars", [], ["numbers", "outside"]), ("do it", "do not it", [], ["negation", "outside"]),
