@@ -1,7 +1,10 @@
 import itertools
 import random
+import re
+import sys
 import unicodedata
 
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,6 +23,25 @@ def test_unicode_characters(spark):
     assert all(unicodedata.is_normalized("NFKC", g) for g in got)
 
 
+def test_stable_characters_are_those_that_nfkc_never_changes():
+    """None changes, moves past another or joins one before it."""
+    stable, every = re.compile(f"[{text.STABLE}]"), list(map(chr, range(sys.maxunicode + 1)))
+    parts = [d.split() for d in map(unicodedata.decomposition, every) if d and d[0] != "<"]
+    joining = {chr(int(d[1], 16)) for d in parts if len(d) == 2} | set(map(chr, [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]))
+    for c in filter(stable.match, every):
+        first = unicodedata.normalize("NFKD", c)[0]
+        assert unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(first) and first not in joining, hex(ord(c))
+
+
+def test_only_texts_that_nfkc_may_change_go_to_python(spark, monkeypatch):
+    values = ["plain", "Äöü ßçñé", "今天 天气、カナ", "한국어", "Привет", "", None, "e\u0301", "ﬁ", "Ａ！", "a\xa0b", "\u1112\u1161\u11ab", "x²", "か\u3099", "\U0001f600", "q\u0307\u0323"]
+    assert apply(spark, values, text.compatible) == [unicodedata.normalize("NFKC", v or "") for v in values]
+
+    sent = F.arrow_udf("string")(lambda t: pc.if_else(pc.is_valid(t), "sent", None))
+    monkeypatch.setattr(text, "_nfkc", sent)
+    assert apply(spark, values[:9], text.compatible) == ["plain", "Äöü ßçñé", "今天 天气、カナ", "한국어", "Привет", "", "", "sent", "sent"]
+
+
 def test_words_terms_and_buckets(spark):
     assert apply(spark, ["Don’t stop 今天 a1"], text.words) == [["don't", "stop", "今", "天", "a1"]]
     assert apply(spark, ["the cat", "scatter", "CAT!"], lambda c: text.contains_term(c, "cat")) == [True, False, True]
