@@ -85,6 +85,33 @@ def test_han_corrections_by_brute_force(spark):
     assert [r.f for r in df.select("i", wording.correction("p", "s").alias("f")).orderBy("i").collect()] == want and sum(w is not None for w in want) > 20
 
 
+def test_han_corrections_of_long_texts():
+    """Few edits, many or too many: those of brute force; texts of 2,000 characters without a step for each character and each start."""
+    import random
+    import time
+
+    rng = random.Random(2)
+    some = lambda n: [rng.choice("天地人你我") for _ in range(n)]
+    kinds = set()
+    for n in [9, 12, 20, 26] * 10:
+        a = some(n)
+        b = some(rng.choice([0, 3, 20])) + [rng.choice("天地人你我好") if rng.random() < rng.choice([0.05, 0.3, 0.8]) else c for c in a if rng.random() < 0.95] + some(rng.choice([0, 4]))
+        most = int(n * 0.4)
+        every = [(apart(a, b[x : x + k]), abs(k - n), x, k) for x in range(min(len(b), 30)) for k in range(n - 2, min(len(b) - x, n + 2) + 1)]
+        best = min((e for e in every if e[0] <= most), default=None)
+        assert wording._han_correction(a, b) == ("".join(b[best[2] : best[2] + best[3]]) if best and best[0] else None)
+        assert sorted(wording._all_windows(a, b)) == sorted(every)
+        kinds.add("none" if best is None else "few" if best[0] < 3 else "many")
+    assert kinds == {"none", "few", "many"}
+    begin = time.monotonic()
+    for _ in range(150):
+        a = some(2000)
+        b = some(9) + a[:700] + ["好"] + a[701:] + some(9)
+        assert wording._han_correction(a, b) == "".join(b[9:2009])
+    assert all(wording._han_correction(some(2000), list("上下左右中") * 400) is None for _ in range(3))
+    assert time.monotonic() - begin < 6
+
+
 def test_word_corrections(spark):
     cases = [
         ("send it to jon today", "Hi. send it to John today. Thanks a lot", "send it to John today."), ("send it to jon", "send it to jon", None), ("send it to jon", "Send it, to Jon!", None), ("go home", "entirely other words here", None),
