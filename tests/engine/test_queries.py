@@ -47,6 +47,31 @@ def test_queries_read_whole_texts(spark, tmp_path):
     assert {r.span for r in run("sc33_inserted_span")} == {"XYZ"}
 
 
+@pytest.fixture(scope="module")
+def long_turns(spark, tmp_path_factory):
+    """Conversations whose pairs of turns make tables of up to 12,000,000 cells."""
+    import random
+
+    rng = random.Random(4)
+    some = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    base = some(3500)
+    turns = [(1, 0, "user", base), (1, 1, "assistant", base[:1000] + "qqq" + base[1000:]), (1, 2, "user", some(2600)), (1, 3, "assistant", some(2900)), (1, 4, "user", "short"), (1, 5, "assistant", "shirt"), (2, 0, "user", some(3000))]
+    path = str(tmp_path_factory.mktemp("long"))
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    return path
+
+
+def same_as_sql(spark, path, name):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{path}/conversations.parquet/*.parquet')")
+    got, df = con.sql(suite.oracle_sql()[name]), suite.queries()[name](spark, path)
+    return sorted(str([plain(r[c]) for c in got.columns]) for r in df.collect()) == sorted(str([plain(x) for x in r]) for r in got.fetchall())
+
+
+def test_long_turns_are_aligned(spark, long_turns):
+    assert same_as_sql(spark, long_turns, "sc03_alignments")
+
+
 def test_lists_have_all_candidates(spark, tmp_path):
     """A conversation of 1,300 turns: candidates past the 1,000th count, and its pairs, over several blocks, are those of brute force."""
     from pyspark.sql import functions as F

@@ -72,6 +72,61 @@ def test_alignments_of_all_short_strings(spark):
     assert (tie.substitutions, tie.deletions, tie.insertions) == (2, 0, 0)
 
 
+def test_alignments_of_long_texts(spark, monkeypatch):
+    """Those of a whole table, also where columns are dealt into parts and these into parts; 8,000,000 cells and more, within memory that grows with the texts alone."""
+    import tracemalloc
+
+    def plain(r, h):
+        table = [[i + j if not i or not j else 0 for j in range(len(h) + 1)] for i in range(len(r) + 1)]
+        for i in range(1, len(r) + 1):
+            for j in range(1, len(h) + 1):
+                table[i][j] = min(table[i - 1][j - 1] + (r[i - 1] != h[j - 1]), table[i - 1][j] + 1, table[i][j - 1] + 1)
+        i, j, ops = len(r), len(h), []
+        while i or j:
+            if i and j and table[i][j] == table[i - 1][j - 1] + (r[i - 1] != h[j - 1]):
+                i, j = i - 1, j - 1
+                ops += [("substitution", r[i], h[j])] if r[i] != h[j] else []
+            elif i and table[i][j] == table[i - 1][j] + 1:
+                i -= 1
+                ops.append(("deletion", r[i], ""))
+            else:
+                j -= 1
+                ops.append(("insertion", "", h[j]))
+        return ops[::-1]
+
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choice("abc我𠀀") for _ in range(n))
+    pairs = [(some(rng.choice([0, 1, 9, 40, 90])), some(rng.choice([0, 1, 9, 40, 90]))) for _ in range(60)]
+    for kept, parts in ((edit.KEPT, edit.PARTS), (0, 2), (60, 3)):
+        monkeypatch.setattr(edit, "KEPT", kept)
+        monkeypatch.setattr(edit, "PARTS", parts)
+        assert [edit._aligned(r, h)["ops"] for r, h in pairs] == [plain(r, h) for r, h in pairs]
+    monkeypatch.undo()
+    base = some(3000)
+    long = [(base, base[:1000] + "x" + base[1001:2500] + base[2501:] + "yz"), (some(2500), some(3500)), ("", some(5000)), (some(5000), None)]
+    got = spark.createDataFrame(long, "r string, h string").select("r", "h", edit.alignment("r", "h").alias("a"), edit.distance(F.coalesce("h", F.lit("")), F.col("r")).alias("d")).collect()
+    for x in got:
+        assert x.a.substitutions + x.a.deletions + x.a.insertions == x.d == len(x.a.ops) and x.a.matches + x.a.substitutions + x.a.deletions == len(x.r)
+    assert sorted(x.d for x in got)[0] == 4
+    # columns of 8000 by 8000 take 16 MB as bits and 256 MB as numbers
+    monkeypatch.setattr(edit, "KEPT", 1 << 20)
+    r, h = some(8000), some(8000)
+    tracemalloc.start()
+    edit._aligned(r, h)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 << 20
+
+
+def test_pieces_of_many_edits_end_early():
+    """Rows of 60,000 edits each aren't all held as Python values."""
+    import pyarrow as pa
+
+    batch = (pa.array(["", "ab", ""] * 4), pa.array(["x" * 60_000, "ax", "y" * 60_000] * 4))
+    got = list(edit.alignment.func(iter([batch])))
+    assert [len(p) for p in got] == [3] * 4 and pa.concat_arrays(got).field("insertions").to_pylist() == [60_000, 0, 60_000] * 4
+
+
 def test_numbers_and_cleanup(spark):
     got = apply(spark, ["it was nineteen forty three", "twenty twenty six or twenty six", "one two eleven films", "ten ten"], rewrite.numbers_to_digits)
     assert got == ["it was 1943", "2026 or 26", "one two 11 films", "1010"]
