@@ -72,6 +72,10 @@ def test_long_turns_are_aligned(spark, long_turns):
     assert same_as_sql(spark, long_turns, "sc03_alignments")
 
 
+def test_edits_of_long_turns_are_summed(spark, long_turns):
+    assert same_as_sql(spark, long_turns, "agg09_edit_metrics")
+
+
 def test_lists_have_all_candidates(spark, tmp_path):
     """A conversation of 1,300 turns: candidates past the 1,000th count, and its pairs, over several blocks, are those of brute force."""
     from pyspark.sql import functions as F
