@@ -154,10 +154,15 @@ def routed(problem: Column, text: Column, is_repetitive: Column, han: Column, ma
     return F.when(retry, "retry").when(han, "review").when(auto, "auto").otherwise("review")
 
 
+def error_counts(rows: DataFrame, key: str) -> DataFrame:
+    """All substitutions, deletions and insertions of rows with an alignment: how often, and the first occurrence, in the order of ``key``."""
+    ops = rows.select(F.col(key).alias("row"), F.posexplode("alignment.ops").alias("at", "o"))
+    return ops.groupBy("o.op", "o.ref", "o.hyp").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("first"))
+
+
 def error_operations(rows: DataFrame, key: str, most: int = 30) -> DataFrame:
-    """The ``most`` commonest substitutions, deletions and insertions of rows with an alignment; ties by the first occurrence, in the order of ``key``."""
-    ops = rows.select(F.col(key).alias("row"), F.posexplode("alignment.ops").alias("at", "o")).groupBy("o.op", "o.ref", "o.hyp").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("first"))
-    return ops.withColumn("place", F.row_number().over(Window.partitionBy("op").orderBy(F.desc("n"), "first"))).where(F.col("place") <= most).drop("first")
+    """The ``most`` commonest of ``error_counts`` of each kind; ties by the first occurrence."""
+    return error_counts(rows, key).withColumn("place", F.row_number().over(Window.partitionBy("op").orderBy(F.desc("n"), "first"))).where(F.col("place") <= most).drop("first")
 
 
 def unknown_characters(rows: DataFrame, text: str, vocabulary: DataFrame) -> DataFrame:

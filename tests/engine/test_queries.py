@@ -76,6 +76,26 @@ def test_edits_of_long_turns_are_summed(spark, long_turns):
     assert same_as_sql(spark, long_turns, "agg09_edit_metrics")
 
 
+def test_edits_of_long_turns_are_counted(spark, long_turns):
+    """As many as agg09's errors in all, and the query has the first 30 of each kind of these."""
+    from tallyline.functions import edit
+    from tallyline.operators import candidates
+    from tallyline.plans.suite_scoring import rated
+
+    errors = sum(r.errors for r in suite.queries()["agg09_edit_metrics"](spark, long_turns).collect())
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{long_turns}/conversations.parquet/*.parquet')")
+    assert errors == con.sql(f"SELECT sum(errors) FROM ({suite.oracle_sql()['sc03_alignments']})").fetchall()[0][0]
+    rows = rated(spark, long_turns).withColumn("alignment", edit.alignment("ref_key", "hyp_key"))
+    every = candidates.error_counts(rows, "sample_id").collect()
+    assert sum(r.n for r in every) == errors and {r.n for r in every if (r.op, r.hyp) == ("insertion", "q")} == {3}
+    got = {(r.op, r.place): (r.ref, r.hyp, r.n) for r in suite.queries()["agg11_commonest_edits"](spark, long_turns).collect()}
+    for op in ("substitution", "deletion", "insertion"):
+        own = sorted((r for r in every if r.op == op), key=lambda r: (-r.n, r.first))
+        assert [got.pop((op, i)) for i in range(1, min(len(own), 30) + 1)] == [(r.ref, r.hyp, r.n) for r in own[:30]]
+    assert not got
+
+
 def test_lists_have_all_candidates(spark, tmp_path):
     """A conversation of 1,300 turns: candidates past the 1,000th count, and its pairs, over several blocks, are those of brute force."""
     from pyspark.sql import functions as F
